@@ -82,3 +82,8 @@ def label_of(strategy: Column, labels: dict[str, str]) -> Column:
         return strategy
     table = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
     return F.coalesce(F.element_at(table, strategy), strategy)
+
+
+def normalised_lateness(lateness: Column, slack: Column, cap: float = 2.0) -> Column:
+    """Lateness as a share of the slack, capped; zero when there is no slack."""
+    return F.least(F.lit(cap), F.when(slack > 0, lateness / slack).otherwise(F.lit(0.0)))

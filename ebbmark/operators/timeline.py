@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ebbmark.functions.delays import draw
 from ebbmark.functions.scalars import bucket
 from ebbmark.operators.running import Slicing, running
 from ebbmark.params import Strategy, TICK_MS
 
 TICKS_PER_SLICE = 4096  # a timeline slice holds at most this many rows of one scope
+SPLIT_SALT = 71
 TIMELINE = ["strategy", "scope", "tick", "wm_before", "wm"]
 
 
@@ -28,7 +30,7 @@ def with_scope(events: DataFrame, by: str = "global", splits: int = 64) -> DataF
     if by == "key":
         return events.withColumn("scope", F.col("key"))
     if by == "split":
-        return events.withColumn("scope", F.pmod(F.xxhash64("event_id"), F.lit(splits)).cast("string"))
+        return events.withColumn("scope", draw(F.col("event_id"), SPLIT_SALT, splits).cast("string"))
     raise ValueError(f"unknown scope: {by}")
 
 

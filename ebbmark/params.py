@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ebbmark.schemas import PARAMETERS
 
@@ -94,7 +94,7 @@ def taxi_naive() -> Strategy:
 
 def taxi_in_order() -> Strategy:
     """Reference run over a sorted topic: timestamps never go back, so no slack is needed."""
-    return Strategy("taxi_inorder_reference", "fixed", TAXI_WINDOW_MS, offset_ms=1)
+    return Strategy("taxi_inorder", "fixed", TAXI_WINDOW_MS, offset_ms=1)
 
 
 def taxi_fixed(mode: int = 3, slack_s: int | None = None) -> Strategy:
@@ -181,3 +181,31 @@ def parameter_frame(spark: SparkSession, strategies: list[Strategy]) -> DataFram
         for s in strategies
     ]
     return spark.createDataFrame(rows, PARAMETERS)
+
+
+# Strategy ids from parameter columns ------------------------------------------
+
+def fixed_id(slack_s):
+    return F.concat(F.lit("watermark_"), slack_s.cast("string"), F.lit("s"))
+
+
+def mean_shift_id(threshold_ms):
+    return F.concat(F.lit("adaptive_adwin_dt"), threshold_ms.cast("string"))
+
+
+def adwin_id(late_limit, delta_step):
+    """Both parameters appear as hundredths, truncated."""
+    return F.format_string("adaptive_real_adwin_L%d_dd%d", (late_limit * 100).cast("int"), (delta_step * 100).cast("int"))
+
+
+def taxi_fixed_id(mode, slack_s):
+    return F.format_string("taxi_watermark_m%d_s%d", mode, slack_s)
+
+
+def taxi_mean_shift_id(mode, threshold_s):
+    return F.format_string("taxi_adaptive_adwin_m%d_dt%d", mode, threshold_s)
+
+
+def taxi_adwin_id(mode, late_limit, delta_step):
+    return F.format_string("taxi_real_adwin_m%d_L%d_dd%d", mode, (late_limit * 100).cast("int"),
+                           (delta_step * 100).cast("int"))

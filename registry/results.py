@@ -37,3 +37,75 @@ _one("taxi_mean_shift_short_windows", params.taxi_mean_shift(1), base.mean_shift
     "taxi_adaptive_adwin_m1", 36_000, 500, 5000, 1000, 250_000))
 _one("taxi_adwin_settled_windows", params.taxi_adwin(3, 1.0, 0.1), base.TAXI_STRATEGIES[3])
 _one("taxi_speculative_final_windows", params.taxi_speculative(3), base.fixed("taxi_speculative_m3", 0))
+
+
+# Several strategies, truth and update logs ---------------------------------------------
+
+@query("ground_truth_windows", base.statement([base.house_events()], """SELECT key, (event_time // 10000 + 1) * 10000 AS window_end,
+    count(*) AS event_count, sum(reading_1) / count(*) AS avg_1, sum(reading_2) / count(*) AS avg_2,
+    max(arrival_time) AS last_arrival FROM ev GROUP BY 1, 2"""))
+def ground_truth(spark, folder):
+    return backtest.ground_truth(house(spark, folder), params.HOUSE_WINDOW_MS)
+
+
+@query("per_key_fixed_windows", base.statement([base.taxi_events(), """
+    ordered AS (SELECT *, arrival_time // 200 AS tick, (event_time // 60000 + 1) * 60000 AS window_end FROM ev),
+    key_ticks AS (SELECT key, tick, max(event_time) AS newest FROM ordered GROUP BY key, tick),
+    marked AS (SELECT key, tick, max(newest) OVER (PARTITION BY key ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        - 900001 AS wm_before, max(newest) OVER (PARTITION BY key ORDER BY tick) - 900001 AS wm FROM key_ticks),
+    kept AS (SELECT o.key, o.window_end, count(*) AS event_count, max(arrival_time) AS last_arrival
+        FROM ordered o JOIN marked m ON o.key = m.key AND o.tick = m.tick
+        WHERE wm_before IS NULL OR window_end - 1 > wm_before GROUP BY 1, 2),
+    steps AS (SELECT key, wm, min(tick) AS tick FROM marked GROUP BY key, wm)"""],
+    """SELECT k.key, k.window_end, k.event_count, (s.tick + 1) * 200 AS fire_time FROM kept k
+    ASOF JOIN steps s ON k.key = s.key AND k.window_end - 1 <= s.wm"""))
+def per_key_windows(spark, folder):
+    """A watermark per key instead of one for the stream."""
+    settings = backtest.Settings(scope="key")
+    windows = backtest.run(taxi(spark, folder), [params.taxi_fixed(3, 900)], settings).windows
+    return windows.select("key", "window_end", "event_count", "fire_time")
+
+
+@query("flushed_windows", base.statement(base.house_ctes(flush=True), f"SELECT {RESULT_COLUMNS} FROM results"))
+def flushed_windows(spark, folder):
+    """All five strategies, windows that are still open at the end of input flushed."""
+    return backtest.run(house(spark, folder), HOUSE_SET, backtest.Settings(flush=True)).windows
+
+
+_KIND = ("CASE WHEN is_final THEN 'FINAL UPDATE' WHEN update_count = 1 THEN 'INITIAL GUESS' "
+         "ELSE 'SPECULATIVE CORRECTION' END AS update_kind")
+_LOG = ("key, window_end, event_count, avg_1, avg_2, fire_time, decisional_latency_ms, window_delay_ms, update_count, "
+        "is_final, is_closed, update_kind")
+
+
+def _updates(rows, strategy):
+    scoped = with_scope(rows)
+    return speculative_updates(scoped, backtest.timelines(scoped, [strategy]), strategy)
+
+
+@query("house_speculative_updates", base.statement(
+    base.house_ctes([base.fixed("speculative", 0)]) + [base.updates("speculative"), f"kinds AS (SELECT *, {_KIND} FROM updates)"],
+    f"""SELECT {_LOG} FROM kinds UNION ALL SELECT {_LOG.replace('key', "key || '-initial'", 1).replace('is_final', 'false')}
+    FROM kinds WHERE update_count = 1"""))
+def house_updates(spark, folder):
+    updates = with_initial_rows(_updates(house(spark, folder), params.house_speculative()))
+    return updates.select(*_LOG.split(", "))
+
+
+@query("taxi_speculative_updates", base.statement(
+    base.taxi_ctes([base.fixed("taxi_speculative_m3", 0)]) + [f"kinds AS (SELECT *, {_KIND} FROM updates)"],
+    f"SELECT {_LOG} FROM kinds"))
+def taxi_updates(spark, folder):
+    return _updates(taxi(spark, folder), params.taxi_speculative(3)).select(*_LOG.split(", "))
+
+
+_SWEEP = ([base.fixed(f"watermark_{s}s", s * 1000) for s in params.HOUSE_SLACKS_S]
+          + [base.mean_shift(f"adaptive_adwin_dt{t}", 5000, t, 500, None, 12000) for t in params.HOUSE_THRESHOLDS_MS])
+
+
+@query("house_sweep", base.statement(base.house_ctes(_SWEEP), f"""SELECT {RESULT_COLUMNS},
+    CASE WHEN strategy LIKE 'watermark%' THEN 'slack' ELSE 'threshold' END AS family FROM results"""))
+def house_sweep(spark, folder):
+    """Eight variants from one pass over the events."""
+    groups = params.house_sensitivity()
+    return backtest.sweep(house(spark, folder), {k: groups[k] for k in ("slack", "threshold")})

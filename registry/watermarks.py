@@ -1 +1,201 @@
+"""Watermarks, lateness samples, drift tests and per-event flags."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ebbmark import params
+from ebbmark.functions import scalars
+from ebbmark.operators import adwin, mean_shift
+from ebbmark.operators.running import Slicing, running_max_by_arrival
+from ebbmark.operators.timeline import combine_scopes, fixed_timeline, with_scope
+from ebbmark.plans import backtest
+from oracles import base
+from registry.core import HOUSE_SET, house, query, taxi
+
+# Small units, so that the tables exercise many of them.
+MINUTE = Slicing(60_000)
+SPLIT_SLICES = Slicing(86_400_000, 2_000)
+SMALL_BLOCK = 1_000
+
+
+@query("running_max_by_arrival", base.statement([base.taxi_events(), base.TICKS],
+                                                "SELECT event_id, newest, newest_before FROM ordered"))
+def running_max(spark, folder):
+    rows = running_max_by_arrival(with_scope(taxi(spark, folder)), ["scope"], MINUTE)
+    return rows.select("event_id", "newest", "newest_before")
+
+
+@query("running_max_split_slices", base.statement([base.house_events(), base.TICKS],
+                                                  "SELECT event_id, newest, newest_before FROM ordered"))
+def running_max_split(spark, folder):
+    """Slices far above the part size: every unit comes from an exact split."""
+    rows = running_max_by_arrival(with_scope(house(spark, folder)), ["scope"], SPLIT_SLICES)
+    return rows.select("event_id", "newest", "newest_before")
+
+
+@query("running_max_per_key", base.statement([base.taxi_events()], """SELECT event_id,
+    max(event_time) OVER (PARTITION BY key ORDER BY arrival_time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    AS newest_before FROM ev"""))
+def running_max_per_key(spark, folder):
+    rows = running_max_by_arrival(with_scope(taxi(spark, folder), "key"), ["scope"], Slicing(3_600_000))
+    return rows.select("event_id", "newest_before")
+
+
+_LATENESS = """SELECT event_id, arrival_time - event_time AS network, greatest(0, arrival_time - event_time) AS network_clamped,
+    CASE WHEN newest_before IS NULL THEN 0 ELSE greatest(0, newest_before - event_time) END AS disorder,
+    least(CAST(2 AS DOUBLE), greatest(0, arrival_time - event_time) / CAST(2000 AS DOUBLE)) AS normalised FROM ordered"""
+
+
+def _lateness(rows):
+    clamped = F.greatest(mean_shift.network_lateness(), F.lit(0))
+    seen = running_max_by_arrival(with_scope(rows), ["scope"], MINUTE)
+    return seen.select("event_id", mean_shift.network_lateness().alias("network"), clamped.alias("network_clamped"),
+                       mean_shift.disorder_lateness().alias("disorder"),
+                       scalars.normalised_lateness(clamped, F.lit(2000)).alias("normalised"))
+
+
+@query("lateness_samples_house", base.statement([base.house_events(), base.TICKS], _LATENESS))
+def lateness_house(spark, folder):
+    return _lateness(house(spark, folder))
+
+
+@query("lateness_samples_taxi", base.statement([base.taxi_events(), base.TICKS], _LATENESS))
+def lateness_taxi(spark, folder):
+    return _lateness(taxi(spark, folder))
+
+
+# Per-event flags, a watermark on every event ---------------------------------------
+
+def _flags(name: str, strategy: params.Strategy, watermark: str, events: str, rows, extra: list[str] = ()) -> None:
+    end = f"(event_time // {strategy.window_ms} + 1) * {strategy.window_ms}"
+    sql = base.statement(
+        [events, base.TICKS, *extra, f"marked AS ({watermark})"],
+        f"SELECT event_id, wm_before, wm_before IS NULL OR {end} - 1 + {strategy.lateness_ms} > wm_before AS accepted FROM marked")
+    query(name, sql)(lambda spark, folder: backtest.flag_events(rows(spark, folder), strategy, slicing=MINUTE)
+                     .select("event_id", "wm_before", "accepted"))
+
+
+def _bounded(slack: int) -> str:
+    return f"SELECT event_id, event_time, newest_before - {slack} - 1 AS wm_before FROM ordered"
+
+
+def _shifting(start: int, threshold: int, buffer: int, low: int | None, high: int) -> str:
+    return f"""SELECT event_id, event_time, pos, max(newest - slack) OVER
+    (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wm_before, slack, newest FROM (
+    SELECT *, coalesce(last_value(cand IGNORE NULLS) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    {start}) AS slack FROM (SELECT *, {base.proposed_slack(threshold, buffer, low, high)} AS cand FROM halves))"""
+
+
+_flags("flags_house_naive", params.house_naive(), _bounded(0), base.house_events(), house)
+_flags("flags_house_fixed_slack", params.house_fixed(5), _bounded(5000), base.house_events(), house)
+_flags("flags_house_speculative", params.house_speculative(), _bounded(0), base.house_events(), house)
+_flags("flags_house_mean_shift", params.house_mean_shift(500), _shifting(5000, 500, 500, None, 12000),
+       base.house_events(), house, [base.mean_shift_ctes("network")])
+_flags("flags_taxi_fixed_slack", params.taxi_fixed(3, 900), _bounded(900_000), base.taxi_events(), taxi)
+_flags("flags_taxi_mean_shift", params.taxi_mean_shift(3, 30), _shifting(600_000, 30_000, 60_000, 10_000, 3_600_000),
+       base.taxi_events(), taxi, [base.mean_shift_ctes("disorder")])
+
+
+@query("taxi_in_order_flags", base.statement([base.taxi_events()], "SELECT true AS accepted, count(*) AS events FROM ev GROUP BY 1"))
+def taxi_in_order(spark, folder):
+    """The reference run: a topic sorted by pickup loses nothing without any slack."""
+    trips = taxi(spark, folder).withColumn("arrival_time", F.col("event_time"))
+    flagged = backtest.flag_events(trips, params.taxi_in_order(), slicing=MINUTE)
+    return flagged.groupBy("accepted").agg(F.count(F.lit(1)).alias("events"))
+
+
+# Drift tests and slack ---------------------------------------------------------------
+
+@query("mean_shift_test", base.statement([base.house_events("short_cycle"), base.TICKS, base.mean_shift_ctes("network")],
+       """SELECT event_id, pos AS position,
+       CASE WHEN full_buffer THEN abs(CAST(older AS DOUBLE) / 100 - CAST(newer AS DOUBLE) / 100) END AS shift,
+       CASE WHEN full_buffer THEN CAST(older + newer AS BIGINT) // 200 END AS mean_sample FROM halves"""))
+def mean_shift_test(spark, folder):
+    rows = mean_shift.shift_test(with_scope(house(spark, folder, "short_cycle")), "network", SMALL_BLOCK)
+    return rows.select("event_id", "position", "shift", "mean_sample")
+
+
+def _slack(name: str, strategy, trace: str, events: str, rows, sample: str) -> None:
+    sql = base.statement([events, base.TICKS, base.mean_shift_ctes(sample), f"marked AS ({trace})"],
+                         "SELECT event_id, slack, newest FROM marked")
+    query(name, sql)(lambda spark, folder: mean_shift.slack_trace(
+        with_scope(rows(spark, folder)), [strategy], SMALL_BLOCK).select("event_id", "slack", "newest"))
+
+
+_slack("mean_shift_slack_house", params.house_mean_shift(1000), _shifting(5000, 1000, 500, None, 12000),
+       base.house_events("long_cycle"), lambda spark, folder: house(spark, folder, "long_cycle"), "network")
+_slack("mean_shift_slack_taxi", params.taxi_mean_shift(3), _shifting(600_000, 60_000, 60_000, 10_000, 3_600_000),
+       base.taxi_events(), taxi, "disorder")
+
+
+@query("adwin_settled_slack", base.statement([base.house_events(), base.TICKS, base.mean_shift_ctes("network")],
+       """SELECT event_id, CASE WHEN pos < 500 THEN 2000 ELSE (SELECT least(8000, greatest(1000,
+       CAST(sum(greatest(0, sample)) AS BIGINT) // 500 + 1000)) FROM sampled WHERE pos <= 500) END AS slack FROM ordered"""))
+def adwin_settled_slack(spark, folder):
+    trace = adwin.adwin_trace(with_scope(house(spark, folder)), [params.house_adwin(1.0, 0.1)])
+    return trace.select("event_id", "slack")
+
+
+@query("adwin_trace")
+def adwin_trace(spark, folder):
+    """The feedback loop at a late limit of 0.1; checked against a sequential model in the tests."""
+    strategies = [params.house_adwin(0.1, 0.1), params.house_adwin(0.01, 1.0)]
+    trace = adwin.adwin_trace(with_scope(house(spark, folder, "short_cycle")), strategies)
+    return trace.select("strategy", "event_id", "slack", "delta", "drift", "late_seen", "wm_before")
+
+
+@query("adwin_drift_per_type")
+def adwin_drift(spark, folder):
+    """The change detector on a plain numeric column, one detector per event type."""
+    rows = spark.read.parquet(f"{folder}/events.parquet").select(
+        "event_type", "event_id", F.least(F.col("value") / 100, F.lit(2.0)).alias("value"))
+    return adwin.detect_drift(rows, "event_type", ["event_id"], "value", 0.05)
+
+
+# Timelines ----------------------------------------------------------------------------
+
+@query("fixed_timeline", base.statement(
+    [base.house_events(), base.TICKS, base.timeline([base.fixed(f"watermark_{s}s", s * 1000) for s in params.HOUSE_SLACKS_S])],
+    "SELECT strategy, tick, wm_before, wm FROM timeline"))
+def fixed_watermarks(spark, folder):
+    timeline = fixed_timeline(with_scope(house(spark, folder)), params.house_sensitivity()["slack"])
+    return timeline.select("strategy", "tick", "wm_before", "wm")
+
+
+_SPLIT = base.draw("event_id", 71, 4)
+
+
+@query("combined_split_watermark", base.statement([base.house_events(), f"""
+    split_ticks AS (SELECT {_SPLIT} AS scope, arrival_time // 200 AS tick, max(event_time) AS newest FROM ev GROUP BY 1, 2),
+    split_wm AS (SELECT scope, tick, max(newest) OVER (PARTITION BY scope ORDER BY tick) - 5001 AS wm FROM split_ticks),
+    held AS (SELECT scope, tick + ahead AS tick, max(wm) AS wm FROM split_wm, (SELECT unnest(range(0, 5)) AS ahead) GROUP BY 1, 2),
+    least_wm AS (SELECT tick, min(wm) AS wm FROM held GROUP BY tick)"""],
+    """SELECT tick, max(wm) OVER (ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wm_before,
+    max(wm) OVER (ORDER BY tick) AS wm FROM least_wm"""))
+def combined_split_watermark(spark, folder):
+    """Four source splits with their own watermarks, combined with a one-second idle timeout."""
+    splits = fixed_timeline(with_scope(house(spark, folder), "split", 4), [params.house_fixed(5)])
+    return combine_scopes(splits, 1000).select("tick", "wm_before", "wm")
+
+
+@query("adwin_split_windows")
+def adwin_split_windows(spark, folder):
+    """ADWIN per source split, combined: the layout that scales with the number of splits."""
+    settings = backtest.Settings(scope="split", splits=4, idle_ms=60_000)
+    return backtest.run(house(spark, folder), [params.house_adwin(0.1, 0.1)], settings).windows
+
+
+@query("late_events", base.statement(base.house_ctes(), """SELECT strategy, key, window_end, count(*) AS dropped
+    FROM judged WHERE NOT accepted GROUP BY strategy, key, window_end"""))
+def late_events(spark, folder):
+    return backtest.run(house(spark, folder), HOUSE_SET).late
+
+
+@query("true_completeness", base.statement(base.house_ctes(), """SELECT strategy,
+    CAST(sum(CASE WHEN accepted THEN 1 ELSE 0 END) AS BIGINT) AS accepted,
+    CAST(sum(CASE WHEN accepted THEN 0 ELSE 1 END) AS BIGINT) AS dropped, count(*) AS total,
+    sum(CASE WHEN accepted THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) * 100 AS completeness_pct
+    FROM judged GROUP BY strategy"""))
+def true_completeness(spark, folder):
+    return backtest.true_completeness(backtest.run(house(spark, folder), HOUSE_SET).tallies)

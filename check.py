@@ -30,7 +30,7 @@ def main() -> int:
     wanted = sys.argv[2:]
     from registry import QUERIES
     spark = session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-                                            "spark.driver.memory": "8g"})
+                                            "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     db = duckdb.connect()
     for table in TABLES:

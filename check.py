@@ -53,7 +53,12 @@ def main() -> int:
             print(f"ROWS {name}: {len(mine)} rows {spark_s:.1f}s", flush=True)
             continue
         start = time.time()
-        result = db.execute(entry.sql)
+        try:
+            result = db.execute(entry.sql)
+        except duckdb.Error as error:
+            print(f"FAIL {name}: {str(error)[:500]}", flush=True)
+            bad += 1
+            continue
         theirs_names = [d[0] for d in result.description]
         order = [theirs_names.index(c) for c in names] if sorted(theirs_names) == names else None
         rows = result.fetchall()

@@ -24,15 +24,27 @@ RESULT = ["strategy", "key", "window_end", "event_count", "avg_1", "avg_2", "fir
 
 @dataclass(frozen=True)
 class Settings:
-    """Scope of a watermark, tick length, and the idle timeout used when scopes are combined."""
+    """How watermarks are scoped and emitted.
+
+    ``scope`` is ``global`` (one watermark for the stream), ``key`` or ``split``. The feedback of an
+    ADWIN strategy is sequential, so under a global scope it runs per source split, as a reader with
+    ``splits`` partitions would, and the split watermarks are combined. ``splits`` is the parallelism
+    of that step: raise it with the data. ``idle_ms`` is the silence after which a split is left out
+    of the combination.
+    """
 
     scope: str = "global"
     splits: int = 64
     tick_ms: int = TICK_MS
-    idle_ms: int | None = None
+    idle_ms: int = 1000
     flush: bool = False
 
 
+def split_count(rows: int, rows_per_split: int = 2500, most: int = 4096) -> int:
+    """Splits for a stream of known length; each must outlast its warm-up of 500 events."""
+    return max(1, min(most, rows // rows_per_split))
+
+
 def _union(parts: Iterable[DataFrame]) -> DataFrame:
     result = None
     for part in parts:
@@ -40,9 +52,12 @@ def _union(parts: Iterable[DataFrame]) -> DataFrame:
     return result
 
 
+_CLOCK = ("scope", "event_id", "event_time", "arrival_time")
+
+
 def timelines(events: DataFrame, strategies: list[Strategy], settings: Settings = Settings()) -> DataFrame:
-    """Watermark timelines of all strategies; ``events`` must carry ``scope``."""
-    clock = events.select("scope", "event_id", "event_time", "arrival_time")
+    """Watermark timelines of all strategies, with ``scope`` as ``events`` of ``scoped`` carry it."""
+    clock = with_scope(events, settings.scope, settings.splits).select(*_CLOCK)
     steady = [s for s in strategies if s.kind in ("fixed", "speculative")]
     shifting = [s for s in strategies if s.kind == "mean_shift"]
     adaptive = [s for s in strategies if s.kind == "adwin"]
@@ -52,13 +67,23 @@ def timelines(events: DataFrame, strategies: list[Strategy], settings: Settings
     if shifting:
         parts.append(mean_shift.mean_shift_timeline(clock, shifting, settings.tick_ms))
     if adaptive:
-        parts.append(adwin.adwin_timeline(clock, adaptive, settings.tick_ms))
+        if settings.scope == "global":
+            by_split = with_scope(events, "split", settings.splits).select(*_CLOCK)
+            apart = adwin.adwin_timeline(by_split, adaptive, settings.tick_ms)
+            parts.append(combine_scopes(apart, settings.idle_ms, settings.tick_ms))
+        else:
+            parts.append(adwin.adwin_timeline(clock, adaptive, settings.tick_ms))
     timeline = _union(parts)
-    if settings.scope == "split" or settings.idle_ms is not None:
-        timeline = combine_scopes(timeline, settings.idle_ms or 1000, settings.tick_ms)
+    if settings.scope == "split":
+        timeline = combine_scopes(timeline, settings.idle_ms, settings.tick_ms)
     return timeline
 
 
+def scoped(events: DataFrame, settings: Settings) -> DataFrame:
+    """Events with the scope whose timeline judges them."""
+    return with_scope(events, "key" if settings.scope == "key" else "global")
+
+
 @dataclass(frozen=True)
 class Backtest:
     """Frames of one backtest. The timeline and the tallies are stored, the rest is lazy over them."""
@@ -80,11 +105,9 @@ def run(events: DataFrame, strategies: list[Strategy], settings: Settings = Sett
     if len(sizes) != 1:
         raise ValueError("strategies of one backtest must share a window size")
     size = sizes.pop()
-    scoped = with_scope(events, settings.scope, settings.splits)
-    timeline = stored(timelines(scoped, strategies, settings), "timeline")
-    if settings.scope == "split" or settings.idle_ms is not None:
-        scoped = scoped.withColumn("scope", F.lit("all"))
-    partials = windows.per_tick_windows(scoped, size, settings.tick_ms)
+    timeline = stored(timelines(events, strategies, settings), "timeline")
+    rows = scoped(events, settings)
+    partials = windows.per_tick_windows(rows, size, settings.tick_ms)
     tallies = stored(windows.tallied(windows.judged(partials, timeline, strategies)), "tallies")
     accepted = windows.accepted_windows(tallies)
     once = [s.name for s in strategies if s.kind != "speculative"]
@@ -94,7 +117,7 @@ def run(events: DataFrame, strategies: list[Strategy], settings: Settings = Sett
         steps = timeline.where(F.col("strategy").isin(once))
         flush_at = None
         if settings.flush:
-            flush_at = scoped.groupBy("scope").agg(F.max("arrival_time").alias("flush_time"))
+            flush_at = rows.groupBy("scope").agg(F.max("arrival_time").alias("flush_time"))
         fires = windows.firings(results, steps, size, settings.tick_ms)
         parts.append(windows.fired_windows(results, fires, flush_at))
     if len(once) < len(strategies):

@@ -53,6 +53,20 @@ HOUSE_SET = [params.house_naive(), params.house_fixed(5), params.house_mean_shif
 TAXI_SET = [params.taxi_naive(), params.taxi_fixed(3, 1500), params.taxi_mean_shift(3, 60),
             params.taxi_adwin(3, 1.0, 0.1), params.taxi_speculative(3)]
 
+
+def settings(spark: SparkSession, folder: str, idle_ms: int = 1000, **more) -> backtest.Settings:
+    rows = events_table(spark, folder).count()
+    return backtest.Settings(splits=backtest.split_count(rows), idle_ms=idle_ms, **more)
+
+
+def run_house(spark: SparkSession, folder: str, strategies=None, regime: str = "stationary", **more) -> backtest.Backtest:
+    return backtest.run(house(spark, folder, regime), strategies or HOUSE_SET, settings(spark, folder, 1000, **more))
+
+
+def run_taxi(spark: SparkSession, folder: str, strategies=None, **more) -> backtest.Backtest:
+    return backtest.run(taxi(spark, folder), strategies or TAXI_SET, settings(spark, folder, 5000, **more))
+
+
 # The metric tables are written by the jobs once and then queried many times.
 _TABLES: dict[tuple, DataFrame] = {}
 
@@ -66,7 +80,7 @@ def _once(spark: SparkSession, kind: str, folder: str, build: Callable[[], DataF
 
 def house_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return _once(spark, "house-metrics", folder, lambda: metrics.to_house_metrics(
-        backtest.run(house(spark, folder), HOUSE_SET).windows))
+        run_house(spark, folder).windows))
 
 
 def taxi_log(run: backtest.Backtest, trips: DataFrame, speculative: params.Strategy) -> DataFrame:
@@ -78,6 +92,5 @@ def taxi_log(run: backtest.Backtest, trips: DataFrame, speculative: params.Strat
 
 def taxi_metrics(spark: SparkSession, folder: str) -> DataFrame:
     def build() -> DataFrame:
-        trips = taxi(spark, folder)
-        return taxi_log(backtest.run(trips, TAXI_SET), trips, TAXI_SET[-1])
+        return taxi_log(run_taxi(spark, folder), taxi(spark, folder), TAXI_SET[-1])
     return _once(spark, "taxi-metrics", folder, build)

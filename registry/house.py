@@ -9,7 +9,7 @@ from ebbmark.plans import backtest, metrics
 from ebbmark.session import shared_folder
 from ebbmark.sources import files, sinks
 from oracles import base
-from registry.core import approx, house, house_metrics, query
+from registry.core import approx, house, house_metrics, query, settings
 
 SPEC = "speculative"
 CTES = base.house_ctes() + [base.HOUSE_METRICS]
@@ -139,7 +139,7 @@ def errors(spark, folder):
 # The whole parameter study: 14 variants, three families; L = 1 where SQL must follow.
 STUDY = ([base.fixed(f"watermark_{s}s", s * 1000) for s in params.HOUSE_SLACKS_S]
          + [base.mean_shift(f"adaptive_adwin_dt{t}", 5000, t, 500, None, 12000) for t in params.HOUSE_THRESHOLDS_MS]
-         + [base.adwin_settled(f"adaptive_real_adwin_L100_dd{d}", 1000, 1000, 8000) for d in (10, 100)])
+         + [base.adwin_combined(f"adaptive_real_adwin_L100_dd{d}", 1000, 1000, 8000, 5) for d in (10, 100)])
 
 
 def _sensitivity(name: str, regime: str) -> None:
@@ -150,7 +150,7 @@ def _sensitivity(name: str, regime: str) -> None:
     def build(spark, folder):
         groups = params.house_sensitivity()
         groups["adwin"] = [s for s in groups["adwin"] if s.late_limit == 1.0]
-        results = backtest.sweep(house(spark, folder, regime), groups)
+        results = backtest.sweep(house(spark, folder, regime), groups, settings(spark, folder))
         return metrics.house_sensitivity(metrics.to_house_metrics(results))
 
 
@@ -162,7 +162,7 @@ _sensitivity("house_sensitivity_long_cycle", "long_cycle")
 @query("house_sensitivity_all_variants")
 def all_variants(spark, folder):
     """All 14 variants; the ADWIN feedback at L below 1 has no SQL form."""
-    results = backtest.sweep(house(spark, folder, "short_cycle"), params.house_sensitivity())
+    results = backtest.sweep(house(spark, folder, "short_cycle"), params.house_sensitivity(), settings(spark, folder))
     report = metrics.house_sensitivity(metrics.to_house_metrics(results))
     return metrics.rounded_report(report, {"true_latency_s": 3, "decisional_latency_s": 3, "completeness_pct": 1,
                                            "overhead": 2})

@@ -9,14 +9,14 @@ from ebbmark.operators.speculative import speculative_updates, with_initial_rows
 from ebbmark.operators.timeline import with_scope
 from ebbmark.plans import backtest
 from oracles import base
-from registry.core import HOUSE_SET, TAXI_SET, house, query, taxi
+from registry.core import house, query, run_house, run_taxi, settings, taxi
 
 RESULT_COLUMNS = ", ".join(backtest.RESULT)
 
 
 def _only(strategy: params.Strategy):
-    return lambda spark, folder: backtest.run(
-        (taxi if strategy.window_ms == params.TAXI_WINDOW_MS else house)(spark, folder), [strategy]).windows
+    run = run_taxi if strategy.window_ms == params.TAXI_WINDOW_MS else run_house
+    return lambda spark, folder: run(spark, folder, [strategy]).windows
 
 
 def _one(name: str, strategy: params.Strategy, proposal: str) -> None:
@@ -61,15 +61,14 @@ def ground_truth(spark, folder):
     ASOF JOIN steps s ON k.key = s.key AND k.window_end - 1 <= s.wm"""))
 def per_key_windows(spark, folder):
     """A watermark per key instead of one for the stream."""
-    settings = backtest.Settings(scope="key")
-    windows = backtest.run(taxi(spark, folder), [params.taxi_fixed(3, 900)], settings).windows
+    windows = run_taxi(spark, folder, [params.taxi_fixed(3, 900)], scope="key").windows
     return windows.select("key", "window_end", "event_count", "fire_time")
 
 
 @query("flushed_windows", base.statement(base.house_ctes(flush=True), f"SELECT {RESULT_COLUMNS} FROM results"))
 def flushed_windows(spark, folder):
     """All five strategies, windows that are still open at the end of input flushed."""
-    return backtest.run(house(spark, folder), HOUSE_SET, backtest.Settings(flush=True)).windows
+    return run_house(spark, folder, flush=True).windows
 
 
 _KIND = ("CASE WHEN is_final THEN 'FINAL UPDATE' WHEN update_count = 1 THEN 'INITIAL GUESS' "
@@ -79,8 +78,7 @@ _LOG = ("key, window_end, event_count, avg_1, avg_2, fire_time, decisional_laten
 
 
 def _updates(rows, strategy):
-    scoped = with_scope(rows)
-    return speculative_updates(scoped, backtest.timelines(scoped, [strategy]), strategy)
+    return speculative_updates(with_scope(rows), backtest.timelines(rows, [strategy]), strategy)
 
 
 @query("house_speculative_updates", base.statement(
@@ -108,4 +106,4 @@ _SWEEP = ([base.fixed(f"watermark_{s}s", s * 1000) for s in params.HOUSE_SLACKS_
 def house_sweep(spark, folder):
     """Eight variants from one pass over the events."""
     groups = params.house_sensitivity()
-    return backtest.sweep(house(spark, folder), {k: groups[k] for k in ("slack", "threshold")})
+    return backtest.sweep(house(spark, folder), {k: groups[k] for k in ("slack", "threshold")}, settings(spark, folder))

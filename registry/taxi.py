@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ebbmark import params
-from ebbmark.plans import backtest, metrics
+from ebbmark.plans import metrics
 from ebbmark.session import shared_folder
 from ebbmark.sources import sinks
 from oracles import base
-from registry.core import approx, query, taxi, taxi_log, taxi_metrics
+from registry.core import approx, query, run_taxi, taxi, taxi_log, taxi_metrics
 
 SPEC = "taxi_speculative_m3"
 CTES = base.taxi_ctes() + [base.taxi_metrics(SPEC)]
@@ -171,7 +171,7 @@ def monitor_log(spark, folder):
 STUDY = ([base.fixed(f"taxi_watermark_m3_s{s}", s * 1000) for s in params.TAXI_SLACKS_S]
          + [base.mean_shift(f"taxi_adaptive_adwin_m3_dt{t}", 600_000, t * 1000, 60_000, 10_000, 3_600_000)
             for t in params.TAXI_THRESHOLDS_S]
-         + [base.adwin_settled(f"taxi_real_adwin_m3_L100_dd{d}", 60_000, 10_000, 3_600_000) for d in (10, 100)]
+         + [base.adwin_combined(f"taxi_real_adwin_m3_L100_dd{d}", 60_000, 10_000, 3_600_000, 25) for d in (10, 100)]
          + [base.fixed(SPEC, 0)])
 _STUDY_FINAL = f"""SELECT strategy, avg(true_latency_ms) / 1000.0 AS true_latency_s,
     round(avg(window_delay_s) / 60.0, 6) AS window_delay_min, least(100.0, avg(event_count) /
@@ -184,8 +184,8 @@ def sensitivity(spark, folder):
     groups = params.taxi_sensitivity()
     groups["adwin"] = [s for s in groups["adwin"] if s.late_limit == 1.0]
     variants = [s for members in groups.values() for s in members]
-    trips = taxi(spark, folder)
-    log = taxi_log(backtest.run(trips, variants + [params.taxi_speculative(3)]), trips, params.taxi_speculative(3))
+    log = taxi_log(run_taxi(spark, folder, variants + [params.taxi_speculative(3)]), taxi(spark, folder),
+                   params.taxi_speculative(3))
     rows = metrics.taxi_sensitivity(log, [s.name for s in variants], SPEC)
     return rows.select("strategy", "true_latency_s", approx("window_delay_min"), "completeness_pct")
 
@@ -197,7 +197,7 @@ def sensitivity(spark, folder):
 def sensitivity_without_reference(spark, folder):
     """No speculative run: the best variant is the reference."""
     variants = params.taxi_sensitivity()["slack"]
-    log = metrics.to_taxi_metrics(backtest.run(taxi(spark, folder), variants).windows)
+    log = metrics.to_taxi_metrics(run_taxi(spark, folder, variants).windows)
     rows = metrics.taxi_sensitivity(log, [s.name for s in variants], SPEC)
     return rows.select("strategy", "true_latency_s", approx("window_delay_min"), "completeness_pct")
 
@@ -206,7 +206,7 @@ def sensitivity_without_reference(spark, folder):
 def all_variants(spark, folder):
     """All 14 variants; the ADWIN feedback at L below 1 has no SQL form."""
     variants = [s for members in params.taxi_sensitivity().values() for s in members]
-    trips = taxi(spark, folder)
-    log = taxi_log(backtest.run(trips, variants + [params.taxi_speculative(3)]), trips, params.taxi_speculative(3))
+    log = taxi_log(run_taxi(spark, folder, variants + [params.taxi_speculative(3)]), taxi(spark, folder),
+                   params.taxi_speculative(3))
     report = metrics.taxi_sensitivity(log, [s.name for s in variants], SPEC)
     return metrics.rounded_report(report, {"true_latency_s": 3, "window_delay_min": 2, "completeness_pct": 1})

@@ -11,7 +11,7 @@ from ebbmark.operators.running import Slicing, running_max_by_arrival
 from ebbmark.operators.timeline import combine_scopes, fixed_timeline, with_scope
 from ebbmark.plans import backtest
 from oracles import base
-from registry.core import HOUSE_SET, house, query, taxi
+from registry.core import house, query, run_house, settings, taxi
 
 # Small units, so that the tables exercise many of them.
 MINUTE = Slicing(60_000)
@@ -129,28 +129,32 @@ _slack("mean_shift_slack_taxi", params.taxi_mean_shift(3), _shifting(600_000, 60
        base.taxi_events(), taxi, "disorder")
 
 
-@query("adwin_settled_slack", base.statement([base.house_events(), base.TICKS, base.mean_shift_ctes("network")],
-       """SELECT event_id, CASE WHEN pos < 500 THEN 2000 ELSE (SELECT least(8000, greatest(1000,
-       CAST(sum(greatest(0, sample)) AS BIGINT) // 500 + 1000)) FROM sampled WHERE pos <= 500) END AS slack FROM ordered"""))
+def _splits(spark, folder, rows):
+    return with_scope(rows, "split", settings(spark, folder).splits)
+
+
+@query("adwin_settled_slack", base.statement([base.house_events(), base.split_ctes("network")],
+       f"""SELECT event_id, CASE WHEN pos < 500 THEN 2000 ELSE slack END AS slack FROM split_ordered
+       JOIN {base.settled_slack(1000, 1000, 8000, 'split_')} ON scope = slack_scope"""))
 def adwin_settled_slack(spark, folder):
-    trace = adwin.adwin_trace(with_scope(house(spark, folder)), [params.house_adwin(1.0, 0.1)])
-    return trace.select("event_id", "slack")
+    rows = _splits(spark, folder, house(spark, folder))
+    return adwin.adwin_trace(rows, [params.house_adwin(1.0, 0.1)]).select("event_id", "slack")
 
 
 @query("adwin_trace")
 def adwin_trace(spark, folder):
     """The feedback loop at a late limit of 0.1; checked against a sequential model in the tests."""
     strategies = [params.house_adwin(0.1, 0.1), params.house_adwin(0.01, 1.0)]
-    trace = adwin.adwin_trace(with_scope(house(spark, folder, "short_cycle")), strategies)
+    trace = adwin.adwin_trace(_splits(spark, folder, house(spark, folder, "short_cycle")), strategies)
     return trace.select("strategy", "event_id", "slack", "delta", "drift", "late_seen", "wm_before")
 
 
-@query("adwin_drift_per_type")
+@query("adwin_drift_per_user")
 def adwin_drift(spark, folder):
-    """The change detector on a plain numeric column, one detector per event type."""
+    """The change detector on a plain numeric column, one detector per user."""
     rows = spark.read.parquet(f"{folder}/events.parquet").select(
-        "event_type", "event_id", F.least(F.col("value") / 100, F.lit(2.0)).alias("value"))
-    return adwin.detect_drift(rows, "event_type", ["event_id"], "value", 0.05)
+        "user_id", "event_id", F.least(F.col("value") / 100, F.lit(2.0)).alias("value"))
+    return adwin.detect_drift(rows, "user_id", ["event_id"], "value", 0.05)
 
 
 # Timelines ----------------------------------------------------------------------------
@@ -181,15 +185,14 @@ def combined_split_watermark(spark, folder):
 
 @query("adwin_split_windows")
 def adwin_split_windows(spark, folder):
-    """ADWIN per source split, combined: the layout that scales with the number of splits."""
-    settings = backtest.Settings(scope="split", splits=4, idle_ms=60_000)
-    return backtest.run(house(spark, folder), [params.house_adwin(0.1, 0.1)], settings).windows
+    """ADWIN at a late limit of 0.1, per source split and combined."""
+    return run_house(spark, folder, [params.house_adwin(0.1, 0.1)]).windows
 
 
 @query("late_events", base.statement(base.house_ctes(), """SELECT strategy, key, window_end, count(*) AS dropped
     FROM judged WHERE NOT accepted GROUP BY strategy, key, window_end"""))
 def late_events(spark, folder):
-    return backtest.run(house(spark, folder), HOUSE_SET).late
+    return run_house(spark, folder).late
 
 
 @query("true_completeness", base.statement(base.house_ctes(), """SELECT strategy,
@@ -198,4 +201,4 @@ def late_events(spark, folder):
     sum(CASE WHEN accepted THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) * 100 AS completeness_pct
     FROM judged GROUP BY strategy"""))
 def true_completeness(spark, folder):
-    return backtest.true_completeness(backtest.run(house(spark, folder), HOUSE_SET).tallies)
+    return backtest.true_completeness(run_house(spark, folder).tallies)

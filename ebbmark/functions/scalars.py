@@ -53,7 +53,7 @@ def one_if_missing(value: Column) -> Column:
 
 
 def geo_cell(lat: Column, lon: Column) -> Column:
-    """Grid cell of a coordinate. Bounds are inclusive: a point on the far edge gets index 10."""
+    """Grid cell of a coordinate. Bounds are inclusive: a point on the far longitude gets index 10."""
     outside = (lat < LAT_MIN) | (lat > LAT_MAX) | (lon < LON_MIN) | (lon > LON_MAX)
     x = ((lon - LON_MIN) / LON_SPAN * GRID).cast("int")
     y = ((lat - LAT_MIN) / LAT_SPAN * GRID).cast("int")

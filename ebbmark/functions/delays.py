@@ -12,13 +12,18 @@ MODULUS = 2_147_483_647
 MULTIPLIERS = (48_271, 69_621, 16_807)
 
 
-def draw(identity: Column, salt: int, choices: int) -> Column:
-    """Integer in [0, choices), a fixed function of the id and the salt."""
+def scramble(identity: Column, salt: int) -> Column:
+    """Integer in [0, 2^31 - 1), a fixed function of the id and the salt."""
     modulus = F.lit(MODULUS).cast("long")
     x = F.pmod(identity.cast("long"), modulus) + F.lit(salt * 7_919 + 1).cast("long")
     for multiplier in MULTIPLIERS:
-        x = F.pmod(x * F.lit(multiplier).cast("long") + F.lit(salt).cast("long"), modulus)
-    return F.pmod(x, F.lit(choices).cast("long"))
+        x = (x * F.lit(multiplier).cast("long") + F.lit(salt).cast("long")) % modulus
+    return x
+
+
+def draw(identity: Column, salt: int, choices: int) -> Column:
+    """Integer in [0, choices)."""
+    return scramble(identity, salt) % F.lit(choices).cast("long")
 
 
 def _minute(event_time: Column, start_ms: int, period: int) -> Column:
@@ -26,39 +31,45 @@ def _minute(event_time: Column, start_ms: int, period: int) -> Column:
     return F.pmod(elapsed, F.lit(period).cast("long"))
 
 
-def delay_ms(identity: Column, event_time: Column, regime: str, start_ms: int = 0, seed: int = 0) -> Column:
-    """Network delay of an event. Regimes: ``stationary``, ``short_cycle`` (6 min), ``long_cycle`` (45 min)."""
+def delay_ms(chance: Column, event_time: Column, regime: str, start_ms: int = 0) -> Column:
+    """Network delay for an event with scrambled id ``chance``.
+
+    Regimes: ``stationary``, ``short_cycle`` (6 min), ``long_cycle`` (45 min). The low digits of the
+    scrambled id pick the branch and the high ones the delay inside it, so one hash serves both.
+    """
+    coin = chance % 10_000
+    amount = F.call_function("div", chance, F.lit(10_000).cast("long"))
 
-    def between(salt: int, low: int, choices: int) -> Column:
-        return draw(identity, seed + salt, choices) + F.lit(low).cast("long")
+    def between(low: int, choices: int) -> Column:
+        return amount % F.lit(choices).cast("long") + F.lit(low).cast("long")
 
-    coin = draw(identity, seed + 1, 10_000)
     if regime == "stationary":
-        return (F.when(coin < 1500, between(2, 5, 7) * 1000)
-                .when(coin < 3000, between(3, 0, 2000))
-                .otherwise(between(4, 50, 200)))
-    good = between(2, 50, 150)
-    jitter = between(4, 100, 300)
+        return (F.when(coin < 1500, between(5, 7) * 1000)
+                .when(coin < 3000, between(0, 2000))
+                .otherwise(between(50, 200)))
+    good = between(50, 150)
+    jitter = between(100, 300)
     if regime == "short_cycle":
         minute = _minute(event_time, start_ms, 6)
         return (F.when(minute < 2, good)
-                .when((minute < 4) & (coin < 5000), between(3, 5000, 5000))
+                .when((minute < 4) & (coin < 5000), between(5000, 5000))
                 .when(minute < 4, jitter)
-                .otherwise(between(5, 500, 1500)))
+                .otherwise(between(500, 1500)))
     if regime == "long_cycle":
         minute = _minute(event_time, start_ms, 45)
         return (F.when(minute < 15, good)
-                .when((minute < 30) & (coin < 7500), between(3, 8000, 10_000))
+                .when((minute < 30) & (coin < 7500), between(8000, 10_000))
                 .when(minute < 30, jitter)
-                .otherwise(between(5, 1000, 4000)))
+                .otherwise(between(1000, 4000)))
     raise ValueError(f"unknown regime: {regime}")
 
 
 def with_arrival(events: DataFrame, regime: str, start_ms: int = 0, seed: int = 0,
                  identity: str = "event_id") -> DataFrame:
     """Add ``arrival_time`` = event time + regime delay."""
-    delay = delay_ms(F.col(identity), F.col("event_time"), regime, start_ms, seed)
-    return events.withColumn("arrival_time", F.col("event_time") + delay)
+    delay = delay_ms(F.col("_chance"), F.col("event_time"), regime, start_ms)
+    return (events.withColumn("_chance", scramble(F.col(identity), seed + 1))
+            .withColumn("arrival_time", F.col("event_time") + delay).drop("_chance"))
 
 
 def phase_name(event_time: Column, long_cycle: bool, start_ms: int = 0) -> Column:

@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from ebbmark.operators.timeline import TIMELINE, with_tick
+from ebbmark.operators.timeline import lengthened, slots, with_tick
 from ebbmark.params import Strategy, TICK_MS, WARMUP_EVENTS
 
 SLOTS = 5            # sums a level may hold before its two oldest merge
@@ -28,7 +28,6 @@ MIN_SIDE = 5
 INPUT_CAP = 2.0
 MIN_DELTA = 0.01
 
-TIMELINE_DDL = "strategy string, scope string, tick long, wm_before long, wm long"
 TRACE_DDL = ("strategy string, scope string, event_id long, event_time long, arrival_time long, "
              "slack long, delta double, drift boolean, late_seen long, wm_before long, wm long")
 
@@ -170,25 +169,31 @@ class SlackController:
 
 
 def _ordered(events: DataFrame, *columns: str):
-    """Group by scope with the rows of each scope in arrival order."""
+    """Group by scope with the rows of each scope in arrival order.
+
+    The number of partitions is explicit: the fold is bound by computation, and partitions merged by
+    size would leave cores idle.
+    """
+    tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (events.select("scope", "arrival_time", "event_id", *columns)
-            .repartition("scope").sortWithinPartitions("scope", "arrival_time", "event_id")
+            .repartition(tasks, "scope").sortWithinPartitions("scope", "arrival_time", "event_id")
             .groupBy("scope"))
 
 
-def adwin_timeline(events: DataFrame, strategies: list[Strategy], tick_ms: int = TICK_MS) -> DataFrame:
-    """Timelines of ADWIN policies, one row per strategy, scope and tick with events."""
+def adwin_watermarks(events: DataFrame, strategies: list[Strategy], tick_ms: int = TICK_MS) -> DataFrame:
+    """Watermarks of ADWIN policies around each tick of a scope, wide: ``before_i`` and ``wm_i``."""
+    names = [f"before_{i}" for i in range(len(strategies))] + slots(strategies)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         controllers = [SlackController(s) for s in strategies]
-        open_tick, before = None, [None] * len(controllers)
+        open_tick = None
         rows: list[tuple] = []
 
         def close(tick: int) -> None:
-            for i, c in enumerate(controllers):
+            before = [c.wm for c in controllers]
+            for c in controllers:
                 c.emit()
-                rows.append((c.s.name, key[0], tick, before[i], c.wm))
-                before[i] = c.wm
+            rows.append((key[0], tick, *before, *(c.wm for c in controllers)))
 
         for batch in batches:
             for tick, event_time, arrival in zip(batch["tick"].tolist(), batch["event_time"].tolist(),
@@ -200,14 +205,21 @@ def adwin_timeline(events: DataFrame, strategies: list[Strategy], tick_ms: int =
                 for c in controllers:
                     c.observe(event_time, arrival)
             if rows:
-                yield _frame(rows, TIMELINE)
+                yield _frame(rows, ["scope", "tick", *names])
                 rows.clear()
         if open_tick is not None:
             close(open_tick)
-            yield _frame(rows, TIMELINE)
+            yield _frame(rows, ["scope", "tick", *names])
 
-    return (_ordered(with_tick(events, tick_ms), "tick", "event_time")
-            .applyInPandas(fold, TIMELINE_DDL))
+    schema = "scope string, tick long, " + ", ".join(f"{n} long" for n in names)
+    return _ordered(with_tick(events, tick_ms), "tick", "event_time").applyInPandas(fold, schema)
+
+
+def adwin_timeline(events: DataFrame, strategies: list[Strategy], tick_ms: int = TICK_MS) -> DataFrame:
+    """Timelines of ADWIN policies, one row per strategy, scope and tick with events."""
+    wide = adwin_watermarks(events, strategies, tick_ms)
+    return lengthened(wide, strategies, [F.col(f"before_{i}") for i in range(len(strategies))],
+                      [F.col(n) for n in slots(strategies)])
 
 
 def adwin_trace(events: DataFrame, strategies: list[Strategy]) -> DataFrame:
@@ -248,14 +260,15 @@ def detect_drift(df: DataFrame, scope: str, order: list[str], value: str, delta:
             drift, estimate, width = zip(*seen) if seen else ((), (), ())
             yield batch.assign(drift=list(drift), estimate=list(estimate), width=list(width))
 
-    return (kept.repartition(scope).sortWithinPartitions(scope, *order)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (kept.repartition(tasks, scope).sortWithinPartitions(scope, *order)
             .groupBy(scope).applyInPandas(fold, schema))
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     frame = pd.DataFrame.from_records(rows, columns=names)
-    for name in ("wm_before", "wm"):
-        if name in frame:
+    for name in names:
+        if name.startswith(("wm", "before")):
             frame[name] = frame[name].astype("Int64")
     return frame
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ebbmark.functions.scalars import bucket, clamp
 from ebbmark.operators.running import Slicing, running
-from ebbmark.operators.timeline import TICKS_PER_SLICE, monotone, with_tick
+from ebbmark.operators.timeline import TICKS_PER_SLICE, monotone, slots, with_tick
 from ebbmark.params import SAMPLES, Strategy, TICK_MS
 from ebbmark.session import stored
 
@@ -78,18 +78,6 @@ def shift_test(events: DataFrame, sample: str, block_rows: int = BLOCK_ROWS,
             .drop("_sample", "_index", "_block", "_home", "_s0", "_s1", "_s2"))
 
 
-def _proposal(strategies: list[Strategy]) -> Column:
-    """Per strategy, the slack an event proposes: null unless its test detects a shift."""
-    return F.array(*[
-        F.struct(
-            F.lit(s.name).alias("strategy"),
-            F.lit(s.slack_ms).cast("long").alias("start"),
-            F.when(F.col("shift") > s.threshold_ms,
-                   clamp(F.col("mean_sample") + F.lit(s.buffer_ms), s.floor_ms, s.cap_ms)).alias("proposed_slack"))
-        for s in strategies
-    ])
-
-
 def by_sample(strategies: list[Strategy]) -> dict[str, list[Strategy]]:
     groups: dict[str, list[Strategy]] = {}
     for s in strategies:
@@ -97,25 +85,31 @@ def by_sample(strategies: list[Strategy]) -> dict[str, list[Strategy]]:
     return groups
 
 
+def _proposed_slack(s: Strategy) -> Column:
+    """The slack an event proposes: null unless the strategy's test detects a shift."""
+    return F.when(F.col("shift") > s.threshold_ms,
+                  clamp(F.col("mean_sample") + F.lit(s.buffer_ms), s.floor_ms, s.cap_ms))
+
+
 def mean_shift_timeline(events: DataFrame, strategies: list[Strategy], tick_ms: int = TICK_MS,
                         block_rows: int = BLOCK_ROWS, slicing: Slicing = NUMBERED) -> DataFrame:
     """Timelines of several thresholds from one pass over the samples."""
     skinny = events.select("scope", "event_id", "event_time", "arrival_time")
     result = None
     for sample, group in by_sample(strategies).items():
+        names = slots(group)
         tested = with_tick(shift_test(skinny, sample, block_rows, slicing), tick_ms)
-        per_tick = (tested.withColumn("s", F.explode(_proposal(group)))
-                    .groupBy(F.col("s.strategy").alias("strategy"), "scope", "tick",
-                             F.col("s.start").alias("start"))
-                    .agg(F.max_by("s.proposed_slack",
-                                  F.when(F.col("s.proposed_slack").isNotNull(), F.col("position"))).alias("proposed"),
-                         F.max("newest").alias("newest")))
+        tested = tested.select("scope", "tick", "position", "newest",
+                               *[_proposed_slack(s).alias(n) for s, n in zip(group, names)])
+        last = [F.max_by(n, F.when(F.col(n).isNotNull(), F.col("position"))).alias(n) for n in names]
+        per_tick = tested.groupBy("scope", "tick").agg(F.max("newest").alias("newest"), *last)
         per_tick = stored(per_tick, "slack-proposals")  # two running folds follow on this small table
-        held = running(per_tick, ["strategy", "scope"], ["tick"], {"slack": ("last", "proposed")},
-                       Slicing(TICKS_PER_SLICE, None), exclusive=False)
-        timeline = monotone(held.select(
-            "strategy", "scope", "tick",
-            (F.col("newest") - F.coalesce(F.col("slack"), F.col("start"))).alias("proposed")))
+        held = running(per_tick, ["scope"], ["tick"], {n: ("last", n) for n in names},
+                       Slicing(TICKS_PER_SLICE, None), exclusive=False, suffix="_slack")
+        proposals = held.select("scope", "tick", *[
+            (F.col("newest") - F.coalesce(F.col(f"{n}_slack"), F.lit(s.slack_ms).cast("long"))).alias(n)
+            for s, n in zip(group, names)])
+        timeline = monotone(proposals, group)
         result = timeline if result is None else result.unionByName(timeline)
     return result
 
@@ -128,10 +122,9 @@ def slack_trace(events: DataFrame, strategies: list[Strategy], block_rows: int =
     result = None
     for sample, group in by_sample(strategies).items():
         rows = (shift_test(events, sample, block_rows, slicing)
-                .withColumn("s", F.explode(_proposal(group)))
-                .withColumn("strategy", F.col("s.strategy"))
-                .withColumn("_proposed", F.col("s.proposed_slack"))
-                .withColumn("_start", F.col("s.start")).drop("s"))
+                .select("*", F.inline(F.array(*[
+                    F.struct(F.lit(s.name).alias("strategy"), F.lit(s.slack_ms).cast("long").alias("_start"),
+                             _proposed_slack(s).alias("_proposed")) for s in group]))))
         rows = running(rows, ["strategy", "scope"], ["position"], {"slack": ("last", "_proposed")}, blocks,
                        exclusive=False)
         rows = (rows.withColumn("slack", F.coalesce("slack", "_start"))

@@ -117,12 +117,12 @@ def _combine(kind: str, carried: Column, local: Column) -> Column:
 
 
 def running(df: DataFrame, scope: list[str], order: list[str], folds: dict[str, tuple[str, str]],
-            slicing: Slicing, inclusive: bool = True, exclusive: bool = True) -> DataFrame:
+            slicing: Slicing, inclusive: bool = True, exclusive: bool = True, suffix: str = "") -> DataFrame:
     """Add running folds over ``order`` within ``scope``.
 
     ``folds`` maps an output name to (kind, column); kinds are ``max``, ``min``, ``sum``, ``count``
     (column ``*`` for rows), ``first`` and ``last`` (both skip nulls). The inclusive fold is named as
-    given, the fold over strictly earlier rows gets the suffix ``_before``. Rows must be distinct on
+    given plus ``suffix``, the fold over strictly earlier rows gets ``_before`` on top. Rows must be distinct on
     ``scope + order``, and a tie breaker in ``order`` must be an integer.
     """
     df, unit = with_units(df, scope, order, slicing)
@@ -145,9 +145,9 @@ def running(df: DataFrame, scope: list[str], order: list[str], folds: dict[str,
     out = [F.col(c) for c in columns]
     for name, (kind, _) in folds.items():
         if inclusive:
-            out.append(_combine(kind, F.col(f"_c_{name}"), F.col(f"_i_{name}")).alias(name))
+            out.append(_combine(kind, F.col(f"_c_{name}"), F.col(f"_i_{name}")).alias(name + suffix))
         if exclusive:
-            out.append(_combine(kind, F.col(f"_c_{name}"), F.col(f"_x_{name}")).alias(f"{name}_before"))
+            out.append(_combine(kind, F.col(f"_c_{name}"), F.col(f"_x_{name}")).alias(f"{name}{suffix}_before"))
     return local.join(carried, keys).select(*out)
 
 

@@ -38,48 +38,59 @@ def with_tick(events: DataFrame, tick_ms: int = TICK_MS) -> DataFrame:
     return events.withColumn("tick", bucket("arrival_time", tick_ms))
 
 
-def constants_by_strategy(values: dict[str, tuple]) -> Column:
-    """An array of (strategy, values...) structs, one per strategy, to explode over reduced rows."""
-    return F.array(*[
-        F.struct(F.lit(name).alias("strategy"),
-                 *[F.lit(v).cast("long").alias(f"p{i}") for i, v in enumerate(row)])
-        for name, row in values.items()
-    ])
-
-
 def fixed_timeline(events: DataFrame, strategies: list[Strategy], tick_ms: int = TICK_MS) -> DataFrame:
     """Timelines of all fixed-slack policies from one pass: they differ only by a constant."""
     newest = (with_tick(events, tick_ms).groupBy("scope", "tick")
               .agg(F.max("event_time").alias("event_time")))
     seen = running(newest, ["scope"], ["tick"], {"newest": ("max", "event_time")},
                    Slicing(TICKS_PER_SLICE, None))
-    behind = constants_by_strategy({s.name: (s.slack_ms + s.offset_ms,) for s in strategies})
-    return (seen.withColumn("s", F.explode(behind))
-            .select(F.col("s.strategy").alias("strategy"), "scope", "tick",
-                    (F.col("newest_before") - F.col("s.p0")).alias("wm_before"),
-                    (F.col("newest") - F.col("s.p0")).alias("wm")))
+    behind = [F.lit(s.slack_ms + s.offset_ms).cast("long") for s in strategies]
+    return lengthened(seen, strategies, [F.col("newest_before") - b for b in behind],
+                      [F.col("newest") - b for b in behind])
+
+
+def lengthened(wide: DataFrame, strategies: list[Strategy], before: list[Column], after: list[Column]) -> DataFrame:
+    """One timeline row per strategy from a row that holds the watermarks of all of them.
+
+    Steps that come before work on the wide form, so several strategies cost columns, not rows.
+    """
+    entries = [F.struct(F.lit(s.name).alias("strategy"), b.alias("wm_before"), a.alias("wm"))
+               for s, b, a in zip(strategies, before, after)]
+    return wide.select("scope", "tick", F.inline(F.array(*entries))).select(*TIMELINE)
 
 
-def monotone(proposals: DataFrame) -> DataFrame:
-    """Turn proposed watermarks per tick into emitted ones: a watermark never goes back."""
-    out = running(proposals, ["strategy", "scope"], ["tick"], {"wm": ("max", "proposed")},
-                  Slicing(TICKS_PER_SLICE, None))
-    return out.select(*TIMELINE)
+def slots(strategies: list[Strategy]) -> list[str]:
+    """Column names of the wide form, one per strategy."""
+    return [f"wm_{i}" for i in range(len(strategies))]
 
 
-def combine_scopes(timeline: DataFrame, idle_ms: int, tick_ms: int = TICK_MS) -> DataFrame:
+def monotone(proposals: DataFrame, strategies: list[Strategy]) -> DataFrame:
+    """Emitted watermarks from proposed ones (wide, per scope and tick): a watermark never goes back."""
+    names = slots(strategies)
+    out = running(proposals, ["scope"], ["tick"], {n: ("max", n) for n in names}, Slicing(TICKS_PER_SLICE, None),
+                  suffix="_now")
+    return lengthened(out, strategies, [F.col(f"{n}_now_before") for n in names], [F.col(f"{n}_now") for n in names])
+
+
+def widened(timeline: DataFrame, strategies: list[Strategy]) -> DataFrame:
+    return timeline.groupBy("scope", "tick").agg(*[
+        F.max(F.when(F.col("strategy") == s.name, F.col("wm"))).alias(n) for s, n in zip(strategies, slots(strategies))])
+
+
+def combine_scopes(wide: DataFrame, strategies: list[Strategy], idle_ms: int, tick_ms: int = TICK_MS) -> DataFrame:
     """One watermark for the stream: the least over its scopes, leaving out idle ones.
 
-    A scope holds its watermark for ``idle_ms`` after its last event and is then left out until it
-    speaks again. Each row therefore covers at most idle/tick ticks, which bounds the expansion. A
-    scope that is active but has emitted nothing yet holds the combined watermark back.
+    ``wide`` has the watermark of each strategy after each tick of a scope. A scope holds it for
+    ``idle_ms`` after its last event and is then left out until it speaks again, so a row covers at
+    most idle/tick ticks, which bounds the expansion. A scope that is active but has emitted nothing
+    yet holds the combined watermark back.
     """
+    names = slots(strategies)
     hold = max(1, -(-idle_ms // tick_ms))
     # A scope's watermark never falls, so the greatest one still held is also its latest.
-    covered = (timeline.select("strategy", "scope", "wm",
-                               F.explode(F.sequence(F.col("tick"), F.col("tick") + F.lit(hold - 1))).alias("tick"))
-               .groupBy("strategy", "scope", "tick").agg(F.max("wm").alias("wm")))
-    least = covered.groupBy("strategy", "tick").agg(
-        F.when(F.count("wm") == F.count(F.lit(1)), F.min("wm")).alias("proposed"))
-    return monotone(least.withColumn("scope", F.lit("all")))
-
+    covered = (wide.select("scope", *names,
+                           F.explode(F.sequence(F.col("tick"), F.col("tick") + F.lit(hold - 1))).alias("tick"))
+               .groupBy("scope", "tick").agg(*[F.max(n).alias(n) for n in names]))
+    least = covered.groupBy("tick").agg(*[
+        F.when(F.count(n) == F.count(F.lit(1)), F.min(n)).alias(n) for n in names])
+    return monotone(least.withColumn("scope", F.lit("all")), strategies)

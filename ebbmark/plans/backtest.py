@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from ebbmark.functions.scalars import window_end
 from ebbmark.operators import adwin, mean_shift, speculative, windows
 from ebbmark.operators.running import Slicing, running_max_by_arrival
-from ebbmark.operators.timeline import combine_scopes, fixed_timeline, with_scope
+from ebbmark.operators.timeline import combine_scopes, fixed_timeline, widened, with_scope
 from ebbmark.params import Strategy, TICK_MS
 from ebbmark.session import stored
 
@@ -69,13 +69,13 @@ def timelines(events: DataFrame, strategies: list[Strategy], settings: Settings
     if adaptive:
         if settings.scope == "global":
             by_split = with_scope(events, "split", settings.splits).select(*_CLOCK)
-            apart = adwin.adwin_timeline(by_split, adaptive, settings.tick_ms)
-            parts.append(combine_scopes(apart, settings.idle_ms, settings.tick_ms))
+            apart = adwin.adwin_watermarks(by_split, adaptive, settings.tick_ms)
+            parts.append(combine_scopes(stored(apart, "split-watermarks"), adaptive, settings.idle_ms, settings.tick_ms))
         else:
             parts.append(adwin.adwin_timeline(clock, adaptive, settings.tick_ms))
     timeline = _union(parts)
     if settings.scope == "split":
-        timeline = combine_scopes(timeline, settings.idle_ms, settings.tick_ms)
+        timeline = combine_scopes(widened(timeline, strategies), strategies, settings.idle_ms, settings.tick_ms)
     return timeline
 
 

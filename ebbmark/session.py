@@ -9,6 +9,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+# HotSpot does not compile methods above 8000 bytes of bytecode: a stage whose fused loop would be
+# longer runs faster as separate generated projections.
 # Event time is epoch milliseconds in UTC; adaptive streaming keeps state in RocksDB;
 # AQE splits skewed join partitions and coalesces small ones.
 SETTINGS = {
@@ -17,6 +19,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }

@@ -7,30 +7,34 @@ HOUSE_SPEEDUP, TAXI_SPEEDUP = 360, 60
 TICK = 200
 
 
-def draw(identity: str, salt: int, choices: int | str) -> str:
+def scramble(identity: str, salt: int) -> str:
     x = f"(({identity}) % 2147483647 + {salt * 7919 + 1})"
     for multiplier in (48271, 69621, 16807):
         x = f"(({x} * {multiplier} + {salt}) % 2147483647)"
-    return f"({x} % {choices})"
+    return x
+
+
+def draw(identity: str, salt: int, choices: int | str) -> str:
+    return f"({scramble(identity, salt)} % {choices})"
 
 
 def minute(period: int, start: int = START) -> str:
     return f"(((event_time - {start}) // 60000) % {period})"
 
 
-def delay(regime: str, identity: str = "event_id", start: int = START) -> str:
-    d = lambda salt, low, n: f"({draw(identity, salt, n)} + {low})"
-    coin = draw(identity, 1, 10000)
+def delay(regime: str, start: int = START) -> str:
+    d = lambda low, n: f"(chance // 10000 % {n} + {low})"
+    coin = "chance % 10000"
     if regime == "stationary":
-        return (f"CASE WHEN {coin} < 1500 THEN {d(2, 5, 7)} * 1000 WHEN {coin} < 3000 THEN {d(3, 0, 2000)} "
-                f"ELSE {d(4, 50, 200)} END")
+        return (f"CASE WHEN {coin} < 1500 THEN {d(5, 7)} * 1000 WHEN {coin} < 3000 THEN {d(0, 2000)} "
+                f"ELSE {d(50, 200)} END")
     if regime == "short_cycle":
         m = minute(6, start)
-        return (f"CASE WHEN {m} < 2 THEN {d(2, 50, 150)} WHEN {m} < 4 AND {coin} < 5000 THEN {d(3, 5000, 5000)} "
-                f"WHEN {m} < 4 THEN {d(4, 100, 300)} ELSE {d(5, 500, 1500)} END")
+        return (f"CASE WHEN {m} < 2 THEN {d(50, 150)} WHEN {m} < 4 AND {coin} < 5000 THEN {d(5000, 5000)} "
+                f"WHEN {m} < 4 THEN {d(100, 300)} ELSE {d(500, 1500)} END")
     m = minute(45, start)
-    return (f"CASE WHEN {m} < 15 THEN {d(2, 50, 150)} WHEN {m} < 30 AND {coin} < 7500 THEN {d(3, 8000, 10000)} "
-            f"WHEN {m} < 30 THEN {d(4, 100, 300)} ELSE {d(5, 1000, 4000)} END")
+    return (f"CASE WHEN {m} < 15 THEN {d(50, 150)} WHEN {m} < 30 AND {coin} < 7500 THEN {d(8000, 10000)} "
+            f"WHEN {m} < 30 THEN {d(100, 300)} ELSE {d(1000, 4000)} END")
 
 
 def _clock(speedup: int) -> str:
@@ -41,8 +45,9 @@ def house_events(regime: str = "stationary", speedup: int = HOUSE_SPEEDUP, scope
     return f"""
 raw AS (SELECT event_id, 'HOUSE_' || CAST(user_id % 10 AS VARCHAR) AS key, round(value * 100) AS reading_1,
     CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) AS reading_2,
-    CAST({draw('event_id', 31, 100)} AS DOUBLE) AS reading_3, {_clock(speedup)} AS event_time FROM events),
-ev AS (SELECT *, event_time + {delay(regime)} AS arrival_time, {scope} AS scope FROM raw)"""
+    CAST({draw('event_id', 31, 100)} AS DOUBLE) AS reading_3, {_clock(speedup)} AS event_time,
+    {scramble('event_id', 1)} AS chance FROM events),
+ev AS (SELECT * EXCLUDE (chance), event_time + {delay(regime)} AS arrival_time, {scope} AS scope FROM raw)"""
 
 
 def cell(lat: str, lon: str) -> str:

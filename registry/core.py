@@ -23,7 +23,8 @@ QUERIES: dict[str, Query] = {}
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    spark.conf.set("spark.sql.session.timeZone", SETTINGS["spark.sql.session.timeZone"])
+    for name in ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit"):
+        spark.conf.set(name, SETTINGS[name])
     return ship_package(spark)
 
 
@@ -35,12 +36,23 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+# Traces and metric tables are written once and then read by many queries.
+_TABLES: dict[tuple, DataFrame] = {}
+
+
+def _once(spark: SparkSession, kind: str, folder: str, build: Callable[[], DataFrame]) -> DataFrame:
+    key = (spark.sparkContext.applicationId, kind, folder)
+    if key not in _TABLES:
+        _TABLES[key] = stored(build(), kind)
+    return _TABLES[key]
+
+
 def house(spark: SparkSession, folder: str, regime: str = "stationary") -> DataFrame:
-    return sensor_readings(events_table(spark, folder), regime)
+    return _once(spark, f"house-{regime}", folder, lambda: sensor_readings(events_table(spark, folder), regime))
 
 
 def taxi(spark: SparkSession, folder: str) -> DataFrame:
-    return taxi_trips(events_table(spark, folder))
+    return _once(spark, "taxi-trips", folder, lambda: taxi_trips(events_table(spark, folder)))
 
 
 def approx(name: str, digits: int = 6):
@@ -67,17 +79,6 @@ def run_taxi(spark: SparkSession, folder: str, strategies=None, **more) -> backt
     return backtest.run(taxi(spark, folder), strategies or TAXI_SET, settings(spark, folder, 5000, **more))
 
 
-# The metric tables are written by the jobs once and then queried many times.
-_TABLES: dict[tuple, DataFrame] = {}
-
-
-def _once(spark: SparkSession, kind: str, folder: str, build: Callable[[], DataFrame]) -> DataFrame:
-    key = (spark.sparkContext.applicationId, kind, folder)
-    if key not in _TABLES:
-        _TABLES[key] = stored(build(), kind)
-    return _TABLES[key]
-
-
 def house_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return _once(spark, "house-metrics", folder, lambda: metrics.to_house_metrics(
         run_house(spark, folder).windows))
@@ -87,10 +88,9 @@ def taxi_log(run: backtest.Backtest, trips: DataFrame, speculative: params.Strat
     """Append log: one row per result, and for the speculative strategy one per update."""
     updates = speculative_updates(with_scope(trips), run.timeline, speculative)
     once = run.windows.where(F.col("strategy") != speculative.name)
-    return metrics.to_taxi_metrics(once.unionByName(updates.select(*backtest.RESULT)))
+    return stored(metrics.to_taxi_metrics(once.unionByName(updates.select(*backtest.RESULT))), "taxi-log")
 
 
 def taxi_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    def build() -> DataFrame:
-        return taxi_log(run_taxi(spark, folder), taxi(spark, folder), TAXI_SET[-1])
-    return _once(spark, "taxi-metrics", folder, build)
+    return _once(spark, "taxi-metrics", folder,
+                 lambda: taxi_log(run_taxi(spark, folder), taxi(spark, folder), TAXI_SET[-1]))

@@ -15,10 +15,10 @@ SPEC = "speculative"
 CTES = base.house_ctes() + [base.HOUSE_METRICS]
 # Speculative finals and the mean of their counts.
 FINALS = [f"finals AS (SELECT * FROM metrics WHERE strategy = '{SPEC}')",
-          "reference AS (SELECT avg(pachete_count) AS baseline FROM finals)"]
-MEANS = """means AS (SELECT strategy, avg(true_latency_ms) / 1000.0 AS true_latency_s,
-    avg(decisional_latency_ms) / 1000.0 AS decisional_latency_s, avg(pachete_count) AS avg_events,
-    avg(update_count) AS overhead FROM metrics GROUP BY strategy)"""
+          "reference AS (SELECT CAST(sum(pachete_count) AS DOUBLE) / count(pachete_count) AS baseline FROM finals)"]
+MEANS = """means AS (SELECT strategy, CAST(sum(true_latency_ms) AS DOUBLE) / count(true_latency_ms) / 1000.0 AS true_latency_s,
+    CAST(sum(decisional_latency_ms) AS DOUBLE) / count(decisional_latency_ms) / 1000.0 AS decisional_latency_s, CAST(sum(pachete_count) AS DOUBLE) / count(pachete_count) AS avg_events,
+    CAST(sum(update_count) AS DOUBLE) / count(update_count) AS overhead FROM metrics GROUP BY strategy)"""
 LABELS = {"naive": "Naiv", "watermark_5s": "Watermark Fix (5s)", "adaptive_adwin_dt1000": "Heuristic Adaptive Watermark",
           "speculative": "Speculative"}
 COMPLETENESS = (f"CASE WHEN baseline <= 0 THEN avg_events WHEN strategy = '{SPEC}' THEN 100.0 "
@@ -48,7 +48,7 @@ def metrics_scan(spark, folder):
                        "avg_energy", "update_count")
 
 
-@query("house_recent_means", sql("""SELECT strategy, avg(pachete_count) AS avg_events, count(*) AS windows_fired FROM metrics
+@query("house_recent_means", sql("""SELECT strategy, CAST(sum(pachete_count) AS DOUBLE) / count(pachete_count) AS avg_events, count(*) AS windows_fired FROM metrics
     WHERE time_ms > (SELECT max(time_ms) FROM metrics) - 1800000 GROUP BY strategy"""))
 def recent_means(spark, folder):
     rows = house_metrics(spark, folder)
@@ -75,7 +75,7 @@ def tradeoff(spark, folder):
 
 def _series(bucket_ms: int) -> list[str]:
     return [f"""series AS (SELECT strategy, bucket_ms, avg(v) AS avg_events FROM (
-        SELECT strategy, time_ms // {bucket_ms} * {bucket_ms} AS bucket_ms, house_id, avg(pachete_count) AS v FROM metrics
+        SELECT strategy, time_ms // {bucket_ms} * {bucket_ms} AS bucket_ms, house_id, CAST(sum(pachete_count) AS DOUBLE) / count(pachete_count) AS v FROM metrics
         GROUP BY 1, 2, 3) GROUP BY strategy, bucket_ms)"""]
 
 
@@ -99,14 +99,14 @@ _series_queries("1m", "1 minute", 60_000)
 _series_queries("10m", "10 minutes", 600_000)
 
 
-@query("house_events_per_key", sql("SELECT strategy, house_id, avg(pachete_count) AS avg_events FROM metrics GROUP BY 1, 2"))
+@query("house_events_per_key", sql("SELECT strategy, house_id, CAST(sum(pachete_count) AS DOUBLE) / count(pachete_count) AS avg_events FROM metrics GROUP BY 1, 2"))
 def events_per_key(spark, folder):
     return metrics.house_events(house_metrics(spark, folder))
 
 
-GRID = [f"spec AS (SELECT house_id, avg(pachete_count) AS ref FROM finals GROUP BY house_id)",
+GRID = [f"spec AS (SELECT house_id, CAST(sum(pachete_count) AS DOUBLE) / count(pachete_count) AS ref FROM finals GROUP BY house_id)",
         f"""names AS (SELECT DISTINCT strategy FROM metrics WHERE strategy <> '{SPEC}')""",
-        "own AS (SELECT strategy, house_id, avg(pachete_count) AS v FROM metrics GROUP BY 1, 2)",
+        "own AS (SELECT strategy, house_id, CAST(sum(pachete_count) AS DOUBLE) / count(pachete_count) AS v FROM metrics GROUP BY 1, 2)",
         """grid AS (SELECT n.strategy, s.house_id,
             CAST(9 - CAST(replace(s.house_id, 'HOUSE_', '') AS INTEGER) // 10 AS INTEGER) AS grid_row,
             CAST(replace(s.house_id, 'HOUSE_', '') AS INTEGER) % 10 AS grid_col,

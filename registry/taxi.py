@@ -15,10 +15,10 @@ SPEC = "taxi_speculative_m3"
 CTES = base.taxi_ctes() + [base.taxi_metrics(SPEC)]
 FINALS = [f"""finals AS (SELECT * FROM metrics WHERE strategy = '{SPEC}' AND zone_id <> 'CELL_OUT'
               QUALIFY row_number() OVER (PARTITION BY window_end, zone_id ORDER BY event_count DESC) = 1)""",
-          "reference AS (SELECT avg(event_count) AS baseline FROM finals)"]
-MEANS = """means AS (SELECT strategy, avg(true_latency_ms) / 1000.0 AS true_latency_s,
-    avg(window_delay_s) / 60.0 AS window_delay_min, avg(event_count) AS avg_events, avg(avg_distance) AS avg_distance,
-    avg(avg_duration) AS avg_duration, avg(update_count) AS overhead FROM metrics WHERE window_delay_s < 86400 GROUP BY strategy)"""
+          "reference AS (SELECT CAST(sum(event_count) AS DOUBLE) / count(event_count) AS baseline FROM finals)"]
+MEANS = """means AS (SELECT strategy, CAST(sum(true_latency_ms) AS DOUBLE) / count(true_latency_ms) / 1000.0 AS true_latency_s,
+    avg(window_delay_s) / 60.0 AS window_delay_min, CAST(sum(event_count) AS DOUBLE) / count(event_count) AS avg_events, avg(avg_distance) AS avg_distance,
+    avg(avg_duration) AS avg_duration, CAST(sum(update_count) AS DOUBLE) / count(update_count) AS overhead FROM metrics WHERE window_delay_s < 86400 GROUP BY strategy)"""
 COMPLETENESS = (f"CASE WHEN baseline <= 0 THEN avg_events WHEN strategy = '{SPEC}' THEN 100.0 "
                 "ELSE least(100.0, avg_events / baseline * 100) END AS completeness_pct")
 ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in ("window_delay_min", "avg_distance", "avg_duration"))
@@ -83,7 +83,7 @@ _series_queries("2m", "2 minutes", 120_000)
 _series_queries("10m", "10 minutes", 600_000)
 
 
-@query("zone_events", sql("""SELECT strategy, zone_id, avg(event_count) AS avg_events FROM metrics
+@query("zone_events", sql("""SELECT strategy, zone_id, CAST(sum(event_count) AS DOUBLE) / count(event_count) AS avg_events FROM metrics
     WHERE zone_id <> 'CELL_OUT' GROUP BY 1, 2"""))
 def zone_events(spark, folder):
     return metrics.zone_events(taxi_metrics(spark, folder))
@@ -97,8 +97,8 @@ _NAMES = f"names AS (SELECT DISTINCT strategy FROM metrics WHERE strategy <> '{S
 
 @query("zone_grid", sql(f"""SELECT n.strategy, s.zone_id, {_XY},
     CASE WHEN ref > 0 THEN least(100.0, coalesce(v, 0) / ref * 100) ELSE 0 END AS completeness_pct
-    FROM (SELECT zone_id, avg(event_count) AS ref FROM finals GROUP BY zone_id) s CROSS JOIN names n
-    LEFT JOIN (SELECT strategy, zone_id, avg(event_count) AS v FROM metrics GROUP BY 1, 2) o
+    FROM (SELECT zone_id, CAST(sum(event_count) AS DOUBLE) / count(event_count) AS ref FROM finals GROUP BY zone_id) s CROSS JOIN names n
+    LEFT JOIN (SELECT strategy, zone_id, CAST(sum(event_count) AS DOUBLE) / count(event_count) AS v FROM metrics GROUP BY 1, 2) o
     ON o.strategy = n.strategy AND o.zone_id = s.zone_id WHERE {_INSIDE}""", FINALS + [_NAMES]))
 def zone_grid(spark, folder):
     return metrics.zone_grid(taxi_metrics(spark, folder), SPEC)
@@ -129,8 +129,8 @@ def errors(spark, folder):
 
 
 def _monitor_sql(groups: str, end: str) -> tuple[list[str], str]:
-    per = f"""per AS (SELECT {end} AS interval_end_ms, strategy, avg(event_count) AS avg_events,
-        avg(true_latency_ms) / 1000.0 AS avg_latency_s, count(*) AS windows_fired FROM {groups} GROUP BY 1, 2)"""
+    per = f"""per AS (SELECT {end} AS interval_end_ms, strategy, CAST(sum(event_count) AS DOUBLE) / count(event_count) AS avg_events,
+        CAST(sum(true_latency_ms) AS DOUBLE) / count(true_latency_ms) / 1000.0 AS avg_latency_s, count(*) AS windows_fired FROM {groups} GROUP BY 1, 2)"""
     final = f"""SELECT p.interval_end_ms, CAST(3 AS INTEGER) AS mode, p.strategy,
         CASE WHEN p.strategy = '{SPEC}' THEN 100.0 ELSE least(100.0, p.avg_events / r.avg_events * 100) END AS completeness_pct,
         p.avg_events, CASE WHEN p.strategy = '{SPEC}' THEN 0.0 ELSE greatest(0.0, r.avg_events - p.avg_events) END
@@ -173,8 +173,8 @@ STUDY = ([base.fixed(f"taxi_watermark_m3_s{s}", s * 1000) for s in params.TAXI_S
             for t in params.TAXI_THRESHOLDS_S]
          + [base.adwin_combined(f"taxi_real_adwin_m3_L100_dd{d}", 60_000, 10_000, 3_600_000, 25) for d in (10, 100)]
          + [base.fixed(SPEC, 0)])
-_STUDY_FINAL = f"""SELECT strategy, avg(true_latency_ms) / 1000.0 AS true_latency_s,
-    round(avg(window_delay_s) / 60.0, 6) AS window_delay_min, least(100.0, avg(event_count) /
+_STUDY_FINAL = f"""SELECT strategy, CAST(sum(true_latency_ms) AS DOUBLE) / count(true_latency_ms) / 1000.0 AS true_latency_s,
+    round(avg(window_delay_s) / 60.0, 6) AS window_delay_min, least(100.0, CAST(sum(event_count) AS DOUBLE) / count(event_count) /
     (SELECT avg(c) FROM (SELECT max(event_count) AS c FROM metrics WHERE strategy = '{SPEC}' GROUP BY window_end, zone_id)) * 100)
     AS completeness_pct FROM metrics WHERE strategy <> '{SPEC}' GROUP BY strategy"""
 
@@ -192,8 +192,8 @@ def sensitivity(spark, folder):
 
 @query("taxi_sensitivity_without_reference", base.statement(
     base.taxi_ctes(STUDY[:5] + STUDY[-1:]) + [base.taxi_metrics(SPEC)],
-    f"""SELECT strategy, avg(true_latency_ms) / 1000.0 AS true_latency_s, round(avg(window_delay_s) / 60.0, 6) AS window_delay_min,
-    avg(event_count) / max(avg(event_count)) OVER () * 100 AS completeness_pct FROM metrics WHERE strategy <> '{SPEC}' GROUP BY strategy"""))
+    f"""SELECT strategy, CAST(sum(true_latency_ms) AS DOUBLE) / count(true_latency_ms) / 1000.0 AS true_latency_s, round(avg(window_delay_s) / 60.0, 6) AS window_delay_min,
+    CAST(sum(event_count) AS DOUBLE) / count(event_count) / max(avg(event_count)) OVER () * 100 AS completeness_pct FROM metrics WHERE strategy <> '{SPEC}' GROUP BY strategy"""))
 def sensitivity_without_reference(spark, folder):
     """No speculative run: the best variant is the reference."""
     variants = params.taxi_sensitivity()["slack"]

@@ -8,7 +8,7 @@ from ebbmark import params
 from ebbmark.functions import scalars
 from ebbmark.operators import adwin, mean_shift
 from ebbmark.operators.running import Slicing, running_max_by_arrival
-from ebbmark.operators.timeline import combine_scopes, fixed_timeline, with_scope
+from ebbmark.operators.timeline import combine_scopes, fixed_timeline, widened, with_scope
 from ebbmark.plans import backtest
 from oracles import base
 from registry.core import house, query, run_house, settings, taxi
@@ -179,8 +179,9 @@ _SPLIT = base.draw("event_id", 71, 4)
     max(wm) OVER (ORDER BY tick) AS wm FROM least_wm"""))
 def combined_split_watermark(spark, folder):
     """Four source splits with their own watermarks, combined with a one-second idle timeout."""
-    splits = fixed_timeline(with_scope(house(spark, folder), "split", 4), [params.house_fixed(5)])
-    return combine_scopes(splits, 1000).select("tick", "wm_before", "wm")
+    strategies = [params.house_fixed(5)]
+    splits = fixed_timeline(with_scope(house(spark, folder), "split", 4), strategies)
+    return combine_scopes(widened(splits, strategies), strategies, 1000).select("tick", "wm_before", "wm")
 
 
 @query("adwin_split_windows")

@@ -118,7 +118,7 @@ def slack_trace(events: DataFrame, strategies: list[Strategy], block_rows: int =
                 slicing: Slicing = NUMBERED) -> DataFrame:
     """Per event and strategy: the drift flag, the slack in force after it, and the watermark around it
     when one is emitted on every event."""
-    blocks = Slicing(block_rows, None)
+    blocks = Slicing(block_rows, None, coarse=4096)
     result = None
     for sample, group in by_sample(strategies).items():
         rows = (shift_test(events, sample, block_rows, slicing)

@@ -26,11 +26,14 @@ class Slicing:
 
     ``rows_per_part`` bounds a unit: a slice above it is split at exact positions of the order, even
     inside one arrival millisecond. ``None`` is for inputs whose slices are small by construction
-    (one row per tick, one row per block).
+    (one row per tick, one row per block). ``coarse`` makes the carry over unit summaries a running
+    fold of its own, over groups of that many slices; without it one task per scope walks the
+    summaries, which is meant for slices of time, whose number does not grow with the data.
     """
 
     width: int
     rows_per_part: int | None = 4_000_000
+    coarse: int | None = None
 
 
 def _overfull(df: DataFrame, keys: list[str], slicing: Slicing) -> DataFrame:
@@ -98,10 +101,6 @@ def _windowed(kind: str, column: str, frame) -> Column:
     return {"max": F.max, "min": F.min, "sum": F.sum}[kind](column).over(frame)
 
 
-def _carry(kind: str, column: str, frame) -> Column:
-    return _windowed("sum" if kind == "count" else kind, column, frame)
-
-
 def _combine(kind: str, carried: Column, local: Column) -> Column:
     if kind == "max":
         return F.greatest(carried, local)
@@ -130,11 +129,8 @@ def running(df: DataFrame, scope: list[str], order: list[str], folds: dict[str,
     rows = Window.partitionBy(*keys).orderBy(*order)
     upto = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = rows.rowsBetween(Window.unboundedPreceding, -1)
-    earlier_units = Window.partitionBy(*scope).orderBy(*unit).rowsBetween(Window.unboundedPreceding, -1)
-
     summary = df.groupBy(*keys).agg(*[_fold(k, c, order).alias(f"_u_{n}") for n, (k, c) in folds.items()])
-    carried = summary.select(*keys, *[_carry(k, f"_u_{n}", earlier_units).alias(f"_c_{n}")
-                                      for n, (k, _) in folds.items()])
+    carried = _carried(summary, scope, unit, {n: k for n, (k, _) in folds.items()}, slicing.coarse)
     columns = [c for c in df.columns if c not in unit]
     local = df
     for name, (kind, column) in folds.items():
@@ -151,6 +147,21 @@ def running(df: DataFrame, scope: list[str], order: list[str], folds: dict[str,
     return local.join(carried, keys).select(*out)
 
 
+def _carried(summary: DataFrame, scope: list[str], unit: list[str], kinds: dict[str, str],
+             coarse: int | None) -> DataFrame:
+    """Per unit, the fold over all earlier units of its scope, as ``_c_<name>``."""
+    kinds = {n: "sum" if k == "count" else k for n, k in kinds.items()}
+    if coarse is None:
+        earlier = Window.partitionBy(*scope).orderBy(*unit).rowsBetween(Window.unboundedPreceding, -1)
+        return summary.select(*scope, *unit, *[_windowed(k, f"_u_{n}", earlier).alias(f"_c_{n}")
+                                               for n, k in kinds.items()])
+    inner = summary.select(*scope, *[F.col(u).alias(f"_at{u}") for u in unit], *[f"_u_{n}" for n in kinds])
+    out = running(inner, scope, [f"_at{u}" for u in unit], {n: (k, f"_u_{n}") for n, k in kinds.items()},
+                  Slicing(coarse, None), inclusive=False)
+    return out.select(*scope, *[F.col(f"_at{u}").alias(u) for u in unit],
+                      *[F.col(f"{n}_before").alias(f"_c_{n}") for n in kinds])
+
+
 def running_max_by_arrival(events: DataFrame, scope: list[str], slicing: Slicing) -> DataFrame:
     """Newest event time seen up to (``newest``) and before (``newest_before``) each arrival."""
     return running(events, scope, ["arrival_time", "event_id"], {"newest": ("max", "event_time")}, slicing)

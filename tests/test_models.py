@@ -134,14 +134,15 @@ def test_skew_in_one_millisecond_is_split_exactly(spark):
     assert sized.groupBy(*unit).count().agg(F.max("count")).first()[0] <= 200
 
 
-def test_running_folds_of_all_kinds(spark):
+@pytest.mark.parametrize("coarse", [None, 3])
+def test_running_folds_of_all_kinds(spark, coarse):
     rng = random.Random(4)
     rows = [(f"s{rng.randrange(3)}", rng.randrange(1000) * 10 + 5, i, rng.choice([None, rng.randrange(-50, 50)]))
             for i in range(600)]
     frame = spark.createDataFrame(rows, "scope string, at long, id long, v long")
     folds = {"hi": ("max", "v"), "lo": ("min", "v"), "total": ("sum", "v"), "n": ("count", "v"), "rows": ("count", "*"),
              "head": ("first", "v"), "tail": ("last", "v")}
-    out = running(frame, ["scope"], ["at", "id"], folds, Slicing(500, 40))
+    out = running(frame, ["scope"], ["at", "id"], folds, Slicing(500, 40, coarse))
     expected, state = {}, {}
     for scope, at, i, v in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
         seen = state.setdefault(scope, [])

@@ -5,14 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-# HotSpot does not compile methods above 8000 bytes of bytecode: a stage whose fused loop would be
-# longer runs faster as separate generated projections.
-# Event time is epoch milliseconds in UTC; adaptive streaming keeps state in RocksDB;
-# AQE splits skewed join partitions and coalesces small ones.
+import ebbmark
+
+# Event time is epoch milliseconds in UTC; adaptive streaming keeps state in RocksDB; AQE splits skewed
+# join partitions and coalesces small ones. HotSpot does not compile methods above 8000 bytes of
+# bytecode: a stage whose fused loop would be longer runs faster as separate generated projections.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -58,23 +59,10 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
-    """Send this package to the Python workers, once per Spark context.
+    """Let functions of this package travel to the Python workers by value.
 
-    Only the adaptive operators run Python on executors. Clusters with the package installed do not
-    need this.
+    Only the adaptive operators run Python on executors. Not needed where the package is installed on
+    the workers. Streaming workers do not see added Python files, so those would not do.
     """
-    context = spark.sparkContext
-    if getattr(context, "_ebbmark_shipped", False):
-        return spark
-    package = os.path.dirname(os.path.abspath(__file__))
-    root = os.path.dirname(package)
-    archive = os.path.join(tempfile.mkdtemp(prefix="ebbmark-py-"), "ebbmark.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        for folder, _, files in os.walk(package):
-            for name in sorted(files):
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    out.write(path, os.path.relpath(path, root))
-    context.addPyFile(archive)
-    context._ebbmark_shipped = True
+    cloudpickle.register_pickle_by_value(ebbmark)
     return spark

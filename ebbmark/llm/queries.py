@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ebbmark.llm import bpe
-from ebbmark.llm.common import prepared, table
+from ebbmark.llm import bpe, langid, quality
+from ebbmark.llm.common import id_remainder, prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,3 +23,17 @@ def query(build: Callable[[SparkSession, str], DataFrame]):
 def op8_forced_boundary_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return bpe.round_trip_digests(docs, bpe.default_path(), doc_id=F.col("doc_id"))
+
+
+@query
+def op3_compression_bands(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.judge(docs, doc_id=F.col("doc_id"))
+
+
+@query
+def op2_hierarchical_svm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = id_remainder(F.col("doc_id"), 4) == 2
+    model = langid.fit(docs.where(~held_out), "text", "lang", "doc_id")
+    return langid.predict(docs, model, doc_id=F.col("doc_id"), held_out=held_out)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ebbmark.llm import bpe, langid, quality
+from ebbmark.llm import bpe, langid, quality, simhash
 from ebbmark.llm.common import id_remainder, prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,10 @@ def op2_hierarchical_svm(spark: SparkSession, folder: str) -> DataFrame:
     held_out = id_remainder(F.col("doc_id"), 4) == 2
     model = langid.fit(docs.where(~held_out), "text", "lang", "doc_id")
     return langid.predict(docs, model, doc_id=F.col("doc_id"), held_out=held_out)
+
+
+@query
+def op5_bk_tree_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return simhash.near_duplicates(docs).select(
+        "doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")

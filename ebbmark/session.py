@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import functools
 import tempfile
 import uuid
 
@@ -36,15 +36,21 @@ def session(app: str = "ebbmark", master: str | None = None, **conf: str) -> Spa
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder under the cluster's ``spark.checkpoint.dir``.
+    """A new folder under the cluster's ``spark.checkpoint.dir``, which executors on other machines can read.
 
-    Executors on other machines must be able to read what is written here, so a temporary
-    folder is used only when the setting is absent, as in single-machine tests.
+    Without the setting, a temporary folder serves a single-machine session; a cluster is refused.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="ebbmark-")
-    return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = _own_folder()
+    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="ebbmark-")
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:

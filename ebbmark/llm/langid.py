@@ -48,7 +48,7 @@ MOST_LANGUAGES = 5000
 
 @dataclass(frozen=True)
 class Settings:
-    per_language: int = 1500
+    per_language: int = 1000
     bits: int = 15
     orders: tuple[int, ...] = (2, 3, 4)
     penalty: float = 1e-5
@@ -101,7 +101,7 @@ def features(text: bytes, settings: Settings, window: int = 1 << 20) -> tuple[np
 
 
 def sample(df: DataFrame, text: str, language: str, key: str, settings: Settings) -> DataFrame:
-    """About ``per_language`` rows of each language as ``label, at, n``, drawn by a hash of ``key``: no sort and
+    """About ``per_language`` rows of each language as ``label, at, n`` (packed numbers), drawn by a hash of ``key``: no sort and
     no group. Never more than twice that on the whole, even if many rows share a key."""
     labelled = df.select(df[language].cast("string").alias("label"), df[text].cast("string").alias("text"),
                          F.xxhash64(df[key].cast("string"), F.lit(settings.seed)).alias("draw")) \
@@ -118,18 +118,19 @@ def sample(df: DataFrame, text: str, language: str, key: str, settings: Settings
     def work() -> Callable:
         def compute(texts):
             found = [features(t.encode(), settings) for t in texts]
-            return {"at": [a.tolist() for a, _ in found], "n": [n.tolist() for _, n in found]}
+            return {"at": [a.astype(np.int32).tobytes() for a, _ in found],
+                    "n": [n.astype(np.float32).tobytes() for _, n in found]}
         return compute
-    return map_texts(chosen, work, "at array<int>, n array<int>").limit(2 * settings.per_language * max(1, len(sizes)))
+    return map_texts(chosen, work, "at binary, n binary").limit(2 * settings.per_language * max(1, len(sizes)))
 
 
 def fit(df: DataFrame, text: str, language: str, key: str, settings: Settings = Settings()) -> Model:
     """``key`` only spreads the sample; it is no input of the model."""
     rows = sample(df, text, language, key, settings).collect()
-    rows.sort(key=lambda r: (r.label, len(r.at), r.at, r.n))
+    rows.sort()
     languages = tuple(sorted({r.label for r in rows}))
     labels = np.array([r.label for r in rows], object)
-    vectors = [_unit(np.array(r.at, np.int64), np.array(r.n, np.float64)) for r in rows]
+    vectors = [_unit(np.frombuffer(r.at, np.int32), np.frombuffer(r.n, np.float32)) for r in rows]
     families = np.array([family(x) for x in labels], object)
     pairs, weights, offsets = [], [], []
     levels = [("family", families)] + [(f, np.where(families == f, labels, "")) for f in sorted(set(families))]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ebbmark.llm import bpe, decontam, langid, quality, simhash
+from ebbmark.llm import bpe, decontam, langid, quality, secrets, simhash
 from ebbmark.llm.common import id_remainder, prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,19 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN cov USING (r) LEFT JOIN its USING (r)
 """
+
+
+@query
+def op6_ownership_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(table(spark, folder, "documents"))
+    base = F.filter("found", lambda x: x["base"])
+
+    def count(keep):
+        return F.size(F.filter("found", keep)).cast("long")
+
+    def of_kind(i):
+        return count(lambda x: x["kind"] == i)
+    return found.select(
+        "doc_id", *[of_kind(i).alias(f"n_{k.name}") for i, k in enumerate(secrets.KINDS)],
+        count(lambda x: x["live"]).alias("n_live"),
+        F.sha2(secrets.labels(base).cast("binary"), 256).alias("base_sha256"), secrets.labels(F.col("found")).alias("spans"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ebbmark.llm import bpe, decontam, langid, quality, secrets, simhash
+from ebbmark.llm import bpe, decontam, langid, ppm, quality, secrets, simhash
 from ebbmark.llm.common import id_remainder, prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,10 @@ def op6_ownership_secrets(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", *[of_kind(i).alias(f"n_{k.name}") for i, k in enumerate(secrets.KINDS)],
         count(lambda x: x["live"]).alias("n_live"),
         F.sha2(secrets.labels(base).cast("binary"), 256).alias("base_sha256"), secrets.labels(F.col("found")).alias("spans"))
+
+
+@query
+def op1_ppm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = id_remainder(F.col("doc_id"), 5) == 1
+    return ppm.score(docs, ~held_out, doc_id=F.col("doc_id"), held_out=held_out)

@@ -6,9 +6,14 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ebbmark.session import SETTINGS, ship_package
+import ebbmark
+from ebbmark.session import SETTINGS
+
+# Functions of this package travel to the workers by value, so it need not be installed there.
+cloudpickle.register_pickle_by_value(ebbmark)
 
 #: Word separators of the contracts: space and the control characters \\t \\n \\v \\f \\r.
 SPACE = " \t\n\v\f\r"
@@ -22,7 +27,7 @@ def prepared(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", SETTINGS["spark.sql.session.timeZone"])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    return ship_package(spark)
+    return spark
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ebbmark.llm import bpe, decontam, langid, ppm, quality, secrets, simhash, toxicity
+from ebbmark.llm import bpe, decontam, langid, ppm, quality, secrets, simhash, toxicity, urlrules
 from ebbmark.llm.common import id_remainder, prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,8 @@ def op10_noisy_channel_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     held_out = id_remainder(F.col("doc_id"), 5) == 0
     model = toxicity.fit(docs.where(~held_out), table(spark, folder, "labels"), corpus=docs)
     return toxicity.score(docs, model, doc_id=F.col("doc_id"), held_out=held_out)
+
+
+@query
+def op9_association_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return urlrules.judge(table(spark, folder, "pages"))

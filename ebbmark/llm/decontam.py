@@ -140,3 +140,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", tex
 def contaminated(n_hit: Column, n_words: Column) -> Column:
     """At least one hit, and hit words are a twentieth of all or more."""
     return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text",
+                         settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated."""
+    bad = contamination(docs, benchmark, id=id, text=text, settings=settings) \
+        .where(contaminated(F.col("n_hit"), F.col("n_words"))).select(
+            F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
+    return docs.join(stored(bad, "contaminated"), docs[id].eqNullSafe(F.col("_bad_id"))
+                     & (F.xxhash64(docs[text].cast("string")) == F.col("_bad_hash")), "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ebbmark.llm import bpe, decontam, langid, ppm, quality, secrets, simhash, toxicity, urlrules
+from ebbmark.llm import bpe, chat, decontam, langid, ppm, quality, secrets, simhash, toxicity, urlrules
 from ebbmark.llm.common import id_remainder, prepared, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,28 @@ def op10_noisy_channel_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_association_rules(spark: SparkSession, folder: str) -> DataFrame:
     return urlrules.judge(table(spark, folder, "pages"))
+
+
+@query
+def op4_token_assembly(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    trap = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], rows.schema)
+    path = bpe.default_path()
+    return chat.digests(chat.format_turns(rows.unionByName(extra), path), path)
+
+
+SQL["op4_token_assembly"] = r"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, length(role) + length(text) + length('<turn>### : </turn>') + 1
+    + length(regexp_replace(text, '\\|<turn>|</turn>|###|<\|endoftext\|>', '\\\0', 'g')) - length(text)
+    + length(regexp_replace(role, '\\|<turn>|</turn>|###|<\|endoftext\|>|:', '\\\0', 'g')) - length(role) AS chars FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""

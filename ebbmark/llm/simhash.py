@@ -183,16 +183,30 @@ def fingerprint_links(fps: DataFrame, settings: Settings = Settings()) -> DataFr
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """For each row: ``doc_id``, ``fp`` and ``component_id``, the least id of the documents that links lead to."""
-    marked = stored(fingerprints(df, text, settings, doc_id=df[id]), "fingerprints")
-    least = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct-fingerprints")
+def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", settings: Settings = Settings(),
+                    **keep: Column) -> DataFrame:
+    """For each row: ``doc_id``, the ``keep`` columns, ``fp``, ``group`` (the same for all rows of a component) and
+    ``component_id``, the least id of the documents that links lead to."""
+    marked = stored(fingerprints(df, text, settings, doc_id=df[id], **keep), "fingerprints")
+    least = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     linked = components(fingerprint_links(least.select("fp"), settings), "a", "b")
     labelled = least.join(linked, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("label", "fp").alias("label"))
-    ids = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_print = labelled.join(ids, "label").select("fp", "component_id")
-    return marked.join(of_print, "fp").select("doc_id", "fp", "component_id")
+        "fp", "least", F.coalesce("label", "fp").alias("group"))
+    ids = labelled.groupBy("group").agg(F.min("least").alias("component_id"))
+    of_print = labelled.join(ids, "group").select("fp", "group", "component_id")
+    return marked.join(of_print, "fp").select("doc_id", *keep, "fp", "group", "component_id")
+
+
+def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``df`` without near-duplicates: of each component, the row with the least id stays. Decisions are made
+    on ids and hashes; texts are shuffled once, for the last join."""
+    found = near_duplicates(df, id, text, settings, text_hash=F.xxhash64(df[text].cast("string")))
+    best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("best")) \
+        .select(F.col("best.doc_id").alias("_best_id"), F.col("best.text_hash").alias("_best_hash"))
+    here = F.xxhash64(df[text].cast("string"))
+    joined = df.withColumn("_hash", here).join(
+        stored(best, "representatives"), df[id].eqNullSafe(F.col("_best_id")) & (F.col("_hash") == F.col("_best_hash")))
+    return joined.dropDuplicates(["_best_id", "_best_hash"]).select(*df.columns)
 
 
 def hexadecimal(fp: Column) -> Column:

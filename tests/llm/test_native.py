@@ -1,0 +1,183 @@
+"""Operators in DataFrame functions: secrets, decontamination, URL filters."""
+
+import itertools
+import random
+import re
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from ebbmark.llm import decontam, secrets, urlrules
+from ebbmark.llm.queries import QUERIES, SQL
+from tests.llm.conftest import TEXTS
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+
+
+def brute_base(text):
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found)
+
+
+def no_python(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_base_spans_against_brute_force(spark):
+    rng = random.Random(6)
+    parts = ["password", "TOKEN", "api_key", "apikey", "secret", ":", "=", " ", "  ", '"', "'", "abcdef", "ab", "0123456789abcdef", "deadbeef",
+             "AKIA", "ABCDEFGH12345678", "é", "😀", "\n", "token: secret: abcdef", "x.y-z_+/="]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    for r in secrets.scan(df).collect():
+        assert [(x.start, x.kind, x.end) for x in r.found if x.base] == brute_base(texts[r.doc_id]), texts[r.doc_id]
+
+
+def secret_rows():
+    live, copied = "Zx9Kq2Lm7Pw4Rt6Yb8", "Example1Example2Key3"
+    rows = [(i, f"password={copied} doc {i}", f"owner{i % 7}") for i in range(30)]
+    rows += [(100, f"é😀 secret: {live} and more", "me"), (101, f"again token='{live}'", "me"), (102, "Qq1Ww2Ee3Rr4Tt5Yy6Uu7Ii8 alone", "me"),
+             (103, None, None), (104, "", "me"), (None, f"passwd={live}x9", None), (105, "secret=aaaaaaaaaaaa", "me"), (101, f"again token='{live}'", "me")]
+    return rows
+
+
+def test_ownership_separates_copies_from_live_ones(spark):
+    df = spark.createDataFrame([(*r, "?") for r in secret_rows()], "doc_id long, text string, source string, kind string")
+    found = secrets.scan(df).collect()
+    by = {r.doc_id: r.found for r in found}
+    assert len(found) == len(secret_rows())
+    assert all(not x.live for i in range(30) for x in by[i]) and all(len(by[i]) == 1 for i in range(30))
+    assert by[100][0].live and by[101][0].live and by[None][0].live
+    assert [(x.kind, x.live) for x in by[102]] == [(3, True)] and by[103] == by[104] == []
+    assert not by[105][0].live  # one letter repeated looks like no credential
+    clean = secrets.redact(df)
+    texts = {r.doc_id: r.text for r in clean.collect()}
+    assert clean.columns == df.columns and texts[100] == "é😀 [SECRET] and more" and texts[102] == "[SECRET] alone"
+    assert texts[3] == secret_rows()[3][1] and texts[103] is None and no_python(clean)
+
+
+def test_secrets_of_odd_rows(docs, no_docs):
+    assert all(r.found == [] for r in secrets.scan(docs).collect())
+    assert sorted(r.text or "" for r in secrets.redact(docs).collect()) == sorted(t or "" for _, t, *_ in TEXTS)
+    assert secrets.scan(no_docs).collect() == [] and secrets.redact(no_docs).collect() == []
+
+
+def words_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def brute_hits(text, items):
+    w, hit, names = words_of(text), set(), set()
+    for name, item in items:
+        v = words_of(item)
+        n = min(13, len(v))
+        for i in range(len(v) - n + 1 if v else 0):
+            for j in range(len(w) - n + 1):
+                if w[j:j + n] == v[i:i + n]:
+                    hit.update(range(j, j + n))
+                    names.add(str(name))
+    return len(w), len(hit), sorted(names)
+
+
+def test_contamination_against_brute_force(spark):
+    rng = random.Random(8)
+    vocabulary = ["a", "b", "c", "É", "Dé", "x1", "the", "of"]
+    make = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(i, make(rng.choice([1, 3, 12, 13, 14, 20, 40]))) for i in range(12)] + [(50, None), (51, "--"), (None, make(20)), (52, "the of x1 a b")]
+    items.append((60, items[5][1]))
+    texts = [make(rng.randrange(40)) for _ in range(40)]
+    texts += [make(5) + ", " + rng.choice(items[:12])[1].upper().replace(" ", " - ") + ". " + make(9) for _ in range(40)] + ["", None, texts[0]]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.contamination(df, bench)
+    got = sorted((r.doc_id, r.n_words, r.n_hit, r.items) for r in found.collect())
+    known = [x for x in items if x[0] is not None]
+    assert got == sorted((i, *brute_hits(t, known)) for i, t in [*enumerate(texts), (0, texts[0])])
+    assert no_python(found)
+
+
+def test_winnowing_thins_and_keeps_shared_spans(spark):
+    df = spark.createDataFrame([(" ".join(f"w{i * 7919 % 1009}" for i in range(3000)),)], "text string").select(decontam.words(F.col("text")).alias("words"))
+    row = decontam.with_least(decontam.with_spans(df, [4]), "s0_4", 10, "prints").first()
+    assert 130 < len(set(row.prints)) < 260  # of 1009 different spans
+    for i in range(0, 2900, 37):  # every window of 13 words holds one of them
+        assert set(row.s0_4[i:i + 10]) & set(row.prints)
+
+
+def test_contamination_of_odd_rows(spark, docs, no_docs):
+    bench = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog again and again nothing else here"), (2, LONG_PART)], "item_id long, text string")
+    by = {r.doc_id: r for r in decontam.contamination(docs, bench).collect()}
+    assert by[0].n_hit == 0 and by[5].items == ["2"] and by[5].n_hit >= 200 and by[1].n_words == 0
+    none = bench.limit(0)
+    assert {r.n_hit for r in decontam.contamination(docs, none).collect()} == {0}
+    assert decontam.contamination(no_docs, bench).collect() == []
+    assert decontam.without_contaminated(docs, bench).columns == docs.columns
+    assert decontam.without_contaminated(docs, none).count() == len(TEXTS)
+
+
+LONG_PART = " ".join(f"word{i % 977} and{i % 13}" for i in range(500, 600))
+
+
+def brute_rule(url):
+    host = path = ""
+    if url and "://" in url:
+        m = re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1], re.S)
+        host, path = "".join(c.lower() if "A" <= c <= "Z" else c for c in m[1]), m[2]
+    fits = [r for r in urlrules.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    best = max(fits, key=lambda r: len(r.text), default=None)
+    return host, path, best and best.text, best and best.verdict
+
+
+URLS = [None, "", "no scheme", "http://", "http://A.Example.ORG/es/x?y://z#q", "https://example.org", "https://example.org/en/17", "ftp://x.com/fr/9",
+        "a://b.com/de/", "a://notcom/de/", "http://org/", "http://xorg/", "http://b.com?x/fr/", "http://h.net/a\nb#c", "x://y.com/de/z://w.org/", "http://org"]
+
+
+def test_explicit_rules(spark):
+    df = spark.createDataFrame([(i, u, "?") for i, u in enumerate(URLS)] + [(0, None, "?")], "page_id long, url string, host string")
+    rows = urlrules.judge(df).collect()
+    assert len(rows) == len(URLS) + 1
+    for r in rows:
+        host, path, rule, verdict = brute_rule(URLS[r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, rule) and (rule is None or r.verdict == verdict)
+    assert urlrules.judge(df.limit(0)).collect() == []
+
+
+def test_mined_rules_against_enumeration(spark):
+    rng = random.Random(9)
+    data = [(sorted(rng.sample("abcdef", rng.randrange(1, 5))), None) for _ in range(200)]
+    data = [(x, "block" if {"a", "b"} <= set(x) or "f" in x and rng.random() < 0.95 else "allow") for x, _ in data]
+    settings = urlrules.Settings(support=0.02, confidence=0.9)
+    got = {(tuple(r["items"]), r.verdict): (round(r.confidence, 9), round(r.support, 9)) for r in
+           urlrules.mine(spark.createDataFrame(data, "items array<string>, verdict string"), settings).collect()}
+    rules = {}
+    for k in range(1, 7):
+        for left in itertools.combinations("abcdef", k):
+            seen = [v for x, v in data if set(left) <= set(x)]
+            for verdict in ("allow", "block"):
+                n = seen.count(verdict)
+                if n >= 0.02 * len(data) and n / len(seen) >= 0.9:
+                    rules[left, verdict] = (n / len(seen), n / len(data))
+    want = {k: (round(c, 9), round(s, 9)) for k, (c, s) in rules.items() if not any(
+        rules.get((tuple(y for y in k[0] if y != x), k[1]), (0,))[0] >= c for x in k[0])}
+    assert got == want
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_sql(spark, small, name):
+    db = duckdb.connect()
+    for table in ("documents", "benchmark", "conversations"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
+    result = db.execute(SQL[name])
+    columns = [d[0] for d in result.description]
+    frame = QUERIES[name](spark, small)
+    assert sorted(frame.columns) == sorted(columns)
+    assert sorted(([r[c] for c in columns] for r in frame.collect()), key=repr) == sorted(map(list, result.fetchall()), key=repr)
+
+
+@pytest.mark.parametrize("name", ["op6_ownership_secrets", "op7_winnowing", "op9_association_rules"])
+def test_no_python_on_the_main_path(spark, small, name):
+    assert no_python(QUERIES[name](spark, small))

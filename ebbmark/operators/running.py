@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ebbmark.functions.scalars import bucket
 
 ID_BLOCK = 65_536
-MAX_PARTS = 1024
 
 
 @dataclass(frozen=True)
@@ -44,19 +43,18 @@ def _overfull(df: DataFrame, keys: list[str], slicing: Slicing) -> DataFrame:
 def _split_points(df: DataFrame, keys: list[str], order: list[str], slicing: Slicing) -> DataFrame:
     """One row per overfull slice, with the order positions where its parts begin.
 
-    Both broadcasts are bounded: at most rows / rows_per_part slices are overfull, and they get at
-    most (rows / rows_per_part) positions plus one each.
+    At most rows / rows_per_part slices are overfull, and they get at most (rows / rows_per_part)
+    positions plus one each. That grows with the rows, so the optimizer decides from its size how it is joined.
     """
     overfull = _overfull(df, keys, slicing)
     lead, tie = order[0], order[-1]
     position = F.struct(F.col(lead).cast("long").alias("at"), bucket(tie, ID_BLOCK).alias("tie"))
-    histogram = (df.join(F.broadcast(overfull), keys)
-                 .groupBy(*keys, "_rows", position.alias("_at"))
+    histogram = (df.join(overfull, keys)
+                 .groupBy(*keys, position.alias("_at"))
                  .agg(F.count(F.lit(1)).alias("_n")))
     earlier = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    part_rows = F.greatest(F.lit(slicing.rows_per_part).cast("double"), F.col("_rows") / MAX_PARTS)
     return (histogram
-            .withColumn("_part", F.floor(F.coalesce(F.sum("_n").over(earlier), F.lit(0)) / part_rows))
+            .withColumn("_part", F.floor(F.coalesce(F.sum("_n").over(earlier), F.lit(0)) / slicing.rows_per_part))
             .groupBy(*keys, "_part").agg(F.min("_at").alias("_from"))
             .groupBy(*keys).agg(F.sort_array(F.collect_list("_from")).alias("_starts")))
 
@@ -73,7 +71,7 @@ def with_units(df: DataFrame, scope: list[str], order: list[str], slicing: Slici
         return df, ["_slice"]
     starts = _split_points(df, keys, order, slicing)
     here = F.struct(F.col(order[0]).cast("long").alias("at"), bucket(order[-1], ID_BLOCK).alias("tie"))
-    df = df.join(F.broadcast(starts), keys, "left")
+    df = df.join(starts, keys, "left")
     part = F.when(F.col("_starts").isNull(), F.lit(0)).otherwise(
         F.size(F.filter("_starts", lambda start: start <= here)))
     return df.withColumn("_part", part).drop("_starts"), ["_slice", "_part"]

@@ -38,11 +38,12 @@ def final_speculative(windows: DataFrame) -> DataFrame:
 
 
 def speculative_updates(events: DataFrame, timeline: DataFrame, strategy: Strategy, tick_ms: int = TICK_MS,
-                        slicing: Slicing = Slicing(UPDATE_SLICE_MS)) -> DataFrame:
+                        slicing: Slicing = Slicing(UPDATE_SLICE_MS), names_final: bool = True) -> DataFrame:
     """The whole update log: one row per accepted event with the window as of that event.
 
     ``is_final`` follows the wall-clock rule and may never become true; ``is_closed`` says whether
-    the watermark had passed the window when the update came.
+    the watermark had passed the window when the update came. ``names_final``: whether updates past that rule
+    are named as final, as smart-home results are and taxi results are not.
     """
     rows = with_tick(events, tick_ms).withColumn("window_end", window_end("event_time", strategy.window_ms))
     rows = rows.join(timeline.where(F.col("strategy") == strategy.name)
@@ -69,7 +70,7 @@ def speculative_updates(events: DataFrame, timeline: DataFrame, strategy: Strate
         "update_count",
         is_final.alias("is_final"),
         F.coalesce(F.col("wm_before") >= F.col("window_end") - 1, F.lit(False)).alias("is_closed"),
-        update_kind(F.col("update_count"), is_final).alias("update_kind"))
+        update_kind(F.col("update_count"), is_final if names_final else None).alias("update_kind"))
 
 
 def with_initial_rows(updates: DataFrame) -> DataFrame:

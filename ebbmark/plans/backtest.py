@@ -28,9 +28,10 @@ class Settings:
 
     ``scope`` is ``global`` (one watermark for the stream), ``key`` or ``split``. The feedback of an
     ADWIN strategy is sequential, so under a global scope it runs per source split, as a reader with
-    ``splits`` partitions would, and the split watermarks are combined. ``splits`` is the parallelism
-    of that step: raise it with the data. ``idle_ms`` is the silence after which a split is left out
-    of the combination.
+    ``splits`` partitions would, and the split watermarks are combined. ``splits`` is a property of the
+    source, its number of partitions, and never derived from the data: each split has a warm-up of its
+    own, so the number decides the answer. ``idle_ms`` is the silence after which a split is left out of
+    the combination.
     """
 
     scope: str = "global"
@@ -40,11 +41,6 @@ class Settings:
     flush: bool = False
 
 
-def split_count(rows: int, rows_per_split: int = 2500, most: int = 4096) -> int:
-    """Splits for a stream of known length; each must outlast its warm-up of 500 events."""
-    return max(1, min(most, rows // rows_per_split))
-
-
 def _union(parts: Iterable[DataFrame]) -> DataFrame:
     result = None
     for part in parts:

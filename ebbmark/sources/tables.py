@@ -16,8 +16,9 @@ from ebbmark.functions.scalars import LAT_MIN, LON_MIN, geo_cell
 REPLAY_START_MS = 1_704_067_200_000  # 2024-01-01 00:00:00 UTC
 HOUSE_SPEEDUP = 360
 TAXI_SPEEDUP = 60
-HOUSES = 10
-PICKUP_SPOTS = 16
+# Users map to the houses and pickup spots of a full grid.
+HOUSES = 100
+PICKUP_SPOTS = 1000
 
 
 def events_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,13 +31,14 @@ def _replayed(events: DataFrame, speedup: int) -> DataFrame:
             .withColumn("event_time", F.expr(f"{REPLAY_START_MS}L + _clock div {speedup}L")))
 
 
-def sensor_readings(events: DataFrame, regime: str = "stationary", speedup: int = HOUSE_SPEEDUP) -> DataFrame:
+def sensor_readings(events: DataFrame, regime: str = "stationary", speedup: int = HOUSE_SPEEDUP,
+                    houses: int = HOUSES) -> DataFrame:
     """Smart-home readings: ``event_id, key, reading_1 (temperature), reading_2 (energy), reading_3
     (humidity), event_time, arrival_time``."""
     k = F.get_json_object("props", "$.k").cast("double")
     rows = _replayed(events, speedup).select(
         "event_id",
-        F.concat(F.lit("HOUSE_"), (F.col("user_id") % HOUSES).cast("string")).alias("key"),
+        F.concat(F.lit("HOUSE_"), (F.col("user_id") % houses).cast("string")).alias("key"),
         F.round(F.col("value") * 100).alias("reading_1"),
         k.alias("reading_2"),
         draw(F.col("event_id"), 31, 100).cast("double").alias("reading_3"),

@@ -41,9 +41,9 @@ def _clock(speedup: int) -> str:
     return f"CAST({START} + (epoch_us(ts) // 1000 - {START}) // {speedup} AS BIGINT)"
 
 
-def house_events(regime: str = "stationary", speedup: int = HOUSE_SPEEDUP, scope: str = "'all'") -> str:
+def house_events(regime: str = "stationary", speedup: int = HOUSE_SPEEDUP, scope: str = "'all'", houses: int = 100) -> str:
     return f"""
-raw AS (SELECT event_id, 'HOUSE_' || CAST(user_id % 10 AS VARCHAR) AS key, round(value * 100) AS reading_1,
+raw AS (SELECT event_id, 'HOUSE_' || CAST(user_id % {houses} AS VARCHAR) AS key, round(value * 100) AS reading_1,
     CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) AS reading_2,
     CAST({draw('event_id', 31, 100)} AS DOUBLE) AS reading_3, {_clock(speedup)} AS event_time,
     {scramble('event_id', 1)} AS chance FROM events),
@@ -60,8 +60,8 @@ def cell(lat: str, lon: str) -> str:
 
 
 def taxi_events(speedup: int = TAXI_SPEEDUP, scope: str = "'all'") -> str:
-    lat = f"(CAST('40.4774' AS DOUBLE) + {draw('user_id % 16', 41, 1000)} * CAST('0.00046' AS DOUBLE))"
-    lon = f"(CAST('-74.2591' AS DOUBLE) + {draw('user_id % 16', 42, 1000)} * CAST('0.00058' AS DOUBLE))"
+    lat = f"(CAST('40.4774' AS DOUBLE) + {draw('user_id % 1000', 41, 1000)} * CAST('0.00046' AS DOUBLE))"
+    lon = f"(CAST('-74.2591' AS DOUBLE) + {draw('user_id % 1000', 42, 1000)} * CAST('0.00058' AS DOUBLE))"
     return f"""
 raw AS (SELECT event_id, value, {lat} AS lat, {lon} AS lon, ({draw('event_id', 43, 248)} + 4) * 15 AS seconds,
     {draw('event_id', 44, 6)} + 1 AS passengers, {_clock(speedup)} AS event_time FROM events),
@@ -133,14 +133,10 @@ def adwin_settled(name: str, buffer: int, low: int, high: int, prefix: str = "")
     FROM {prefix}ticks JOIN {settled_slack(buffer, low, high, prefix)} ON scope = slack_scope"""
 
 
-SPLITS = "greatest(1, least(4096, (SELECT count(*) FROM events) // 2500))"
-SPLIT = draw('event_id', 71, SPLITS)
-
-
-def split_ctes(sample: str) -> str:
+def split_ctes(sample: str, splits: int = 1) -> str:
     """The same stream seen as source splits, for policies that run per split."""
     return f"""
-split_ev AS (SELECT * EXCLUDE (scope), {SPLIT} AS scope FROM ev),{ticks('split_ev', 'split_')},
+split_ev AS (SELECT * EXCLUDE (scope), {draw('event_id', 71, splits)} AS scope FROM ev),{ticks('split_ev', 'split_')},
 {sampled(sample, 'split_')}"""
 
 
@@ -239,8 +235,8 @@ TAXI_STRATEGIES = [
 
 
 def house_ctes(strategies: list[str] | None = None, regime: str = "stationary", flush: bool = False,
-               scope: str = "'all'") -> list[str]:
-    return [house_events(regime, scope=scope), TICKS, mean_shift_ctes("network"), split_ctes("network"),
+               scope: str = "'all'", houses: int = 100) -> list[str]:
+    return [house_events(regime, scope=scope, houses=houses), TICKS, mean_shift_ctes("network"), split_ctes("network"),
             timeline(strategies or HOUSE_STRATEGIES), results(10_000, "speculative", 15_000, flush)]
 
 

@@ -66,17 +66,21 @@ TAXI_SET = [params.taxi_naive(), params.taxi_fixed(3, 1500), params.taxi_mean_sh
             params.taxi_adwin(3, 1.0, 0.1), params.taxi_speculative(3)]
 
 
-def settings(spark: SparkSession, folder: str, idle_ms: int = 1000, **more) -> backtest.Settings:
-    rows = events_table(spark, folder).count()
-    return backtest.Settings(splits=backtest.split_count(rows), idle_ms=idle_ms, **more)
+# Partitions of the source whose stream is compared: one, as in the published runs. All policies of a
+# comparison then share one watermark scope. Queries about several splits name their number.
+SOURCE_SPLITS = 1
+
+
+def settings(idle_ms: int = 1000, splits: int = SOURCE_SPLITS, **more) -> backtest.Settings:
+    return backtest.Settings(splits=splits, idle_ms=idle_ms, **more)
 
 
 def run_house(spark: SparkSession, folder: str, strategies=None, regime: str = "stationary", **more) -> backtest.Backtest:
-    return backtest.run(house(spark, folder, regime), strategies or HOUSE_SET, settings(spark, folder, 1000, **more))
+    return backtest.run(house(spark, folder, regime), strategies or HOUSE_SET, settings(1000, **more))
 
 
 def run_taxi(spark: SparkSession, folder: str, strategies=None, **more) -> backtest.Backtest:
-    return backtest.run(taxi(spark, folder), strategies or TAXI_SET, settings(spark, folder, 5000, **more))
+    return backtest.run(taxi(spark, folder), strategies or TAXI_SET, settings(5000, **more))
 
 
 def house_metrics(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,7 +90,7 @@ def house_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 def taxi_log(run: backtest.Backtest, trips: DataFrame, speculative: params.Strategy) -> DataFrame:
     """Append log: one row per result, and for the speculative strategy one per update."""
-    updates = speculative_updates(with_scope(trips), run.timeline, speculative)
+    updates = speculative_updates(with_scope(trips), run.timeline, speculative, names_final=False)
     once = run.windows.where(F.col("strategy") != speculative.name)
     return stored(metrics.to_taxi_metrics(once.unionByName(updates.select(*backtest.RESULT))), "taxi-log")
 

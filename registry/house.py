@@ -150,7 +150,7 @@ def _sensitivity(name: str, regime: str) -> None:
     def build(spark, folder):
         groups = params.house_sensitivity()
         groups["adwin"] = [s for s in groups["adwin"] if s.late_limit == 1.0]
-        results = backtest.sweep(house(spark, folder, regime), groups, settings(spark, folder))
+        results = backtest.sweep(house(spark, folder, regime), groups, settings())
         return metrics.house_sensitivity(metrics.to_house_metrics(results))
 
 
@@ -162,7 +162,7 @@ _sensitivity("house_sensitivity_long_cycle", "long_cycle")
 @query("house_sensitivity_all_variants")
 def all_variants(spark, folder):
     """All 14 variants; the ADWIN feedback at L below 1 has no SQL form."""
-    results = backtest.sweep(house(spark, folder, "short_cycle"), params.house_sensitivity(), settings(spark, folder))
+    results = backtest.sweep(house(spark, folder, "short_cycle"), params.house_sensitivity(), settings())
     report = metrics.house_sensitivity(metrics.to_house_metrics(results))
     return metrics.rounded_report(report, {"true_latency_s": 3, "decisional_latency_s": 3, "completeness_pct": 1,
                                            "overhead": 2})

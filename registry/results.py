@@ -73,12 +73,15 @@ def flushed_windows(spark, folder):
 
 _KIND = ("CASE WHEN is_final THEN 'FINAL UPDATE' WHEN update_count = 1 THEN 'INITIAL GUESS' "
          "ELSE 'SPECULATIVE CORRECTION' END AS update_kind")
+# Taxi results know no final update.
+_TAXI_KIND = "CASE WHEN update_count = 1 THEN 'INITIAL GUESS' ELSE 'SPECULATIVE CORRECTION' END AS update_kind"
 _LOG = ("key, window_end, event_count, avg_1, avg_2, fire_time, decisional_latency_ms, window_delay_ms, update_count, "
         "is_final, is_closed, update_kind")
 
 
 def _updates(rows, strategy):
-    return speculative_updates(with_scope(rows), backtest.timelines(rows, [strategy]), strategy)
+    return speculative_updates(with_scope(rows), backtest.timelines(rows, [strategy]), strategy,
+                               names_final=strategy.window_ms == params.HOUSE_WINDOW_MS)
 
 
 @query("house_speculative_updates", base.statement(
@@ -91,7 +94,7 @@ def house_updates(spark, folder):
 
 
 @query("taxi_speculative_updates", base.statement(
-    base.taxi_ctes([base.fixed("taxi_speculative_m3", 0)]) + [f"kinds AS (SELECT *, {_KIND} FROM updates)"],
+    base.taxi_ctes([base.fixed("taxi_speculative_m3", 0)]) + [f"kinds AS (SELECT *, {_TAXI_KIND} FROM updates)"],
     f"SELECT {_LOG} FROM kinds"))
 def taxi_updates(spark, folder):
     return _updates(taxi(spark, folder), params.taxi_speculative(3)).select(*_LOG.split(", "))
@@ -106,4 +109,4 @@ _SWEEP = ([base.fixed(f"watermark_{s}s", s * 1000) for s in params.HOUSE_SLACKS_
 def house_sweep(spark, folder):
     """Eight variants from one pass over the events."""
     groups = params.house_sensitivity()
-    return backtest.sweep(house(spark, folder), {k: groups[k] for k in ("slack", "threshold")}, settings(spark, folder))
+    return backtest.sweep(house(spark, folder), {k: groups[k] for k in ("slack", "threshold")}, settings())

@@ -129,15 +129,18 @@ _slack("mean_shift_slack_taxi", params.taxi_mean_shift(3), _shifting(600_000, 60
        base.taxi_events(), taxi, "disorder")
 
 
-def _splits(spark, folder, rows):
-    return with_scope(rows, "split", settings(spark, folder).splits)
+SPLITS = 4
 
 
-@query("adwin_settled_slack", base.statement([base.house_events(), base.split_ctes("network")],
+def _splits(rows):
+    return with_scope(rows, "split", SPLITS)
+
+
+@query("adwin_settled_slack", base.statement([base.house_events(), base.split_ctes("network", SPLITS)],
        f"""SELECT event_id, CASE WHEN pos < 500 THEN 2000 ELSE slack END AS slack FROM split_ordered
        JOIN {base.settled_slack(1000, 1000, 8000, 'split_')} ON scope = slack_scope"""))
 def adwin_settled_slack(spark, folder):
-    rows = _splits(spark, folder, house(spark, folder))
+    rows = _splits(house(spark, folder))
     return adwin.adwin_trace(rows, [params.house_adwin(1.0, 0.1)]).select("event_id", "slack")
 
 
@@ -145,7 +148,7 @@ def adwin_settled_slack(spark, folder):
 def adwin_trace(spark, folder):
     """The feedback loop at a late limit of 0.1; checked against a sequential model in the tests."""
     strategies = [params.house_adwin(0.1, 0.1), params.house_adwin(0.01, 1.0)]
-    trace = adwin.adwin_trace(_splits(spark, folder, house(spark, folder, "short_cycle")), strategies)
+    trace = adwin.adwin_trace(_splits(house(spark, folder, "short_cycle")), strategies)
     return trace.select("strategy", "event_id", "slack", "delta", "drift", "late_seen", "wm_before")
 
 
@@ -187,7 +190,7 @@ def combined_split_watermark(spark, folder):
 @query("adwin_split_windows")
 def adwin_split_windows(spark, folder):
     """ADWIN at a late limit of 0.1, per source split and combined."""
-    return run_house(spark, folder, [params.house_adwin(0.1, 0.1)]).windows
+    return run_house(spark, folder, [params.house_adwin(0.1, 0.1)], splits=SPLITS).windows
 
 
 @query("late_events", base.statement(base.house_ctes(), """SELECT strategy, key, window_end, count(*) AS dropped

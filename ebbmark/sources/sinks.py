@@ -27,14 +27,17 @@ def send_to_kafka(readings: DataFrame, servers: str, topic: str) -> None:
      .option("kafka.bootstrap.servers", servers).option("topic", topic).save())
 
 
-def upsert_house_metrics(path: str):
+def upsert_house_metrics(path: str, writer: str = "main", run: int = 0):
     """``foreachBatch`` writer of an upsert table kept as versions.
 
-    A batch replaces its own folder, so a retried batch leaves no duplicates; ``latest_house_metrics``
-    is the read view that keeps the newest version of each point.
+    A batch replaces its own folder, so a retried batch leaves no duplicates. Streams that write one table
+    at the same time need different ``writer`` names, and a stream that starts anew, with a new checkpoint, a higher ``run``;
+    so no batch can replace another's. ``latest_house_metrics`` is the read view that keeps the newest version of
+    each point.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        batch.write.mode("overwrite").partitionBy("strategy").parquet(
+            f"{path}/run={run}/version={batch_id}/writer={writer}")
     return write
 
 
@@ -43,19 +46,25 @@ def latest_house_metrics(spark: SparkSession, path: str) -> DataFrame:
 
     A batch may hold several updates of one window, so ties within a version go to the highest count.
     """
-    versions = spark.read.schema(StructType([*HOUSE_METRICS.fields, StructField("version", LongType())])) \
-        .parquet(path)
+    order = [StructField("run", LongType()), StructField("version", LongType())]
+    versions = spark.read.schema(StructType([*HOUSE_METRICS.fields, *order])).option("basePath", path).parquet(path)
     keys = ["time", "house_id", "strategy"]
     rest = [c for c in HOUSE_METRICS.fieldNames() if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.struct("version", "update_count"))
+    newest = F.max_by(F.struct(*rest), F.struct("run", "version", "update_count"))
     return versions.groupBy(*keys).agg(newest.alias("_n")).select(*keys, "_n.*").select(*HOUSE_METRICS.fieldNames())
 
 
-def append_taxi_metrics(path: str):
-    """``foreachBatch`` writer of the append log; each row is stamped with the write time."""
+def compacted_house_metrics(spark: SparkSession, path: str, into: str) -> None:
+    """Write the newest versions as one version of a new table, which readers and writers then use."""
+    upsert_house_metrics(into, "compaction")(latest_house_metrics(spark, path), 0)
+
+
+def append_taxi_metrics(path: str, writer: str = "main", run: int = 0):
+    """``foreachBatch`` writer of the append log; each row is stamped with the write time. ``writer`` and ``run``
+    keep streams apart as in ``upsert_house_metrics``."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("time", F.current_timestamp())
-         .write.mode("overwrite").parquet(f"{path}/batch={batch_id}"))
+        (batch.withColumn("time", F.current_timestamp()).write.mode("overwrite").partitionBy("strategy")
+         .parquet(f"{path}/run={run}/batch={batch_id}/writer={writer}"))
     return write
 
 

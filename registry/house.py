@@ -177,6 +177,23 @@ def exported_report(spark, folder):
     return spark.read.csv(path, header=True, schema="strategy string, windows long")
 
 
+@query("house_upsert_writers", sql("""SELECT time_ms, house_id, strategy, pachete_count, update_count
+    FROM metrics WHERE strategy IN ('naive', 'watermark_5s')"""))
+def upsert_writers(spark, folder):
+    """Two strategies write one table at the same time, with the same batch numbers; one of them starts anew, and the
+    table is compacted in between. No row is lost, and the restarted writer's rows replace its older ones."""
+    rows = house_metrics(spark, folder)
+    naive, fixed = (rows.where(F.col("strategy") == s) for s in ("naive", "watermark_5s"))
+    first, second = shared_folder(spark, "upsert-writers"), shared_folder(spark, "upsert-compacted")
+    stale = fixed.withColumn("pachete_count", F.lit(0).cast("long"))
+    sinks.upsert_house_metrics(first, "naive")(naive, 0)
+    sinks.upsert_house_metrics(first, "fixed")(stale, 0)
+    sinks.compacted_house_metrics(spark, first, second)
+    sinks.upsert_house_metrics(second, "fixed", run=1)(fixed, 0)
+    return sinks.latest_house_metrics(spark, second).select(
+        F.unix_millis("time").alias("time_ms"), "house_id", "strategy", "pachete_count", "update_count")
+
+
 @query("house_upsert_view", sql("""SELECT time_ms, house_id, strategy, pachete_count, update_count
     FROM metrics WHERE strategy IN ('naive', 'speculative')"""))
 def upsert_view(spark, folder):

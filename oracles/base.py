@@ -217,7 +217,7 @@ metrics AS (SELECT {columns} FROM results WHERE strategy <> '{speculative}'
 
 
 def statement(ctes: list[str], final: str) -> str:
-    return "WITH " + ",".join(ctes) + "\n" + final
+    return "WITH RECURSIVE " + ",".join(ctes) + "\n" + final
 
 
 HOUSE_STRATEGIES = [

@@ -10,7 +10,7 @@ from ebbmark.operators import adwin, mean_shift
 from ebbmark.operators.running import Slicing, running_max_by_arrival
 from ebbmark.operators.timeline import combine_scopes, fixed_timeline, widened, with_scope
 from ebbmark.plans import backtest
-from oracles import base
+from oracles import adwin as adwin_sql, base
 from registry.core import house, query, run_house, settings, taxi
 
 # Small units, so that the tables exercise many of them.
@@ -144,20 +144,31 @@ def adwin_settled_slack(spark, folder):
     return adwin.adwin_trace(rows, [params.house_adwin(1.0, 0.1)]).select("event_id", "slack")
 
 
-@query("adwin_trace")
+TRACED = [params.house_adwin(0.1, 0.1), params.house_adwin(0.01, 1.0)]
+
+
+@query("adwin_trace", base.statement(
+    [base.house_events("short_cycle"), adwin_sql.controller_ctes(TRACED, "network", SPLITS, per_event=True)],
+    """SELECT t.strategy, s.event_id, t.slack, t.delta, t.drift, t.late_seen, t.wm_before
+    FROM traced t JOIN split_sampled s ON s.scope = t.scope AND s.pos = t.pos"""))
 def adwin_trace(spark, folder):
-    """The feedback loop at a late limit of 0.1; checked against a sequential model in the tests."""
-    strategies = [params.house_adwin(0.1, 0.1), params.house_adwin(0.01, 1.0)]
-    trace = adwin.adwin_trace(_splits(house(spark, folder, "short_cycle")), strategies)
+    """The feedback loop at late limits of 0.1 and 0.01."""
+    trace = adwin.adwin_trace(_splits(house(spark, folder, "short_cycle")), TRACED)
     return trace.select("strategy", "event_id", "slack", "delta", "drift", "late_seen", "wm_before")
 
 
-@query("adwin_drift_per_user")
+@query("adwin_drift_per_group", base.statement(["""
+    seq AS MATERIALIZED (SELECT user_id % 5 AS scope, event_id, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS pos,
+        CASE WHEN day(ts) % 10 < 5 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END * least(value / 100, 2.0::DOUBLE) AS x FROM events)""",
+    adwin_sql.drift_ctes("seq", 0.05)],
+    "SELECT scope AS user_group, event_id, x AS value, drift, round(estimate, 9) AS estimate, width FROM found JOIN seq USING (scope, pos)"))
 def adwin_drift(spark, folder):
-    """The change detector on a plain numeric column, one detector per user."""
+    """The change detector on a plain numeric column whose level changes every five days, one detector per user group."""
+    level = F.when(F.day("ts") % 10 < 5, F.lit(1.0)).otherwise(F.lit(0.25))
     rows = spark.read.parquet(f"{folder}/events.parquet").select(
-        "user_id", "event_id", F.least(F.col("value") / 100, F.lit(2.0)).alias("value"))
-    return adwin.detect_drift(rows, "user_id", ["event_id"], "value", 0.05)
+        (F.col("user_id") % 5).alias("user_group"), "event_id", (level * F.least(F.col("value") / 100, F.lit(2.0))).alias("value"))
+    found = adwin.detect_drift(rows, "user_group", ["event_id"], "value", 0.05)
+    return found.withColumn("estimate", F.round("estimate", 9))
 
 
 # Timelines ----------------------------------------------------------------------------

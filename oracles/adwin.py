@@ -7,7 +7,6 @@ drops one bucket. ``lv`` holds the bucket sums by level: level i stands for 2^(i
 from __future__ import annotations
 
 from ebbmark.params import Strategy
-from oracles.base import sampled, ticks, draw
 
 LEVELS = 20
 EMPTY = "[" + ", ".join(["[]::DOUBLE[]"] * LEVELS) + "]"
@@ -50,8 +49,8 @@ found AS (SELECT scope, pos, cut AS drift, CASE WHEN width > 0 THEN total / widt
     FROM run WHERE NOT checking AND pos > 0)"""
 
 
-def controller_ctes(strategies: list[Strategy], sample: str, splits: int, per_event: bool = False) -> str:
-    """``traced``: per strategy, scope and event the slack after it and the watermark before it. Watermarks are emitted when
+def controller_ctes(strategies: list[Strategy], per_event: bool = False) -> str:
+    """Over the events of ``base.split_ctes``, ``traced``: per strategy, scope and event the slack after it and the watermark before it. Watermarks are emitted when
     the tick of the next event differs, or before every event."""
     limits = ", ".join(
         f"('{s.name}', {s.slack_ms}, {s.floor_ms}, {s.cap_ms}, {s.warmup_cap_ms}, {s.warmup_buffer_ms}, {s.buffer_ms}, "
@@ -62,8 +61,6 @@ def controller_ctes(strategies: list[Strategy], sample: str, splits: int, per_ev
     kept = "late / CAST(seen AS DOUBLE) < late_limit"
     is_late = "CASE WHEN wm_now IS NOT NULL AND moment < wm_now THEN 1 ELSE 0 END"
     return f"""
-split_ev AS (SELECT * EXCLUDE (scope), {draw('event_id', 71, splits)} AS scope FROM ev),{ticks('split_ev', 'split_')},
-{sampled(sample, 'split_')},
 limits(strategy, start, low, high, warm_high, warm_buffer, buffer, late_limit, step) AS (VALUES {limits}),
 seq AS MATERIALIZED (SELECT scope, pos, tick AS e_tick, event_time AS e_time, greatest(0, sample) AS lateness FROM split_sampled),
 run AS (SELECT strategy, scope, 0::BIGINT AS pos, -1::BIGINT AS tick, NULL::BIGINT AS newest, NULL::BIGINT AS wm, 0::BIGINT AS moment,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from ebbmark import params
+from oracles.adwin import combined, controller_ctes
+
 START = 1_704_067_200_000
 HOUSE_SPEEDUP, TAXI_SPEEDUP = 360, 60
 TICK = 200
@@ -220,27 +223,34 @@ def statement(ctes: list[str], final: str) -> str:
     return "WITH RECURSIVE " + ",".join(ctes) + "\n" + final
 
 
+HOUSE_ADWIN, TAXI_ADWIN = params.house_adwin(0.1, 0.1), params.taxi_adwin(3, 0.1, 0.1)
 HOUSE_STRATEGIES = [
     fixed("naive", 0), fixed("watermark_5s", 5000),
     mean_shift("adaptive_adwin_dt1000", 5000, 1000, 500, None, 12000),
-    adwin_combined("adaptive_real_adwin_L100_dd10", 1000, 1000, 8000, 5),
+    combined(HOUSE_ADWIN, 5),
     fixed("speculative", 0),
 ]
 TAXI_STRATEGIES = [
     fixed("taxi_naive", 0), fixed("taxi_watermark_m3_s1500", 1_500_000),
     mean_shift("taxi_adaptive_adwin_m3_dt60", 600_000, 60_000, 60_000, 10_000, 3_600_000),
-    adwin_combined("taxi_real_adwin_m3_L100_dd10", 60_000, 10_000, 3_600_000, 25),
+    combined(TAXI_ADWIN, 25),
     fixed("taxi_speculative_m3", 0),
 ]
 
 
-def house_ctes(strategies: list[str] | None = None, regime: str = "stationary", flush: bool = False,
-               scope: str = "'all'", houses: int = 100) -> list[str]:
-    return [house_events(regime, scope=scope, houses=houses), TICKS, mean_shift_ctes("network"), split_ctes("network"),
+def house_ctes(strategies: list[str] | None = None, regime: str = "stationary", flush: bool = False, scope: str = "'all'",
+               houses: int = 100, adaptive: list[params.Strategy] = (), splits: int = 1) -> list[str]:
+    """``adaptive``: the ADWIN strategies whose feedback the statement follows; those of the default set if none is given."""
+    adaptive = adaptive or ([] if strategies else [HOUSE_ADWIN])
+    return [house_events(regime, scope=scope, houses=houses), TICKS, mean_shift_ctes("network"), split_ctes("network", splits),
+            *([controller_ctes(adaptive)] if adaptive else []),
             timeline(strategies or HOUSE_STRATEGIES), results(10_000, "speculative", 15_000, flush)]
 
 
-def taxi_ctes(strategies: list[str] | None = None, lateness: int = 3_600_000, scope: str = "'all'") -> list[str]:
+def taxi_ctes(strategies: list[str] | None = None, lateness: int = 3_600_000, scope: str = "'all'",
+              adaptive: list[params.Strategy] = ()) -> list[str]:
+    adaptive = adaptive or ([] if strategies else [TAXI_ADWIN])
     return [taxi_events(scope=scope), TICKS, mean_shift_ctes("disorder"), split_ctes("disorder"),
+            *([controller_ctes(adaptive)] if adaptive else []),
             timeline(strategies or TAXI_STRATEGIES), results(60_000, "taxi_speculative_m3", lateness),
             updates("taxi_speculative_m3")]

@@ -61,9 +61,9 @@ def approx(name: str, digits: int = 6):
 
 
 HOUSE_SET = [params.house_naive(), params.house_fixed(5), params.house_mean_shift(1000),
-             params.house_adwin(1.0, 0.1), params.house_speculative()]
+             params.house_adwin(0.1, 0.1), params.house_speculative()]
 TAXI_SET = [params.taxi_naive(), params.taxi_fixed(3, 1500), params.taxi_mean_shift(3, 60),
-            params.taxi_adwin(3, 1.0, 0.1), params.taxi_speculative(3)]
+            params.taxi_adwin(3, 0.1, 0.1), params.taxi_speculative(3)]
 
 
 # Partitions of the source whose stream is compared: one, as in the published runs. All policies of a

@@ -136,21 +136,20 @@ def errors(spark, folder):
     return rows.select("strategy", *[approx(c) for c in rows.columns if c != "strategy"])
 
 
-# The whole parameter study: 14 variants, three families; L = 1 where SQL must follow.
+# The whole parameter study: 14 variants, three families.
+ADAPTIVE = params.house_sensitivity()["adwin"]
 STUDY = ([base.fixed(f"watermark_{s}s", s * 1000) for s in params.HOUSE_SLACKS_S]
          + [base.mean_shift(f"adaptive_adwin_dt{t}", 5000, t, 500, None, 12000) for t in params.HOUSE_THRESHOLDS_MS]
-         + [base.adwin_combined(f"adaptive_real_adwin_L100_dd{d}", 1000, 1000, 8000, 5) for d in (10, 100)])
+         + [base.combined(s, 5) for s in ADAPTIVE])
 
 
 def _sensitivity(name: str, regime: str) -> None:
     final = """SELECT strategy, true_latency_s, decisional_latency_s, least(100.0, avg_events / 10.0 * 100) AS completeness_pct,
         overhead FROM means"""
 
-    @query(name, base.statement(base.house_ctes(STUDY, regime) + [base.HOUSE_METRICS, MEANS], final))
+    @query(name, base.statement(base.house_ctes(STUDY, regime, adaptive=ADAPTIVE) + [base.HOUSE_METRICS, MEANS], final))
     def build(spark, folder):
-        groups = params.house_sensitivity()
-        groups["adwin"] = [s for s in groups["adwin"] if s.late_limit == 1.0]
-        results = backtest.sweep(house(spark, folder, regime), groups, settings())
+        results = backtest.sweep(house(spark, folder, regime), params.house_sensitivity(), settings())
         return metrics.house_sensitivity(metrics.to_house_metrics(results))
 
 
@@ -159,9 +158,12 @@ _sensitivity("house_sensitivity_short_cycle", "short_cycle")
 _sensitivity("house_sensitivity_long_cycle", "long_cycle")
 
 
-@query("house_sensitivity_all_variants")
+@query("house_sensitivity_all_variants", base.statement(
+    base.house_ctes(STUDY, "short_cycle", adaptive=ADAPTIVE) + [base.HOUSE_METRICS, MEANS],
+    """SELECT strategy, round_even(true_latency_s, 3) AS true_latency_s, round_even(decisional_latency_s, 3) AS decisional_latency_s,
+    round_even(least(100.0, avg_events / 10.0 * 100), 1) AS completeness_pct, round_even(overhead, 2) AS overhead FROM means"""))
 def all_variants(spark, folder):
-    """All 14 variants; the ADWIN feedback at L below 1 has no SQL form."""
+    """The exported table of the study."""
     results = backtest.sweep(house(spark, folder, "short_cycle"), params.house_sensitivity(), settings())
     report = metrics.house_sensitivity(metrics.to_house_metrics(results))
     return metrics.rounded_report(report, {"true_latency_s": 3, "decisional_latency_s": 3, "completeness_pct": 1,

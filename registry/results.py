@@ -27,7 +27,8 @@ def _one(name: str, strategy: params.Strategy, proposal: str) -> None:
 _one("house_naive_windows", params.house_naive(), base.fixed("naive", 0))
 _one("house_fixed_slack_windows", params.house_fixed(5), base.fixed("watermark_5s", 5000))
 _one("house_mean_shift_windows", params.house_mean_shift(1000), base.HOUSE_STRATEGIES[2])
-_one("house_adwin_settled_windows", params.house_adwin(1.0, 0.1), base.HOUSE_STRATEGIES[3])
+_one("house_adwin_settled_windows", params.house_adwin(1.0, 0.1),
+     base.adwin_combined("adaptive_real_adwin_L100_dd10", 1000, 1000, 8000, 5))
 _one("house_speculative_final_windows", params.house_speculative(), base.fixed("speculative", 0))
 _one("taxi_naive_windows", params.taxi_naive(), base.fixed("taxi_naive", 0))
 _one("taxi_fixed_slack_windows", params.taxi_fixed(3), base.fixed("taxi_watermark_m3", 1_500_000))
@@ -35,7 +36,8 @@ _one("taxi_mean_shift_windows", params.taxi_mean_shift(3), base.mean_shift(
     "taxi_adaptive_adwin_m3", 600_000, 60_000, 60_000, 10_000, 3_600_000))
 _one("taxi_mean_shift_short_windows", params.taxi_mean_shift(1), base.mean_shift(
     "taxi_adaptive_adwin_m1", 36_000, 500, 5000, 1000, 250_000))
-_one("taxi_adwin_settled_windows", params.taxi_adwin(3, 1.0, 0.1), base.TAXI_STRATEGIES[3])
+_one("taxi_adwin_settled_windows", params.taxi_adwin(3, 1.0, 0.1),
+     base.adwin_combined("taxi_real_adwin_m3_L100_dd10", 60_000, 10_000, 3_600_000, 25))
 _one("taxi_speculative_final_windows", params.taxi_speculative(3), base.fixed("taxi_speculative_m3", 0))
 
 
@@ -101,12 +103,12 @@ def taxi_updates(spark, folder):
 
 
 _SWEEP = ([base.fixed(f"watermark_{s}s", s * 1000) for s in params.HOUSE_SLACKS_S]
-          + [base.mean_shift(f"adaptive_adwin_dt{t}", 5000, t, 500, None, 12000) for t in params.HOUSE_THRESHOLDS_MS])
+          + [base.mean_shift(f"adaptive_adwin_dt{t}", 5000, t, 500, None, 12000) for t in params.HOUSE_THRESHOLDS_MS]
+          + [base.combined(s, 5) for s in params.house_sensitivity()["adwin"]])
 
 
-@query("house_sweep", base.statement(base.house_ctes(_SWEEP), f"""SELECT {RESULT_COLUMNS},
-    CASE WHEN strategy LIKE 'watermark%' THEN 'slack' ELSE 'threshold' END AS family FROM results"""))
+@query("house_sweep", base.statement(base.house_ctes(_SWEEP, adaptive=params.house_sensitivity()["adwin"]), f"""SELECT {RESULT_COLUMNS},
+    CASE WHEN strategy LIKE 'watermark%' THEN 'slack' WHEN strategy LIKE '%real%' THEN 'adwin' ELSE 'threshold' END AS family FROM results"""))
 def house_sweep(spark, folder):
-    """Eight variants from one pass over the events."""
-    groups = params.house_sensitivity()
-    return backtest.sweep(house(spark, folder), {k: groups[k] for k in ("slack", "threshold")}, settings())
+    """All fourteen variants from one pass over the events."""
+    return backtest.sweep(house(spark, folder), params.house_sensitivity(), settings())

@@ -168,10 +168,11 @@ def monitor_log(spark, folder):
     return spark.read.csv(path, header=True, schema=report.schema).select("interval_end_ms", "strategy", "windows_fired")
 
 
+ADAPTIVE = params.taxi_sensitivity()["adwin"]
 STUDY = ([base.fixed(f"taxi_watermark_m3_s{s}", s * 1000) for s in params.TAXI_SLACKS_S]
          + [base.mean_shift(f"taxi_adaptive_adwin_m3_dt{t}", 600_000, t * 1000, 60_000, 10_000, 3_600_000)
             for t in params.TAXI_THRESHOLDS_S]
-         + [base.adwin_combined(f"taxi_real_adwin_m3_L100_dd{d}", 60_000, 10_000, 3_600_000, 25) for d in (10, 100)]
+         + [base.combined(s, 25) for s in ADAPTIVE]
          + [base.fixed(SPEC, 0)])
 _STUDY_FINAL = f"""SELECT strategy, CAST(sum(true_latency_ms) AS DOUBLE) / count(true_latency_ms) / 1000.0 AS true_latency_s,
     round(avg(window_delay_s) / 60.0, 6) AS window_delay_min, least(100.0, CAST(sum(event_count) AS DOUBLE) / count(event_count) /
@@ -179,11 +180,9 @@ _STUDY_FINAL = f"""SELECT strategy, CAST(sum(true_latency_ms) AS DOUBLE) / count
     AS completeness_pct FROM metrics WHERE strategy <> '{SPEC}' GROUP BY strategy"""
 
 
-@query("taxi_sensitivity", base.statement(base.taxi_ctes(STUDY) + [base.taxi_metrics(SPEC)], _STUDY_FINAL))
+@query("taxi_sensitivity", base.statement(base.taxi_ctes(STUDY, adaptive=ADAPTIVE) + [base.taxi_metrics(SPEC)], _STUDY_FINAL))
 def sensitivity(spark, folder):
-    groups = params.taxi_sensitivity()
-    groups["adwin"] = [s for s in groups["adwin"] if s.late_limit == 1.0]
-    variants = [s for members in groups.values() for s in members]
+    variants = [s for members in params.taxi_sensitivity().values() for s in members]
     log = taxi_log(run_taxi(spark, folder, variants + [params.taxi_speculative(3)]), taxi(spark, folder),
                    params.taxi_speculative(3))
     rows = metrics.taxi_sensitivity(log, [s.name for s in variants], SPEC)
@@ -202,9 +201,12 @@ def sensitivity_without_reference(spark, folder):
     return rows.select("strategy", "true_latency_s", approx("window_delay_min"), "completeness_pct")
 
 
-@query("taxi_sensitivity_all_variants")
+@query("taxi_sensitivity_all_variants", base.statement(
+    base.taxi_ctes(STUDY, adaptive=ADAPTIVE) + [base.taxi_metrics(SPEC), f"study AS ({_STUDY_FINAL})"],
+    """SELECT strategy, round_even(true_latency_s, 3) AS true_latency_s, round_even(window_delay_min, 2) AS window_delay_min,
+    round_even(completeness_pct, 1) AS completeness_pct FROM study"""))
 def all_variants(spark, folder):
-    """All 14 variants; the ADWIN feedback at L below 1 has no SQL form."""
+    """The exported table of the study."""
     variants = [s for members in params.taxi_sensitivity().values() for s in members]
     log = taxi_log(run_taxi(spark, folder, variants + [params.taxi_speculative(3)]), taxi(spark, folder),
                    params.taxi_speculative(3))

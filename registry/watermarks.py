@@ -148,7 +148,7 @@ TRACED = [params.house_adwin(0.1, 0.1), params.house_adwin(0.01, 1.0)]
 
 
 @query("adwin_trace", base.statement(
-    [base.house_events("short_cycle"), adwin_sql.controller_ctes(TRACED, "network", SPLITS, per_event=True)],
+    [base.house_events("short_cycle"), base.split_ctes("network", SPLITS), adwin_sql.controller_ctes(TRACED, per_event=True)],
     """SELECT t.strategy, s.event_id, t.slack, t.delta, t.drift, t.late_seen, t.wm_before
     FROM traced t JOIN split_sampled s ON s.scope = t.scope AND s.pos = t.pos"""))
 def adwin_trace(spark, folder):
@@ -198,10 +198,14 @@ def combined_split_watermark(spark, folder):
     return combine_scopes(widened(splits, strategies), strategies, 1000).select("tick", "wm_before", "wm")
 
 
-@query("adwin_split_windows")
+DEFAULT = params.house_adwin(0.1, 0.1)
+
+
+@query("adwin_split_windows", base.statement(
+    base.house_ctes([adwin_sql.combined(DEFAULT, 5)], adaptive=[DEFAULT], splits=SPLITS), f"SELECT {', '.join(backtest.RESULT)} FROM results"))
 def adwin_split_windows(spark, folder):
     """ADWIN at a late limit of 0.1, per source split and combined."""
-    return run_house(spark, folder, [params.house_adwin(0.1, 0.1)], splits=SPLITS).windows
+    return run_house(spark, folder, [DEFAULT], splits=SPLITS).windows
 
 
 @query("late_events", base.statement(base.house_ctes(), """SELECT strategy, key, window_end, count(*) AS dropped

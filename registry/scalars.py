@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ebbmark import params
 from ebbmark.functions import delays, scalars
@@ -222,3 +222,36 @@ def sorted_trips(spark, folder):
     rows.select(F.col("o_orderkey").alias("medallion"), stamp.alias("pickup_datetime"),
                 F.col("o_totalprice").alias("trip_distance")).write.csv(source, header=True)
     return files.sort_trips(spark, source, shared_folder(spark, "trips-sorted"))
+
+
+@query("sorted_trips_order", "SELECT count(*) AS trips, CAST(0 AS BIGINT) AS out_of_order FROM orders")
+def sorted_trips_order(spark, folder):
+    """Reads the sorted files back and counts rows that are earlier than the one before, within files and between them."""
+    rows = spark.read.parquet(f"{folder}/orders.parquet")
+    source, target = shared_folder(spark, "trips"), shared_folder(spark, "trips-sorted")
+    stamp = F.date_format(F.col("o_orderdate").cast("timestamp"), files.PICKUP_FORMAT)
+    rows.select(F.col("o_orderkey").alias("medallion"), stamp.alias("pickup_datetime"),
+                F.col("o_totalprice").alias("trip_distance")).write.csv(source, header=True)
+    files.sort_trips(spark, source, target)
+    back = spark.read.csv(target, header=True).select(
+        F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("row"), "pickup_datetime")
+    inside = back.withColumn("before", F.lag("pickup_datetime").over(Window.partitionBy("file").orderBy("row")))
+    each = inside.groupBy("file").agg(
+        F.count("*").alias("trips"), F.count_if(F.col("before") > F.col("pickup_datetime")).alias("wrong"),
+        F.min("pickup_datetime").alias("first"), F.max("pickup_datetime").alias("last"))
+    joined = each.withColumn("previous", F.lag("last").over(Window.orderBy("file")))  # one row per file
+    return joined.agg(F.sum("trips").alias("trips"), (F.sum("wrong") + F.count_if(F.col("previous") > F.col("first"))).alias("out_of_order"))
+
+
+@query("taxi_strategy_ids", """SELECT l_orderkey, l_linenumber, 'taxi_watermark_m' || (l_linenumber % 3 + 1) || '_s' || CAST(l_quantity AS BIGINT) AS fixed,
+    'taxi_adaptive_adwin_m' || (l_linenumber % 3 + 1) || '_dt' || CAST(l_quantity AS BIGINT) AS mean_shift,
+    'taxi_real_adwin_m' || (l_linenumber % 3 + 1) || '_L' || CAST(trunc(CAST(l_discount AS DOUBLE) * 100) AS BIGINT) || '_dd'
+    || CAST(trunc(CAST(l_tax AS DOUBLE) * 100) AS BIGINT) AS adwin, 'adaptive_adwin_dt' || CAST(l_quantity AS BIGINT) AS house_mean_shift
+    FROM lineitem""")
+def taxi_strategy_ids(spark, folder):
+    rows = spark.read.parquet(f"{folder}/lineitem.parquet")
+    mode, size = F.col("l_linenumber") % 3 + 1, F.col("l_quantity").cast("long")
+    limit, step = F.col("l_discount").cast("double"), F.col("l_tax").cast("double")
+    return rows.select(
+        "l_orderkey", "l_linenumber", params.taxi_fixed_id(mode, size).alias("fixed"), params.taxi_mean_shift_id(mode, size).alias("mean_shift"),
+        params.taxi_adwin_id(mode, limit, step).alias("adwin"), params.mean_shift_id(size).alias("house_mean_shift"))

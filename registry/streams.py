@@ -9,7 +9,7 @@ from ebbmark.functions.delays import draw
 from ebbmark.operators.timeline import with_scope
 from ebbmark.plans import metrics
 from ebbmark.session import SETTINGS, shared_folder
-from ebbmark.sources import sinks, tables
+from ebbmark.sources import sinks, streams, tables
 from ebbmark.streaming import adaptive, native
 from oracles import base
 from registry.core import query
@@ -84,6 +84,17 @@ _native("stream_house_fixed_slack", params.house_fixed(5), tables.sensor_reading
 _native("stream_house_speculative", params.house_speculative(), tables.sensor_readings, base.house_events())
 _native("stream_taxi_fixed_slack", params.taxi_fixed(3), tables.taxi_trips, base.taxi_events())
 
+@query("stream_json_folder", base.statement([base.house_events()], """SELECT key, (event_time // 10000 + 1) * 10000 AS window_end,
+    count(*) AS event_count, sum(reading_1) / count(*) AS avg_1, sum(reading_2) / count(*) AS avg_2, max(arrival_time) AS last_arrival
+    FROM ev GROUP BY 1, 2 HAVING (event_time // 10000 + 1) * 10000 <= (SELECT max(event_time) FROM ev)"""))
+def stream_json_folder(spark, folder):
+    """Readings written as JSON records to a folder, then read from there by the streaming source."""
+    inbox = shared_folder(spark, "json-inbox")
+    sinks.keyed_records(tables.sensor_readings(tables.events_table(spark, folder))).select("value").write.text(inbox)
+    frame, mode = native.stream_windows(streams.as_readings(streams.json_folder_events(spark, inbox)), params.house_naive())
+    return _drained(frame, mode)
+
+
 _COLUMNS = "key, window_end, event_count, avg_1, avg_2, fire_time, decisional_latency_ms, true_latency_ms, window_delay_ms, update_count"
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql.types import (
-    BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType,
+    BooleanType, DoubleType, LongType, StringType, StructField, StructType, TimestampType,
 )
 
 
@@ -46,18 +46,3 @@ TAXI_METRICS = _struct(
     ("update_count", LongType(), True),
     ("window_end", LongType(), True),
 )
-
-PARAMETERS = _struct(
-    ("strategy", StringType(), False),
-    ("kind", StringType(), False),
-    ("window_ms", LongType(), False),
-    ("slack_ms", LongType(), True),
-    ("lateness_ms", LongType(), True),
-    ("threshold_ms", LongType(), True),
-    ("late_limit", DoubleType(), True),
-    ("delta_step", DoubleType(), True),
-    ("floor_ms", LongType(), True),
-    ("cap_ms", LongType(), True),
-    ("buffer_ms", LongType(), True),
-    ("mode", IntegerType(), True),
-)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ebbmark import params
 from ebbmark.operators.speculative import speculative_updates, with_initial_rows
 from ebbmark.operators.timeline import with_scope

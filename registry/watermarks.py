@@ -11,7 +11,7 @@ from ebbmark.operators.running import Slicing, running_max_by_arrival
 from ebbmark.operators.timeline import combine_scopes, fixed_timeline, widened, with_scope
 from ebbmark.plans import backtest
 from oracles import adwin as adwin_sql, base
-from registry.core import house, query, run_house, settings, taxi
+from registry.core import house, query, run_house, taxi
 
 # Small units, so that the tables exercise many of them.
 MINUTE = Slicing(60_000)

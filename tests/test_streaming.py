@@ -1,6 +1,5 @@
 """Streams over pinned file batches."""
 
-import random
 
 from pyspark.sql import functions as F
 

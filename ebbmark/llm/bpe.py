@@ -24,7 +24,7 @@ import os
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from ebbmark.llm.common import map_texts, read_texts
 
@@ -75,9 +75,10 @@ def cut_tables(tokens: dict[int, bytes], special: list[bytes]) -> tuple[np.ndarr
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary file, for use within a task."""
+    """Encoder and decoder of one vocabulary file, for use within a task. ``ordinary``: strings of special tokens
+    are text like any other."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         import tiktoken
         from tokenizers import Tokenizer
@@ -88,7 +89,8 @@ class Codec:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [t.decode() for t in special]
+        self.tokenizer.encode_special_tokens = ordinary
+        self.special = [] if ordinary else [t.decode() for t in special]
         # Token ids of byte-level vocabularies are in merge order, so the same merges serve as ranks.
         ranks = {t: i for i, t in tokens.items() if t not in special}
         self.ranked = tiktoken.Encoding("fragments", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -17,7 +17,6 @@ null conversation form one; an empty table gives an empty one; other columns are
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Iterator
 
@@ -38,16 +37,12 @@ class Formatter:
     """Encodes and reads turns with one vocabulary file, for use within a task."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.bytes_of, special = bpe.vocabulary(path)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = True
-        first = max(self.bytes_of) + 1
+        self.codec = bpe.Codec(path, ordinary=True)
+        tokens, special = bpe.vocabulary(path)
+        first = max(tokens) + 1
         self.open, self.says, self.close = first, first + 1, first + 2
         self.reserved = {self.open: OPEN, self.says: SAYS, self.close: CLOSE}
+        self.bytes_of = tokens | {i: s.encode() for i, s in self.reserved.items()}
         words = sorted([*CONTROL, *(s.decode() for s in special)], key=len, reverse=True)
         self.control = re.compile(r"\\|" + "|".join(map(re.escape, words)))
         self.role_control = re.compile(self.control.pattern + "|:")
@@ -61,11 +56,10 @@ class Formatter:
 
     def turns(self, roles: list[str], texts: list[str]) -> list[tuple[list[int], np.ndarray]]:
         """Ids and loss mask of each turn."""
-        encoded = self.tokenizer.encode_batch(
-            [x for r, t in zip(roles, texts) for x in (self.escape(r, True), self.escape(t))], add_special_tokens=False)
+        encoded = self.codec.encode([x for r, t in zip(roles, texts) for x in (self.escape(r, True), self.escape(t))])
         out = []
         for i, role in enumerate(roles):
-            head, body = encoded[2 * i].ids, encoded[2 * i + 1].ids
+            head, body = encoded[2 * i], encoded[2 * i + 1]
             ids = [self.open, *head, self.says, *body, self.close]
             step = np.zeros(len(ids) + 1, np.int8)
             if role == LOSS_ROLE:
@@ -75,13 +69,13 @@ class Formatter:
         return out
 
     def written(self, ids: list[int]) -> str:
-        return b"".join([self.reserved[i].encode() if i in self.reserved else self.bytes_of.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
     def read(self, ids: list[int], mask: list[int]) -> tuple[str, str, str, str]:
         """Role, text, text under the mask, and the written form, from ids and mask alone."""
         says = ids.index(self.says)
         role, text = self.written(ids[1:says]), self.written(ids[says + 1:-1])
-        loss = self.written([i for i, m in zip(ids, mask) if m])
+        loss = self.written([i for i, m in zip(ids, mask) if m]) if any(mask) else ""
         return self.unescape(role), self.unescape(text), self.unescape(loss), self.written(ids)
 
 
@@ -94,7 +88,7 @@ def format_turns(df: DataFrame, path: str, conversation: str = "conv_id", turn:
 
     from ebbmark.llm.common import _arrow_schema
     kept = [rows.schema["conv_id"], rows.schema["turn"], T.StructField("role_key", T.StringType()), T.StructField("text_key", T.StringType())]
-    schema = T.StructType(kept + [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("mask", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType(kept + [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("mask", T.ArrayType(T.ByteType()))])
     arrow = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

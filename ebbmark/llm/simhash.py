@@ -203,10 +203,15 @@ def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", settings:
     found = near_duplicates(df, id, text, settings, text_hash=F.xxhash64(df[text].cast("string")))
     best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("best")) \
         .select(F.col("best.doc_id").alias("_best_id"), F.col("best.text_hash").alias("_best_hash"))
+    return rows_of(df, stored(best, "representatives"), id, text).select(*df.columns)
+
+
+def rows_of(df: DataFrame, best: DataFrame, id: str, text: str) -> DataFrame:
+    """One row of ``df`` with the columns of ``best`` for each id and text hash (``_best_id, _best_hash``) in it."""
     here = F.xxhash64(df[text].cast("string"))
     joined = df.withColumn("_hash", here).join(
-        stored(best, "representatives"), df[id].eqNullSafe(F.col("_best_id")) & (F.col("_hash") == F.col("_best_hash")))
-    return joined.dropDuplicates(["_best_id", "_best_hash"]).select(*df.columns)
+        best, df[id].eqNullSafe(F.col("_best_id")) & (F.col("_hash") == F.col("_best_hash")))
+    return joined.dropDuplicates(["_best_id", "_best_hash"])
 
 
 def hexadecimal(fp: Column) -> Column:

@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequency. DataFrame functions only.
 
 Candidates are found by patterns. Their values, as hashes, are counted over the corpus by distinct owners and distinct
-repositories: a value that many owners hold is a copied example, one that is held by few and looks random is taken
-for a live credential. Besides the base kinds, long tokens of mixed character classes are candidates too; they
+repositories: a value that more than two owners hold is a copied example, one that is held by fewer is taken for a live
+credential, in however many repositories they hold it, unless it has too few different characters for its kind. Besides the base kinds, long tokens of mixed character classes are candidates too; they
 become spans (kind ``owned``) only if ownership shows them as live and no base span overlaps them.
 
 A match's place follows from the lengths of the text between matches, by a running sum within the document. Only rows
@@ -25,14 +25,15 @@ from ebbmark.session import stored
 
 @dataclass(frozen=True)
 class Kind:
-    """``group``: the part of a match that is the credential, of at least ``least`` characters. ``hint`` matches
-    every text that has a match."""
+    """``group``: the part of a match that is the credential, of at least ``least`` characters, of which ``varied`` must be
+    different in a live one. ``hint`` matches every text that has a match."""
 
     name: str
     pattern: str
     group: int
     least: int
     hint: str
+    varied: int
     base: bool = True
 
 
@@ -40,21 +41,18 @@ class Kind:
 #: same matches as a run of any length whose short matches are dropped.
 KINDS = (
     Kind("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6,
-         r"(?i:password|passwd|secret|token|api_?key)"),
-    Kind("access", r"AKIA[A-Z0-9]{16,}", 0, 20, "AKIA"),
-    Kind("hex", r"[0-9a-f]{24,}", 0, 24, r"[0-9a-f]{24}"),
-    Kind("owned", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", 0, 20, r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20}", base=False),
+         r"(?i:password|passwd|secret|token|api_?key)", 2),
+    Kind("access", r"AKIA[A-Z0-9]{16,}", 0, 20, "AKIA", 8),
+    Kind("hex", r"[0-9a-f]{24,}", 0, 24, r"[0-9a-f]{24}", 8),
+    Kind("owned", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", 0, 20, r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20}", 8, base=False),
 )
 
 
 @dataclass(frozen=True)
 class Settings:
-    """A value is live if at most ``owners`` owners and ``repositories`` repositories hold it and it has at
-    least ``varied`` different characters."""
+    """A value is live if at most ``owners`` owners hold it and it has at least as many different characters as its kind asks."""
 
-    owners: int = 1
-    repositories: int = 50
-    varied: int = 8
+    owners: int = 2
 
 
 KEY = ("doc_id", "text_hash")
@@ -111,8 +109,8 @@ def spans(df: DataFrame, settings: Settings = Settings(), **columns: str) -> Dat
     found = stored(candidates(df, **columns), "secret-candidates")
     judged = found.join(ownership(found), "value_hash").select(
         *KEY, "kind", "base", "start", "end",
-        ((F.col("owners") <= settings.owners) & (F.col("repositories") <= settings.repositories)
-         & (F.col("varied") >= settings.varied)).alias("live"))
+        ((F.col("owners") <= settings.owners)
+         & (F.col("varied") >= F.element_at(F.array(*[F.lit(k.varied) for k in KINDS]), F.col("kind") + 1))).alias("live"))
     order = Window.partitionBy(*KEY).orderBy("start", "kind")
     before = F.max(F.when(F.col("base"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
     after = F.min(F.when(F.col("base"), F.col("start"))).over(order.rowsBetween(0, Window.unboundedFollowing))

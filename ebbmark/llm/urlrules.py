@@ -8,8 +8,8 @@ rarest token, so a URL meets only rules that its own tokens list, and each is th
 confidence, then support, then tokens wins; without any, the default verdict stands.
 
 Labels: URLs that an explicit rule fits are labelled by it; callers may add labelled URLs. The least support is a share of the
-labelled URLs, and combinations are mined among the first ``Settings.basket`` tokens of a URL (host labels first), so the number of frequent
-combinations is bounded whatever the corpus. Equal token sets are judged once, over all their tokens. The index is joined like any table: it is sent to the workers only while the optimizer sees that it is small.
+labelled URLs, and combinations are mined among all tokens of a URL that have it. Tokens that always occur together are mined as one and
+put back into the rules, which gives the same rules, as a rule with two of them is superfluous. Equal token sets are judged once, over all their tokens. The index is joined like any table: it is sent to the workers only while the optimizer sees that it is small.
 
 Cases: a null URL, or one without ``://``, has an empty host and path and no tokens, and gets the default verdict; ties
 between rules of equal length go to the first by text (they are the same rule) and between mined ones to ``block``; repeated
@@ -49,7 +49,6 @@ RULES = (Rule("allow", "org"), Rule("block", "example.org", "/es/"), Rule("block
 class Settings:
     support: float = 0.005
     confidence: float = 0.9
-    basket: int = 12
     default: str = "allow"
 
 
@@ -83,21 +82,37 @@ def tokens(url: Column) -> Column:
     return F.when(h == "", F.array().cast("array<string>")).otherwise(F.array_sort(found))
 
 
+def _alike(known: DataFrame, least: float) -> DataFrame:
+    """``name, tokens``: tokens in at least ``least`` rows, those in exactly the same rows together."""
+    rows = known.groupBy("items", "verdict").agg(F.count("*").alias("n")).select(
+        "n", F.xxhash64("items", "verdict").alias("row"), F.xxhash64("verdict", "items").alias("again"), F.explode("items").alias("token"))
+    return rows.groupBy("token").agg(F.sum("n").alias("n"), F.bit_xor("row").alias("row"), F.bit_xor("again").alias("again")) \
+        .where(F.col("n") >= least).groupBy("n", "row", "again").agg(F.min("token").alias("name"), F.collect_list("token").alias("tokens"))
+
+
+def _longer(made: Column, tokens: Column) -> Column:
+    """Each array of ``made`` with each of ``tokens`` at its end."""
+    return F.flatten(F.transform(made, lambda x: F.transform(tokens, lambda t: F.array_append(x, t))))
+
+
 def mine(labelled: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``rule_id, items, verdict, confidence, support`` from ``items`` (tokens) and ``verdict``."""
-    baskets = stored(labelled.where("size(items) > 0 AND verdict IN ('allow', 'block')").select(
-        F.concat(F.array(F.concat(F.lit("verdict:"), "verdict")), F.slice("items", 1, settings.basket)).alias("items")), "url-baskets")
+    known = stored(labelled.where("size(items) > 0 AND verdict IN ('allow', 'block')").select("items", "verdict"), "url-baskets")
     empty = labelled.sparkSession.createDataFrame(
         [], "rule_id long, items array<string>, verdict string, confidence double, support double")
-    if baskets.select(F.element_at("items", 1)).distinct().count() < 2:
+    if known.select("verdict").distinct().count() < 2:
         return empty
+    total = known.count()
+    alike = stored(_alike(known, total * settings.support), "url-tokens")
+    names = alike.agg(F.collect_list("name").alias("names"))
+    baskets = stored(known.crossJoin(names).select(F.concat(
+        F.array(F.concat(F.lit("verdict:"), "verdict")), F.array_intersect("items", "names")).alias("items")), "url-frequent")
     model = FPGrowth(itemsCol="items", minSupport=settings.support, minConfidence=settings.confidence).fit(baskets)
     # Association rules with a verdict on their right side, from the frequent sets that hold one.
     sets = stored(model.freqItemsets, "url-itemsets")
     named = sets.select(F.filter("items", lambda x: ~x.startswith("verdict:")).alias("left"),
                         F.try_element_at(F.filter("items", lambda x: x.startswith("verdict:")), F.lit(1)).alias("right"), "freq")
     whole = named.where("right IS NULL").select(F.array_sort("left").alias("items"), F.col("freq").alias("seen"))
-    total = baskets.count()
     rules = named.where("right IS NOT NULL AND size(left) > 0").select(F.array_sort("left").alias("items"), "right", "freq") \
         .join(whole, "items").select(
             "items", F.substring_index("right", ":", -1).alias("verdict"), (F.col("freq") / F.col("seen")).alias("confidence"),
@@ -109,7 +124,13 @@ def mine(labelled: DataFrame, settings: Settings = Settings()) -> DataFrame:
         F.col("items").alias("full"), "verdict", "confidence", F.array_remove("items", F.col("out")).alias("items"))
     covered = smaller.join(shorter, ["items", "verdict"]).where("short >= confidence").select(
         F.col("full").alias("items"), "verdict").distinct()
-    return stored(rules.join(covered, ["items", "verdict"], "left_anti").select(
+    short = rules.join(covered, ["items", "verdict"], "left_anti").select("*", F.posexplode("items").alias("at", "name"))
+    others = alike.select("name", "tokens")
+    each = short.join(others, "name").groupBy("items", "verdict", "confidence", "support").agg(
+        F.collect_list("tokens").alias("tokens"))
+    whole = each.select("verdict", "confidence", "support", F.explode(F.aggregate("tokens", F.array(
+        F.array().cast("array<string>")), _longer)).alias("items")).select(F.array_sort("items").alias("items"), "verdict", "confidence", "support")
+    return stored(whole.select(
         F.xxhash64(F.array_join("items", "\n"), "verdict").alias("rule_id"), "items", "verdict", "confidence", "support"), "url-rules")
 
 

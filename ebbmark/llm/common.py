@@ -104,3 +104,9 @@ def sums_by(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
     ends = np.append(starts[1:], len(values))
     return total[ends] - total[starts]
+
+
+def finite(vector: Column) -> Column:
+    """Whether a vector is there and has no null, NaN or infinite component."""
+    infinity = F.lit(float("inf"))
+    return vector.isNotNull() & F.forall(vector.cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < infinity))

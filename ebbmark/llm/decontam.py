@@ -146,7 +146,6 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_i
                          settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` that are not contaminated."""
     bad = contamination(docs, benchmark, id=id, text=text, settings=settings) \
-        .where(contaminated(F.col("n_hit"), F.col("n_words"))).select(
-            F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
-    return docs.join(stored(bad, "contaminated"), docs[id].eqNullSafe(F.col("_bad_id"))
-                     & (F.xxhash64(docs[text].cast("string")) == F.col("_bad_hash")), "left_anti")
+        .where(contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id", "text_hash").distinct()
+    rows = docs.select(F.struct("*").alias("row"), docs[id].alias("doc_id"), F.xxhash64(docs[text].cast("string")).alias("text_hash"))
+    return rows.alias("r").join(stored(bad, "contaminated").alias("b"), F.expr("r.doc_id <=> b.doc_id AND r.text_hash = b.text_hash"), "left_anti").select("row.*")

@@ -2,7 +2,9 @@
 
 Candidates are found by patterns. Their values, as hashes, are counted over the corpus by distinct owners and distinct
 repositories: a value that more than two owners hold is a copied example, one that is held by fewer is taken for a live
-credential, in however many repositories they hold it, unless it has too few different characters for its kind. Besides the base kinds, long tokens of mixed character classes are candidates too; they
+credential, in however many repositories they hold it, unless it has too few different characters for its kind. Repositories are reported with every
+span but do not decide: a key that its owner uses in thousands of texts is leaked as much as one in a single text, and any number
+that set a bound would be passed by growth alone. Besides the base kinds, long tokens of mixed character classes are candidates too; they
 become spans (kind ``owned``) only if ownership shows them as live and no base span overlaps them.
 
 A match's place follows from the lengths of the text between matches, by a running sum within the document. Only rows
@@ -10,8 +12,8 @@ for candidates are shuffled. A value that a third of all documents hold is count
 map-side combination, and its join back is left to skew handling.
 
 Cases: a null text is empty; null owners and repositories count as one of their own; repeated rows are one document to the
-counts and get the same result each; overlapping spans of different base kinds all stay; an empty table gives an empty one;
-other columns are not read.
+counts and get the same result each, and count for every owner they stand under; overlapping spans of different base kinds all stay; a text of any length is
+read whole, one row with all its matches; an empty table gives an empty one; ``redact`` carries other columns along, whatever their names.
 """
 
 from __future__ import annotations
@@ -71,9 +73,10 @@ def _matches(text: Column, kind: Kind, number: int) -> Column:
     return F.when(text.rlike(kind.hint), rows).otherwise(none)
 
 
-def candidates(df: DataFrame, id: str = "doc_id", text: str = "text", owner: str = "source",
+def matches(df: DataFrame, id: str = "doc_id", text: str = "text", owner: str = "source",
                repository: str = "doc_id") -> DataFrame:
-    """One row per match: ``doc_id, text_hash, owner, repository, kind, start, end, value_hash, varied``."""
+    """One row per match of a pattern: ``doc_id, text_hash, owner, repository, at, kind, gap, size, base, value_hash, varied`` and whether it is ``taken``
+    for a candidate. Rows of equal id and text under several owners give a match each."""
     rows = df.select(df[id].alias("doc_id"), F.xxhash64(df[text].cast("string")).alias("text_hash"),
                      df[owner].cast("string").alias("owner"), df[repository].cast("string").alias("repository"),
                      F.coalesce(df[text].cast("string"), F.lit("")).alias("text"))
@@ -82,33 +85,37 @@ def candidates(df: DataFrame, id: str = "doc_id", text: str = "text", owner: str
     found = parts[0]
     for more in parts[1:]:
         found = found.union(more)
+    value = F.col("m.value")
+    least = F.element_at(F.array(*[F.lit(k.least) for k in KINDS]), F.col("m.kind") + 1)
+    mixed = value.rlike("[0-9]") & value.rlike("[A-Z]") & value.rlike("[a-z]")
+    base = F.element_at(F.array(*[F.lit(k.base) for k in KINDS]), F.col("m.kind") + 1)
+    return found.where("m.size IS NOT NULL").select(
+        *KEY, "owner", "repository", "at", "m.kind", "m.gap", "m.size", base.alias("base"), F.sha2(value.cast("binary"), 256).alias("value_hash"),
+        F.size(F.array_distinct(F.split(value, ""))).alias("varied"), ((F.char_length(value) >= least) & (base | mixed)).alias("taken"))
+
+
+def placed(matches: DataFrame) -> DataFrame:
+    """``start`` and ``end`` of the matches that are candidates, once for rows of equal id and text."""
     order = Window.partitionBy(*KEY, "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    placed = found.where("m.size IS NOT NULL").select(*KEY, "owner", "repository", "at", "m.*").dropDuplicates([*KEY, "kind", "at"]) \
+    return matches.drop("owner", "repository").dropDuplicates([*KEY, "kind", "at"]) \
         .withColumn("end", F.sum(F.col("gap") + F.col("size")).over(order)) \
-        .withColumn("start", F.col("end") - F.col("size"))
-    value = F.col("value")
-    least = F.element_at(F.array(*[F.lit(k.least) for k in KINDS]), F.col("kind") + 1)
-    mixed = value.rlike("[0-9]") & value.rlike("[A-Z]") & value.rlike("[a-z]")
-    base = F.element_at(F.array(*[F.lit(k.base) for k in KINDS]), F.col("kind") + 1)
-    return placed.where((F.char_length(value) >= least) & (base | mixed)).select(
-        *KEY, "owner", "repository", "kind", base.alias("base"), "start", "end", F.sha2(value.cast("binary"), 256).alias("value_hash"),
-        F.size(F.array_distinct(F.split(value, ""))).alias("varied"))
+        .withColumn("start", F.col("end") - F.col("size")).where("taken")
 
 
-def ownership(found: DataFrame) -> DataFrame:
-    """``value_hash, owners, repositories``: in how many distinct ones each value occurs."""
-    one = found.select("value_hash", F.coalesce("owner", F.lit("")).alias("owner"),
-                       F.coalesce("repository", F.lit("")).alias("repository"))
+def ownership(matches: DataFrame) -> DataFrame:
+    """``value_hash, owners, repositories``: in how many distinct ones each value occurs, over all rows."""
+    one = matches.where("taken").select("value_hash", F.coalesce("owner", F.lit("")).alias("owner"),
+                                        F.coalesce("repository", F.lit("")).alias("repository"))
     return one.groupBy("value_hash", "owner", "repository").agg(F.lit(1).alias("one")) \
         .groupBy("value_hash", "owner").agg(F.count("*").alias("held")) \
         .groupBy("value_hash").agg(F.count("*").alias("owners"), F.sum("held").alias("repositories"))
 
 
 def spans(df: DataFrame, settings: Settings = Settings(), **columns: str) -> DataFrame:
-    """The spans of every document that has one: ``doc_id, text_hash, kind`` (number), ``base, start, end, live``."""
-    found = stored(candidates(df, **columns), "secret-candidates")
-    judged = found.join(ownership(found), "value_hash").select(
-        *KEY, "kind", "base", "start", "end",
+    """The spans of every document that has one: ``doc_id, text_hash, kind`` (number), ``base, start, end, owners, repositories, live``."""
+    found = stored(matches(df, **columns), "secret-candidates")
+    judged = placed(found).join(ownership(found), "value_hash").select(
+        *KEY, "kind", "base", "start", "end", "owners", "repositories",
         ((F.col("owners") <= settings.owners)
          & (F.col("varied") >= F.element_at(F.array(*[F.lit(k.varied) for k in KINDS]), F.col("kind") + 1))).alias("live"))
     order = Window.partitionBy(*KEY).orderBy("start", "kind")
@@ -127,7 +134,7 @@ def scan(df: DataFrame, settings: Settings = Settings(), id: str = "doc_id", tex
          repository: str = "doc_id") -> DataFrame:
     """For each row: ``doc_id, text_hash`` and ``found``, its spans by start and kind."""
     per = spans(df, settings, id=id, text=text, owner=owner, repository=repository).groupBy(*KEY).agg(
-        F.array_sort(F.collect_list(F.struct("start", "kind", "end", "base", "live"))).alias("found"))
+        F.array_sort(F.collect_list(F.struct("start", "kind", "end", "base", "live", "owners", "repositories"))).alias("found"))
     rows = df.select(df[id].alias("doc_id"), F.xxhash64(df[text].cast("string")).alias("text_hash"))
     none = F.array().cast(per.schema["found"].dataType)
     return rows.alias("r").join(per.alias("p"), F.expr("r.doc_id <=> p.doc_id AND r.text_hash = p.text_hash"), "left") \
@@ -148,14 +155,15 @@ def redact(df: DataFrame, settings: Settings = Settings(), id: str = "doc_id", t
         "run", F.sum(F.col("fresh").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = joined.groupBy(*KEY, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")) \
         .groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts")) \
-        .select(F.col("doc_id").alias("_cut_id"), F.col("text_hash").alias("_cut_hash"), F.col("cuts").alias("_cuts"))
-    here = df[text].cast("string")
+        .select(*KEY, "cuts")
+    rows = df.select(F.struct("*").alias("row"), df[id].alias("doc_id"), F.xxhash64(df[text].cast("string")).alias("text_hash"), df[text].cast("string").alias("text"))
+    whole, cuts = F.col("text"), F.col("cuts")
     piece = lambda i: F.substring(
-        F.col(text), F.coalesce(F.try_element_at("_cuts", i)["end"], F.lit(0)).cast("int") + 1,
-        (F.coalesce(F.try_element_at("_cuts", i + 1)["start"], F.char_length(text))
-         - F.coalesce(F.try_element_at("_cuts", i)["end"], F.lit(0))).cast("int"))
-    pieces = F.transform(F.sequence(F.lit(0), F.size("_cuts")), lambda i: F.when(i == 0, F.substring(
-        F.col(text), F.lit(1), F.element_at("_cuts", 1)["start"].cast("int"))).otherwise(piece(F.greatest(i, F.lit(1)))))
-    clean = F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(F.array_join(pieces, mask))
-    return df.join(runs, df[id].eqNullSafe(F.col("_cut_id")) & (F.xxhash64(here) == F.col("_cut_hash")), "left") \
-        .withColumn(text, clean).select(*df.columns)
+        whole, F.coalesce(F.try_element_at(cuts, i)["end"], F.lit(0)).cast("int") + 1,
+        (F.coalesce(F.try_element_at(cuts, i + 1)["start"], F.char_length(whole))
+         - F.coalesce(F.try_element_at(cuts, i)["end"], F.lit(0))).cast("int"))
+    pieces = F.transform(F.sequence(F.lit(0), F.size(cuts)), lambda i: F.when(i == 0, F.substring(
+        whole, F.lit(1), F.element_at(cuts, 1)["start"].cast("int"))).otherwise(piece(F.greatest(i, F.lit(1)))))
+    clean = F.when(cuts.isNull(), whole).otherwise(F.array_join(pieces, mask))
+    return rows.alias("r").join(runs.alias("c"), F.expr("r.doc_id <=> c.doc_id AND r.text_hash = c.text_hash"), "left") \
+        .withColumn("row", F.col("row").withField(f"`{text}`", clean)).select("row.*")

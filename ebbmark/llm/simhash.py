@@ -201,17 +201,17 @@ def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", settings:
     """The rows of ``df`` without near-duplicates: of each component, the row with the least id stays. Decisions are made
     on ids and hashes; texts are shuffled once, for the last join."""
     found = near_duplicates(df, id, text, settings, text_hash=F.xxhash64(df[text].cast("string")))
-    best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("best")) \
-        .select(F.col("best.doc_id").alias("_best_id"), F.col("best.text_hash").alias("_best_hash"))
-    return rows_of(df, stored(best, "representatives"), id, text).select(*df.columns)
+    best = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("best"))
+    return rows_of(df, stored(best, "representatives"), id, text).select("row.*")
 
 
-def rows_of(df: DataFrame, best: DataFrame, id: str, text: str) -> DataFrame:
-    """One row of ``df`` with the columns of ``best`` for each id and text hash (``_best_id, _best_hash``) in it."""
-    here = F.xxhash64(df[text].cast("string"))
-    joined = df.withColumn("_hash", here).join(
-        best, df[id].eqNullSafe(F.col("_best_id")) & (F.col("_hash") == F.col("_best_hash")))
-    return joined.dropDuplicates(["_best_id", "_best_hash"])
+def rows_of(df: DataFrame, chosen: DataFrame, id: str, text: str) -> DataFrame:
+    """For each ``best.doc_id`` and ``best.text_hash`` of ``chosen``, one row of ``df`` as the struct ``row``, and the row of ``chosen`` as
+    the struct ``best``: names of either side cannot clash."""
+    carried = df.select(F.struct("*").alias("row"), df[id].alias("doc_id"), F.xxhash64(df[text].cast("string")).alias("text_hash"))
+    wanted = chosen.select(F.struct("*").alias("best"), F.col("best.doc_id").alias("best_id"), F.col("best.text_hash").alias("best_hash"))
+    return carried.join(wanted, carried["doc_id"].eqNullSafe(wanted["best_id"]) & (carried["text_hash"] == wanted["best_hash"])) \
+        .dropDuplicates(["best_id", "best_hash"]).select("row", "best")
 
 
 def hexadecimal(fp: Column) -> Column:

@@ -3,7 +3,8 @@ import pytest
 from ebbmark.llm.common import prepared
 
 #: Extra columns whose names occur inside the operators.
-CLASH = ["row", "fp", "label", "words", "ids", "at", "kind", "items", "n", "group", "text_hash", "_hash", "score"]
+CLASH = ["row", "fp", "label", "words", "ids", "at", "kind", "items", "n", "group", "text_hash", "_hash", "score",
+         "set", "best", "best_id", "best_hash", "_best_id", "_best_hash", "hashes", "cuts", "_cuts", "_cut_id", "_bad_id", "run", "owner", "edits"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH)
 LONG = " ".join(f"word{i % 977} and{i % 13}" for i in range(30_000))
 
@@ -25,7 +26,7 @@ TEXTS = [
 @pytest.fixture(scope="session")
 def docs(spark):
     prepared(spark)
-    return spark.createDataFrame([(i, t, l, s, len(t or ""), *(["?"] * len(CLASH))) for i, t, l, s in TEXTS], SCHEMA)
+    return spark.createDataFrame([(i, t, l, s, len(t or ""), *[f"{c}!" for c in CLASH]) for i, t, l, s in TEXTS], SCHEMA)
 
 
 @pytest.fixture(scope="session")

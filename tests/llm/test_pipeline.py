@@ -8,7 +8,7 @@ from ebbmark.llm import bpe, toxicity
 from ebbmark.llm.common import id_remainder
 from ebbmark.session import stored
 from tests.llm.test_native import brute_hits, brute_redacted, secret_rows
-from tests.llm.test_simhash import brute_components, brute_print
+from tests.llm.test_nearcopies import brute_groups
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +35,7 @@ def test_toxic_documents_go(spark, small, stages):
 
 def test_one_of_each_group_stays(stages):
     before, after = stages[0][1:3]
-    groups = brute_components([brute_print(r.text or "") for r in before])
+    groups = brute_groups([r.text for r in before])[0]
     assert after == [r for i, r in enumerate(before) if groups[i] == i]
 
 

@@ -2,9 +2,9 @@
 
 Zstandard ratios (raw bytes over compressed bytes) are taken over the whole text and over fixed chunks of
 it. Repetitive text compresses too well, noise too badly. How well ordinary prose compresses depends on its
-length, so the limits are a table of bands by length in bytes; chunks have one band of their own, and a text is
-rejected if the share of its chunks outside that band is too large. Texts shorter than the first band are
-judged by the base rules alone. Everything is computed row by row in Arrow batches: no shuffle, one text in memory
+length, so the limits are a table of bands by length in bytes; chunks have one band of their own, the last one ends with the text, and a
+text is rejected if the share of its chunks outside that band is too large. Texts shorter than a chunk are judged as a whole only, those
+shorter than the first band by the base rules alone. Everything is computed row by row in Arrow batches: no shuffle, one text in memory
 at a time.
 
 Cases: a null or empty text has no words and fails the base rule; ties and repeated rows are judged one by
@@ -34,7 +34,7 @@ class Bands:
         (16384, 1.65, 7.0), (65536, 1.65, 9.0))
     chunk_bytes: int = 2048
     chunk: tuple[float, float] = (1.4, 8.0)
-    odd_chunks: float = 0.5
+    odd_chunks: float = 0.3
     level: int = 3
 
     def band(self, size: int) -> tuple[float, float] | None:
@@ -115,7 +115,10 @@ class Compressor:
         if band is None:
             return whole, 0.0, True
         step, (low, high) = self.bands.chunk_bytes, self.bands.chunk
-        chunks = [self.ratio(raw[i:i + step]) for i in range(0, size - step + 1, step)]
+        starts = list(range(0, size - step + 1, step))
+        if starts and size % step:
+            starts.append(size - step)  # the last piece too, as a chunk of full length
+        chunks = [self.ratio(raw[i:i + step]) for i in starts]
         odd = sum(not low <= r <= high for r in chunks) / len(chunks) if chunks else 0.0
         return whole, odd, band[0] <= whole <= band[1] and odd <= self.bands.odd_chunks
 

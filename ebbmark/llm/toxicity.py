@@ -6,13 +6,13 @@ whole corpus, mixed with that of the learned lexicon, finds the likeliest plain
 its plain forms: distinct words, or stems of words, that are much more frequent in toxic texts, through a logistic function.
 
 What is learned: the character model from all texts (one pass, map-side combination, at most ``Settings.trigrams`` entries
-travel); the lexicon and the logistic function from a bounded sample of labelled texts, about ``Settings.per_class`` of each class, the one
+travel, the most frequent); the lexicon and the logistic function from a bounded sample of labelled texts, about ``Settings.per_class`` of each class, the one
 from seven tenths of the sample and the other from the rest. A lexicon word must occur in a least share of the toxic texts, which
 bounds the lexicon. Scoring is row by row in Arrow batches; whole texts are used.
 
 Cases: a null or empty text has no words and gets the score of a text without lexicon words; without labels of both classes
 every score is the share of label 1 (0 if there are none); a document with several labels counts with each; repeated rows are
-scored one by one; tokens longer than ``LONGEST`` are not decoded but still read as plain words; an empty table gives an empty one;
+scored one by one; tokens and spelled-out runs of any length are decoded, long ones in overlapping pieces; a text of any length is read whole; an empty table gives an empty one;
 other columns are not read.
 """
 
@@ -38,7 +38,8 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 MARKS = "*._-~'`^/\\"
 #: Stripped from both ends of a token before it is looked at.
 EDGES = ".,;:?\"'()[]{}<>|«»“”„…%&#*!-_"
-LONGEST = 40
+#: A lattice of more runs of characters is decoded in pieces that overlap by half.
+PIECE = 48
 LETTERS = 0x250  # the character model covers Latin; others are one class
 LETTER_RUN = re.compile(r"[^\W\d_]+")
 TRIPLE = re.compile(r"(.)\1\1")
@@ -96,8 +97,7 @@ def character_counts(df: DataFrame, settings: Settings) -> DataFrame:
                     total[k] += m
         yield pa.RecordBatch.from_pydict({"code": pa.array(list(total), pa.int64()), "n": pa.array(list(total.values()), pa.int64())})
     counts = stored(df.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "trigrams")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return counts.where(F.col("n") * settings.trigrams >= total)
+    return counts.orderBy(F.desc("n"), "code").limit(settings.trigrams)  # all, where there are no more
 
 
 def language_model(counts: dict[int, int], lexicon: dict[str, float], weight: float) -> dict[int, float]:
@@ -122,10 +122,18 @@ UNKNOWN = math.log(1e-5)
 SUBSTITUTE, COLLAPSE, DROP = math.log(0.3), math.log(0.5), math.log(0.3)
 
 
+def runs_of(token: str) -> list[tuple[str, int]]:
+    """Characters of a token with the lengths of their runs."""
+    return [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", token, re.S)]
+
+
 def decode(token: str, trigrams: dict[int, float]) -> str:
     """The likeliest plain form: a path through the lattice of the token's characters. A state is the last two
     letters; runs of a character may shrink to two or one."""
-    runs = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", token, re.S)]
+    return decode_runs(runs_of(token), trigrams)
+
+
+def decode_runs(runs: list[tuple[str, int]], trigrams: dict[int, float]) -> str:
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     for ch, length in runs:
         options: list[tuple[str, float]] = []
@@ -153,6 +161,8 @@ def decode(token: str, trigrams: dict[int, float]) -> str:
 
 
 STEMS = (4, 5, 6, 7)
+#: So many single characters in a row are taken for a word set apart.
+SPACED = 3
 
 
 def keys(word: str) -> list[str]:
@@ -169,6 +179,21 @@ class Reader:
     def __init__(self, trigrams: dict[int, float], lexicon: dict[str, float] | None = None):
         self.trigrams, self.lexicon = trigrams, lexicon
         self.memo: dict[str, tuple[str, ...]] = {}
+        self.lengths = sorted({len(w) for w in lexicon or () if not w.startswith("^") and len(w) >= STEMS[0]})
+        self.piece = max(PIECE, 2 * max(self.lengths, default=0))
+
+    def inside(self, plain: str) -> Iterator[str]:
+        """Words of the lexicon at any place of letters that were run together."""
+        for n in self.lengths:
+            for i in range(len(plain) - n + 1):
+                if plain[i:i + n] in self.lexicon:
+                    yield plain[i:i + n]
+
+    def pieces(self, runs: list[tuple[str, int]]) -> Iterator[str]:
+        """Plain forms of a lattice of any length; a word of the lexicon lies whole in one of the pieces."""
+        half = self.piece // 2
+        for start in range(0, max(1, len(runs) - half), half):
+            yield decode_runs(runs[start:start + self.piece], self.trigrams)
 
     def weight(self, word: str) -> float:
         return max(self.lexicon.get(k, 0.0) for k in keys(word))
@@ -181,15 +206,15 @@ class Reader:
         if core.isalpha() and not TRIPLE.search(core):
             return (core,)
         words = tuple(LETTER_RUN.findall(core))
-        if len(token) > LONGEST:
-            return words
-        core = token.strip(".,;:?\"'[]{}<>«»“”„…%&#")
-        marks = sum(c in LOOKALIKES for c in core)
-        letters = sum(map(str.isalpha, core))
-        if not letters or not (marks and marks <= letters + 2 or any(c in MARKS for c in core) or TRIPLE.search(core)):
+        runs = runs_of(token.strip(".,;:?\"'[]{}<>«»“”„…%&#"))
+        marks = sum(c in LOOKALIKES for c, _ in runs)
+        letters = sum(c.isalpha() for c, _ in runs)
+        if not letters or not (marks and marks <= letters + 2 or any(c in MARKS for c, _ in runs) or any(n > 2 for _, n in runs)):
             return words
-        plain = decode(core, self.trigrams)
-        return words + (plain,) if len(plain) > 2 else words
+        if len(runs) <= self.piece:
+            plain = decode_runs(runs, self.trigrams)
+            return words + (plain,) if len(plain) > 2 else words
+        return words + tuple(w for plain in self.pieces(runs) for w in self.inside(plain))
 
     def words(self, text: str) -> set[str]:
         tokens = text.lower().split()
@@ -201,7 +226,7 @@ class Reader:
             if t not in memo:
                 memo[t] = self.chosen(self.token(t))
         found = {w for t in distinct for w in memo[t]}
-        if len(tokens) > 3:
+        if len(tokens) >= SPACED:
             single = np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1
             if single.any():
                 found.update(self.chosen(tuple(self.spaced(tokens, single))))
@@ -213,11 +238,16 @@ class Reader:
         return (found[0] if found else 0.0, sum(found[:4]), math.log1p(len(found)))
 
     def spaced(self, tokens: list[str], single: np.ndarray) -> Iterator[str]:
-        """Runs of four or more single characters are read as one word."""
+        """Runs of single characters are read as one word, and words of the lexicon are looked for inside."""
         edges = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-            if 4 <= b - a <= LONGEST:
-                yield decode("".join(tokens[a:b]), self.trigrams)
+            if b - a < SPACED:
+                continue
+            runs = runs_of("".join(tokens[a:b]))
+            for plain in self.pieces(runs):
+                if len(runs) <= self.piece:
+                    yield plain
+                yield from self.inside(plain)
 
 
 def _labelled(df: DataFrame, labels: DataFrame, id: str, text: str, label: str, settings: Settings) -> DataFrame:

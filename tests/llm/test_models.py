@@ -135,6 +135,58 @@ def test_deobfuscation():
     assert "x" * 500 in reader.words("x" * 500)
 
 
+def reading():
+    counts = Counter()
+    for w in ("idiot moron pathetic loser clown scum worthless stupid " * 3 + "the lost mother is a nice lot in town this round other cross you are so very").split():
+        code, n = toxicity.letter_trigrams(w)
+        counts.update(dict(zip(code.tolist(), n.tolist())))
+    return toxicity.language_model(counts, {}, 0.0)
+
+
+def test_words_of_any_length_are_decoded():
+    reader = toxicity.Reader(reading(), {"stupid": 5.0, "idiot": 4.0})
+    spelled = " ".join("you are so very nice but the " * 2 + "stupid" + " mother of this round town is lost").replace("   ", " ")
+    for text in ("stuuuupid", "$tup1d", "s t u p i d", "stu" + "u" * 60 + "pid", "$tup1d" + "!" * 40, spelled, "x-" * 70 + "$tup1d" + "-y" * 70,
+                 " ".join("the" * 40 + "stupid" + "mother" * 40), "stupid", "$tup1d ", "!" * 200 + "$tup1d"):
+        assert reader.features(text)[0] == 5.0, text
+    for text in ("the nice town", "a b c", "x" * 500, "1 2 3 4 5 6", "t h e n i c e t o w n " * 30, "q9-" * 400):
+        assert reader.features(text)[0] == 0.0, text
+
+
+def enumerated(token, trigrams):
+    """Every path through the lattice: plain form and its best log probability."""
+    paths = {("", 0, 0): 0.0}
+    for ch, n in toxicity.runs_of(token):
+        forms = [(c, 0.0) for c in (ch if ch.isalpha() else "")] + [(c, toxicity.SUBSTITUTE) for c in toxicity.LOOKALIKES.get(ch, "")]
+        options = [(c, p + (0.0 if n == 1 else toxicity.COLLAPSE * (2 if n == 2 else 1))) for c, p in forms]
+        options += [(c + c, p + (toxicity.COLLAPSE if n > 2 else 0.0)) for c, p in forms if n > 1]
+        if not ch.isalpha():
+            options.append(("", toxicity.DROP * (1 if ch in toxicity.MARKS or ch == " " else 3)))
+        after = {}
+        for (said, x, y), p in paths.items():
+            for form, cost in options:
+                a, b, q = x, y, p + cost
+                for c in form:
+                    z = toxicity._letter(c)
+                    q += trigrams.get(toxicity._code(a, b, z), toxicity.UNKNOWN)
+                    a, b = b, z
+                key = (said + form, a, b)
+                after[key] = max(q, after.get(key, -math.inf))
+        paths = after
+    best = {}
+    for (said, a, b), p in paths.items():
+        best[said] = max(p + trigrams.get(toxicity._code(a, b, 0), toxicity.UNKNOWN), best.get(said, -math.inf))
+    return best
+
+
+def test_decoder_against_enumeration():
+    trigrams, rng = reading(), random.Random(9)
+    for _ in range(300):
+        token = "".join(rng.choice("stupidonm1!0$@3-*7") * rng.choice([1, 1, 1, 2, 3]) for _ in range(rng.randrange(1, 8)))
+        best = enumerated(token, trigrams)
+        assert best[toxicity.decode(token, trigrams)] == pytest.approx(max(best.values())), token
+
+
 def test_toxicity_held_out(spark, small):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     held = id_remainder(F.col("doc_id"), 5) == 0

@@ -74,6 +74,10 @@ def test_quality_verdicts():
     assert compressor.verdict(prose.encode())[2]
     assert not compressor.verdict(b"buy now cheap " * 300)[2]
     assert not compressor.verdict("".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(20_000)).encode())[2]
+    noise = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(9000))
+    for n, bad in ((2048, 2000), (5000, 5000), (9000, 9000)):  # prose, then noise or one phrase over and over
+        assert compressor.verdict(prose[:n].encode())[2]
+        assert not compressor.verdict((prose[:n] + noise[:bad]).encode())[2] and not compressor.verdict((prose[:n] + "buy now " * (bad // 8)).encode())[2]
     mixed = prose[:3000] + "x" * 12_000  # the whole passes its band, most chunks do not
     assert compressor.verdict(mixed.encode())[1] > 0.5 and not compressor.verdict(mixed.encode())[2]
 

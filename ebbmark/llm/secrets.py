@@ -156,8 +156,8 @@ def redact(df: DataFrame, settings: Settings = Settings(), id: str = "doc_id", t
     runs = joined.groupBy(*KEY, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")) \
         .groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts")) \
         .select(*KEY, "cuts")
-    rows = df.select(F.struct("*").alias("row"), df[id].alias("doc_id"), F.xxhash64(df[text].cast("string")).alias("text_hash"), df[text].cast("string").alias("text"))
-    whole, cuts = F.col("text"), F.col("cuts")
+    rows = df.select(F.struct("*").alias("row"), df[id].alias("doc_id"), F.xxhash64(df[text].cast("string")).alias("text_hash"))
+    whole, cuts = F.col(f"row.`{text}`").cast("string"), F.col("cuts")
     piece = lambda i: F.substring(
         whole, F.coalesce(F.try_element_at(cuts, i)["end"], F.lit(0)).cast("int") + 1,
         (F.coalesce(F.try_element_at(cuts, i + 1)["start"], F.char_length(whole))

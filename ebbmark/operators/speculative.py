@@ -38,9 +38,12 @@ def final_speculative(windows: DataFrame) -> DataFrame:
 
 
 def speculative_updates(events: DataFrame, timeline: DataFrame, strategy: Strategy, tick_ms: int = TICK_MS,
-                        slicing: Slicing = Slicing(UPDATE_SLICE_MS), names_final: bool = True) -> DataFrame:
+                        slicing: Slicing = Slicing(UPDATE_SLICE_MS), names_final: bool = True,
+                        carried: DataFrame | None = None) -> DataFrame:
     """The whole update log: one row per accepted event with the window as of that event.
 
+    ``carried``: windows as earlier events left them (``scope, key, window_end, n, sum_1, sum_2, first_arrival``), which the updates go on from.
+
     ``is_final`` follows the wall-clock rule and may never become true; ``is_closed`` says whether
     the watermark had passed the window when the update came. ``names_final``: whether updates past that rule
     are named as final, as smart-home results are and taxi results are not.
@@ -55,6 +58,12 @@ def speculative_updates(events: DataFrame, timeline: DataFrame, strategy: Strate
     seen = running(rows, ["strategy", "key", "window_end"], ["arrival_time", "event_id"],
                    {"update_count": ("count", "*"), "_s1": ("sum", "_r1"), "_s2": ("sum", "_r2"),
                     "_first": ("first", "arrival_time")}, slicing, exclusive=False)
+    if carried is not None:
+        before = carried.select("scope", "key", "window_end", F.col("n").alias("_n0"), F.col("sum_1").alias("_p1"), F.col("sum_2").alias("_p2"),
+                                F.col("first_arrival").alias("_first0"))
+        seen = seen.join(before, ["scope", "key", "window_end"], "left").withColumns({
+            "update_count": F.col("update_count") + F.coalesce("_n0", F.lit(0)), "_s1": F.col("_s1") + F.coalesce("_p1", F.lit(0.0)),
+            "_s2": F.col("_s2") + F.coalesce("_p2", F.lit(0.0)), "_first": F.coalesce("_first0", "_first")})
     delay = F.coalesce(F.greatest(F.lit(0).cast("long"), F.col("wm_before") - F.col("window_end")),
                        F.lit(0).cast("long"))
     is_final = F.col("arrival_time") - F.col("window_end") > FINAL_AFTER_MS

@@ -7,7 +7,7 @@ the first emission. Events of a tick are judged against ``wm_before``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ebbmark.functions.delays import draw
 from ebbmark.functions.scalars import bucket
@@ -77,8 +77,8 @@ def widened(timeline: DataFrame, strategies: list[Strategy]) -> DataFrame:
         F.max(F.when(F.col("strategy") == s.name, F.col("wm"))).alias(n) for s, n in zip(strategies, slots(strategies))])
 
 
-def combine_scopes(wide: DataFrame, strategies: list[Strategy], idle_ms: int, tick_ms: int = TICK_MS) -> DataFrame:
-    """One watermark for the stream: the least over its scopes, leaving out idle ones.
+def least_over_scopes(wide: DataFrame, strategies: list[Strategy], idle_ms: int, tick_ms: int = TICK_MS) -> DataFrame:
+    """Per tick the least watermark over the scopes that are not idle, before it is made monotone.
 
     ``wide`` has the watermark of each strategy after each tick of a scope. A scope holds it for
     ``idle_ms`` after its last event and is then left out until it speaks again, so a row covers at
@@ -86,11 +86,20 @@ def combine_scopes(wide: DataFrame, strategies: list[Strategy], idle_ms: int, ti
     yet holds the combined watermark back.
     """
     names = slots(strategies)
-    hold = max(1, -(-idle_ms // tick_ms))
-    # A scope's watermark never falls, so the greatest one still held is also its latest.
-    covered = (wide.select("scope", *names,
-                           F.explode(F.sequence(F.col("tick"), F.col("tick") + F.lit(hold - 1))).alias("tick"))
-               .groupBy("scope", "tick").agg(*[F.max(n).alias(n) for n in names]))
-    least = covered.groupBy("tick").agg(*[
+    hold = held_ticks(idle_ms, tick_ms)
+    # A scope's watermark never falls, so the greatest one still held is also its latest. Each row holds until the scope's next.
+    following = F.lead("tick").over(Window.partitionBy("scope").orderBy("tick"))
+    until = F.least(F.col("tick") + F.lit(hold - 1), F.coalesce(following - 1, F.col("tick") + F.lit(hold - 1)))
+    covered = wide.withColumn("_until", until).select(*names, F.explode(F.sequence("tick", "_until")).alias("tick"))
+    return covered.groupBy("tick").agg(*[
         F.when(F.count(n) == F.count(F.lit(1)), F.min(n)).alias(n) for n in names])
+
+
+def held_ticks(idle_ms: int, tick_ms: int = TICK_MS) -> int:
+    return max(1, -(-idle_ms // tick_ms))
+
+
+def combine_scopes(wide: DataFrame, strategies: list[Strategy], idle_ms: int, tick_ms: int = TICK_MS) -> DataFrame:
+    """One watermark for the stream: the least over its scopes, leaving out idle ones, never going back."""
+    least = least_over_scopes(wide, strategies, idle_ms, tick_ms)
     return monotone(least.withColumn("scope", F.lit("all")), strategies)

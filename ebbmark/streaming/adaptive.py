@@ -1,31 +1,49 @@
-"""Windows under any strategy as one stateful operator, with lateness judged here.
+"""Windows under any policy over a stream, micro-batch by micro-batch, equal to the backtest tick for tick.
 
-A native watermark has one fixed delay per query and drops late rows one by one, so adaptive slack
-cannot use it. The operator below runs without one (``timeMode="None"``): per scope it keeps the
-strategy's controller and the open windows, takes the rows of a micro-batch in arrival order, moves
-the watermark on every tick, drops events whose window is closed and emits windows as they close.
-State per scope is the controller plus the open windows; scopes run in parallel.
+A native watermark has one fixed delay per query and drops late rows one by one, so adaptive slack cannot use it. Here a
+stream's micro-batches pass through ``foreachBatch`` and the same frames as in a backtest: the policy's controller follows each scope (a source split, or a
+key) in order, which is the only Python code; the least watermark over the splits that are not idle is carried from tick to tick; events are combined
+per tick and window, judged, merged into the table of open windows, and windows that the watermark passed are emitted. A speculative policy
+emits every update, numbered on from the window's earlier ones, with the latencies of its first.
+
+What has to outlive a micro-batch is a set of small tables, one version per batch: controllers, watermarks that idleness may still need, the events of the tick
+that has not ended, open windows. A batch reads the version before its own and writes its own, so a batch that is repeated after a failure gives the same
+answer, and a restarted query goes on. Versions before the last may be deleted.
+
+Order: the clock is the arrival time of events. Ticks before the newest arrival have ended when a micro-batch has been read; an event that turns up later
+with an arrival time in an ended tick is taken as arriving in the first tick that has not ended.
 """
 
 from __future__ import annotations
 
 import json
-import time
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ebbmark.operators.adwin import Adwin, SlackController
-from ebbmark.operators.speculative import FINAL_AFTER_MS
+from ebbmark.operators.speculative import speculative_updates
+from ebbmark.operators.timeline import held_ticks, least_over_scopes, monotone, with_scope, with_tick
+from ebbmark.operators.windows import fired_windows, firings, judged, per_tick_windows
 from ebbmark.params import SAMPLES, Strategy, TICK_MS
 
 OUTPUT = ("kind string, strategy string, key string, window_end long, event_count long, avg_1 double, avg_2 double, "
           "fire_time long, decisional_latency_ms long, true_latency_ms long, window_delay_ms long, "
           "update_count long, is_final boolean")
 _NAMES = [c.split()[0] for c in OUTPUT.split(", ")]
+EVENTS = "event_id long, key string, reading_1 double, reading_2 double, event_time long, arrival_time long"
+_EVENT = [c.split()[0] for c in EVENTS.split(", ")]
+#: The tables that outlive a micro-batch.
+STATE = {
+    "events": EVENTS,                                           # of the tick that has not ended
+    "control": "scope string, state string",
+    "held": "scope string, tick long, wm_0 long",               # watermarks of splits that may still hold the others back
+    "clock": "done long, wm long",                              # the last ended tick and the combined watermark after it
+    "open": "scope string, key string, window_end long, n long, sum_1 double, sum_2 double, last_arrival long, first_arrival long, last_wm_before long",
+}
 
 
 class SteadyController:
@@ -122,95 +140,141 @@ def controller_of(strategy: Strategy):
     return kinds[strategy.kind](strategy)
 
 
-class TickWindows(StatefulProcessor):
-    def __init__(self, strategy: Strategy, tick_ms: int, replay: bool):
-        self.s = strategy
-        self.tick_ms = tick_ms
-        self.replay = replay
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.control = handle.getValueState("control", "state string")
-        self.open = handle.getMapState("open", "key string, window_end long",
-                                       "n long, s1 double, s2 double, last_arrival long, first long, delay_wm long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        control = controller_of(self.s)
-        tick = None
-        if self.control.exists():
-            saved = json.loads(self.control.get()[0])
-            tick = saved.pop("tick")
-            control.load(saved)
-        windows = {tuple(k): list(v) for k, v in self.open.iterator()}
-        touched, gone = set(), set()
-        out: list[tuple] = []
-        batch = pd.concat(list(rows)).sort_values(["arrival_time", "event_id"])
-        fields = [batch[c].tolist() for c in ("key", "event_time", "arrival_time", "reading_1", "reading_2")]
-        for name, event_time, arrival, r1, r2 in zip(*fields):
-            now = arrival // self.tick_ms
-            if tick is not None and now != tick:
-                control.emit()
-                self._close(windows, gone, control.wm, (tick + 1) * self.tick_ms, out)
-            tick = now
-            control.observe(event_time, arrival)
-            end = (event_time // self.s.window_ms + 1) * self.s.window_ms
-            if control.wm is not None and end - 1 + self.s.lateness_ms <= control.wm:
-                out.append(("late", self.s.name, name, end, 1, None, None, arrival, None, None, None, None, None))
-                continue
-            place = (name, end)
-            w = windows.get(place)
-            if w is None:
-                w = windows[place] = [0, 0.0, 0.0, 0, self._clock(arrival) - end, None]
-            gone.discard(place)
-            touched.add(place)
-            w[0] += 1
-            w[1] += 0.0 if r1 is None or r1 != r1 else r1
-            w[2] += 0.0 if r2 is None or r2 != r2 else r2
-            w[3] = max(w[3], arrival)
-            if self.s.kind == "speculative":
-                out.append(self._update(name, end, w, arrival, control.wm))
-        for place in touched - gone:
-            self.open.updateValue(place, tuple(windows[place]))
-        for place in gone:
-            if self.open.containsKey(place):
-                self.open.removeKey(place)
-        self.control.update((json.dumps({**control.save(), "tick": tick}),))
-        if out:
-            frame = pd.DataFrame.from_records(out, columns=_NAMES)
-            for c in ("decisional_latency_ms", "true_latency_ms", "window_delay_ms", "update_count"):
-                frame[c] = frame[c].astype("Int64")
-            frame["is_final"] = frame["is_final"].astype("boolean")
-            yield frame
-
-    def _clock(self, replayed: int) -> int:
-        return replayed if self.replay else int(time.time() * 1000)
-
-    def _close(self, windows: dict, gone: set, wm: int | None, fired: int, out: list) -> None:
-        if wm is None:
-            return
-        for place in [p for p in windows if p[1] - 1 + self.s.lateness_ms <= wm]:
-            w = windows.pop(place)
-            gone.add(place)
-            if self.s.kind != "speculative":
-                now = self._clock(fired)
-                out.append(("result", self.s.name, place[0], place[1], w[0], w[1] / w[0], w[2] / w[0], now,
-                            now - place[1], now - w[3], max(0, wm - place[1]), 1, True))
-
-    def _update(self, name: str, end: int, w: list, arrival: int, wm: int | None) -> tuple:
-        now = self._clock(arrival)
-        delay = 0 if wm is None else max(0, wm - end)
-        return ("result", self.s.name, name, end, w[0], w[1] / w[0], w[2] / w[0], now, w[4], now - w[3], delay, w[0],
-                now - end > FINAL_AFTER_MS)
-
-    def close(self) -> None:
-        pass
-
-
-def tick_windows(events: DataFrame, strategy: Strategy, scope: str = "scope", tick_ms: int = TICK_MS,
-                 replay: bool = False) -> DataFrame:
-    """Stream window results (``kind = 'result'``) and dropped events (``kind = 'late'``).
-
-    Latencies use the wall clock, or with ``replay`` the arrival clock of the events.
+TICKS = "scope string, tick long, before long, wm_0 long, state string"
+
+
+def controlled(events: DataFrame, control: DataFrame, strategy: Strategy) -> DataFrame:
+    """Watermarks of a policy around each tick of a scope, going on from ``control``; one more row per scope (without tick) has the
+    controller's state after its events."""
+    saved = control.select("scope", F.lit(-1).cast("long").alias("tick"), F.lit(None).cast("long").alias("event_time"),
+                           F.lit(None).cast("long").alias("arrival_time"), F.lit(-1).cast("long").alias("event_id"), "state")
+    rows = events.select("scope", "tick", "event_time", "arrival_time", "event_id", F.lit(None).cast("string").alias("state")).unionByName(saved)
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        control, tick, rows = controller_of(strategy), None, []
+
+        def close() -> None:
+            before = control.wm
+            control.emit()
+            rows.append((key[0], tick, before, control.wm, None))
+
+        seen = False
+        for batch in batches:
+            for now, event_time, arrival, state in zip(batch["tick"].tolist(), batch["event_time"].tolist(), batch["arrival_time"].tolist(), batch["state"].tolist()):
+                if now == -1:  # sorted first
+                    control.load(json.loads(state))
+                    continue
+                if tick is not None and now != tick:
+                    close()
+                tick, seen = now, True
+                control.observe(int(event_time), int(arrival))
+            if rows:
+                yield _tick_frame(rows)
+                rows.clear()
+        if seen:
+            close()
+        rows.append((key[0], None, None, None, json.dumps(control.save())))
+        yield _tick_frame(rows)
+
+    tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "scope").sortWithinPartitions("scope", "tick", "arrival_time", "event_id") \
+        .groupBy("scope").applyInPandas(fold, TICKS)
+
+
+def _tick_frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame.from_records(rows, columns=[c.split()[0] for c in TICKS.split(", ")])
+    for name in ("tick", "before", "wm_0"):
+        frame[name] = frame[name].astype("Int64")
+    return frame
+
+
+@dataclass(frozen=True)
+class TickStream:
+    """One policy over a stream of events, with its state under ``folder``.
+
+    ``by`` is ``split`` (one watermark for the stream, the least over ``splits`` source splits, where a split is idle after ``idle_ms`` without an event)
+    or ``key`` (a watermark per key).
     """
-    columns = [scope, "key", "event_id", "event_time", "arrival_time", "reading_1", "reading_2"]
-    return (events.select(*columns).groupBy(scope)
-            .transformWithStateInPandas(TickWindows(strategy, tick_ms, replay), OUTPUT, "Append", "None"))
+
+    spark: SparkSession
+    strategy: Strategy
+    folder: str
+    by: str = "split"
+    splits: int = 64
+    idle_ms: int = 1000
+    tick_ms: int = TICK_MS
+
+    def writer(self, sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+        """For ``foreachBatch``: results (``kind = 'result'``) and dropped events per window (``'late'``) of each micro-batch go to ``sink``."""
+        return lambda batch, number: sink(self.step(batch, number), number)
+
+    def _read(self, spark: SparkSession, name: str, number: int) -> DataFrame:
+        if number < 0:
+            return spark.createDataFrame([], STATE[name])
+        return spark.read.schema(STATE[name]).parquet(f"{self.folder}/{name}/batch={number}")
+
+    def _write(self, frame: DataFrame, name: str, number: int, schema: str | None = None) -> DataFrame:
+        path = f"{self.folder}/{name}/batch={number}"
+        frame.write.mode("overwrite").parquet(path)
+        return frame.sparkSession.read.schema(schema or STATE.get(name) or frame.schema).parquet(path)
+
+    def step(self, batch: DataFrame, number: int) -> DataFrame:
+        """The output rows of micro-batch ``number``."""
+        spark, s = batch.sparkSession, self.strategy
+        before = {name: self._read(spark, name, number - 1) for name in STATE}
+        clock = before["clock"].first()
+        done, last_wm = (clock.done, clock.wm) if clock else (None, None)
+        rows = batch.select(*_EVENT)
+        if done is not None:
+            rows = rows.withColumn("arrival_time", F.greatest("arrival_time", F.lit((done + 1) * self.tick_ms)))
+        rows = self._write(with_tick(rows.unionByName(before["events"]), self.tick_ms), "read", number)
+        newest = rows.agg(F.max("tick")).first()[0]
+        now = newest if newest is not None else (done + 1 if done is not None else 0)
+        ended = with_scope(rows.where(F.col("tick") < now), self.by, self.splits)
+        self._write(rows.where(F.col("tick") >= now).select(*_EVENT), "events", number)
+
+        ticks = self._write(controlled(ended, before["control"], s), "ticks", number)
+        self._write(ticks.where(F.col("tick").isNull()).select("scope", "state"), "control", number)
+        steps = ticks.where(F.col("tick").isNotNull())
+        if self.by == "key":
+            self._write(before["held"], "held", number)
+            timeline = steps.select(F.lit(s.name).alias("strategy"), "scope", "tick", F.col("before").alias("wm_before"), F.col("wm_0").alias("wm"))
+        else:
+            timeline = self._combined(steps, before["held"], done, last_wm, now, number)
+        timeline = self._write(timeline, "timeline", number)
+        end = last_wm if self.by == "key" else timeline.agg(F.max("wm")).first()[0]
+        end = last_wm if end is None else end
+        self._write(spark.createDataFrame([(now - 1, end)], STATE["clock"]), "clock", number)
+
+        events = ended if self.by == "key" else ended.withColumn("scope", F.lit("all"))
+        decided = judged(per_tick_windows(events, s.window_ms, self.tick_ms), timeline, [s])
+        names = [c for c in before["open"].columns if c not in ("scope", "key", "window_end")]
+        kept = decided.where("accepted").withColumn("last_wm_before", F.col("wm_before")).select("scope", "key", "window_end", *names)
+        total = {"n": F.sum, "sum_1": F.sum, "sum_2": F.sum, "last_arrival": F.max, "first_arrival": F.min, "last_wm_before": F.max}
+        merged = self._write(kept.unionByName(before["open"]).groupBy("scope", "key", "window_end").agg(*[f(n).alias(n) for n, f in total.items()]), "merged", number)
+        late = decided.where("NOT accepted").groupBy("key", "window_end").agg(F.sum("n").alias("event_count"), F.max("last_arrival").alias("fire_time")) \
+            .withColumn("kind", F.lit("late")).withColumn("strategy", F.lit(s.name))
+        if s.kind == "speculative":
+            reached = timeline.groupBy("scope").agg(F.max("wm").alias("_wm"))
+            left = merged.join(reached, "scope", "left").where(F.col("_wm").isNull() | (F.col("window_end") - 1 + s.lateness_ms > F.col("_wm")))
+            out = speculative_updates(events, timeline, s, self.tick_ms, carried=before["open"])
+        else:
+            windows = merged.select(F.lit(s.name).alias("strategy"), "scope", "key", "window_end", F.col("n").alias("event_count"),
+                                    (F.col("sum_1") / F.col("n")).alias("avg_1"), (F.col("sum_2") / F.col("n")).alias("avg_2"), "last_arrival")
+            fires = self._write(firings(windows, timeline, s.window_ms, self.tick_ms), "fires", number)
+            left = merged.join(fires.select("scope", "window_end"), ["scope", "window_end"], "left_anti")
+            out = fired_windows(windows, fires)
+        self._write(left.select(*before["open"].columns), "open", number)
+        shown = out.withColumn("kind", F.lit("result")).unionByName(late, allowMissingColumns=True)
+        return shown.select(*_NAMES)
+
+    def _combined(self, steps: DataFrame, held: DataFrame, done: int | None, last_wm: int | None, now: int, number: int) -> DataFrame:
+        """The stream's watermark around each ended tick: the least over splits, which goes on from the last batch."""
+        known = self._write(steps.select("scope", "tick", "wm_0").unionByName(held), "known", number, STATE["held"])
+        # A split is looked back for as long as it may hold the others back.
+        self._write(known.where(F.col("tick") >= now - held_ticks(self.idle_ms, self.tick_ms)), "held", number)
+        least = least_over_scopes(known, [self.strategy], self.idle_ms, self.tick_ms).where((F.col("tick") < now) & (F.col("tick") > (-1 if done is None else done)))
+        if done is not None:
+            least = least.unionByName(steps.sparkSession.createDataFrame([(done, last_wm)], "tick long, wm_0 long"))
+        whole = monotone(least.withColumn("scope", F.lit("all")), [self.strategy])
+        return whole if done is None else whole.where(F.col("tick") > done)

@@ -2,7 +2,7 @@
 
 Spark keeps one watermark per query and judges lateness per window. Its late filter uses the
 watermark of the previous micro-batch, so an event may still be counted one batch after its window
-closes by the formula; exact per-tick behaviour is what the backtests and ``tick_windows`` give.
+closes by the formula; exact per-tick behaviour is what the backtests and ``adaptive.TickStream`` give.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def stream_windows(events: DataFrame, strategy: Strategy) -> tuple[DataFrame, st
         return windowed(events, strategy.window_ms, strategy.slack_ms), "append"
     if strategy.kind == "speculative":
         return windowed(events, strategy.window_ms, strategy.lateness_ms), "update"
-    raise ValueError("adaptive strategies stream through tick_windows")
+    raise ValueError("adaptive strategies stream through adaptive.TickStream")
 
 
 def with_latencies(batch: DataFrame, strategy: Strategy) -> DataFrame:

@@ -6,20 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ebbmark import params
 from ebbmark.functions.delays import draw
-from ebbmark.operators.timeline import with_scope
-from ebbmark.plans import metrics
-from ebbmark.session import SETTINGS, shared_folder
+from ebbmark.plans import backtest, metrics
+from ebbmark.session import shared_folder, stored
 from ebbmark.sources import sinks, streams, tables
 from ebbmark.streaming import adaptive, native
-from oracles import base
+from oracles import adwin as adwin_sql, base
 from registry.core import query
-
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-
-
-def _stream(spark: SparkSession, folder: str, to_readings) -> DataFrame:
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    return to_readings(spark.readStream.schema(schema).parquet(f"{folder}/events*.parquet"))
+from registry.watermarks import DEFAULT, SPLITS
 
 
 def _drained(stream: DataFrame, mode: str) -> DataFrame:
@@ -96,30 +89,46 @@ def stream_json_folder(spark, folder):
 
 
 _COLUMNS = "key, window_end, event_count, avg_1, avg_2, fire_time, decisional_latency_ms, true_latency_ms, window_delay_ms, update_count"
-
-
-def _stateful(name: str, strategy: params.Strategy, to_readings, ctes: list[str], final: str) -> None:
-    @query(name, base.statement(ctes, final))
+# Streams by ticks take the readings in arrival order, in deliveries of ten days; the query stops after each and a new one goes on from the
+# checkpoint. A heartbeat behind the last event ends its tick; it is never counted itself.
+ARRIVALS_MS, ARRIVALS, HEARTBEAT_MS = 10 * 86_400_000, 3, 60_000
+EVENT = ["event_id", "key", "reading_1", "reading_2", "event_time", "arrival_time"]
+
+
+def _by_ticks(spark: SparkSession, folder: str, strategy: params.Strategy, to_readings, write, **how) -> None:
+    readings = stored(to_readings(tables.events_table(spark, folder)).select(*EVENT), "stream-readings")
+    inbox, checkpoint, state = (shared_folder(spark, f"stream-{n}") for n in ("inbox", "checkpoint", "state"))
+    heartbeat = readings.groupBy().agg(F.max("event_id") + 1, F.lit("heartbeat"), F.lit(0.0), F.lit(0.0), F.max("event_time"), F.max("arrival_time") + HEARTBEAT_MS).toDF(*EVENT)
+    slot = F.least(F.expr(f"(arrival_time - {tables.REPLAY_START_MS}L) div {ARRIVALS_MS}L"), F.lit(ARRIVALS - 1).cast("long"))
+    for number in range(ARRIVALS):
+        part = readings.where(slot == number)
+        (part.unionByName(heartbeat) if number == ARRIVALS - 1 else part).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(readings.schema).option("maxFilesPerTrigger", 1_000_000).parquet(inbox)
+        ticks = adaptive.TickStream(spark, strategy, state, **how)
+        native.start(stream, ticks.writer(write), "append", checkpoint).awaitTermination()
+
+
+def _ticked(name: str, strategy: params.Strategy, to_readings, sql: str, columns: list[str], **how) -> None:
+    @query(name, sql)
     def build(spark, folder):
-        spark.conf.set(PROVIDER, SETTINGS[PROVIDER])
-        rows = with_scope(_stream(spark, folder, to_readings), "key")
-        out = _drained(adaptive.tick_windows(rows, strategy, replay=True), "append")
-        return out.where(F.col("kind") == "result").select(*_COLUMNS.split(", "))
+        out = shared_folder(spark, "stream-out")
+        _by_ticks(spark, folder, strategy, to_readings, native.into_folder(out), **how)
+        return spark.read.parquet(out).where(F.col("kind") == "result").select(*columns)
+
 
+def _stateful(name: str, strategy: params.Strategy, to_readings, ctes: list[str], source: str) -> None:
+    _ticked(name, strategy, to_readings, base.statement(ctes, f"SELECT {_COLUMNS} FROM {source}"), _COLUMNS.split(", "), by="key")
 
-# The last tick of a key has not ended yet, so what would fire then is still open.
-_FIRED = f"""SELECT {_COLUMNS} FROM results JOIN (SELECT key AS k, max(arrival_time) // 200 * 200 AS last_tick FROM ev GROUP BY key)
-    ON key = k WHERE fire_time <= last_tick"""
 
 _stateful("stream_house_mean_shift", params.house_mean_shift(1000), tables.sensor_readings,
-          base.house_ctes([base.HOUSE_STRATEGIES[2]], scope="key"), _FIRED)
+          base.house_ctes([base.HOUSE_STRATEGIES[2]], scope="key"), "results")
 _stateful("stream_taxi_mean_shift", params.taxi_mean_shift(3, 60), tables.taxi_trips,
-          base.taxi_ctes([base.TAXI_STRATEGIES[2]], scope="key"), _FIRED)
+          base.taxi_ctes([base.TAXI_STRATEGIES[2]], scope="key"), "results")
 # Few houses, so that each outlasts its warm-up of 500 events.
 _stateful("stream_house_adwin_settled", params.house_adwin(1.0, 0.1), lambda events: tables.sensor_readings(events, houses=10),
-          base.house_ctes([base.adwin_settled("adaptive_real_adwin_L100_dd10", 1000, 1000, 8000)], scope="key", houses=10), _FIRED)
+          base.house_ctes([base.adwin_settled("adaptive_real_adwin_L100_dd10", 1000, 1000, 8000)], scope="key", houses=10), "results")
 _stateful("stream_taxi_speculative_updates", params.taxi_speculative(3), tables.taxi_trips,
-          base.taxi_ctes([base.fixed("taxi_speculative_m3", 0)], scope="key"), f"SELECT {_COLUMNS} FROM updates")
+          base.taxi_ctes([base.fixed("taxi_speculative_m3", 0)], scope="key"), "updates")
 
 
 @query("stream_house_upsert", base.statement(
@@ -127,10 +136,15 @@ _stateful("stream_taxi_speculative_updates", params.taxi_speculative(3), tables.
     "SELECT time_ms, house_id, pachete_count, avg_temp, update_count FROM metrics"))
 def stream_house_upsert(spark, folder):
     """Speculative updates streamed into the upsert table; the view shows the last version of each window."""
-    spark.conf.set(PROVIDER, SETTINGS[PROVIDER])
-    rows = with_scope(_stream(spark, folder, tables.sensor_readings), "key")
-    updates = adaptive.tick_windows(rows, params.house_speculative(), replay=True).where(F.col("kind") == "result")
     path = shared_folder(spark, "upsert-stream")
-    native.start(metrics.to_house_metrics(updates), sinks.upsert_house_metrics(path), "append").awaitTermination()
+    upsert = sinks.upsert_house_metrics(path)
+    _by_ticks(spark, folder, params.house_speculative(), tables.sensor_readings,
+              lambda batch, number: upsert(metrics.to_house_metrics(batch.where("kind = 'result'").drop("kind")), number), by="key")
     return sinks.latest_house_metrics(spark, path).select(
         F.unix_millis("time").alias("time_ms"), "house_id", "pachete_count", "avg_temp", "update_count")
+
+
+# One watermark for the stream: the least over source splits, each with its own controller, windows across splits.
+_ticked("stream_house_adwin_splits", DEFAULT, tables.sensor_readings, base.statement(
+    base.house_ctes([adwin_sql.combined(DEFAULT, 5)], adaptive=[DEFAULT], splits=SPLITS), f"SELECT {', '.join(backtest.RESULT)} FROM results"),
+    backtest.RESULT, by="split", splits=SPLITS, idle_ms=1000)

@@ -1,6 +1,7 @@
 """Streams over pinned file batches."""
 
 
+import pytest
 from pyspark.sql import functions as F
 
 from ebbmark import params
@@ -50,41 +51,99 @@ def test_speculative_stream_updates_each_batch(spark, events):
     assert shown.strategy == "speculative" and shown.decisional_latency_ms > 0
 
 
-def _expected(frame, strategy, rows):
-    last = {}
-    for r in rows:
-        last[r[1]] = max(last.get(r[1], 0), r[3] // 200 * 200)
-    windows = backtest.run(frame, [strategy], backtest.Settings(scope="key")).windows.collect()
-    return {(r.key, r.window_end): (r.event_count, r.fire_time, r.window_delay_ms) for r in windows
-            if r.fire_time <= last[r.key]}
+def run_ticks(spark, strategy, folder, places, sink=None, **how):
+    """Drain what is in the folder through a query that may be a restart."""
+    state, checkpoint, path = places
+    stream = adaptive.TickStream(spark, strategy, state, **how)
+    write = stream.writer(sink or native.into_folder(path))
+    native.start(source(spark, folder), write, "append", checkpoint).awaitTermination()
 
 
-def test_adaptive_streams_equal_the_backtest_across_batches_and_restart(spark, events):
+def places(spark):
+    return [shared_folder(spark, n) for n in ("state", "cp", "out")]
+
+
+def _expected(frame, strategy, rows, settings):
+    last = max(r[3] for r in rows) // 200 * 200
+    run = backtest.run(frame, [strategy], settings)
+    windows = {(r.key, r.window_end): (r.event_count, r.avg_1, r.fire_time, r.window_delay_ms, r.true_latency_ms) for r in run.windows.collect() if r.fire_time <= last}
+    return windows
+
+
+def _got(out):
+    results = out.where("kind = 'result'").collect()
+    got = {(r.key, r.window_end): (r.event_count, r.avg_1, r.fire_time, r.window_delay_ms, r.true_latency_ms) for r in results}
+    assert len(got) == len(results)
+    return got
+
+
+@pytest.mark.parametrize("by", ["key", "split"])
+def test_adaptive_streams_equal_the_backtest_across_batches_and_restart(spark, events, by):
     rows = in_order(arrivals(21, 3_000, keys=2))
-    for strategy in (params.house_mean_shift(500), params.house_adwin(0.01, 0.1)):
-        folder = batches(spark, events, rows[:2_000], [700, 13, 1_287])
-        checkpoint, path = shared_folder(spark, "cp"), shared_folder(spark, "out")
-        stream = adaptive.tick_windows(with_scope(source(spark, folder), "key"), strategy, replay=True)
-        drain(stream, "append", checkpoint, path)
+    scope = backtest.Settings(scope="key") if by == "key" else backtest.Settings(scope="split", splits=3)
+    for strategy in (params.house_adwin(0.01, 0.1), params.house_mean_shift(500)):
+        folder, at = batches(spark, events, rows[:2_000], [700, 1_300]), places(spark)
+        run_ticks(spark, strategy, folder, at, by=by, splits=3)
         # More data arrives; a new query goes on from the checkpoint.
         events(rows[2_000:]).coalesce(1).write.mode("append").parquet(folder)
-        stream = adaptive.tick_windows(with_scope(source(spark, folder), "key"), strategy, replay=True)
-        out, _ = drain(stream, "append", checkpoint, path)
-        results = out.where("kind = 'result'").collect()
-        got = {(r.key, r.window_end): (r.event_count, r.fire_time, r.window_delay_ms) for r in results}
-        assert got == _expected(events(rows), strategy, rows) and len(got) == len(results)
-        assert out.where("kind = 'late'").count() > 0
+        run_ticks(spark, strategy, folder, at, by=by, splits=3)
+        out = spark.read.parquet(at[2])
+        assert _got(out) == _expected(events(rows), strategy, rows, scope) != {}
+        late = out.where("kind = 'late'").agg(F.sum("event_count")).first()[0]
+        last = max(r[3] for r in rows) // 200 * 200
+        assert late == backtest.run(events([r for r in rows if r[3] < last]), [strategy], scope).late.agg(F.sum("dropped")).first()[0]
+
+
+def test_a_repeated_batch_gives_the_same_answer(spark, events):
+    rows = in_order(arrivals(22, 900, keys=2))
+    seen = []
+
+    def write(batch, number):
+        seen.append((number, sorted(map(str, batch.collect()))))
+    stream = adaptive.TickStream(spark, params.house_mean_shift(500), shared_folder(spark, "state"), splits=3)
+    for number in (0, 1, 1):
+        stream.writer(write)(events(rows[450 * number:450 * (number + 1)]), number)
+    assert seen[1] == seen[2] and seen[1][1]
+
+
+def test_a_silent_split_holds_the_others_back_until_it_is_idle(spark, events):
+    split = {r.event_id: r.scope for r in with_scope(events([(i, "a", 0, 0) for i in range(400)]), "split", 2).collect()}
+    busy = [i for i in range(400) if split[i] == split[0]][:150]
+    quiet = next(i for i in range(400) if split[i] != split[0])
+    rows = sorted([(quiet, "a", 1_000, 1_000)] + [(i, "a", 1_000 + 100 * k, 1_000 + 100 * k) for k, i in enumerate(busy)], key=lambda r: (r[3], r[0]))
+    naive = params.Strategy("naive", "fixed", 1_000, offset_ms=1)
+    for idle_ms in (1_000, 5_000):
+        folder, at = batches(spark, events, rows, [30, 60, len(rows) - 90]), places(spark)
+        run_ticks(spark, naive, folder, at, splits=2, idle_ms=idle_ms)
+        first = spark.read.parquet(at[2]).where("kind = 'result'").agg(F.min("fire_time")).first()[0]
+        # The window of the silent split's event fires in the first tick in which that split no longer counts.
+        assert first == 1_000 + idle_ms + 200, (idle_ms, first)
+
+
+def test_speculative_updates_are_numbered_over_batches(spark, events):
+    rows = in_order(arrivals(5, 300, keys=2))
+    folder, at = batches(spark, events, rows, [100, 100]), places(spark)
+    run_ticks(spark, params.house_speculative(), folder, at, splits=1)
+    events(rows[200:]).coalesce(1).write.mode("append").parquet(folder)
+    run_ticks(spark, params.house_speculative(), folder, at, splits=1)
+    by = {}
+    for r in spark.read.parquet(at[2]).where("kind = 'result'").collect():
+        by.setdefault((r.key, r.window_end), []).append(r)
+    assert max(map(len, by.values())) > 5
+    for found in by.values():
+        assert sorted(r.update_count for r in found) == list(range(1, len(found) + 1))
+        assert len({r.decisional_latency_ms for r in found}) == 1
 
 
 def test_upsert_view_keeps_the_last_version(spark, events):
     rows = in_order(arrivals(5, 300, keys=2))
-    folder = batches(spark, events, rows, [100, 100, 100])
-    updates = adaptive.tick_windows(with_scope(source(spark, folder), "key"), params.house_speculative(), replay=True)
+    rows.append((9_999, "zz", rows[-1][3], rows[-1][3] + 10_000))  # ends the tick of the others
+    folder, at = batches(spark, events, rows, [100, 100, 101]), places(spark)
     path = shared_folder(spark, "upsert")
-    native.start(metrics.to_house_metrics(updates.where("kind = 'result'")), sinks.upsert_house_metrics(path),
-                 "append").awaitTermination()
+    write = sinks.upsert_house_metrics(path)
+    run_ticks(spark, params.house_speculative(), folder, at, by="key", sink=lambda batch, number: write(metrics.to_house_metrics(batch.where("kind = 'result'").drop("kind")), number))
     view = sinks.latest_house_metrics(spark, path)
-    finals = backtest.run(events(rows), [params.house_speculative()], backtest.Settings(scope="key")).windows
+    finals = backtest.run(events(rows[:-1]), [params.house_speculative()], backtest.Settings(scope="key")).windows
     assert {(r.house_id, r.pachete_count) for r in view.collect()} == {(r.key, r.event_count) for r in finals.collect()}
     assert view.count() == view.select("house_id", "time").distinct().count()
 

@@ -75,8 +75,9 @@ def main() -> int:
               + (f" types {odd}" if odd else ""), flush=True)
         if not same:
             bad += 1
-            extra = [x for x in a if x not in set(b)][:3] if all(map(_hashable, b)) else a[:3]
-            missing = [x for x in b if x not in set(a)][:3] if all(map(_hashable, a)) else b[:3]
+            here, there = (set(x) if all(map(_hashable, x)) else None for x in (a, b))
+            extra = a[:3] if here is None or there is None else [x for x in a if x not in there][:3]
+            missing = b[:3] if here is None or there is None else [x for x in b if x not in here][:3]
             print("   ", names, "\n    spark:", extra, "\n    sql:  ", missing, flush=True)
     return 1 if bad else 0
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ebbmark.functions.scalars import bucket_start, safe_divide, window_end
 from ebbmark.operators.running import Slicing, running
@@ -44,6 +44,52 @@ def judged(partials: DataFrame, timeline: DataFrame, strategies: list[Strategy])
     return joined.withColumn("accepted", is_open)
 
 
+def closing_ticks(ends: DataFrame, timeline: DataFrame, strategies: list[Strategy], window_ms: int, tick_ms: int = TICK_MS) -> DataFrame:
+    """Per ``scope, window_end`` the array ``closings``: for every strategy the tick whose watermark passes the window, null where none does.
+
+    For strategies without an allowed lateness, which keep a window open exactly until it fires.
+    """
+    names = F.explode(F.array(*[F.lit(s.name) for s in strategies])).alias("strategy")
+    wanted = ends.select(names, "scope", "window_end")
+    fires = firings(wanted, timeline, window_ms, tick_ms)
+    entry = F.struct("strategy", F.expr(f"fire_time div {tick_ms}L - 1").alias("closing"), "fire_time", "fire_wm")
+    return (wanted.join(fires, ["strategy", "scope", "window_end"], "left")
+            .groupBy("scope", "window_end").agg(F.collect_list(entry).alias("closings")))
+
+
+def tallied_by_closing(partials: DataFrame, closings: DataFrame) -> DataFrame:
+    """As ``tallied`` over ``judged``, with ``fire_time`` and ``fire_wm``, for strategies without an allowed lateness.
+
+    The closing ticks of a window end cut its ticks into intervals. Partials are combined per interval whatever the number of strategies,
+    and running totals over a window's few intervals hold the answer of each strategy: those of the last interval that
+    ends by its closing tick. Rows are multiplied by strategies only in the result.
+    """
+    rows = partials.join(closings, ["scope", "window_end"])
+    slot = F.size(F.filter(F.array_distinct(F.col("closings.closing")), lambda c: c < F.col("tick")))
+    window = ["scope", "key", "window_end"]
+    cells = rows.withColumn("_slot", slot).groupBy(*window, "_slot").agg(
+        F.sum("n").alias("n"), F.sum("sum_1").alias("sum_1"), F.sum("sum_2").alias("sum_2"), F.max("last_arrival").alias("last_arrival"),
+        F.min("first_arrival").alias("first_arrival"), F.max("tick").alias("_last"), F.first("closings").alias("_closings"))
+    order = Window.partitionBy(*window).orderBy("_slot")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running_totals = cells.select(
+        *window, "_last", "_closings", *[F.sum(c).over(so_far).alias(c) for c in ("n", "sum_1", "sum_2")],
+        F.max("last_arrival").over(so_far).alias("last_arrival"), F.min("first_arrival").over(so_far).alias("first_arrival"),
+        F.sum("n").over(Window.partitionBy(*window)).alias("_all"),
+        F.lead("_last").over(order).alias("_next"), (F.row_number().over(order) == 1).alias("_is_first"))
+    each = running_totals.select("*", F.inline("_closings"))
+    # An interval lies wholly on one side of each closing tick.
+    open_here = F.col("closing").isNull() | (F.col("_last") <= F.col("closing"))
+    open_next = F.col("_next").isNotNull() & (F.col("closing").isNull() | (F.col("_next") <= F.col("closing")))
+    lost = F.col("_is_first") & ~open_here
+    kept = lambda column: F.when(open_here, F.col(column))
+    return each.where((open_here & ~open_next) | lost).select(
+        "strategy", *window, F.coalesce(kept("n"), F.lit(0).cast("long")).alias("event_count"),
+        safe_divide(kept("sum_1"), kept("n")).alias("avg_1"), safe_divide(kept("sum_2"), kept("n")).alias("avg_2"),
+        F.greatest(kept("last_arrival"), F.lit(0).cast("long")).alias("last_arrival"), kept("first_arrival").alias("first_arrival"),
+        (F.col("_all") - F.coalesce(kept("n"), F.lit(0).cast("long"))).alias("dropped"), "fire_time", "fire_wm")
+
+
 def tallied(judged_rows: DataFrame) -> DataFrame:
     """Per strategy and window: the result over accepted events, and how many events were dropped."""
     kept = F.col("accepted")
@@ -96,16 +142,17 @@ def firings(ends: DataFrame, timeline: DataFrame, window_ms: int, tick_ms: int =
                     ((F.col("fire_tick") + 1) * F.lit(tick_ms)).alias("fire_time"), "fire_wm"))
 
 
-def fired_windows(windows: DataFrame, fires: DataFrame, flush_at: DataFrame | None = None) -> DataFrame:
-    """Emitted results with their latencies on the replay clock.
+def fired_windows(windows: DataFrame, flush_at: DataFrame | None = None) -> DataFrame:
+    """Emitted results with their latencies on the replay clock, of windows with ``fire_time`` and ``fire_wm``.
 
     A window whose end the watermark never passes stays unemitted. With ``flush_at`` (scope,
     flush_time) it is emitted at the end of input, where the terminal watermark means no delay.
     """
-    out = windows.join(fires, ["strategy", "scope", "window_end"], "left" if flush_at is not None else "inner")
     if flush_at is not None:
-        out = (out.join(flush_at, "scope", "left")
+        out = (windows.join(flush_at, "scope", "left")
                .withColumn("fire_time", F.coalesce("fire_time", "flush_time")).drop("flush_time"))
+    else:
+        out = windows.where(F.col("fire_time").isNotNull())
     delay = F.coalesce(F.greatest(F.lit(0).cast("long"), F.col("fire_wm") - F.col("window_end")),
                        F.lit(0).cast("long"))
     return out.select(

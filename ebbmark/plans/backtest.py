@@ -22,6 +22,9 @@ RESULT = ["strategy", "key", "window_end", "event_count", "avg_1", "avg_2", "fir
           "decisional_latency_ms", "true_latency_ms", "window_delay_ms", "update_count", "is_final"]
 
 
+TALLY = ["strategy", "scope", "key", "window_end", "event_count", "avg_1", "avg_2", "last_arrival", "first_arrival", "dropped"]
+
+
 @dataclass(frozen=True)
 class Settings:
     """How watermarks are scoped and emitted.
@@ -93,9 +96,9 @@ class Backtest:
 def run(events: DataFrame, strategies: list[Strategy], settings: Settings = Settings()) -> Backtest:
     """Run every strategy in one job; all must share a window size.
 
-    Raw events are read for the watermark timelines (four integer columns) and once more for the
-    per-tick window sums. Both outcomes are reductions, and are stored because results, firing times
-    and losses all derive from them.
+    Raw events are read for the watermark timelines (four integer columns), for the window ends (two) and once more for the
+    per-tick window sums. A policy without an allowed lateness is decided by the closing tick of each window end, so its variants
+    multiply no rows before the result; speculative ones are judged tick by tick.
     """
     sizes = {s.window_ms for s in strategies}
     if len(sizes) != 1:
@@ -104,21 +107,24 @@ def run(events: DataFrame, strategies: list[Strategy], settings: Settings = Sett
     timeline = stored(timelines(events, strategies, settings), "timeline")
     rows = scoped(events, settings)
     partials = windows.per_tick_windows(rows, size, settings.tick_ms)
-    tallies = stored(windows.tallied(windows.judged(partials, timeline, strategies)), "tallies")
-    accepted = windows.accepted_windows(tallies)
-    once = [s.name for s in strategies if s.kind != "speculative"]
-    parts = []
+    once = [s for s in strategies if s.kind != "speculative"]
+    repeated = [s for s in strategies if s.kind == "speculative"]
+    parts, tallies = [], []
     if once:
-        results = accepted.where(F.col("strategy").isin(once))
-        steps = timeline.where(F.col("strategy").isin(once))
+        steps = timeline.where(F.col("strategy").isin([s.name for s in once]))
+        ends = rows.select("scope", window_end("event_time", size).alias("window_end")).distinct()
+        closings = stored(windows.closing_ticks(ends, steps, once, size, settings.tick_ms), "closings")
+        tallies.append(stored(windows.tallied_by_closing(partials, closings), "tallies"))
         flush_at = None
         if settings.flush:
             flush_at = rows.groupBy("scope").agg(F.max("arrival_time").alias("flush_time"))
-        fires = windows.firings(results, steps, size, settings.tick_ms)
-        parts.append(windows.fired_windows(results, fires, flush_at))
-    if len(once) < len(strategies):
-        parts.append(speculative.final_speculative(accepted.where(~F.col("strategy").isin(once))))
-    return Backtest(timeline, tallies, _union(parts), windows.late_counts(tallies))
+        parts.append(windows.fired_windows(windows.accepted_windows(tallies[-1]), flush_at))
+    if repeated:
+        steps = timeline.where(F.col("strategy").isin([s.name for s in repeated]))
+        tallies.append(stored(windows.tallied(windows.judged(partials, steps, repeated)), "tallies"))
+        parts.append(speculative.final_speculative(windows.accepted_windows(tallies[-1])))
+    whole = _union(t.select(*TALLY) for t in tallies)
+    return Backtest(timeline, whole, _union(parts), windows.late_counts(whole))
 
 
 def sweep(events: DataFrame, groups: dict[str, list[Strategy]], settings: Settings = Settings()) -> DataFrame:

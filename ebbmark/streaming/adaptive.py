@@ -263,7 +263,7 @@ class TickStream:
                                     (F.col("sum_1") / F.col("n")).alias("avg_1"), (F.col("sum_2") / F.col("n")).alias("avg_2"), "last_arrival")
             fires = self._write(firings(windows, timeline, s.window_ms, self.tick_ms), "fires", number)
             left = merged.join(fires.select("scope", "window_end"), ["scope", "window_end"], "left_anti")
-            out = fired_windows(windows, fires)
+            out = fired_windows(windows.join(fires, ["strategy", "scope", "window_end"]))
         self._write(left.select(*before["open"].columns), "open", number)
         shown = out.withColumn("kind", F.lit("result")).unionByName(late, allowMissingColumns=True)
         return shown.select(*_NAMES)

@@ -59,11 +59,13 @@ def compacted_house_metrics(spark: SparkSession, path: str, into: str) -> None:
     upsert_house_metrics(into, "compaction")(latest_house_metrics(spark, path), 0)
 
 
-def append_taxi_metrics(path: str, writer: str = "main", run: int = 0):
+def append_taxi_metrics(path: str, writer: str = "main", run: int = 0, rows_per_flush: int = 0):
     """``foreachBatch`` writer of the append log; each row is stamped with the write time. ``writer`` and ``run``
-    keep streams apart as in ``upsert_house_metrics``."""
+    keep streams apart as in ``upsert_house_metrics``. A file is closed after ``rows_per_flush`` rows (0: no bound) and, with the
+    stream's trigger interval, after that time."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("time", F.current_timestamp()).write.mode("overwrite").partitionBy("strategy")
+        (batch.withColumn("time", F.current_timestamp()).write.mode("overwrite")
+         .option("maxRecordsPerFile", rows_per_flush).partitionBy("strategy")
          .parquet(f"{path}/run={run}/batch={batch_id}/writer={writer}"))
     return write
 

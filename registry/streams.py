@@ -33,16 +33,23 @@ def _deliveries(events: DataFrame) -> DataFrame:
     return events.withColumn("_delivery", F.least(slot, F.lit(DELIVERIES - 1).cast("long")) + late)
 
 
-def _delivered(spark: SparkSession, folder: str, to_readings, strategy: params.Strategy) -> DataFrame:
-    """Last version of every window the stream emitted."""
+def _deliver(spark: SparkSession, folder: str, to_readings, strategy: params.Strategy, write) -> DataFrame:
+    """Run the stream delivery by delivery into ``write``; the streaming frame is returned for its columns."""
     events = tables.events_table(spark, folder)
-    inbox, out, checkpoint = (shared_folder(spark, f"stream-{n}") for n in ("inbox", "out", "checkpoint"))
+    inbox, checkpoint = (shared_folder(spark, f"stream-{n}") for n in ("inbox", "checkpoint"))
     marked = _deliveries(events)
     for number in range(DELIVERIES + 1):
         marked.where(F.col("_delivery") == number).drop("_delivery").write.mode("append").parquet(inbox)
         stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1_000_000).parquet(inbox)
         frame, mode = native.stream_windows(to_readings(stream), strategy)
-        native.start(frame, native.into_folder(out), mode, checkpoint).awaitTermination()
+        native.start(frame, write, mode, checkpoint).awaitTermination()
+    return frame
+
+
+def _delivered(spark: SparkSession, folder: str, to_readings, strategy: params.Strategy) -> DataFrame:
+    """Last version of every window the stream emitted."""
+    out = shared_folder(spark, "stream-out")
+    frame = _deliver(spark, folder, to_readings, strategy, native.into_folder(out))
     versions = spark.read.parquet(out)
     rest = [c for c in frame.columns if c not in ("key", "window_end")]
     return versions.groupBy("key", "window_end").agg(
@@ -77,6 +84,30 @@ _native("stream_house_fixed_slack", params.house_fixed(5), tables.sensor_reading
 _native("stream_house_speculative", params.house_speculative(), tables.sensor_readings, base.house_events())
 _native("stream_taxi_fixed_slack", params.taxi_fixed(3), tables.taxi_trips, base.taxi_events())
 
+
+LOG_SET = [params.taxi_naive(), params.taxi_fixed(3)]
+ROWS_PER_FLUSH = 1_000
+_LOGGED = " UNION ALL ".join(f"""SELECT '{s.name}' AS strategy, key, window_end, event_count, avg_1, avg_2 FROM ({_PLAIN.format(
+    w=s.window_ms, delay=s.slack_ms, having=f"HAVING (event_time // {s.window_ms} + 1) * {s.window_ms} <= (SELECT max(event_time) FROM ev) - {s.slack_ms}")})"""
+    for s in LOG_SET)
+
+
+@query("taxi_append_log", base.statement([base.taxi_events(), _DELIVERED], _LOGGED))
+def taxi_append_log(spark, folder):
+    """Two streams write one log, each stopped and resumed after every delivery; the last batch of each is written once more, as after a failure."""
+    path = shared_folder(spark, "append-log")
+    for strategy in LOG_SET:
+        append, last = sinks.append_taxi_metrics(path, strategy.name, rows_per_flush=ROWS_PER_FLUSH), []
+
+        def write(batch, number):
+            results = stored(native.with_latencies(batch, strategy), "batch-results")
+            append(results, number)
+            last[:] = [results, number]
+        _deliver(spark, folder, tables.taxi_trips, strategy, write)
+        append(*last)
+    return spark.read.parquet(path).where("time IS NOT NULL").select("strategy", "key", "window_end", "event_count", "avg_1", "avg_2")
+
+
 @query("stream_json_folder", base.statement([base.house_events()], """SELECT key, (event_time // 10000 + 1) * 10000 AS window_end,
     count(*) AS event_count, sum(reading_1) / count(*) AS avg_1, sum(reading_2) / count(*) AS avg_2, max(arrival_time) AS last_arrival
     FROM ev GROUP BY 1, 2 HAVING (event_time // 10000 + 1) * 10000 <= (SELECT max(event_time) FROM ev)"""))

@@ -155,6 +155,17 @@ def test_taxi_log_is_stamped_with_the_write_time(spark):
     assert spark.read.parquet(path).where(F.col("time").isNotNull()).count() == 1
 
 
+def test_the_log_is_flushed_by_rows_and_a_repeated_batch_replaces_itself(spark):
+    path = shared_folder(spark, "log")
+    frame = spark.range(10).selectExpr("CAST(id AS STRING) AS zone_id", "'s' AS strategy", "id AS event_count").coalesce(1)
+    for writer, number in (("a", 0), ("b", 0), ("a", 1), ("a", 1)):
+        sinks.append_taxi_metrics(path, writer, rows_per_flush=3)(frame, number)
+    log = spark.read.parquet(path)
+    assert log.groupBy("writer", "batch").count().collect() and log.count() == 30
+    files = log.groupBy(F.input_file_name()).count().collect()
+    assert len(files) == 12 and max(r["count"] for r in files) == 3
+
+
 def test_json_folder_source_quarantines(spark, tmp_path):
     lines = ['{"house_id":"h","temperature":1.5,"event_time":1,"arrival_time":2,"other":9}', "{oops"]
     (tmp_path / "a.json").write_text("\n".join(lines))

@@ -22,15 +22,17 @@ TIMELINE = ["strategy", "scope", "tick", "wm_before", "wm"]
 def with_scope(events: DataFrame, by: str = "global", splits: int = 64) -> DataFrame:
     """Add ``scope``: the set of events that share one watermark.
 
-    ``global`` is one watermark for the stream; ``key`` one per key; ``split`` one per source split,
-    where events are spread evenly over ``splits`` by id, so no split can be hot.
+    ``global`` is one watermark for the stream; ``key`` one per key; ``split`` one per source split: the
+    one that the source names in ``source_split``, else events are spread evenly over ``splits`` by id, so no split can be hot.
     """
     if by == "global":
         return events.withColumn("scope", F.lit("all"))
     if by == "key":
         return events.withColumn("scope", F.col("key"))
     if by == "split":
-        return events.withColumn("scope", draw(F.col("event_id"), SPLIT_SALT, splits).cast("string"))
+        spread = draw(F.col("event_id"), SPLIT_SALT, splits).cast("string")
+        named = "source_split" in events.columns
+        return events.withColumn("scope", F.coalesce("source_split", spread) if named else spread)
     raise ValueError(f"unknown scope: {by}")
 
 

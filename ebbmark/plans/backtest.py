@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ebbmark.functions.scalars import window_end
 from ebbmark.operators import adwin, mean_shift, speculative, windows
-from ebbmark.operators.running import Slicing, running_max_by_arrival
+from ebbmark.operators.running import Slicing, running, running_max_by_arrival
 from ebbmark.operators.timeline import combine_scopes, fixed_timeline, widened, with_scope
 from ebbmark.params import Strategy, TICK_MS
 from ebbmark.session import stored
@@ -153,20 +153,57 @@ def true_completeness(tallies: DataFrame) -> DataFrame:
         .withColumn("completeness_pct", F.col("accepted") / F.col("total") * 100)
 
 
-def flag_events(events: DataFrame, strategy: Strategy, scope: str = "global",
-                slicing: Slicing = Slicing(60_000)) -> DataFrame:
+def _combined_before(trace: DataFrame, names: list[str], idle_ms: int, slicing: Slicing) -> DataFrame:
+    """Per event of ``trace`` (one row per event, ``scope`` the split) the stream's watermark before it.
+
+    One running fold carries the last arrival and the last watermark of every split, two columns a split, so it is meant for
+    as many splits as a source has partitions. The stream's watermark is the least over the splits heard from within ``idle_ms``; a
+    split that was heard but has emitted nothing holds it back; it never falls.
+    """
+    order, slots = ["arrival_time", "event_id"], range(len(names))
+    own = [F.when(F.col("scope") == name, F.col(c)).alias(f"{c}_{i}")
+           for i, name in enumerate(names) for c in ("arrival_time", "wm")]
+    rows = trace.select(F.lit("all").alias("scope"), *order, *own)
+    carried = {f"{c}_{i}": ("max", f"{c}_{i}") for i in slots for c in ("arrival_time", "wm")}
+    seen = running(rows, ["scope"], order, carried, slicing, exclusive=False, suffix="_now")
+    heard = [F.coalesce(F.col("arrival_time") - F.col(f"arrival_time_{i}_now") < idle_ms, F.lit(False)) for i in slots]
+    marks = [F.when(heard[i], F.col(f"wm_{i}_now")) for i in slots]
+    silent = F.exists(F.array(*[heard[i] & marks[i].isNull() for i in slots]), lambda held: held)
+    least = seen.select("scope", *order, F.when(~silent, F.array_min(F.array(*marks))).alias("wm"))
+    moved = running(stored(least, "least-watermarks"), ["scope"], order, {"wm": ("max", "wm")}, slicing, inclusive=False)
+    return moved.select("event_id", "wm_before")
+
+
+def _adwin_flags(rows: DataFrame, strategy: Strategy, scope: str, splits: int, idle_ms: int, slicing: Slicing) -> DataFrame:
+    if scope != "global":
+        trace = adwin.adwin_trace(rows, [strategy])
+        return rows.join(trace.select("event_id", "strategy", "slack", "wm_before"), "event_id")
+    apart = with_scope(rows, "split", splits)
+    trace = stored(adwin.adwin_trace(apart, [strategy]), "split-trace")
+    # The splits of a source, not of its rows: as few as its partitions.
+    names = sorted(r.scope for r in trace.select("scope").distinct().collect())
+    before = _combined_before(trace, names, idle_ms, slicing)
+    return rows.join(trace.select("event_id", "strategy", "slack"), "event_id").join(before, "event_id")
+
+
+def flag_events(events: DataFrame, strategy: Strategy, scope: str = "global", slicing: Slicing = Slicing(60_000),
+                splits: int = 1, idle_ms: int = 1000) -> DataFrame:
     """Per event: the watermark before it, and whether it is accepted, when a watermark is emitted on
-    every event instead of on ticks. Fixed, speculative and mean-shift strategies."""
-    rows = with_scope(events, scope).withColumn("window_end", window_end("event_time", strategy.window_ms))
+    every event instead of on ticks.
+
+    An ADWIN strategy with a global scope runs per source split, as in ``run``; ``splits`` and ``idle_ms`` are those of ``Settings`` and
+    matter to it alone.
+    """
+    rows = with_scope(events, scope, splits).withColumn("window_end", window_end("event_time", strategy.window_ms))
     if strategy.kind == "mean_shift":
         rows = mean_shift.slack_trace(rows, [strategy], slicing=slicing)
-    elif strategy.kind in ("fixed", "speculative"):
+    elif strategy.kind == "adwin":
+        rows = _adwin_flags(rows, strategy, scope, splits, idle_ms, slicing)
+    else:
         rows = (running_max_by_arrival(rows, ["scope"], slicing)
                 .withColumn("slack", F.lit(strategy.slack_ms).cast("long"))
                 .withColumn("strategy", F.lit(strategy.name))
                 .withColumn("wm_before", F.col("newest_before") - F.lit(strategy.slack_ms + strategy.offset_ms)))
-    else:
-        raise ValueError("an ADWIN strategy is traced with adwin_trace")
     is_open = F.col("wm_before").isNull() | (
         F.col("window_end") - 1 + F.lit(strategy.lateness_ms) > F.col("wm_before"))
     return rows.withColumn("accepted", is_open)

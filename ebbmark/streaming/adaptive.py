@@ -34,7 +34,7 @@ OUTPUT = ("kind string, strategy string, key string, window_end long, event_coun
           "fire_time long, decisional_latency_ms long, true_latency_ms long, window_delay_ms long, "
           "update_count long, is_final boolean")
 _NAMES = [c.split()[0] for c in OUTPUT.split(", ")]
-EVENTS = "event_id long, key string, reading_1 double, reading_2 double, event_time long, arrival_time long"
+EVENTS = "event_id long, key string, reading_1 double, reading_2 double, event_time long, arrival_time long, source_split string"
 _EVENT = [c.split()[0] for c in EVENTS.split(", ")]
 #: The tables that outlive a micro-batch.
 STATE = {
@@ -192,8 +192,8 @@ def _tick_frame(rows: list[tuple]) -> pd.DataFrame:
 class TickStream:
     """One policy over a stream of events, with its state under ``folder``.
 
-    ``by`` is ``split`` (one watermark for the stream, the least over ``splits`` source splits, where a split is idle after ``idle_ms`` without an event)
-    or ``key`` (a watermark per key).
+    ``by`` is ``split`` (one watermark for the stream, the least over its source splits, where a split is idle after ``idle_ms`` without an event)
+    or ``key`` (a watermark per key). Splits are those of the column ``source_split``; events without one are spread over ``splits`` by id.
     """
 
     spark: SparkSession
@@ -224,6 +224,8 @@ class TickStream:
         before = {name: self._read(spark, name, number - 1) for name in STATE}
         clock = before["clock"].first()
         done, last_wm = (clock.done, clock.wm) if clock else (None, None)
+        if "source_split" not in batch.columns:
+            batch = batch.withColumn("source_split", F.lit(None).cast("string"))
         rows = batch.select(*_EVENT)
         if done is not None:
             rows = rows.withColumn("arrival_time", F.greatest("arrival_time", F.lit((done + 1) * self.tick_ms)))

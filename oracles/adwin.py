@@ -106,3 +106,18 @@ def combined(strategy: Strategy, hold: int) -> str:
                 SELECT k.scope, k.tick, CASE WHEN k.pos >= 500 THEN k.newest - t.slack END AS proposed
                 FROM split_ticks k JOIN traced t ON t.scope = k.scope AND t.pos = k.pos AND t.strategy = '{strategy.name}')),
         (SELECT unnest(range(0, {hold})) AS ahead) GROUP BY 1, 2) GROUP BY tick"""
+
+
+def flagged_ctes(strategy: Strategy, splits: int, idle_ms: int) -> str:
+    """``marked``: per event of the stream the least watermark before it, over splits that emit on each of their events (``traced`` per event)."""
+    over = "OVER (ORDER BY arrival_time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    heard = [f"coalesce(arrival_time - at_{i} < {idle_ms}, false)" for i in range(splits)]
+    return f"""
+moved AS (SELECT s.event_id, s.event_time, s.arrival_time, s.scope, t.slack,
+    CASE WHEN t.pos >= 500 THEN greatest(coalesce(t.wm_before, s.newest - t.slack), s.newest - t.slack) END AS wm
+    FROM traced t JOIN split_sampled s ON s.scope = t.scope AND s.pos = t.pos WHERE t.strategy = '{strategy.name}'),
+folded AS (SELECT event_id, event_time, arrival_time, slack, {', '.join(
+        f"max(wm) FILTER (scope = {i}) {over} AS wm_{i}, max(arrival_time) FILTER (scope = {i}) {over} AS at_{i}" for i in range(splits))} FROM moved),
+least_wm AS (SELECT *, CASE WHEN NOT ({' OR '.join(f"({h} AND wm_{i} IS NULL)" for i, h in enumerate(heard))})
+    THEN least({', '.join(f"CASE WHEN {h} THEN wm_{i} END" for i, h in enumerate(heard))}, NULL) END AS wm FROM folded),
+marked AS (SELECT *, max(wm) OVER (ORDER BY arrival_time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wm_before FROM least_wm)"""

@@ -62,14 +62,14 @@ def cell(lat: str, lon: str) -> str:
     return f"CASE WHEN {outside} THEN 'CELL_OUT' ELSE 'CELL_' || {x} || '_' || {y} END"
 
 
-def taxi_events(speedup: int = TAXI_SPEEDUP, scope: str = "'all'") -> str:
+def taxi_events(speedup: int = TAXI_SPEEDUP, scope: str = "'all'", arrival: str = "event_time + seconds * 1000") -> str:
     lat = f"(CAST('40.4774' AS DOUBLE) + {draw('user_id % 1000', 41, 1000)} * CAST('0.00046' AS DOUBLE))"
     lon = f"(CAST('-74.2591' AS DOUBLE) + {draw('user_id % 1000', 42, 1000)} * CAST('0.00058' AS DOUBLE))"
     return f"""
 raw AS (SELECT event_id, value, {lat} AS lat, {lon} AS lon, ({draw('event_id', 43, 248)} + 4) * 15 AS seconds,
     {draw('event_id', 44, 6)} + 1 AS passengers, {_clock(speedup)} AS event_time FROM events),
 ev AS (SELECT event_id, {cell('lat', 'lon')} AS key, round(value * 100) AS reading_1, seconds / 60.0 AS reading_2,
-    CAST(passengers AS DOUBLE) AS reading_3, event_time, event_time + seconds * 1000 AS arrival_time, {scope} AS scope
+    CAST(passengers AS DOUBLE) AS reading_3, event_time, {arrival} AS arrival_time, {scope} AS scope
     FROM (SELECT *, {cell('lat', 'lon')} AS key FROM raw))"""
 
 
@@ -136,10 +136,10 @@ def adwin_settled(name: str, buffer: int, low: int, high: int, prefix: str = "")
     FROM {prefix}ticks JOIN {settled_slack(buffer, low, high, prefix)} ON scope = slack_scope"""
 
 
-def split_ctes(sample: str, splits: int = 1) -> str:
+def split_ctes(sample: str, splits: int = 1, salt: int = 71) -> str:
     """The same stream seen as source splits, for policies that run per split."""
     return f"""
-split_ev AS (SELECT * EXCLUDE (scope), {draw('event_id', 71, splits)} AS scope FROM ev),{ticks('split_ev', 'split_')},
+split_ev AS (SELECT * EXCLUDE (scope), {draw('event_id', salt, splits)} AS scope FROM ev),{ticks('split_ev', 'split_')},
 {sampled(sample, 'split_')}"""
 
 
@@ -239,10 +239,10 @@ TAXI_STRATEGIES = [
 
 
 def house_ctes(strategies: list[str] | None = None, regime: str = "stationary", flush: bool = False, scope: str = "'all'",
-               houses: int = 100, adaptive: list[params.Strategy] = (), splits: int = 1) -> list[str]:
+               houses: int = 100, adaptive: list[params.Strategy] = (), splits: int = 1, salt: int = 71) -> list[str]:
     """``adaptive``: the ADWIN strategies whose feedback the statement follows; those of the default set if none is given."""
     adaptive = adaptive or ([] if strategies else [HOUSE_ADWIN])
-    return [house_events(regime, scope=scope, houses=houses), TICKS, mean_shift_ctes("network"), split_ctes("network", splits),
+    return [house_events(regime, scope=scope, houses=houses), TICKS, mean_shift_ctes("network"), split_ctes("network", splits, salt),
             *([controller_ctes(adaptive)] if adaptive else []),
             timeline(strategies or HOUSE_STRATEGIES), results(10_000, "speculative", 15_000, flush)]
 

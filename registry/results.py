@@ -100,13 +100,28 @@ def taxi_updates(spark, folder):
     return _updates(taxi(spark, folder), params.taxi_speculative(3)).select(*_LOG.split(", "))
 
 
-_SWEEP = ([base.fixed(f"watermark_{s}s", s * 1000) for s in params.HOUSE_SLACKS_S]
-          + [base.mean_shift(f"adaptive_adwin_dt{t}", 5000, t, 500, None, 12000) for t in params.HOUSE_THRESHOLDS_MS]
-          + [base.combined(s, 5) for s in params.house_sensitivity()["adwin"]])
+_SWEEP = {
+    "slack": [base.fixed(f"watermark_{s}s", s * 1000) for s in params.HOUSE_SLACKS_S],
+    "threshold": [base.mean_shift(f"adaptive_adwin_dt{t}", 5000, t, 500, None, 12000) for t in params.HOUSE_THRESHOLDS_MS],
+    "adwin": [base.combined(s, 5) for s in params.house_sensitivity()["adwin"]],
+}
 
 
-@query("house_sweep", base.statement(base.house_ctes(_SWEEP, adaptive=params.house_sensitivity()["adwin"]), f"""SELECT {RESULT_COLUMNS},
+@query("house_sweep", base.statement(base.house_ctes(sum(_SWEEP.values(), []), adaptive=params.house_sensitivity()["adwin"]), f"""SELECT {RESULT_COLUMNS},
     CASE WHEN strategy LIKE 'watermark%' THEN 'slack' WHEN strategy LIKE '%real%' THEN 'adwin' ELSE 'threshold' END AS family FROM results"""))
 def house_sweep(spark, folder):
     """All fourteen variants from one pass over the events."""
     return backtest.sweep(house(spark, folder), params.house_sensitivity(), settings())
+
+
+def _family(family: str) -> None:
+    adaptive = params.house_sensitivity()["adwin"] if family == "adwin" else []
+
+    @query(f"house_sweep_{family}", base.statement(
+        base.house_ctes(_SWEEP[family], adaptive=adaptive), f"SELECT {RESULT_COLUMNS}, '{family}' AS family FROM results"))
+    def build(spark, folder):
+        return backtest.sweep(house(spark, folder), {family: params.house_sensitivity()[family]}, settings())
+
+
+for _name in _SWEEP:
+    _family(_name)

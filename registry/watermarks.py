@@ -105,6 +105,21 @@ def taxi_in_order(spark, folder):
     return flagged.groupBy("accepted").agg(F.count(F.lit(1)).alias("events"))
 
 
+@query("taxi_in_order_windows", base.statement(
+    [base.taxi_events(arrival="event_time"), base.TICKS, base.timeline([base.fixed("taxi_in_order", 0)]), base.results(60_000, "", 0)],
+    """SELECT w.key, w.window_end, coalesce(r.event_count, 0) AS event_count, w.dropped, r.avg_1, r.fire_time
+    FROM (SELECT key, window_end, count(*) FILTER (NOT accepted) AS dropped FROM judged GROUP BY 1, 2) w
+    LEFT JOIN results r ON r.key = w.key AND r.window_end = w.window_end"""))
+def taxi_in_order_windows(spark, folder):
+    """The reference run's windows: every event of a sorted topic in its window, each closed by the first tick after its end, and the losses counted."""
+    trips = taxi(spark, folder).withColumn("arrival_time", F.col("event_time"))
+    done = backtest.run(trips, [params.taxi_in_order()])
+    truth = backtest.ground_truth(trips, params.TAXI_WINDOW_MS).select("key", "window_end")
+    lost = done.late.select("key", "window_end", "dropped")
+    shown = done.windows.select("key", "window_end", "event_count", "avg_1", "fire_time")
+    return truth.join(shown, ["key", "window_end"], "left").join(lost, ["key", "window_end"], "left").na.fill(0, ["event_count", "dropped"])
+
+
 # Drift tests and slack ---------------------------------------------------------------
 
 @query("mean_shift_test", base.statement([base.house_events("short_cycle"), base.TICKS, base.mean_shift_ctes("network")],
@@ -201,6 +216,19 @@ def combined_split_watermark(spark, folder):
 DEFAULT = params.house_adwin(0.1, 0.1)
 
 
+def _adwin_flags(name: str, strategy, events: str, rows, sample: str, splits: int, idle_ms: int) -> None:
+    sql = base.statement(
+        [events, base.split_ctes(sample, splits), adwin_sql.controller_ctes([strategy], per_event=True), adwin_sql.flagged_ctes(strategy, splits, idle_ms)],
+        f"""SELECT event_id, slack, wm_before, wm_before IS NULL OR (event_time // {strategy.window_ms} + 1) * {strategy.window_ms} - 1 > wm_before AS accepted FROM marked""")
+    query(name, sql)(lambda spark, folder: backtest.flag_events(
+        rows(spark, folder), strategy, slicing=MINUTE, splits=splits, idle_ms=idle_ms).select("event_id", "slack", "wm_before", "accepted"))
+
+
+# Splits are heard from every three seconds or so here, so an idle time of five seconds lets them hold each other back and drop out.
+_adwin_flags("flags_house_adwin", DEFAULT, base.house_events("short_cycle"), lambda spark, folder: house(spark, folder, "short_cycle"), "network", SPLITS, 5000)
+_adwin_flags("flags_taxi_adwin", params.taxi_adwin(3, 0.1, 0.1), base.taxi_events(), taxi, "disorder", 1, 5000)
+
+
 @query("adwin_split_windows", base.statement(
     base.house_ctes([adwin_sql.combined(DEFAULT, 5)], adaptive=[DEFAULT], splits=SPLITS), f"SELECT {', '.join(backtest.RESULT)} FROM results"))
 def adwin_split_windows(spark, folder):

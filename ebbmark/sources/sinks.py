@@ -21,6 +21,13 @@ def keyed_records(readings: DataFrame, now=None) -> DataFrame:
     return wire.select(F.col("house_id").alias("key"), F.to_json(F.struct(*wire.columns)).alias("value"))
 
 
+def log_records(readings: DataFrame, folder: str, topic, partition, fields: list[str] = ()) -> None:
+    """Add records to a partitioned log, see ``streams.log_events``. ``topic`` and ``partition`` are columns; ``fields`` go into the record besides the event's."""
+    wire = as_wire(readings.withColumn("_at", F.struct(topic.alias("topic"), partition.cast("string").alias("partition"))), ["_at", *fields])
+    record = F.to_json(F.struct(*[c for c in wire.columns if c != "_at"]))
+    wire.select(record.alias("value"), "_at.topic", "_at.partition").write.mode("append").partitionBy("topic", "partition").text(folder)
+
+
 def send_to_kafka(readings: DataFrame, servers: str, topic: str) -> None:
     """Batch producer; needs the Kafka connector package."""
     (keyed_records(readings, F.unix_millis(F.current_timestamp())).write.format("kafka")

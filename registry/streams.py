@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ebbmark import params
 from ebbmark.functions.delays import draw
@@ -126,13 +127,16 @@ ARRIVALS_MS, ARRIVALS, HEARTBEAT_MS = 10 * 86_400_000, 3, 60_000
 EVENT = ["event_id", "key", "reading_1", "reading_2", "event_time", "arrival_time"]
 
 
+def _arrival_slot():
+    return F.least(F.expr(f"(arrival_time - {tables.REPLAY_START_MS}L) div {ARRIVALS_MS}L"), F.lit(ARRIVALS - 1).cast("long"))
+
+
 def _by_ticks(spark: SparkSession, folder: str, strategy: params.Strategy, to_readings, write, **how) -> None:
     readings = stored(to_readings(tables.events_table(spark, folder)).select(*EVENT), "stream-readings")
     inbox, checkpoint, state = (shared_folder(spark, f"stream-{n}") for n in ("inbox", "checkpoint", "state"))
     heartbeat = readings.groupBy().agg(F.max("event_id") + 1, F.lit("heartbeat"), F.lit(0.0), F.lit(0.0), F.max("event_time"), F.max("arrival_time") + HEARTBEAT_MS).toDF(*EVENT)
-    slot = F.least(F.expr(f"(arrival_time - {tables.REPLAY_START_MS}L) div {ARRIVALS_MS}L"), F.lit(ARRIVALS - 1).cast("long"))
     for number in range(ARRIVALS):
-        part = readings.where(slot == number)
+        part = readings.where(_arrival_slot() == number)
         (part.unionByName(heartbeat) if number == ARRIVALS - 1 else part).write.mode("append").parquet(inbox)
         stream = spark.readStream.schema(readings.schema).option("maxFilesPerTrigger", 1_000_000).parquet(inbox)
         ticks = adaptive.TickStream(spark, strategy, state, **how)
@@ -179,3 +183,30 @@ def stream_house_upsert(spark, folder):
 _ticked("stream_house_adwin_splits", DEFAULT, tables.sensor_readings, base.statement(
     base.house_ctes([adwin_sql.combined(DEFAULT, 5)], adaptive=[DEFAULT], splits=SPLITS), f"SELECT {', '.join(backtest.RESULT)} FROM results"),
     backtest.RESULT, by="split", splits=SPLITS, idle_ms=1000)
+
+
+# A log of two topics with two partitions each. The consumer is stopped and started anew after each delivery.
+LOG_TOPICS, LOG_SALT = ("house-a", "house-b"), 72
+_ID = StructType([StructField("event_id", LongType())])
+
+
+@query("stream_partitioned_log", base.statement(
+    base.house_ctes([adwin_sql.combined(DEFAULT, 5)], adaptive=[DEFAULT], splits=2 * len(LOG_TOPICS), salt=LOG_SALT), f"SELECT {', '.join(backtest.RESULT)} FROM results"))
+def stream_partitioned_log(spark, folder):
+    """ADWIN with one controller per partition of the log, which the records name, at a late limit of 0.1."""
+    readings = stored(tables.sensor_readings(tables.events_table(spark, folder)), "log-readings")
+    log, checkpoint, state, out = (shared_folder(spark, f"log-{n}") for n in ("records", "checkpoint", "state", "out"))
+    place = draw(F.col("event_id"), LOG_SALT, 2 * len(LOG_TOPICS))
+    topic = F.when(place < 2, LOG_TOPICS[0]).otherwise(LOG_TOPICS[1])
+    newest = F.struct("arrival_time", "event_id")
+    # A repeated last event, a minute on, ends the last tick.
+    heartbeat = readings.groupBy().agg(F.max_by(F.struct(*readings.columns), newest).alias("_n")).select("_n.*") \
+        .withColumn("arrival_time", F.col("arrival_time") + HEARTBEAT_MS)
+    for number in range(ARRIVALS):
+        part = readings.where(_arrival_slot() == number)
+        part = part.unionByName(heartbeat) if number == ARRIVALS - 1 else part
+        sinks.log_records(part, log, topic, place % 2, ["event_id"])
+        events = streams.as_readings(streams.log_events(spark, log, list(LOG_TOPICS), "earliest", fields=_ID))
+        ticks = adaptive.TickStream(spark, DEFAULT, state, by="split", idle_ms=1000)
+        native.start(events, ticks.writer(native.into_folder(out)), "append", checkpoint).awaitTermination()
+    return spark.read.parquet(out).where(F.col("kind") == "result").select(*backtest.RESULT)

@@ -45,6 +45,45 @@ def test_adwin_trace_follows_the_model(events, sample, build, limit, step):
     assert any(e[2] for e in expected)
 
 
+@pytest.mark.parametrize("splits,named", [(1, False), (3, False), (3, True)])
+def test_adwin_flags_follow_the_model(events, splits, named):
+    """Every event moves its split's watermark; the stream's is the least over the splits heard from lately, and never falls."""
+    rows, idle_ms = in_order(arrivals(13, 4_000)), 700
+    s = params.house_adwin(0.1, 0.1)
+    frame = events(rows)
+    if named:
+        frame = frame.withColumn("source_split", F.concat(F.lit("p"), F.col("event_id") % splits))
+    split = {r.event_id: r.scope for r in with_scope(frame, "split", splits).collect()}
+    assert len(set(split.values())) == splits
+    after, slack = {}, {}
+    for name in set(split.values()):
+        own = [(r[0], r[2], r[3]) for r in rows if split[r[0]] == name]
+        trace = model.adwin_slack(own, "network", 0.1, 0.1, s.floor_ms, s.warmup_cap_ms, s.cap_ms, s.warmup_buffer_ms, s.buffer_ms, s.slack_ms)
+        newest = wm = None
+        for count, ((event_id, event, _), row) in enumerate(zip(own, trace)):
+            newest = event if newest is None else max(newest, event)
+            if count >= 499 and (wm is None or newest - row[1] > wm):
+                wm = newest - row[1]
+            after[event_id], slack[event_id] = wm, row[1]
+    expected, heard, whole = {}, {}, None
+    for event_id, _, event, arrival in rows:
+        end = (event // s.window_ms + 1) * s.window_ms
+        expected[event_id] = (slack[event_id], whole, whole is None or end - 1 > whole)
+        heard[split[event_id]] = (arrival, after[event_id])
+        active = [wm for at, wm in heard.values() if arrival - at < idle_ms]
+        if None not in active and (whole is None or min(active) > whole):
+            whole = min(active)
+    flagged = backtest.flag_events(frame, s, slicing=Slicing(60_000, 500), splits=splits, idle_ms=idle_ms).collect()
+    assert {r.event_id: (r.slack, r.wm_before, r.accepted) for r in flagged} == expected
+    assert 0 < sum(not e[2] for e in expected.values()) < len(rows)
+
+
+def test_adwin_flags_per_key_are_those_of_the_trace(events):
+    rows, s = arrivals(14, 2_500, keys=2), params.house_adwin(0.1, 0.1)
+    trace = {r.event_id: r.wm_before for r in adwin.adwin_trace(with_scope(events(rows), "key"), [s]).collect()}
+    assert {r.event_id: r.wm_before for r in backtest.flag_events(events(rows), s, "key").collect()} == trace
+
+
 def test_adwin_checks_every_32_inputs_only():
     detector = adwin.Adwin(1.0)
     assert not any(detector.add(0.0 if i < 16 else 2.0) for i in range(31))

@@ -3,6 +3,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ebbmark import params
 from ebbmark.operators.timeline import with_scope
@@ -175,3 +176,65 @@ def test_json_folder_source_quarantines(spark, tmp_path):
     good, bad = streams.quarantine(spark.read.parquet(out).drop("batch"))
     assert [(r.key, r.reading_1, r.reading_2) for r in streams.as_readings(good).collect()] == [("h", 1.5, None)]
     assert [r[0] for r in bad.collect()] == ["{oops"]
+
+
+LOG_FIELDS = StructType([StructField("event_id", LongType())])
+
+
+def to_log(events, rows, log, topic="t", parts=2):
+    """Rows by parity of the event id into partitions of a topic."""
+    frame = events(rows).withColumn("reading_3", F.lit(0.0))
+    sinks.log_records(frame, log, F.lit(topic), F.col("event_id") % parts, ["event_id"])
+
+
+def read_log(spark, log, at, **how):
+    frame = streams.as_readings(streams.log_events(spark, log, fields=LOG_FIELDS, **how))
+    native.start(frame, native.into_folder(at[1]), "append", at[0]).awaitTermination()
+    return sorted((r.event_id, r.source_split) for r in spark.read.schema("event_id long, source_split string").parquet(at[1]).collect())
+
+
+def test_a_partitioned_log_is_read_once_over_a_restart(spark, events):
+    log, at = shared_folder(spark, "log"), [shared_folder(spark, n) for n in ("cp", "out")]
+    rows = [(i, "a", i, i) for i in range(12)]
+    how = {"topics": ["t", "u"], "starting": "earliest"}
+    to_log(events, rows[:4], log)
+    to_log(events, rows[4:6], log, "u")
+    to_log(events, rows[6:8], log, "other")
+    first = [(i, f"{'t' if i < 4 else 'u'}-{i % 2}") for i in range(6)]
+    assert read_log(spark, log, at, **how) == first
+    to_log(events, rows[8:], log, "u", parts=3)
+    assert read_log(spark, log, at, **how) == first + [(i, f"u-{i % 3}") for i in range(8, 12)]
+
+
+def test_a_consumer_that_starts_at_latest_skips_what_was_there_and_loses_nothing_later(spark, events):
+    log, at = shared_folder(spark, "log"), [shared_folder(spark, n) for n in ("cp", "out")]
+    rows = [(i, "a", i, i) for i in range(12)]
+    how = {"topics": "t", "starting": "latest", "position": shared_folder(spark, "position")}
+    to_log(events, rows[:4], log)
+    assert read_log(spark, log, at, **how) == []
+    to_log(events, rows[4:6], log)
+    # A partition that is new to the consumer is read from its start.
+    to_log(events, [(8, "a", 8, 8)], log, parts=9)
+    assert read_log(spark, log, at, **how) == [(4, "0"), (5, "1"), (8, "8")]
+    to_log(events, rows[9:], log)
+    assert read_log(spark, log, at, **how) == [(4, "0"), (5, "1"), (8, "8"), (9, "1"), (10, "0"), (11, "1")]
+    with pytest.raises(ValueError):
+        streams.log_events(spark, log, "t")
+
+
+def test_splits_are_those_the_source_names(events):
+    rows = events([(i, "a", i, i) for i in range(6)]).withColumn("source_split", F.when(F.col("event_id") < 4, F.concat(F.lit("p"), F.col("event_id") % 2)))
+    scopes = {r.event_id: r.scope for r in with_scope(rows, "split", 1).collect()}
+    assert scopes == {0: "p0", 1: "p1", 2: "p0", 3: "p1", 4: "0", 5: "0"}
+
+
+def test_streams_take_the_splits_of_the_source(spark, events):
+    rows = in_order(arrivals(21, 2_400, keys=2))
+    named = events(rows).withColumn("source_split", F.concat(F.lit("p"), F.col("event_id") % 3))
+    folder, at = shared_folder(spark, "batches"), places(spark)
+    cut = rows[1_200][3]
+    stream = adaptive.TickStream(spark, params.house_adwin(0.01, 0.1), at[0])
+    for number, part in enumerate((named.where(F.col("arrival_time") < cut), named.where(F.col("arrival_time") >= cut))):
+        stream.writer(native.into_folder(at[2]))(part, number)
+    expected = _expected(named, params.house_adwin(0.01, 0.1), rows, backtest.Settings(splits=1))
+    assert _got(spark.read.parquet(at[2])) == expected != {}

@@ -7,10 +7,11 @@ closes by the formula; exact per-tick behaviour is what the backtests and ``adap
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ebbmark.functions.scalars import safe_divide
 from ebbmark.operators.speculative import FINAL_AFTER_MS
@@ -18,9 +19,13 @@ from ebbmark.params import Strategy
 from ebbmark.session import shared_folder
 
 
+RECEIVED = "received"
+
+
 def windowed(events: DataFrame, window_ms: int, delay_ms: int) -> DataFrame:
     """Tumbling windows per key with partial aggregation; state is a few numbers per window."""
-    rows = events.withColumn("_at", F.timestamp_millis("event_time")).withWatermark("_at", f"{delay_ms} milliseconds")
+    received = F.count(F.lit(1)).alias("events")
+    rows = events.observe(RECEIVED, received).withColumn("_at", F.timestamp_millis("event_time")).withWatermark("_at", f"{delay_ms} milliseconds")
     total = F.count(F.lit(1))
     return (rows.groupBy("key", F.window("_at", f"{window_ms} milliseconds").alias("_w"))
             .agg(total.alias("event_count"),
@@ -55,14 +60,89 @@ def with_latencies(batch: DataFrame, strategy: Strategy) -> DataFrame:
         final.alias("is_final"))
 
 
+class ProgressLog(StreamingQueryListener):
+    """A table under ``path`` of the micro-batches of the query ``name``: the watermark that each was judged with, and the events it read.
+
+    For ``spark.streams.addListener``. Rows are written by ``rows_per_flush`` and when the query ends, which ``wait`` waits for. Events are those
+    that the batch's own run read, so the writer must take its frame once.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, name: str, rows_per_flush: int = 100):
+        self.spark, self.path, self.name, self.rows_per_flush = spark, path, name, rows_per_flush
+        self.rows: list[tuple] = []
+        self.run = None
+        self.ended = threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        if event.name == self.name:
+            self.run = event.runId
+            self.ended.clear()
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        if progress.name != self.name:
+            return
+        seen = progress.observedMetrics.get(RECEIVED)
+        self.rows.append((progress.batchId, progress.timestamp, progress.eventTime.get("watermark"), seen.events if seen else 0))
+        if len(self.rows) >= self.rows_per_flush:
+            self._flush()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.runId == self.run:
+            self._flush()
+            self.ended.set()
+
+    def _flush(self) -> None:
+        if self.rows:
+            frame = self.spark.createDataFrame(self.rows, "batch long, at string, watermark string, events long")
+            frame.select("batch", "at", F.unix_millis(F.to_timestamp("watermark")).alias("watermark"), "events") \
+                .coalesce(1).write.mode("append").parquet(self.path)
+            self.rows = []
+
+    def wait(self, seconds: float = 60) -> None:
+        if not self.ended.wait(seconds):
+            raise TimeoutError(f"no end of {self.name} was reported")
+
+    def batches(self) -> DataFrame:
+        """``batch, watermark, events``: a batch that ran again after a failure counts as it ran last. An idle batch may report more than once."""
+        return self.spark.read.parquet(self.path).groupBy("batch").agg(
+            F.max_by("watermark", "at").alias("watermark"), F.max("events").alias("events"))
+
+
+def with_delays(results: DataFrame, batches: DataFrame) -> DataFrame:
+    """Results of ``into_folder`` with the true window delay: how far the watermark that let them out lay behind their end."""
+    delay = F.greatest(F.col("watermark") - F.col("window_end"), F.lit(0).cast("long"))
+    return results.join(batches.select("batch", "watermark"), "batch", "left").withColumn(
+        "window_delay_ms", F.coalesce(delay, F.lit(0).cast("long"))).drop("watermark")
+
+
+def losses(results: DataFrame, batches: DataFrame, checkpoint: str) -> DataFrame:
+    """One row ``received, emitted, open, dropped`` of a stopped stream in append mode: dropped events are those that were read and are
+    neither in an emitted window nor in one that the state still holds."""
+    spark = results.sparkSession
+    held = spark.read.format("statestore").load(checkpoint)
+    parts = {"received": batches.select("events"), "emitted": results.select("event_count"), "open": held.select("value.count")}
+    counted = None
+    for name, frame in parts.items():
+        one = frame.toDF("n").groupBy().agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).withColumn("part", F.lit(name))
+        counted = one if counted is None else counted.unionByName(one)
+    return (counted.groupBy().agg(*[F.sum(F.when(F.col("part") == name, F.col("n"))).alias(name) for name in parts])
+            .withColumn("dropped", F.col("received") - F.col("emitted") - F.col("open")))
+
+
 def start(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str, checkpoint: str | None = None,
-          every: str | None = None) -> StreamingQuery:
+          every: str | None = None, name: str | None = None) -> StreamingQuery:
     """Run a stream into a ``foreachBatch`` writer; without ``every`` it drains what is there and stops.
 
     The interval plays the part of a sink's flush interval: one write per micro-batch.
     """
     folder = checkpoint or shared_folder(stream.sparkSession, "stream")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", folder).foreachBatch(write)
+    if name:
+        writer = writer.queryName(name)
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return writer.trigger(**trigger).start()
 

@@ -34,16 +34,20 @@ def _deliveries(events: DataFrame) -> DataFrame:
     return events.withColumn("_delivery", F.least(slot, F.lit(DELIVERIES - 1).cast("long")) + late)
 
 
-def _deliver(spark: SparkSession, folder: str, to_readings, strategy: params.Strategy, write) -> DataFrame:
+def _deliver(spark: SparkSession, folder: str, to_readings, strategy: params.Strategy, write, checkpoint: str | None = None,
+             log: native.ProgressLog | None = None) -> DataFrame:
     """Run the stream delivery by delivery into ``write``; the streaming frame is returned for its columns."""
     events = tables.events_table(spark, folder)
-    inbox, checkpoint = (shared_folder(spark, f"stream-{n}") for n in ("inbox", "checkpoint"))
+    inbox = shared_folder(spark, "stream-inbox")
+    checkpoint = checkpoint or shared_folder(spark, "stream-checkpoint")
     marked = _deliveries(events)
     for number in range(DELIVERIES + 1):
         marked.where(F.col("_delivery") == number).drop("_delivery").write.mode("append").parquet(inbox)
         stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1_000_000).parquet(inbox)
         frame, mode = native.stream_windows(to_readings(stream), strategy)
-        native.start(frame, write, mode, checkpoint).awaitTermination()
+        native.start(frame, write, mode, checkpoint, name=log.name if log else None).awaitTermination()
+        if log:
+            log.wait()
     return frame
 
 
@@ -86,6 +90,45 @@ _native("stream_house_speculative", params.house_speculative(), tables.sensor_re
 _native("stream_taxi_fixed_slack", params.taxi_fixed(3), tables.taxi_trips, base.taxi_events())
 
 
+_MEASURED = f"""
+judged AS (SELECT key, (event_time // 60000 + 1) * 60000 AS window_end, newest IS NULL OR (event_time // 60000 + 1) * 60000 > newest - {{slack}} AS accepted
+    FROM arrived JOIN marks USING (delivery)),
+ended AS (SELECT n, (SELECT max(event_time) FROM arrived WHERE delivery <= n) - {{slack}} AS wm FROM range(0, {DELIVERIES + 1}) t(n)),
+counted AS (SELECT key, window_end, count(*) AS event_count, (SELECT min(wm) FROM ended WHERE wm >= window_end) AS wm FROM judged WHERE accepted GROUP BY 1, 2)"""
+
+
+def _measured(name: str, strategy: params.Strategy) -> None:
+    def run(spark, folder):
+        out, checkpoint, path = (shared_folder(spark, f"stream-{n}") for n in ("out", "checkpoint", "progress"))
+        log = native.ProgressLog(spark, path, f"{name}-{path.rsplit('/', 1)[-1]}")
+        spark.streams.addListener(log)
+        try:
+            _deliver(spark, folder, tables.taxi_trips, strategy, native.into_folder(out), checkpoint, log)
+        finally:
+            spark.streams.removeListener(log)
+        return spark.read.parquet(out), stored(log.batches(), "stream-batches"), checkpoint
+
+    ctes = [base.taxi_events(), _DELIVERED, _MEASURED.format(slack=strategy.slack_ms)]
+
+    @query(f"{name}_delays", base.statement(ctes, "SELECT key, window_end, event_count, wm - window_end AS window_delay_ms FROM counted WHERE wm IS NOT NULL"))
+    def delays(spark, folder):
+        """The true window delay of each result, from the watermark of the micro-batch that let it out."""
+        results, batches, _ = run(spark, folder)
+        return native.with_delays(results, batches).select("key", "window_end", "event_count", "window_delay_ms")
+
+    @query(f"{name}_losses", base.statement(ctes, """SELECT (SELECT count(*) FROM judged) AS received,
+        CAST(coalesce((SELECT sum(event_count) FROM counted WHERE wm IS NOT NULL), 0) AS BIGINT) AS emitted,
+        CAST(coalesce((SELECT sum(event_count) FROM counted WHERE wm IS NULL), 0) AS BIGINT) AS open,
+        (SELECT count(*) FROM judged WHERE NOT accepted) AS dropped"""))
+    def losses(spark, folder):
+        """What became of every event that the stream read."""
+        return native.losses(*run(spark, folder))
+
+
+_measured("stream_taxi_naive", params.taxi_naive())
+_measured("stream_taxi_slack", params.taxi_fixed(3))
+
+
 LOG_SET = [params.taxi_naive(), params.taxi_fixed(3)]
 ROWS_PER_FLUSH = 1_000
 _LOGGED = " UNION ALL ".join(f"""SELECT '{s.name}' AS strategy, key, window_end, event_count, avg_1, avg_2 FROM ({_PLAIN.format(

@@ -43,6 +43,22 @@ def test_native_lateness_is_judged_per_window(spark, events):
     assert {(r.window_end, r.event_count) for r in out.collect()} == {(30_000, 2)}
 
 
+def test_native_delays_and_losses_are_measured_over_a_restart(spark, events):
+    """The watermark of the batch that lets a window out, and what became of each event."""
+    folder, cp, out, path = (shared_folder(spark, n) for n in ("in", "cp", "out", "progress"))
+    log = native.ProgressLog(spark, path, f"measured-{cp[-32:]}", rows_per_flush=1)
+    spark.streams.addListener(log)
+    for rows in ([(1, "a", 21_000, 1), (2, "b", 23_000, 1)], [(3, "a", 3_000, 3), (4, "a", 4_000, 3), (5, "a", 45_000, 4)]):
+        events(rows).coalesce(1).write.mode("append").parquet(folder)
+        stream, mode = native.stream_windows(spark.readStream.schema(SCHEMA).parquet(folder), params.house_naive())
+        native.start(stream, native.into_folder(out), mode, cp, name=log.name).awaitTermination()
+        log.wait()
+    spark.streams.removeListener(log)
+    delays = native.with_delays(spark.read.parquet(out), log.batches())
+    assert {(r.key, r.window_end, r.window_delay_ms) for r in delays.collect()} == {("a", 30_000, 15_000), ("b", 30_000, 15_000)}
+    assert native.losses(spark.read.parquet(out), log.batches(), cp).first().asDict() == {"received": 5, "emitted": 2, "open": 1, "dropped": 2}
+
+
 def test_speculative_stream_updates_each_batch(spark, events):
     rows = [(1, "a", 1_000, 1), (2, "a", 2_000, 2), (3, "a", 3_000, 3)]
     stream, mode = native.stream_windows(source(spark, batches(spark, events, rows, [1, 1, 1])), params.house_speculative())

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ebbmark.llm import bpe, chat, ppm, toxicity
+from ebbmark.llm import bpe, chat, langid, ppm, toxicity
 from ebbmark.llm.common import id_remainder
 from tests.llm.conftest import TEXTS
 
@@ -122,6 +122,51 @@ def test_scores_of_odd_rows(docs, no_docs):
     assert ppm.score(no_docs, F.lit(True)).collect() == []
 
 
+def brute_language(text, model):
+    """Counts n-gram by n-gram, then the votes of the duels of each level, margins breaking ties; the least sure duel of the winners."""
+    grams = Counter()
+    b = [c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in b" " + text.encode() + b" "]
+    for k in model.settings.orders:
+        for i in range(len(b) - k + 1):
+            code = 0
+            for c in b[i:i + k]:
+                code = (code << 8 | c) & 0xFFFFFFFF
+            grams[((code ^ k * 0x01010101) * 2654435761 & 0xFFFFFFFF) >> 32 - model.settings.bits] += 1
+    length = math.sqrt(sum(grams.values()))
+    margin = {pair: sum(float(w[g]) * math.sqrt(n) / length for g, n in grams.items()) + float(c)
+              for pair, w, c in zip(model.pairs, model.weights, model.offsets)}
+
+    def duel(level, classes):
+        points = {}
+        for x in classes:
+            own = [m if a == x else -m for (l, a, b), m in margin.items() if l == level and x in (a, b)]
+            won = [a == x if m >= 0 else b == x for (l, a, b), m in margin.items() if l == level and x in (a, b)]
+            points[x] = sum(won) + 1e-3 * sum(map(math.tanh, own)), min([1 / (1 + math.exp(-4 * m)) for m in own], default=1.0)
+        best = max(sorted(classes), key=lambda x: points[x][0])
+        return best, points[best][1]
+
+    chosen, sure = duel("family", {langid.family(x) for x in model.languages})
+    language, sure_too = duel(chosen, {x for x in model.languages if langid.family(x) == chosen})
+    return language, min(sure, sure_too)
+
+
+def test_votes_and_duels_against_brute_force(spark):
+    """Eight languages of four families, two of them alone in theirs; texts mix languages, so that some duels are close."""
+    rng = random.Random(3)
+    words = {x: ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 7))) for _ in range(40)] for x, letters in {
+        "es": "aeiorst", "fr": "aeiouqul", "it": "aeiozc", "de": "enrsch", "en": "thewing", "sv": "åäörk", "fi": "yäkkai", "zz": "xqj"}.items()}
+    say = lambda *langs: " ".join(rng.choice(words[rng.choice(langs)]).title() for _ in range(rng.randrange(3, 25)))
+    train = spark.createDataFrame([(i, say(x), x) for i in range(12) for x in words], "doc_id long, text string, lang string")
+    model = langid.fit(train, "text", "lang", "doc_id", langid.Settings(bits=12, epochs=4))
+    assert len([p for p in model.pairs if p[0] == "family"]) == 6 and len(model.pairs) == 12
+    texts = [say(*rng.sample(sorted(words), rng.choice([1, 2, 3]))) for _ in range(150)]
+    rows = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, doc_id=F.col("doc_id")).collect()
+    assert len(rows) == len(texts) and len({r.lang_pred for r in rows}) == len(words)
+    for r in rows:
+        language, score = brute_language(texts[r.doc_id], model)
+        assert r.lang_pred == language and r.score == pytest.approx(score, abs=1e-5)
+
+
 def test_deobfuscation():
     counts = Counter()
     for w in ("idiot moron pathetic loser clown scum worthless " * 3 + "the lost mother is a nice lot in town this round other cross").split():

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ebbmark.functions.scalars import bucket
 
 ID_BLOCK = 65_536
+FINER = 1024  # slices into which an overfull one is cut to count its rows
 
 
 @dataclass(frozen=True)
@@ -40,23 +41,23 @@ def _overfull(df: DataFrame, keys: list[str], slicing: Slicing) -> DataFrame:
             .where(F.col("_rows") > slicing.rows_per_part))
 
 
-def _split_points(df: DataFrame, keys: list[str], order: list[str], slicing: Slicing) -> DataFrame:
-    """One row per overfull slice, with the order positions where its parts begin.
+def _position(order: list[str]) -> list[Column]:
+    return [F.col(order[0]).cast("long").alias("_at"), bucket(order[-1], ID_BLOCK).alias("_tie")]
 
-    At most rows / rows_per_part slices are overfull, and they get at most (rows / rows_per_part)
-    positions plus one each. That grows with the rows, so the optimizer decides from its size how it is joined.
+
+def _parts(df: DataFrame, keys: list[str], order: list[str], slicing: Slicing) -> DataFrame:
+    """The part of every position: one row per millisecond and block of ids that has rows. A slice that is not overfull has part 0.
+
+    Rows before a position are counted by a running fold over finer slices, so one overfull slice is spread over tasks too (picking
+    the overfull slices by a join would bring each into one task). A part begins where the count passes a multiple of ``rows_per_part``.
     """
-    overfull = _overfull(df, keys, slicing)
-    lead, tie = order[0], order[-1]
-    position = F.struct(F.col(lead).cast("long").alias("at"), bucket(tie, ID_BLOCK).alias("tie"))
-    histogram = (df.join(overfull, keys)
-                 .groupBy(*keys, position.alias("_at"))
-                 .agg(F.count(F.lit(1)).alias("_n")))
-    earlier = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    return (histogram
-            .withColumn("_part", F.floor(F.coalesce(F.sum("_n").over(earlier), F.lit(0)) / slicing.rows_per_part))
-            .groupBy(*keys, "_part").agg(F.min("_at").alias("_from"))
-            .groupBy(*keys).agg(F.sort_array(F.collect_list("_from")).alias("_starts")))
+    positions = (df.groupBy(*keys, *_position(order)).agg(F.count(F.lit(1)).alias("_n"))
+                 .withColumnRenamed("_slice", "_whole"))
+    whole = [k for k in keys if k != "_slice"] + ["_whole"]
+    counted = running(positions, whole, ["_at", "_tie"], {"_rows": ("sum", "_n")},
+                      Slicing(max(1, slicing.width // FINER), None), inclusive=False)
+    return counted.select(*whole, "_at", "_tie", F.floor(F.coalesce("_rows_before", F.lit(0)) / slicing.rows_per_part).alias("_part")) \
+        .withColumnRenamed("_whole", "_slice")
 
 
 def with_units(df: DataFrame, scope: list[str], order: list[str], slicing: Slicing) -> tuple[DataFrame, list[str]]:
@@ -69,12 +70,12 @@ def with_units(df: DataFrame, scope: list[str], order: list[str], slicing: Slici
     keys = scope + ["_slice"]
     if slicing.rows_per_part is None or _overfull(df, keys, slicing).isEmpty():
         return df, ["_slice"]
-    starts = _split_points(df, keys, order, slicing)
-    here = F.struct(F.col(order[0]).cast("long").alias("at"), bucket(order[-1], ID_BLOCK).alias("tie"))
-    df = df.join(starts, keys, "left")
-    part = F.when(F.col("_starts").isNull(), F.lit(0)).otherwise(
-        F.size(F.filter("_starts", lambda start: start <= here)))
-    return df.withColumn("_part", part).drop("_starts"), ["_slice", "_part"]
+    parts = _parts(df, keys, order, slicing)
+    rows = df.select("*", *_position(order)).alias("r")
+    here = [F.col(f"r.{c}") == F.col(f"p.{c}") for c in [*keys, "_at"]] + [F.col("r._tie").eqNullSafe(F.col("p._tie"))]
+    # A lookup by position, so a row costs the same however many parts its slice has.
+    df = rows.join(parts.alias("p"), here, "left").select(*[f"r.{c}" for c in df.columns], F.coalesce("p._part", F.lit(0)).alias("_part"))
+    return df, ["_slice", "_part"]
 
 
 def _fold(kind: str, column: str, order: list[str]) -> Column:

@@ -191,6 +191,11 @@ class SlackController:
         self.detector = Adwin(1.0)
         self.drift = False
 
+    @property
+    def lost(self) -> bool:
+        """Whether a missing time has left NaN in the state, which arrays of integers cannot hold."""
+        return any(x != x for x in (self.newest, self.wm, self.warm_sum, self.slack))
+
     def observe(self, event_time: int, arrival_time: int) -> None:
         s = self.s
         if s.sample == "network":
@@ -377,7 +382,8 @@ def adwin_watermarks(events: DataFrame, strategies: list[Strategy], tick_ms: int
             for _, some in batch.groupby(turn, sort=False):
                 holes = bool(some["holes"].iloc[0])
                 event_times, arrivals = (np.frombuffer(b"".join(some[c]), np.float64 if holes else np.int64) for c in ("event_times", "arrivals"))
-                (one_by_one if holes or open_tick != open_tick else together)(event_times, arrivals)
+                missing = holes or open_tick != open_tick or any(c.lost for c in controllers)
+                (one_by_one if missing else together)(event_times, arrivals)
             if rows:
                 yield _frame(rows, ["scope", "tick", *names])
                 rows.clear()

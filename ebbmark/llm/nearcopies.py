@@ -1,9 +1,11 @@
-"""Near copies by exact Jaccard similarity of word shingles, with candidates from banded MinHash.
+"""Near copies by exact Jaccard similarity of word shingles, with candidates from BK-trees over SimHash fingerprints and from banded MinHash.
 
 A text's set is the hashes of its runs of ``words`` words. Two sets are linked if their Jaccard similarity is at least ``least`` (a
 ratio of whole numbers, judged exactly); a document's group is what links lead to.
 
-Equal sets are one row throughout. Each set gets ``bands * rows`` MinHash values; sets that agree in all values of a band share a
+Equal sets are one row throughout. Each set gets a SimHash fingerprint; those that the BK-trees of ``simhash`` link (at most ``radius`` bits differ), and sets with the
+same fingerprint, are candidates. A radius that covers the least similarity alone would put nearly all fingerprints in one shard (copies at 0.8 were
+counted to differ in up to 11 bits), so MinHash finds the others: each set gets ``bands * rows`` MinHash values; sets that agree in all values of a band share a
 bucket. At similarity 0.8, 48 bands of 8 miss a pair with probability 1.5e-4, at 0.85 with 3e-7. First every set of a bucket is checked against
 the bucket's least one and confirmed links are merged; then what still lies in different groups of a bucket is checked: pair by pair in a bucket of at most
 ``crowded`` sets; in the crowds that larger ones connect with the set nearest to what most of a crowd holds, and then where two sets share one of their rarest differences
@@ -24,9 +26,10 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ebbmark.llm import simhash
 from ebbmark.llm.common import map_texts, read_texts
 from ebbmark.llm.components import components
-from ebbmark.llm.simhash import rows_of
+from ebbmark.llm.simhash import fingerprint_links, fingerprint_of_set, rows_of
 from ebbmark.session import stored
 
 
@@ -35,6 +38,7 @@ class Settings:
     words: int = 5
     least: tuple[int, int] = (4, 5)
     seed: int = 42
+    radius: int = 3
     bands: int = 48
     rows: int = 8
     crowded: int = 32
@@ -79,24 +83,25 @@ class Sketcher:
 
 
 def sketches(df: DataFrame, text: str, settings: Settings, **keep: Column) -> DataFrame:
-    """``keep`` columns, ``set`` (a hash of it), its ``size``, ``buckets`` and ``bits`` for each row."""
+    """``keep`` columns, ``set`` (a hash of it), its ``size``, ``print`` (SimHash), ``buckets`` and ``bits`` for each row."""
     def work() -> Callable:
         from xxhash import xxh64_intdigest
         sketcher = Sketcher(settings)
 
         def compute(texts):
-            names, sizes, buckets, bits = [], [], [], []
+            names, sizes, prints, buckets, bits = [], [], [], [], []
             for t in texts:
                 h = shingles(t.encode(), settings)
                 b, s = sketcher.sketch(h)
                 name = xxh64_intdigest(h.tobytes(), settings.seed)
                 names.append(name - (1 << 64) if name >> 63 else name)
                 sizes.append(len(h))
+                prints.append(fingerprint_of_set(h))
                 buckets.append(b)
                 bits.append(s)
-            return {"set": names, "size": sizes, "buckets": buckets, "bits": bits}
+            return {"set": names, "size": sizes, "print": prints, "buckets": buckets, "bits": bits}
         return compute
-    return map_texts(read_texts(df, text, **keep), work, "set long, size long, buckets array<long>, bits array<long>")
+    return map_texts(read_texts(df, text, **keep), work, "set long, size long, print long, buckets array<long>, bits array<long>")
 
 
 def _alike(a: str, b: str, settings: Settings) -> Column:
@@ -124,23 +129,40 @@ def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     return stored(groups.join(joined, F.col("group") == F.col("node"), "left").select("set", F.coalesce("label", "group").alias("group")), "near-copy-groups")
 
 
+def _tree_candidates(distinct: DataFrame, settings: Settings) -> DataFrame:
+    """``a, b``: sets with the same fingerprint, as links to the least of them, and those least ones where BK-trees link their fingerprints."""
+    named = distinct.where("size > 0").select("set", F.col("print").alias("fp"))
+    least = stored(named.groupBy("fp").agg(F.min("set").alias("first")), "near-copy-prints")
+    links = fingerprint_links(least.select("fp"), simhash.Settings(words=settings.words, seed=settings.seed, radius=settings.radius,
+                                                                   blocks=settings.radius + 2))
+    same = named.join(least, "fp").where("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b"))
+    near = links.join(least.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    return same.union(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
+def _possible(pairs: DataFrame, facts: DataFrame, settings: Settings) -> DataFrame:
+    return pairs.distinct().alias("p").join(facts.alias("x"), F.col("p.a") == F.col("x.set")).join(facts.alias("y"), F.col("p.b") == F.col("y.set")) \
+        .where(_alike("x", "y", settings)).select("p.a", "p.b")
+
+
 def set_groups(df: DataFrame, distinct: DataFrame, id: str, text: str, settings: Settings) -> DataFrame:
-    """``set, group`` of all sets that share a bucket, as links between all pairs of at least the least similarity would group them. ``distinct``: ``set, size,
-    buckets, bits`` and ``best``, a document of the set, one row a set."""
+    """``set, group`` of all sets that share a bucket or are linked by their fingerprints, as links between all pairs of at least the least similarity would group
+    them. ``distinct``: ``set, size, print, buckets, bits`` and ``best``, a document of the set, one row a set."""
     placed = distinct.where("size > 0").select("set", F.posexplode("buckets").alias("band", "bucket"))
     first = placed.groupBy("band", "bucket").agg(F.min("set").alias("first"), F.count("*").alias("sets")).where("sets > 1")
     shared = stored(placed.join(first, ["band", "bucket"]).select("band", "bucket", "set", "first"), "near-copy-buckets")
-    some = distinct.join(shared.select("set").distinct(), "set", "left_semi").select("set", "best")
+    facts = distinct.select("set", "size", "bits")
+    of_trees = stored(_possible(_tree_candidates(distinct, settings), facts, settings), "near-copy-tree-pairs")
+    wanted = shared.select("set").union(of_trees.select("a")).union(of_trees.select("b")).distinct()
+    some = distinct.join(wanted, "set", "left_semi").select("set", "best")
 
     def work() -> Callable:
         return lambda texts: {"hashes": [shingles(t.encode(), settings).view(np.int64) for t in texts]}
     texts = rows_of(df, some, id, text).select("best.set", F.col(f"row.{text}").cast("string").alias("text"))
     sets = stored(map_texts(texts, work, "hashes array<long>"), "near-copy-sets")
 
-    facts = distinct.select("set", "size", "bits")
-    stars = stored(shared.where("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b")).distinct().alias("p")
-                   .join(facts.alias("x"), F.col("p.a") == F.col("x.set")).join(facts.alias("y"), F.col("p.b") == F.col("y.set"))
-                   .where(_alike("x", "y", settings)).select("p.a", "p.b"), "near-copy-stars")
+    starred = shared.where("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b"))
+    stars = stored(_possible(starred, facts, settings).union(of_trees).distinct(), "near-copy-stars")
     groups = _merged(sets.select("set", F.col("set").alias("group")), stored(_confirmed(stars, sets, settings), "near-copy-links"))
 
     apart = stored(_apart(shared, groups), "near-copy-rest")
@@ -218,7 +240,7 @@ def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", settings:
     marked = stored(sketches(df, text, settings, doc_id=df[id], text_hash=F.xxhash64(df[text].cast("string"))), "near-copy-sketches")
     distinct = stored(marked.groupBy("set").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("best"), F.first("size").alias("size"),
-        F.first("buckets").alias("buckets"), F.first("bits").alias("bits")), "near-copy-distinct")
+        F.first("print").alias("print"), F.first("buckets").alias("buckets"), F.first("bits").alias("bits")), "near-copy-distinct")
     grouped = set_groups(df, distinct, id, text, settings)
     best = distinct.join(grouped, "set", "left").groupBy(F.coalesce("group", "set").alias("group")).agg(F.min("best").alias("best"))
     return rows_of(df, stored(best, "representatives"), id, text).select("row.*")

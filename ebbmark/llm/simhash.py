@@ -54,11 +54,27 @@ def fingerprint(text: bytes, settings: Settings, window: int = 1 << 16) -> int:
         some = words[start:start + window + k - 1]
         shingles = some if k == 1 else map(b" ".join, zip(*(some[j:] for j in range(k))))
         h = np.fromiter((xxh64_intdigest(s, settings.seed) for s in shingles), np.uint64)
-        bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        bits += _bit_counts(h)
+    return _majority(bits, n)
+
+
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(bits: np.ndarray, n: int) -> int:
     value = np.packbits(2 * bits > n, bitorder="little").view(np.uint64)[0]
     return int(value.astype(np.int64))
 
 
+def fingerprint_of_set(hashes: np.ndarray, window: int = 1 << 16) -> int:
+    """Of distinct shingle hashes, each counted once."""
+    bits = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), window):
+        bits += _bit_counts(hashes[start:start + window])
+    return _majority(bits, len(hashes))
+
+
 def fingerprints(df: DataFrame, text: str = "text", settings: Settings = Settings(), **keep: Column) -> DataFrame:
     """``keep`` columns and ``fp`` (the 64 bits as a signed number) for each row."""
     def work() -> Callable:

@@ -8,11 +8,11 @@ symbols are equally likely. The model is pretrained: it does not adapt to the te
 The model's text is the word sequence of the contract: A-Z lower-cased, words joined by one space, and an end symbol. The
 score is the sum of log10 probabilities of its bytes and the end.
 
-Counting is one pass with map-side combination. The trie keeps a node only if it holds at least one in ``nodes`` of all training
-positions, at every depth, so the model that travels to the driver and to the workers has at most ``nodes`` nodes per depth
-whatever the corpus; the mass of dropped nodes is added to the escape of their context, so probabilities still add
-up to one. The rule is relative: it acts alike at every size, and drops nothing while there are fewer than ``nodes``
-positions.
+The trie is whole: every span of the training texts counts, however rare. It lies cut by the ``SPLIT`` symbols before the
+predicted one: all longer contexts of a symbol share them, so each part with the (few) shorter spans of all texts gives
+exact probabilities. The at most ``nodes`` most frequent spans, with their log probabilities, travel to the workers as a
+shortcut; all other positions of a text, seen in training or not, go to the part of the trie that knows their context, and the
+sums come back by row. ``nodes`` decides how many positions travel, not the result.
 
 The base score needs the exact training count of every word. At most ``frequent`` words hold at least one in ``frequent`` of all
 tokens: those (of up to 64 bytes) travel to the workers; all others are looked up by a join, in which no word is frequent
@@ -29,18 +29,26 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ebbmark.llm.common import slices_by_bytes
+from ebbmark.llm.common import _arrow_schema, _as, slices_by_bytes
 from ebbmark.session import stored
 
 BITS = 9  # of a symbol: 0 before the text, 1 + byte, END
 END = 257
 SYMBOLS = 257
 COUNTED, WINDOW = 1 << 20, 1 << 18  # positions taken at a time when counting and when scoring
+SPLIT = 2  # symbols of context by which the trie is cut; shorter spans are at most 2^18
+PART = 1 << 27  # training positions for one group of parts, beyond the first ``GROUPS`` groups
+GROUPS = 61
+LONG_ROW, WAITING = 50_000, 1 << 21  # spans in a row; spans of texts that wait in a task
+MODEL, TAIL, DOC = 0, 1, 2  # kinds of rows
 LONGEST_FREQUENT = 64
 
 
@@ -93,18 +101,48 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return c[first], np.add.reduceat(n, first)
 
 
+def context(code: np.ndarray, order: int) -> np.ndarray:
+    """The symbols before the last one by which the trie is cut."""
+    return ((code >> np.uint64(BITS)) & np.uint64((1 << BITS * min(SPLIT, order)) - 1)).astype(np.int64)
+
+
+def packed(key: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
+    """Rows of a key and arrays of bounded length, from columns in the order of ``key``."""
+    change = np.flatnonzero(key[1:] != key[:-1]) + 1
+    first = np.union1d(change, np.arange(0, len(key), LONG_ROW))
+    offsets = pa.array(np.append(first, len(key)), pa.int32())
+    return [pa.array(key[first])] + [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns]
+
+
+def _batch(columns: list[pa.Array], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([_as(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def slices(batch: pa.RecordBatch, most: int = 500) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(batch), most):
+        yield batch.slice(i, most)
+
+
 def count(df: DataFrame, settings: Settings) -> DataFrame:
-    """``word, code, n`` for the column ``text``: counts of words (the end is the empty word) and of packed spans. Each
-    task sums what it sees and passes it on in parts of bounded size."""
+    """``word, word_n`` and ``context, codes, n`` for the column ``text``: counts of words (the end is the empty word), in
+    parts, and of packed spans by context, where a span has one count. Each task sums what it sees and passes it on in parts
+    of bounded size."""
     order = settings.order
-
-    def out(words=(), word_n=(), spans=(), span_n=()) -> Iterator[pa.RecordBatch]:
-        a = pa.concat_arrays([pa.array(words, pa.string()), pa.nulls(len(spans), pa.string())])
-        b = pa.concat_arrays([pa.nulls(len(words), pa.int64()), pa.array(spans, pa.int64())])
-        n = pa.concat_arrays([pa.array(word_n, pa.int64()), pa.array(span_n, pa.int64())])
-        whole = pa.RecordBatch.from_arrays([a, b, n], ["word", "code", "n"])
-        for i in range(0, len(whole), 50_000):
-            yield whole.slice(i, 50_000)
+    schema = T._parse_datatype_string("context long, codes array<long>, n array<long>, word string, word_n long")
+    fields = _arrow_schema(schema)
+
+    def spans_out(c: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = context(c, order)
+        by = np.argsort(at, kind="stable")
+        columns = packed(at[by], c[by].astype(np.int64), n[by].astype(np.int64))
+        columns += [pa.nulls(len(columns[0]), f.type) for f in list(fields)[3:]]
+        yield from slices(_batch(columns, fields))
+
+    def words_out(words: Counter) -> Iterator[pa.RecordBatch]:
+        names = pa.array(list(words), pa.binary()).cast(pa.string())
+        spread = pa.array([-1 - crc32(w) for w in words], pa.int64())
+        columns = [spread, *[pa.nulls(len(names), f.type) for f in list(fields)[1:3]], names, pa.array(list(words.values()), pa.int64())]
+        yield from slices(_batch(columns, fields), 50_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
@@ -121,21 +159,43 @@ def count(df: DataFrame, settings: Settings) -> DataFrame:
                     c, n = np.unique(codes(flat, order, start, min(len(flat), start + COUNTED)), return_counts=True)
                     parts.append((c[c > 0], n[c > 0]))
                     waiting += len(c)
-            if waiting > 1_500_000:
+            if waiting > 3_000_000:
                 parts = [_merge(parts)]
-                if (waiting := len(parts[0][0])) > 750_000:
-                    yield from out(spans=parts[0][0].astype(np.int64), span_n=parts[0][1])
+                if (waiting := len(parts[0][0])) > 1_500_000:
+                    yield from spans_out(*parts[0])
                     parts, waiting = [], 0
-            if len(words) > 250_000:
-                yield from out([w.decode() for w in words], list(words.values()))
+            if len(words) > 400_000:
+                yield from words_out(words)
                 words = Counter()
         if words:
-            yield from out([w.decode() for w in words], list(words.values()))
+            yield from words_out(words)
         if parts:
-            c, n = _merge(parts)
-            yield from out(spans=c.astype(np.int64), span_n=n)
+            yield from spans_out(*_merge(parts))
 
-    return df.select("text").mapInArrow(run, "word string, code long, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter = Counter()
+        parts, waiting, least = [], 0, 1_500_000
+        for batch in batches:
+            is_word = batch.column("word").is_valid()
+            found = batch.filter(is_word)
+            for w, n in zip(found.column("word").cast(pa.binary()).to_pylist(), found.column("word_n").to_pylist()):
+                words[w] += n
+            if len(words) > 400_000:
+                yield from words_out(words)
+                words = Counter()
+            spans = batch.filter(pc.invert(is_word))
+            parts.append(tuple(spans.column(x).flatten().to_numpy().astype(t) for x, t in (("codes", np.uint64), ("n", np.int64))))
+            waiting += len(parts[-1][0])
+            if waiting > 2 * least:
+                parts = [_merge(parts)]
+                waiting = len(parts[0][0])
+                least = max(least, waiting)
+        if words:
+            yield from words_out(words)
+        if waiting:
+            yield from spans_out(*_merge(parts))
+
+    return df.select("text").mapInArrow(run, schema).repartition("context").mapInArrow(merge, schema)
 
 
 @dataclass(frozen=True)
@@ -148,28 +208,73 @@ class Trie:
     contexts: list[tuple[np.ndarray, np.ndarray]]
 
 
-def trie(counts: DataFrame, settings: Settings) -> Trie:
-    """The bounded trie from ``code, n`` of the longest spans."""
+def part_of_trie(code: np.ndarray, n: np.ndarray, short: list[tuple[np.ndarray, np.ndarray]], order: int) -> Trie:
+    """The trie from the longest spans of some contexts, and the spans of up to ``SPLIT`` symbols of all texts."""
+    nodes = short + [_merge([(code & np.uint64((1 << BITS * (k + 1)) - 1), n)]) if len(code) else (code, n)
+                     for k in range(len(short), order + 1)]
+    contexts = [_merge([(c >> np.uint64(BITS), m)]) if len(c) else (c, m) for c, m in nodes]
+    return Trie(order, nodes, contexts)
+
+
+def survey(spans: DataFrame, settings: Settings) -> tuple[list[tuple[np.ndarray, np.ndarray]], int, int]:
+    """From ``codes, n``: the counts of all spans of up to ``SPLIT`` symbols, the number of positions, and the least count
+    for which at most ``nodes`` spans are as frequent."""
     order = settings.order
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    masks = F.array(*[F.lit((1 << BITS * k) - 1) for k in range(1, order + 2)])
-    spans = counts.select("n", F.posexplode(masks).alias("k", "mask"), "code") \
-        .groupBy("k", F.col("code").bitwiseAND(F.col("mask")).alias("code")).agg(F.sum("n").alias("n"))
-    spans = stored(spans, "trie-spans")
-    contexts = spans.groupBy("k", F.shiftright("code", BITS).alias("code")).agg(F.sum("n").alias("n"))
-    least = -(-total // settings.nodes)
-    both = spans.withColumn("context", F.lit(False)).unionByName(contexts.withColumn("context", F.lit(True))) \
-        .where(F.col("n") >= least).toArrow()  # at most 2 * (order + 1) * nodes rows
-    k, code, n, context = (both.column(c).to_numpy() for c in ("k", "code", "n", "context"))
-
-    def level(which: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-        out = []
-        for j in range(order + 1):
-            at = np.flatnonzero((k == j) & (context == which))
-            at = at[np.argsort(code[at])]
-            out.append((code[at].astype(np.uint64), n[at].astype(np.int64)))
-        return out
-    return Trie(order, level(False), level(True))
+    levels = min(SPLIT, order)
+    mask = np.uint64((1 << BITS * max(1, levels)) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, short = Counter(), Counter()
+        for batch in batches:
+            c, n = (batch.column(x).flatten().to_numpy() for x in ("codes", "n"))
+            size.update(dict(zip(*map(np.ndarray.tolist, np.unique(np.floor(16 * np.log2(n)).astype(np.int64), return_counts=True)))))
+            if len(c):
+                short.update(dict(zip(*map(np.ndarray.tolist, _merge([(c.astype(np.uint64) & mask, n)])))))
+        for of_spans, found in ((False, size), (True, short)):
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([of_spans] * len(found)), pa.array(list(found), pa.int64()),
+                                                  pa.array(list(found.values()), pa.int64())], ["short", "code", "n"])
+
+    found = spans.select("codes", "n").mapInArrow(run, "short boolean, code long, n long") \
+        .groupBy("short", "code").agg(F.sum("n").alias("n")).toArrow()  # at most 2^18 spans and 1,024 steps of counts
+    is_short, code, n = (found.column(x).to_numpy() for x in ("short", "code", "n"))
+    longest = _merge([(code[is_short].astype(np.uint64), n[is_short])]) if is_short.any() else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    short = [_merge([(longest[0] & np.uint64((1 << BITS * (k + 1)) - 1), longest[1])]) if len(longest[0]) else longest for k in range(levels)]
+    steps = sorted(zip(code[~is_short].tolist(), n[~is_short].tolist()), reverse=True)
+    least, kept = 1 << 62, 0
+    for step, more in steps:
+        if (kept := kept + more) > settings.nodes:
+            break
+        least = math.ceil(2 ** (step / 16))
+    return short, int(longest[1].sum()), least
+
+
+def most_frequent(spans: DataFrame, short: Broadcast, least: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The spans of ``group, codes, n`` that occur ``least`` times and the log probabilities of their last symbols."""
+    def solve(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        c, n = _merge(parts)
+        if (n >= least).any():
+            log = Scorer(part_of_trie(c, n, short.value, order)).log_p(c[n >= least])
+            yield pa.RecordBatch.from_arrays([pa.array(c[n >= least].astype(np.int64)), pa.array(log)], ["code", "log"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, parts = None, []
+        for batch in batches:
+            for of, c, n in zip(*(batch.column(x) for x in ("group", "codes", "n"))):
+                if of.as_py() != group and parts:
+                    yield from solve(parts)
+                    parts = []
+                group = of.as_py()
+                parts.append((_array(c).astype(np.uint64), _array(n)))
+        if parts:
+            yield from solve(parts)
+
+    found = spans.repartition("group").sortWithinPartitions("group").mapInArrow(run, "code long, log double").toArrow()
+    return found.column("code").to_numpy().astype(np.uint64), found.column("log").to_numpy()
+
+
+def _array(of_list: pa.ListScalar) -> np.ndarray:
+    return of_list.values.to_numpy()
 
 
 def _log(x: np.ndarray) -> np.ndarray:
@@ -281,49 +386,87 @@ class Scorer:
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         total = np.zeros(len(texts))
-        for i, j in slices_by_bytes(texts, WINDOW):
-            flat, starts = joined(texts[i:j], self.order)
-            ends = np.append(starts[1:], len(flat))
-            for start in range(self.order, len(flat), WINDOW):
-                end = min(len(flat), start + WINDOW)
-                run = np.concatenate([[0.0], np.cumsum(self.log_p(codes(flat, self.order, start, end)))])
-                total[i:j] += run[np.clip(ends, start, end) - start] - run[np.clip(starts, start, end) - start]
+        for code, i, starts, start in windows(texts, self.order):
+            add_up(total[i:], self.log_p(code), starts, start)
         return total
 
 
+def windows(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, int, np.ndarray, int]]:
+    """Packed spans, the number of the first text, where the texts begin, and where the spans do."""
+    for i, j in slices_by_bytes(texts, WINDOW):
+        flat, starts = joined(texts[i:j], order)
+        for start in range(order, len(flat), WINDOW):
+            yield codes(flat, order, start, min(len(flat), start + WINDOW)), i, starts, start
+
+
+def add_up(total: np.ndarray, values: np.ndarray, starts: np.ndarray, start: int) -> None:
+    """Add the values of the positions from ``start`` on to the texts that begin at ``starts``."""
+    end = start + len(values)
+    run = np.concatenate([[0.0], np.cumsum(values)])
+    ends = np.append(starts[1:], end)
+    total[:len(starts)] += run[np.clip(ends, start, end) - start] - run[np.clip(starts, start, end) - start]
+
+
 def score(df: DataFrame, train: Column, id: str = "doc_id", text: str = "text", settings: Settings = Settings(),
           **keep: Column) -> DataFrame:
     """``keep`` columns, ``n_tokens, n_known, train_tokens, base_score, score`` for each row; learns from
     rows where ``train`` is true."""
-    spark = df.sparkSession
-    plain = df.select(*[c.alias(n) for n, c in keep.items()], df[text].cast("string").alias("text"), train.alias("train"))
-    counts = stored(count(plain.where("train"), settings), "ppm-counts")
-    words = counts.where("word IS NOT NULL").select("word", F.col("n").alias("c"))
+    spark, order = df.sparkSession, settings.order
+    plain = df.select(*[c.alias(f"k{i}") for i, c in enumerate(keep.values())], df[text].cast("string").alias("text"), train.alias("train"))
+    counts = stored(count(plain.where("train"), settings), "ppm-counts", free_shuffles=True)
+    words = stored(counts.where("word IS NOT NULL").groupBy("word").agg(F.sum("word_n").alias("c")), "ppm-words", free_shuffles=True)
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    model = trie(counts.where("code IS NOT NULL").select("code", "n"), settings)
     often = (F.col("c") * settings.frequent >= n) & (F.octet_length("word") <= LONGEST_FREQUENT)
     frequent = words.where(often).toArrow()  # at most ``frequent`` words
     shares = {w.encode(): math.log10(c + 0.5) for w, c in zip(*[frequent.column(x).to_pylist() for x in ("word", "c")])}
-    sent = spark.sparkContext.broadcast((model, shares))
     rest_of = words.where(~often)
 
-    names = list(keep)
-    rows = plain.select(F.monotonically_increasing_id().alias("row"), *names, "text")
-    kept = [rows.schema[c] for c in ("row", *names)]
-    made = "n_tokens long, score double, known long, logs double, rest array<string>, times array<int>"
-    from pyspark.sql import types as T
-    schema = T.StructType(kept + T._parse_datatype_string(made).fields)
+    spans = counts.where("codes IS NOT NULL").select("context", "codes", "n")
+    short, positions, least = survey(spans, settings)
+    groups = max(GROUPS, positions // PART | 1)
+    short = spark.sparkContext.broadcast(short)
+    spans = spans.select((F.col("context") % groups).alias("group"), "codes", "n")
+    sent = spark.sparkContext.broadcast((*most_frequent(spans, short, least, order), shares))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trained, get_log = sent.value[0], sent.value[1].get
-        scorer = Scorer(trained)
+    rows = plain.select(F.struct(F.monotonically_increasing_id().alias("row"), *[f"k{i}" for i in range(len(keep))]).alias("doc"), "text")
+    doc = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema["doc"].dataType])
+    made = "n_tokens long, score double, known long, logs double, rest array<string>, times array<int>"
+    per_doc = [T.StructField("doc", doc), *T._parse_datatype_string(made)]
+    asked = T.StructType([*T._parse_datatype_string("group long, kind int, codes array<long>, n array<long>"), *per_doc])
+    solved = T.StructType([*per_doc, *T._parse_datatype_string("rows array<long>, sums array<double>")])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of texts, scored as far as the workers know; the other spans with the rows they are in."""
+        head, head_logs, logs_of = sent.value
+        head, head_logs, get_log = Table(head), np.append(head_logs, 0.0), logs_of.get
         end = get_log(b"")
+        kinds = _arrow_schema(asked)
+        tails, waiting = [], 0
+
+        def tails_out() -> pa.RecordBatch:
+            c, row = (np.concatenate(x) for x in zip(*tails))
+            group = context(c, order) % groups
+            by = np.argsort(group, kind="stable")
+            columns = packed(group[by], c[by].astype(np.int64), row[by])
+            size = len(columns[0])
+            columns.insert(1, pa.array(np.full(size, TAIL, np.int32)))
+            return _batch(columns + [pa.nulls(size, f.type) for f in list(kinds)[4:]], kinds)
+
         for batch in batches:
             texts = raw_texts(batch)
-            size, found, known, logs, rest, times = [], [], [], [], [], []
+            row = batch.column("doc").field("row").to_numpy()
+            size, found, known, logs, rest, times = [], np.zeros(len(texts)), [], [], [], []
             for i, j in slices_by_bytes(texts, WINDOW):  # the words of one slice at a time
                 split = [tokens(t) for t in texts[i:j]]
-                found += scorer.scores([b" ".join(w) for w in split]).tolist()
+                for code, first, starts, start in windows([b" ".join(w) for w in split], order):
+                    at = head.find(code)
+                    add_up(found[i + first:], head_logs[at], starts, start)
+                    tail = np.flatnonzero((at < 0) & (code > 0))
+                    tails.append((code[tail], row[i + first - 1 + np.searchsorted(starts, start + tail, "right")]))
+                    waiting += len(tail)
+                    if waiting > WAITING:
+                        yield from slices(tails_out(), 10)
+                        tails, waiting = [], 0
                 for w in split:
                     k, s, r, m = 0, 0.0, [], []
                     for word, times_here in Counter(w).items():
@@ -339,19 +482,58 @@ def score(df: DataFrame, train: Column, id: str = "doc_id", text: str = "text",
                     logs.append(s + (math.log10(0.5) if end is None else end))
                     rest.append(r)
                     times.append(m)
-            new = [pa.array(size, pa.int64()), pa.array(found, pa.float64()), pa.array(known, pa.int64()),
+            new = [pa.array(row % groups), pa.array(np.full(len(row), DOC, np.int32)), *[pa.nulls(len(row), kinds.field(x).type) for x in ("codes", "n")],
+                   batch.column("doc"), pa.array(size, pa.int64()), pa.array(found), pa.array(known, pa.int64()),
                    pa.array(logs, pa.float64()), pa.array(rest, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))]
-            names_out = ["row", *names, "n_tokens", "score", "known", "logs", "rest", "times"]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("row", *names)] + new, names_out)
-
-    scored = stored(rows.mapInArrow(run, schema), "ppm-scores")
-    looked_up = scored.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")) \
+            yield _batch(new, kinds)
+        if waiting:
+            yield from slices(tails_out(), 10)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted by group and kind: a part of the trie, the spans to be looked up there, and texts, which pass."""
+        kinds = _arrow_schema(solved)
+        group, scorer, parts = None, None, []
+        for batch in batches:
+            kind = batch.column("kind").to_numpy()
+            passing = batch.filter(pa.array(kind == DOC))
+            if len(passing):
+                lists = [pa.nulls(len(passing), kinds.field(x).type) for x in ("rows", "sums")]
+                yield _batch([*[passing.column(f.name) for f in per_doc], *lists], kinds)
+            out = []
+            for i in np.flatnonzero(kind != DOC):
+                if (here := batch.column("group")[i].as_py()) != group:
+                    group, scorer, parts = here, None, []
+                c, n = (_array(batch.column(x)[i]) for x in ("codes", "n"))
+                if kind[i] == MODEL:
+                    parts.append((c.astype(np.uint64), n))
+                    continue
+                if scorer is None:
+                    model = _merge(parts) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                    scorer, parts = Scorer(part_of_trie(*model, short.value, order)), []
+                log = scorer.log_p(c.astype(np.uint64))
+                first = np.flatnonzero(np.append(True, n[1:] != n[:-1]))  # spans lie in the order of rows
+                out.append((n[first], np.add.reduceat(log, first)))
+            if out:
+                offsets = pa.array(np.cumsum([0] + [len(r) for r, _ in out]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in zip(*out)]
+                nulls = [pa.nulls(len(out), kinds.field(f.name).type) for f in per_doc]
+                yield from slices(_batch([*nulls, *lists], kinds), 10)
+
+    model = spans.withColumn("kind", F.lit(MODEL))
+    scored = stored(model.unionByName(rows.mapInArrow(read, asked), allowMissingColumns=True)
+                    .repartition("group").sortWithinPartitions("group", "kind").mapInArrow(solve, solved), "ppm-scores", free_shuffles=True)
+    docs = scored.where("doc IS NOT NULL").select("doc.row", "*")
+    looked_up = docs.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")) \
         .select("row", F.col("x.rest").alias("word"), F.col("x.times").alias("times")).join(rest_of, "word", "left")
-    rare = looked_up.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"),
-        F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more_logs"))
+    more = looked_up.select("row", F.when(F.col("c") > 0, F.col("times")).otherwise(0).cast("long").alias("more"),
+                            (F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more_logs"), F.lit(0.0).alias("more_score"))
+    sums = scored.where("rows IS NOT NULL").select(F.explode(F.arrays_zip("rows", "sums")).alias("x")) \
+        .select(F.col("x.rows").alias("row"), F.lit(0).cast("long").alias("more"), F.lit(0.0).alias("more_logs"), F.col("x.sums").alias("more_score"))
+    added = more.unionByName(sums).groupBy("row").agg(*[F.sum(x).alias(x) for x in ("more", "more_logs", "more_score")])
     each = math.log10(n + 0.5 * (v + 1))
-    return scored.join(rare, "row", "left").select(
-        *names, "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
+    return docs.join(added, "row", "left").select(
+        *[F.col(f"doc.k{i}").alias(name) for i, name in enumerate(keep)],
+        "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * each).alias("base_score"), "score")
+        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * each).alias("base_score"),
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))

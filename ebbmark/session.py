@@ -26,6 +26,9 @@ SETTINGS = {
 }
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def session(app: str = "ebbmark", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -53,14 +56,21 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="ebbmark-")
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
+def stored(df: DataFrame, purpose: str, free_shuffles: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage of a frame that several branches use, survives lost executors, and gives the
-    planner the true size of what follows.
+    planner the true size of what follows. With ``free_shuffles`` the shuffle files of the writing job go
+    when it ends, not when the driver collects its garbage.
     """
     path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    before = df.sparkSession.conf.get(FREE_SHUFFLES, "false")
+    try:
+        if free_shuffles:
+            df.sparkSession.conf.set(FREE_SHUFFLES, "true")
+        df.write.parquet(path)
+    finally:
+        df.sparkSession.conf.set(FREE_SHUFFLES, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

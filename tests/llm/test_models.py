@@ -67,6 +67,21 @@ def test_scores_against_brute_force(spark, order):
         assert r.score == pytest.approx(brute_ppm(held, words, order), abs=1e-9), (order, words)
 
 
+@pytest.mark.parametrize("order, nodes", [(0, 0), (1, 12), (3, 12), (6, 0), (6, 12)])
+def test_rare_spans_count(spark, monkeypatch, order, nodes):
+    """Whether a span is among the few that travel to the workers decides nothing, nor do parts, rows and waits of any size."""
+    for name, value in (("GROUPS", 3), ("LONG_ROW", 5), ("WAITING", 20), ("WINDOW", 16)):
+        monkeypatch.setattr(ppm, name, value)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aab Äz") for _ in range(rng.randrange(40))) for _ in range(40)] + [None, "", "qqq"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = ppm.score(df, F.col("doc_id") % 3 != 0, settings=ppm.Settings(order=order, nodes=nodes), doc_id=F.col("doc_id")).collect()
+    held = [brute_tokens(t) for i, t in enumerate(texts) if i % 3]
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    for r in rows:
+        assert r.score == pytest.approx(brute_ppm(held, brute_tokens(texts[r.doc_id]), order), abs=1e-9)
+
+
 def trie_of(texts, order, least):
     spans = [Counter() for _ in range(order + 1)]
     for t in texts:

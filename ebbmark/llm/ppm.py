@@ -15,8 +15,10 @@ shortcut; all other positions of a text, seen in training or not, go to the part
 sums come back by row. ``nodes`` decides how many positions travel, not the result.
 
 The base score needs the exact training count of every word. At most ``frequent`` words hold at least one in ``frequent`` of all
-tokens: those (of up to 64 bytes) travel to the workers; all others are looked up by a join, in which no word is frequent
-enough to be a hot key.
+tokens: those travel to the workers (longer than 64 bytes, their SHA-256); all others are looked up in the part of the words that their checksum
+names, in which no word is frequent enough to be a hot key.
+
+Between tasks, spans, words and sums travel as packed arrays in binary columns, one row for many, so that rows stay few.
 
 Cases: a null or empty text is the end token alone; with no training row counts are zero and bytes are equally likely; repeated
 rows are scored one by one; a null id counts as empty text for the split; an empty table gives an empty one; other columns are
@@ -29,11 +31,12 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha256
+from itertools import chain, repeat
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -47,9 +50,13 @@ COUNTED, WINDOW = 1 << 20, 1 << 18  # positions taken at a time when counting an
 SPLIT = 2  # symbols of context by which the trie is cut; shorter spans are at most 2^18
 PART = 1 << 27  # training positions for one group of parts, beyond the first ``GROUPS`` groups
 GROUPS = 61
+SLOTS = 4093  # by which counts of spans and words are dealt out and merged; a group of parts is several
+SPREAD = 16  # slots into which the spans of one context are dealt further, as some contexts are frequent; slots have 16 bits
 LONG_ROW, WAITING = 50_000, 1 << 21  # spans in a row; spans of texts that wait in a task
+WORDS_WAITING, WORD_BYTES_WAITING = 1 << 18, 1 << 24  # words of texts that wait in a task
+HOME = 512  # rows of texts whose sums come together
 MODEL, TAIL, DOC = 0, 1, 2  # kinds of rows
-LONGEST_FREQUENT = 64
+LONGEST_FREQUENT = 64  # bytes of a word that travels as it is
 
 
 @dataclass(frozen=True)
@@ -60,7 +67,7 @@ class Settings:
 
 
 def raw_texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [(t or "").encode() for t in batch.column("text").to_pylist()]
+    return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -101,48 +108,85 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return c[first], np.add.reduceat(n, first)
 
 
-def context(code: np.ndarray, order: int) -> np.ndarray:
-    """The symbols before the last one by which the trie is cut."""
-    return ((code >> np.uint64(BITS)) & np.uint64((1 << BITS * min(SPLIT, order)) - 1)).astype(np.int64)
+def context_slot(code: np.ndarray, order: int) -> np.ndarray:
+    """The symbols before the last one by which the trie is cut, dealt to ``SLOTS`` numbers."""
+    return ((code >> np.uint64(BITS)) & np.uint64((1 << BITS * min(SPLIT, order)) - 1)) % np.uint64(SLOTS)
+
+
+def span_slot(code: np.ndarray, order: int) -> np.ndarray:
+    mixed = (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+    return (context_slot(code, order) * np.uint64(SPREAD) + mixed % np.uint64(SPREAD)).astype(np.uint16)  # 16 bits sort fast
 
 
-def packed(key: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
-    """Rows of a key and arrays of bounded length, from columns in the order of ``key``."""
+def word_slot(words: list[bytes], most: int) -> np.ndarray:
+    return (np.fromiter(map(crc32, words), np.int64, len(words)) % SLOTS % most).astype(np.uint16)
+
+
+def packed(key: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """Rows of a key and the bytes of arrays of bounded length, from columns in the order of ``key``."""
     change = np.flatnonzero(key[1:] != key[:-1]) + 1
-    first = np.union1d(change, np.arange(0, len(key), LONG_ROW))
-    offsets = pa.array(np.append(first, len(key)), pa.int32())
-    return [pa.array(key[first])] + [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns]
+    first = np.union1d(change, np.arange(0, len(key), LONG_ROW)).tolist()
+    for i, j in zip(first, [*first[1:], len(key)]):
+        yield (int(key[i]), *[c[i:j].tobytes() for c in columns])
+
+
+def packed_words(key: np.ndarray, words: list[bytes], column: np.ndarray) -> Iterator[tuple]:
+    """The same for words, which hold no space: negative keys, and the words joined by spaces."""
+    by = np.argsort(key, kind="stable")
+    key, column = key[by], column[by]
+    words = [words[i] for i in by.tolist()]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])).tolist() if len(key) else []
+    for i, j in zip(first, [*first[1:], len(key)]):
+        yield -1 - int(key[i]), b" ".join(words[i:j]), column[i:j].tobytes()
+
+
+def _batches(rows: Iterator[tuple], names: list[str], schema: pa.Schema, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of about ``most`` bytes; columns without a name in ``names`` are null."""
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        columns = dict(zip(names, zip(*held)))
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(held), f.type)
+                                           for f in schema], schema=schema)
+
+    for row in rows:
+        held.append(row)
+        size += 100 + sum(len(x) for x in row if isinstance(x, bytes))
+        if size > most:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
 
 
-def _batch(columns: list[pa.Array], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([_as(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+def _array(of_bytes: pa.BinaryScalar, kind: type = np.int64) -> np.ndarray:
+    return np.frombuffer(of_bytes.as_buffer(), kind)
 
 
-def slices(batch: pa.RecordBatch, most: int = 500) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(batch), most):
-        yield batch.slice(i, most)
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+
+
+COUNTS = "slot int, codes binary, n binary, size long, total long"
 
 
 def count(df: DataFrame, settings: Settings) -> DataFrame:
-    """``word, word_n`` and ``context, codes, n`` for the column ``text``: counts of words (the end is the empty word), in
-    parts, and of packed spans by context, where a span has one count. Each task sums what it sees and passes it on in parts
-    of bounded size."""
+    """``COUNTS`` for the column ``text``: packed spans (``slot`` from 0) and words (below 0, joined by spaces; the end is the
+    empty word) with their counts, how many and their sum. Each has one count. Each task sums what it sees and passes it on in parts
+    of bounded size; all that a slot got comes together."""
     order = settings.order
-    schema = T._parse_datatype_string("context long, codes array<long>, n array<long>, word string, word_n long")
-    fields = _arrow_schema(schema)
+    schema = T._parse_datatype_string(COUNTS)
+    fields, names = _arrow_schema(schema), ["slot", "codes", "n"]
 
     def spans_out(c: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        at = context(c, order)
+        at = span_slot(c, order)
         by = np.argsort(at, kind="stable")
-        columns = packed(at[by], c[by].astype(np.int64), n[by].astype(np.int64))
-        columns += [pa.nulls(len(columns[0]), f.type) for f in list(fields)[3:]]
-        yield from slices(_batch(columns, fields))
+        yield from _batches(packed(at[by], c[by], n[by].astype(np.int64)), names, fields)
 
     def words_out(words: Counter) -> Iterator[pa.RecordBatch]:
-        names = pa.array(list(words), pa.binary()).cast(pa.string())
-        spread = pa.array([-1 - crc32(w) for w in words], pa.int64())
-        columns = [spread, *[pa.nulls(len(names), f.type) for f in list(fields)[1:3]], names, pa.array(list(words.values()), pa.int64())]
-        yield from slices(_batch(columns, fields), 50_000)
+        w, n = list(words), np.fromiter(words.values(), np.int64, len(words))
+        yield from _batches(packed_words(word_slot(w, SLOTS), w, n), names, fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
@@ -152,8 +196,7 @@ def count(df: DataFrame, settings: Settings) -> DataFrame:
             words[b""] += len(texts)
             for i, j in slices_by_bytes(texts, COUNTED):  # the words of one slice at a time
                 split = [tokens(t) for t in texts[i:j]]
-                for w in split:
-                    words.update(w)
+                words.update(chain.from_iterable(split))
                 flat, _ = joined([b" ".join(w) for w in split], order)
                 for start in range(order, len(flat), COUNTED):
                     c, n = np.unique(codes(flat, order, start, min(len(flat), start + COUNTED)), return_counts=True)
@@ -172,30 +215,38 @@ def count(df: DataFrame, settings: Settings) -> DataFrame:
         if parts:
             yield from spans_out(*_merge(parts))
 
+    def merged(at: int, parts: list[tuple[pa.BinaryScalar, pa.BinaryScalar]]) -> Iterator[tuple]:
+        if at >= 0:
+            c, n = _merge([(_array(c, np.uint64), _array(n)) for c, n in parts])
+            for i in range(0, len(c), LONG_ROW):
+                m = n[i:i + LONG_ROW]
+                yield at, c[i:i + LONG_ROW].tobytes(), m.tobytes(), len(m), int(m.sum())
+        else:
+            words: Counter = Counter()
+            for w, n in parts:
+                for word, times in zip(w.as_py().split(b" "), _array(n).tolist()):
+                    words[word] += times
+            n = np.fromiter(words.values(), np.int64, len(words))
+            yield at, b" ".join(words), n.tobytes(), len(n), int(n.sum())
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        parts, waiting, least = [], 0, 1_500_000
-        for batch in batches:
-            is_word = batch.column("word").is_valid()
-            found = batch.filter(is_word)
-            for w, n in zip(found.column("word").cast(pa.binary()).to_pylist(), found.column("word_n").to_pylist()):
-                words[w] += n
-            if len(words) > 400_000:
-                yield from words_out(words)
-                words = Counter()
-            spans = batch.filter(pc.invert(is_word))
-            parts.append(tuple(spans.column(x).flatten().to_numpy().astype(t) for x, t in (("codes", np.uint64), ("n", np.int64))))
-            waiting += len(parts[-1][0])
-            if waiting > 2 * least:
-                parts = [_merge(parts)]
-                waiting = len(parts[0][0])
-                least = max(least, waiting)
-        if words:
-            yield from words_out(words)
-        if waiting:
-            yield from spans_out(*_merge(parts))
+        yield from _batches((row for at, parts in by_key(batches, "slot", "codes", "n") for row in merged(at, parts)), fields.names, fields)
+
+    return df.select("text").mapInArrow(run, schema).repartition("slot").sortWithinPartitions("slot").mapInArrow(merge, schema)
 
-    return df.select("text").mapInArrow(run, schema).repartition("context").mapInArrow(merge, schema)
+
+def by_key(batches: Iterator[pa.RecordBatch], key: str, *columns: str) -> Iterator[tuple[int, list[tuple]]]:
+    """Each key of rows sorted by it, with the columns of its rows."""
+    now, held = None, []
+    for batch in batches:
+        for at, *row in zip(batch.column(key).to_pylist(), *(batch.column(c) for c in columns)):
+            if at != now and held:
+                yield now, held
+                held = []
+            now = at
+            held.append(tuple(row))
+    if held:
+        yield now, held
 
 
 @dataclass(frozen=True)
@@ -226,7 +277,9 @@ def survey(spans: DataFrame, settings: Settings) -> tuple[list[tuple[np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, short = Counter(), Counter()
         for batch in batches:
-            c, n = (batch.column(x).flatten().to_numpy() for x in ("codes", "n"))
+            if not len(batch):
+                continue
+            c, n = (np.concatenate([_array(x) for x in batch.column(name)]) for name in ("codes", "n"))
             size.update(dict(zip(*map(np.ndarray.tolist, np.unique(np.floor(16 * np.log2(n)).astype(np.int64), return_counts=True)))))
             if len(c):
                 short.update(dict(zip(*map(np.ndarray.tolist, _merge([(c.astype(np.uint64) & mask, n)])))))
@@ -258,23 +311,31 @@ def most_frequent(spans: DataFrame, short: Broadcast, least: int, order: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(c[n >= least].astype(np.int64)), pa.array(log)], ["code", "log"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, parts = None, []
-        for batch in batches:
-            for of, c, n in zip(*(batch.column(x) for x in ("group", "codes", "n"))):
-                if of.as_py() != group and parts:
-                    yield from solve(parts)
-                    parts = []
-                group = of.as_py()
-                parts.append((_array(c).astype(np.uint64), _array(n)))
-        if parts:
-            yield from solve(parts)
+        for _, parts in by_key(batches, "group", "codes", "n"):
+            yield from solve([(_array(c, np.uint64), _array(n)) for c, n in parts])
 
     found = spans.repartition("group").sortWithinPartitions("group").mapInArrow(run, "code long, log double").toArrow()
     return found.column("code").to_numpy().astype(np.uint64), found.column("log").to_numpy()
 
 
-def _array(of_list: pa.ListScalar) -> np.ndarray:
-    return of_list.values.to_numpy()
+def short_name(word: bytes) -> bytes:
+    return word if len(word) <= LONGEST_FREQUENT else sha256(word).digest()
+
+
+def frequent_words(words: DataFrame, all_tokens: int, settings: Settings) -> dict[bytes, float]:
+    """From ``codes, n`` of words: log10 of count plus one half of those that hold one in ``frequent`` tokens, at most ``frequent``,
+    by their short names."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w, n in zip(batch.column("codes"), batch.column("n")):
+                n = _array(n)
+                if len(often := np.flatnonzero(n * settings.frequent >= all_tokens)):
+                    w = w.as_py().split(b" ")
+                    yield pa.RecordBatch.from_arrays([pa.array([short_name(w[i]) for i in often.tolist()], pa.binary()), pa.array(n[often])],
+                                                     ["word", "c"])
+
+    found = words.select("codes", "n").mapInArrow(run, "word binary, c long").toArrow()
+    return {w: math.log10(c + 0.5) for w, c in zip(*[found.column(x).to_pylist() for x in ("word", "c")])}
 
 
 def _log(x: np.ndarray) -> np.ndarray:
@@ -414,126 +475,167 @@ def score(df: DataFrame, train: Column, id: str = "doc_id", text: str = "text",
     spark, order = df.sparkSession, settings.order
     plain = df.select(*[c.alias(f"k{i}") for i, c in enumerate(keep.values())], df[text].cast("string").alias("text"), train.alias("train"))
     counts = stored(count(plain.where("train"), settings), "ppm-counts", free_shuffles=True)
-    words = stored(counts.where("word IS NOT NULL").groupBy("word").agg(F.sum("word_n").alias("c")), "ppm-words", free_shuffles=True)
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    often = (F.col("c") * settings.frequent >= n) & (F.octet_length("word") <= LONGEST_FREQUENT)
-    frequent = words.where(often).toArrow()  # at most ``frequent`` words
-    shares = {w.encode(): math.log10(c + 0.5) for w, c in zip(*[frequent.column(x).to_pylist() for x in ("word", "c")])}
-    rest_of = words.where(~often)
-
-    spans = counts.where("codes IS NOT NULL").select("context", "codes", "n")
+    spans, words = counts.where("slot >= 0"), counts.where("slot < 0")
+    n, v = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
     short, positions, least = survey(spans, settings)
-    groups = max(GROUPS, positions // PART | 1)
+    groups = min(max(GROUPS, positions // PART | 1), SLOTS)
     short = spark.sparkContext.broadcast(short)
-    spans = spans.select((F.col("context") % groups).alias("group"), "codes", "n")
-    sent = spark.sparkContext.broadcast((*most_frequent(spans, short, least, order), shares))
+    group = F.when(F.col("slot") >= 0, F.floor(F.col("slot") / SPREAD) % groups).otherwise(-1 - (-1 - F.col("slot")) % groups).cast("int")
+    sent = spark.sparkContext.broadcast((*most_frequent(spans.select(group.alias("group"), "codes", "n"), short, least, order),
+                                         frequent_words(words, n, settings)))
 
     rows = plain.select(F.struct(F.monotonically_increasing_id().alias("row"), *[f"k{i}" for i in range(len(keep))]).alias("doc"), "text")
     doc = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema["doc"].dataType])
-    made = "n_tokens long, score double, known long, logs double, rest array<string>, times array<int>"
-    per_doc = [T.StructField("doc", doc), *T._parse_datatype_string(made)]
-    asked = T.StructType([*T._parse_datatype_string("group long, kind int, codes array<long>, n array<long>"), *per_doc])
-    solved = T.StructType([*per_doc, *T._parse_datatype_string("rows array<long>, sums array<double>")])
+    per_doc = [T.StructField("doc", doc), *T._parse_datatype_string("n_tokens long, score double, known long, logs double")]
+    asked = T.StructType([*T._parse_datatype_string("group int, kind int, codes binary, n binary"), *per_doc])
+    solved = T.StructType([*T._parse_datatype_string("home long, kind int, rows binary, sums binary, more binary"), *per_doc])
+
+    def docs_out(batch: pa.RecordBatch, fields: pa.Schema, **columns: np.ndarray) -> pa.RecordBatch:
+        columns = {f.name: batch.column(f.name) for f in fields if f.name in batch.schema.names} | {x: pa.array(c) for x, c in columns.items()}
+        return pa.RecordBatch.from_arrays([_as(columns[f.name], f.type) if f.name in columns else pa.nulls(len(batch), f.type) for f in fields],
+                                          schema=fields)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of texts, scored as far as the workers know; the other spans with the rows they are in."""
+        """Rows of texts, scored as far as the workers know; the other spans and words with the rows they are in."""
         head, head_logs, logs_of = sent.value
         head, head_logs, get_log = Table(head), np.append(head_logs, 0.0), logs_of.get
-        end = get_log(b"")
-        kinds = _arrow_schema(asked)
-        tails, waiting = [], 0
+        fields, names = _arrow_schema(asked), ["group", "kind", "codes", "n"]
+        tails, waiting, rare, rare_rows, rare_bytes = [], 0, [], [], 0
 
-        def tails_out() -> pa.RecordBatch:
+        def tails_out() -> Iterator[pa.RecordBatch]:
             c, row = (np.concatenate(x) for x in zip(*tails))
-            group = context(c, order) % groups
-            by = np.argsort(group, kind="stable")
-            columns = packed(group[by], c[by].astype(np.int64), row[by])
-            size = len(columns[0])
-            columns.insert(1, pa.array(np.full(size, TAIL, np.int32)))
-            return _batch(columns + [pa.nulls(size, f.type) for f in list(kinds)[4:]], kinds)
+            at = (context_slot(c, order) % np.uint64(groups)).astype(np.uint16)
+            by = np.argsort(at, kind="stable")
+            yield from _batches(((of, TAIL, *x) for of, *x in packed(at[by], c[by], row[by])), names, fields)
+
+        def rare_out() -> Iterator[pa.RecordBatch]:
+            found = packed_words(word_slot(rare, groups), rare, np.concatenate(rare_rows))
+            yield from _batches(((of, TAIL, *x) for of, *x in found), names, fields)
 
         for batch in batches:
             texts = raw_texts(batch)
             row = batch.column("doc").field("row").to_numpy()
-            size, found, known, logs, rest, times = [], np.zeros(len(texts)), [], [], [], []
+            size, found, known, logs = (np.zeros(len(texts), t) for t in (np.int64, np.float64, np.int64, np.float64))
             for i, j in slices_by_bytes(texts, WINDOW):  # the words of one slice at a time
                 split = [tokens(t) for t in texts[i:j]]
                 for code, first, starts, start in windows([b" ".join(w) for w in split], order):
                     at = head.find(code)
                     add_up(found[i + first:], head_logs[at], starts, start)
                     tail = np.flatnonzero((at < 0) & (code > 0))
-                    tails.append((code[tail], row[i + first - 1 + np.searchsorted(starts, start + tail, "right")]))
+                    bounds = np.append(np.searchsorted(tail, starts - start), len(tail))
+                    tails.append((code[tail], np.repeat(row[i + first:i + first + len(starts)], np.diff(bounds))))
                     waiting += len(tail)
                     if waiting > WAITING:
-                        yield from slices(tails_out(), 10)
+                        yield from tails_out()
                         tails, waiting = [], 0
                 for w in split:
-                    k, s, r, m = 0, 0.0, [], []
-                    for word, times_here in Counter(w).items():
-                        log = get_log(word)
-                        if log is None:
-                            r.append(word.decode())
-                            m.append(times_here)
-                        else:
-                            k += times_here
-                            s += times_here * log
-                    size.append(len(w) + 1)
-                    known.append(k + (end is not None))
-                    logs.append(s + (math.log10(0.5) if end is None else end))
-                    rest.append(r)
-                    times.append(m)
-            new = [pa.array(row % groups), pa.array(np.full(len(row), DOC, np.int32)), *[pa.nulls(len(row), kinds.field(x).type) for x in ("codes", "n")],
-                   batch.column("doc"), pa.array(size, pa.int64()), pa.array(found), pa.array(known, pa.int64()),
-                   pa.array(logs, pa.float64()), pa.array(rest, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))]
-            yield _batch(new, kinds)
+                    w.append(b"")  # the end
+                flat = list(chain.from_iterable(split))
+                of = np.repeat(np.arange(i, j), [len(w) for w in split])
+                log = np.fromiter(map(get_log, flat, repeat(np.nan)), np.float64, len(flat))
+                if long := [k for k in np.flatnonzero(np.isnan(log)).tolist() if len(flat[k]) > LONGEST_FREQUENT]:
+                    log[long] = [get_log(short_name(flat[k]), np.nan) for k in long]
+                unknown = np.isnan(log)
+                size += np.bincount(of, minlength=len(texts))
+                known += np.bincount(of[~unknown], minlength=len(texts))
+                logs += np.bincount(of[~unknown], log[~unknown], minlength=len(texts))
+                if unknown.any():
+                    new = [flat[k] for k in np.flatnonzero(unknown).tolist()]
+                    rare += new
+                    rare_rows.append(row[of[unknown]])
+                    rare_bytes += sum(map(len, new))
+                    if len(rare) > WORDS_WAITING or rare_bytes > WORD_BYTES_WAITING:
+                        yield from rare_out()
+                        rare, rare_rows, rare_bytes = [], [], 0
+            yield docs_out(batch, fields, group=(row % groups).astype(np.int32), kind=np.full(len(row), DOC, np.int32), n_tokens=size, score=found,
+                           known=known, logs=logs)
         if waiting:
-            yield from slices(tails_out(), 10)
+            yield from tails_out()
+        if rare:
+            yield from rare_out()
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by group and kind: a part of the trie, the spans to be looked up there, and texts, which pass."""
-        kinds = _arrow_schema(solved)
-        group, scorer, parts = None, None, []
-        for batch in batches:
-            kind = batch.column("kind").to_numpy()
-            passing = batch.filter(pa.array(kind == DOC))
-            if len(passing):
-                lists = [pa.nulls(len(passing), kinds.field(x).type) for x in ("rows", "sums")]
-                yield _batch([*[passing.column(f.name) for f in per_doc], *lists], kinds)
-            out = []
-            for i in np.flatnonzero(kind != DOC):
-                if (here := batch.column("group")[i].as_py()) != group:
-                    group, scorer, parts = here, None, []
-                c, n = (_array(batch.column(x)[i]) for x in ("codes", "n"))
+        """Sorted by group and kind: a part of the trie or of the words, what is to be looked up there, and texts, which pass."""
+        fields, names = _arrow_schema(solved), ["home", "kind", "rows", "sums", "more"]
+        group, known, parts = None, None, []
+
+        def looked_up(codes: pa.BinaryScalar, row: np.ndarray) -> Iterator[tuple]:
+            first = _runs(row)  # what is looked up lies in the order of rows
+            if group >= 0:
+                sums, more = np.add.reduceat(known.log_p(_array(codes, np.uint64)), first), None
+            else:
+                words = codes.as_py().split(b" ")
+                c = np.fromiter(map(known.get, words, repeat(0)), np.int64, len(words))
+                sums, more = np.add.reduceat(np.log10(c + 0.5), first), np.add.reduceat((c > 0).astype(np.int64), first)
+            row = row[first]
+            home = row // HOME
+            starts = _runs(home).tolist()
+            for i, j in zip(starts, [*starts[1:], len(row)]):
+                yield int(home[i]), TAIL, row[i:j].tobytes(), sums[i:j].tobytes(), None if more is None else more[i:j].tobytes()
+
+        def pieces(batch: pa.RecordBatch, which: np.ndarray) -> Iterator[tuple]:
+            nonlocal group, known, parts
+            of, kind, codes, n = (batch.column(x) for x in ("group", "kind", "codes", "n"))
+            of, kind = of.to_numpy(), kind.to_numpy()
+            for i in which.tolist():
+                if of[i] != group:
+                    group, known, parts = of[i], None, []
                 if kind[i] == MODEL:
-                    parts.append((c.astype(np.uint64), n))
+                    parts.append((codes[i], n[i]))
                     continue
-                if scorer is None:
-                    model = _merge(parts) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                    scorer, parts = Scorer(part_of_trie(*model, short.value, order)), []
-                log = scorer.log_p(c.astype(np.uint64))
-                first = np.flatnonzero(np.append(True, n[1:] != n[:-1]))  # spans lie in the order of rows
-                out.append((n[first], np.add.reduceat(log, first)))
-            if out:
-                offsets = pa.array(np.cumsum([0] + [len(r) for r, _ in out]), pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in zip(*out)]
-                nulls = [pa.nulls(len(out), kinds.field(f.name).type) for f in per_doc]
-                yield from slices(_batch([*nulls, *lists], kinds), 10)
-
-    model = spans.withColumn("kind", F.lit(MODEL))
-    scored = stored(model.unionByName(rows.mapInArrow(read, asked), allowMissingColumns=True)
-                    .repartition("group").sortWithinPartitions("group", "kind").mapInArrow(solve, solved), "ppm-scores", free_shuffles=True)
-    docs = scored.where("doc IS NOT NULL").select("doc.row", "*")
-    looked_up = docs.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")) \
-        .select("row", F.col("x.rest").alias("word"), F.col("x.times").alias("times")).join(rest_of, "word", "left")
-    more = looked_up.select("row", F.when(F.col("c") > 0, F.col("times")).otherwise(0).cast("long").alias("more"),
-                            (F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more_logs"), F.lit(0.0).alias("more_score"))
-    sums = scored.where("rows IS NOT NULL").select(F.explode(F.arrays_zip("rows", "sums")).alias("x")) \
-        .select(F.col("x.rows").alias("row"), F.lit(0).cast("long").alias("more"), F.lit(0.0).alias("more_logs"), F.col("x.sums").alias("more_score"))
-    added = more.unionByName(sums).groupBy("row").agg(*[F.sum(x).alias(x) for x in ("more", "more_logs", "more_score")])
+                if known is None and group >= 0:
+                    model = _merge([(_array(c, np.uint64), _array(m)) for c, m in parts]) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                    known, parts = Scorer(part_of_trie(*model, short.value, order)), []
+                elif known is None:
+                    known, parts = dict(x for w, m in parts for x in zip(w.as_py().split(b" "), _array(m).tolist())), []
+                yield from looked_up(codes[i], _array(n[i]))
+
+        for batch in batches:
+            of_doc = batch.column("kind").to_numpy() == DOC
+            if of_doc.any():
+                passing = batch.filter(pa.array(of_doc))
+                home = passing.column("doc").field("row").to_numpy() // HOME
+                yield docs_out(passing, fields, home=home)
+            yield from _batches(pieces(batch, np.flatnonzero(~of_doc)), names, fields)
+
+    scored = T.StructType(per_doc)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted by home: texts and sums that belong to them."""
+        fields = _arrow_schema(scored)
+        home, docs, sums, more, logs = None, [], None, None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for doc in docs:
+                at = doc.column("doc").field("row").to_numpy() % HOME
+                now = {x: doc.column(x).to_numpy() for x in ("score", "known", "logs")}
+                yield docs_out(doc, fields, score=now["score"] + sums[at], known=now["known"] + more[at], logs=now["logs"] + logs[at])
+
+        for batch in batches:
+            of, kind = batch.column("home").to_numpy(), batch.column("kind").to_numpy()
+            starts = _runs(of).tolist() if len(of) else []
+            for i, j in zip(starts, [*starts[1:], len(of)]):
+                if of[i] != home:
+                    yield from done()
+                    home, docs, sums, more, logs = of[i], [], np.zeros(HOME), np.zeros(HOME, np.int64), np.zeros(HOME)
+                if len(here := batch.slice(i, j - i).filter(pa.array(kind[i:j] == DOC))):
+                    docs.append(here)
+                row, add_sums, add_more = (batch.column(x) for x in ("rows", "sums", "more"))
+                for k in (i + np.flatnonzero(kind[i:j] != DOC)).tolist():
+                    at = _array(row[k]) % HOME  # each row once
+                    if add_more[k].is_valid:
+                        more[at] += _array(add_more[k])
+                        logs[at] += _array(add_sums[k], np.float64)
+                    else:
+                        sums[at] += _array(add_sums[k], np.float64)
+        yield from done()
+
+    model = counts.select(group.alias("group"), F.lit(MODEL).alias("kind"), "codes", "n")
+    looked_up = model.unionByName(rows.mapInArrow(read, asked), allowMissingColumns=True) \
+        .repartition("group").sortWithinPartitions("group", "kind").mapInArrow(solve, solved)
+    docs = stored(looked_up.repartition("home").sortWithinPartitions("home").mapInArrow(add, scored), "ppm-scores", free_shuffles=True)
     each = math.log10(n + 0.5 * (v + 1))
-    return docs.join(added, "row", "left").select(
+    return docs.select(
         *[F.col(f"doc.k{i}").alias(name) for i, name in enumerate(keep)],
-        "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * each).alias("base_score"),
-        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))
+        "n_tokens", F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * each).alias("base_score"), "score")

@@ -82,6 +82,47 @@ def test_rare_spans_count(spark, monkeypatch, order, nodes):
         assert r.score == pytest.approx(brute_ppm(held, brute_tokens(texts[r.doc_id]), order), abs=1e-9)
 
 
+def test_counts_travel_packed(spark, monkeypatch):
+    """Rows between tasks grow with slots and bytes, not with words and spans; what a slot got has one count."""
+    monkeypatch.setattr(ppm, "SLOTS", 7)
+    monkeypatch.setattr(ppm, "SPREAD", 2)
+    rng = random.Random(5)
+    texts = [" ".join(f"W{rng.randrange(3000)}" for _ in range(rng.randrange(200))) for _ in range(60)] + [None, "", "é  x"]
+    rows = ppm.count(spark.createDataFrame([(t,) for t in texts], "text string"), ppm.Settings()).collect()
+    assert sorted(r.slot for r in rows) == list(range(-7, 2 * 7))
+    words = [(w, n) for r in rows if r.slot < 0 for w, n in zip(r.codes.split(b" "), np.frombuffer(r.n, np.int64).tolist(), strict=True)]
+    split = [brute_tokens(t) for t in texts]
+    assert len(words) == len(dict(words)) and dict(words) == Counter(w.encode() for x in split for w in [*x, ""])
+    assert sum(r.total for r in rows if r.slot >= 0) == sum(len(" ".join(x).encode()) + 1 for x in split)
+    spans = [c for r in rows if r.slot >= 0 for c in np.frombuffer(r.codes, np.uint64).tolist()]
+    assert len(spans) == len(set(spans)) == sum(r.size for r in rows if r.slot >= 0)
+    assert all(len(r.codes) == len(r.n) == 8 * r.size and sum(np.frombuffer(r.n, np.int64)) == r.total for r in rows if r.slot >= 0)
+
+
+@pytest.mark.parametrize("frequent", [1, 20])
+def test_rare_words_and_ends_are_looked_up(spark, monkeypatch, frequent):
+    """An end that is not frequent is looked up like any other word; waits, slots and homes of any size decide nothing."""
+    for name, value in (("GROUPS", 3), ("SLOTS", 5), ("SPREAD", 2), ("WORDS_WAITING", 7), ("HOME", 3), ("WINDOW", 16)):
+        monkeypatch.setattr(ppm, name, value)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["a", "bb", "Ünï", "d" * 70, "e5"]) for _ in range(rng.randrange(12))) for _ in range(30)] + [None, "new newer new"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = ppm.score(df, F.col("doc_id") % 3 != 1, settings=ppm.Settings(frequent=frequent), doc_id=F.col("doc_id")).collect()
+    held = [brute_tokens(t) for i, t in enumerate(texts) if i % 3 != 1]
+    c = Counter(w for words in held for w in [*words, ""])
+    n, v = sum(c.values()), len(c)
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    for r in rows:
+        words = brute_tokens(texts[r.doc_id])
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words) + 1, sum(c[w] > 0 for w in [*words, ""]), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*words, ""]), abs=1e-9)
+        assert r.score == pytest.approx(brute_ppm(held, words, 6), abs=1e-9)
+    counts = ppm.count(df.where(F.col("doc_id") % 3 != 1), ppm.Settings()).where("slot < 0")
+    travel = {w.encode(): math.log10(x + 0.5) for w, x in c.items() if x * frequent >= n}  # long ones too
+    assert ppm.frequent_words(counts, n, ppm.Settings(frequent=frequent)) == pytest.approx({ppm.short_name(w): x for w, x in travel.items()})
+    assert frequent == 1 or b"d" * 70 in travel
+
+
 def trie_of(texts, order, least):
     spans = [Counter() for _ in range(order + 1)]
     for t in texts:

@@ -4,11 +4,13 @@ An anchor's positives are its best rows of the same label; each positive opens a
 labels are its negatives. Both are searched by joins with a threshold: all rows that score at least t against an anchor. Where
 a threshold leaves a window short of rows, it is lowered for that anchor, the last time to the end of the window, so the answer is exact.
 
-Rows are packed once into blocks, written down; a set of anchors meets every block. In a block, dimensions stand by falling
-energy over the table. The block's inverted index holds a row's leading dimensions only: the rest is left out from where the norm of the
-row's remaining part is too small to reach any threshold of the anchors by itself. Postings are accumulated dimension by dimension;
-a pair goes when its partial score and the product of the remaining norms stay below the anchor's threshold. What survives is completed with
-the dimensions left out. A block returns at most as many rows a window as the window takes, so merging them loses nothing.
+Rows are packed once into blocks, written down. Each search deals its blocks to units, and every unit gets all sets of anchors (or a share of them,
+where blocks are few): a task holds the blocks of one unit while the sets stream by. Blocks travel once a search and anchors once a unit, in shuffles; no
+join or broadcast brings them together, so the driver holds neither. In a block, dimensions stand by falling energy over the table. The block's inverted index holds a row's leading dimensions only: the rest is left out from where the norm of the
+row's remaining part is too small to reach any threshold of the anchors by itself. Postings are accumulated some dimensions at a time, for rows with posting
+lists of about one length together; a row goes when its partial scores and the products of the remaining norms stay below the thresholds of all anchors of the set.
+What survives is completed with the dimensions left out. A unit returns at most as many rows a window as the window takes, so merging them loses nothing; once a window
+is full, only rows that score at least its last one are looked for in the unit's further blocks.
 
 Scores are inner products of whole numbers, exact in 64 bits (from the float product while it is below 2^53, else in whole numbers
 without bound, cut to 64 bits at the end).
@@ -36,7 +38,7 @@ from ebbmark.session import stored
 class Settings:
     """``low`` to ``high`` hundredths of the positive's score: the window. ``levels``: thresholds for positives, as shares of the product of the
     anchor's norm and the rows' root mean square norm; ``depths``: thresholds for negatives, as shares of the window's width; below the
-    last ones the search is without a threshold, or reaches the window's end."""
+    last ones the search is without a threshold, or reaches the window's end. ``held_bytes``: most bytes of blocks in a unit."""
 
     scale: int = 256
     positives: int = 5
@@ -45,6 +47,7 @@ class Settings:
     high: int = 90
     block_rows: int = 8192
     anchor_rows: int = 256
+    held_bytes: int = 32 << 20
     levels: tuple[float, ...] = (0.35, 0.15)
     depths: tuple[float, ...] = (0.75, 0.4)
     chunk: int = 8
@@ -52,13 +55,28 @@ class Settings:
 
 #: No score is below it.
 NEVER = -(1 << 62)
-BLOCK = "block long, ids binary, labels binary, matrix binary, n long"
+#: Rows whose scores with a set of anchors are computed at a time, so that they stay in the cache.
+TILE = 512
+BLOCK = "block long, ids binary, labels binary, matrix binary"
+#: What meets in a unit: its blocks (``asks`` 0) come first and stay, sets of anchors pass. Windows: the anchor's number in the set, place, least, most.
+MEETING = "share int, asks int, uids binary, ids binary, labels binary, matrix binary, windows binary"
 
 
-def _packed(rows: DataFrame, settings: Settings) -> tuple[DataFrame, int, int]:
-    """Rows dealt evenly into blocks of bytes; number of blocks and of dimensions."""
-    n, dims = rows.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
-    count = max(1, -(-n // settings.block_rows))
+@dataclass(frozen=True)
+class Shape:
+    """``blocks``: their number; ``kind``: the smallest integer type that holds all components."""
+
+    blocks: int
+    dims: int
+    kind: str
+
+
+def _packed(rows: DataFrame, settings: Settings) -> tuple[DataFrame, Shape]:
+    """Rows dealt evenly into blocks of bytes."""
+    n, dims, low, high = rows.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0)), F.coalesce(F.min(F.array_min("q")), F.lit(0)),
+                                  F.coalesce(F.max(F.array_max("q")), F.lit(0))).first()
+    kind = next(k for k in ("int16", "int32", "int64") if np.iinfo(k).min <= low and high <= np.iinfo(k).max)
+    shape = Shape(max(1, -(-n // settings.block_rows)), dims, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -66,70 +84,78 @@ def _packed(rows: DataFrame, settings: Settings) -> tuple[DataFrame, int, int]:
         for batch in batches:
             ids.append(batch.column("id").to_numpy())
             labels.append(batch.column("label").to_numpy())
-            parts.append(_matrix(batch.column("q"), dims))
+            parts.append(_matrix(batch.column("q"), shape))
         if sum(map(len, ids)):
-            out = [[TaskContext.get().partitionId()], [np.concatenate(ids).tobytes()], [np.concatenate(labels).tobytes()],
-                   [np.concatenate(parts).tobytes()], [sum(map(len, ids))]]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))],
-                                             names=["block", "ids", "labels", "matrix", "n"])
-    return stored(rows.select("id", "label", "q").repartition(count).mapInArrow(run, BLOCK), "negatives-blocks"), count, dims
+            out = [[TaskContext.get().partitionId()], *([np.concatenate(p).tobytes()] for p in (ids, labels, parts))]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, (pa.int64(), *[pa.binary()] * 3))], names=["block", "ids", "labels", "matrix"])
+    return stored(rows.select("id", "label", "q").repartition(shape.blocks).mapInArrow(run, BLOCK), "negatives-blocks"), shape
 
 
-def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    out = np.zeros((len(column), dims), np.int64)
+def _matrix(column: pa.Array, shape: Shape) -> np.ndarray:
+    out = np.zeros((len(column), shape.dims), shape.kind)
     sizes = column.value_lengths().to_numpy()
-    out[np.arange(dims) < sizes[:, None]] = column.flatten().to_numpy()
+    out[np.arange(shape.dims) < sizes[:, None]] = column.flatten().to_numpy()
     return out
 
 
-def _rows_of(block: dict, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return (np.frombuffer(block["ids"], np.int64), np.frombuffer(block["labels"], np.int64),
-            np.frombuffer(block["matrix"], np.int64).reshape(-1, dims))
+def _rows_of(packed: dict, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids = np.frombuffer(packed["ids"], np.int64)
+    return ids, np.frombuffer(packed["labels"], np.int64), np.frombuffer(packed["matrix"], shape.kind).reshape(len(ids), shape.dims)
 
 
 def above(anchors: np.ndarray, least: np.ndarray, rows: np.ndarray, order: np.ndarray, chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All pairs that score at least the anchor's threshold: numbers of the anchors and of the rows, and scores."""
     a, x = anchors[:, order].astype(np.float64), rows[:, order].astype(np.float64)
     dims = a.shape[1]
-    rest_a, rest_x = _rests(a), _rests(x)
-    # From where on a row's remaining part cannot reach the threshold of any anchor.
-    norm = np.maximum(rest_a[:, 0], 1.0)
+    rest_a, rest_x = _rests(a, chunk), _rests(x, chunk)
+    # From where on a row's remaining part cannot reach the threshold of any anchor, in steps of ``chunk``.
+    norm, size = np.maximum(rest_a[:, 0], 1.0), np.maximum(rest_x[:, 0], 1.0)
     reach = (least / norm).min() if len(least) else 0.0
-    length = (rest_x[:, :dims] >= reach).sum(axis=1) if reach > 0 else np.full(len(x), dims)
-    at = np.argsort(-length, kind="stable")  # posting lists are then leading rows
-    x, rest_x, length = x[at], rest_x[at], length[at]
-    score = np.zeros((len(a), len(x)))
-    alive = np.ones(score.shape, bool)
-    # Float sums may be off by rounding where the whole numbers are large; the bounds allow for it.
-    slack = 1e-9 * norm[:, None] * np.maximum(rest_x[:, 0], 1.0) + 0.5
-    for indexed in (True, False):
-        for c in range(0, dims, chunk):
-            here = np.flatnonzero((length > c) == indexed)
-            here = here[alive[:, here].any(axis=0)]
+    length = (rest_x[:, :-1] >= reach).sum(axis=1) if reach > 0 else np.full(len(x), rest_x.shape[1] - 1)
+    at = np.argsort(-length, kind="stable")  # rows of a tile then have posting lists of about one length
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for start in range(0, len(x), TILE):
+        here, score, done = at[start:start + TILE], 0.0, 0
+        # Float sums may be off by rounding where the whole numbers are large; the thresholds allow for it.
+        bar = (least - 1e-9 * norm * size[here].max() - 0.5)[:, None]
+        for stop in _stops(int(length[here[0]]), rest_x.shape[1] - 1):
+            end = min(stop * chunk, dims)
+            score, done = score + a[:, done:end] @ x[here, done:end].T, end
+            if end == dims:
+                i, j = np.nonzero(score >= bar)
+                found.append((i, here[j], score[i, j]))
+                break
+            # What is left out may add the product of the remaining norms at most.
+            bound = np.multiply.outer(rest_a[:, stop], rest_x[here, stop])
+            bound += score
+            alive = (bound >= bar).any(axis=0)
+            if np.count_nonzero(alive) < 0.75 * len(here):
+                here, score = here[alive], score[:, alive]
             if not len(here):
-                continue
-            score[:, here] += a[:, c:c + chunk] @ x[here, c:c + chunk].T
-            if indexed:
-                end = min(c + chunk, dims)
-                bound = score[:, here] + rest_a[:, end, None] * rest_x[here, end] + slack[:, here]
-                alive[:, here] &= bound >= least[:, None]
-        if indexed:
-            # The index is read: what it leaves out may add the product of the remaining norms at most.
-            cut = np.minimum(-(-length // chunk) * chunk, dims)
-            alive &= score + rest_a[:, cut] * rest_x[np.arange(len(x)), cut] + slack >= least[:, None]
-    i, j = np.nonzero(alive)
-    if len(x) and norm.max() * max(rest_x[:, 0].max(), 1.0) < 1 << 53:
-        exact = score[i, j].astype(np.int64)
+                break
+    i, j, score = (np.concatenate(p) for p in zip(*found))
+    if len(x) and norm.max() * size.max() < 1 << 53:
+        exact = score.astype(np.int64)
     else:
-        full = [int(np.dot(anchors[p].astype(object), rows[at[q]].astype(object))) for p, q in zip(i, j)]
+        full = [int(np.dot(anchors[p].astype(object), rows[q].astype(object))) for p, q in zip(i, j)]
         exact = np.array([min(max(v, -(1 << 63)), (1 << 63) - 1) for v in full], np.int64)
     keep = exact >= least[i]
-    return i[keep], at[j[keep]], exact[keep]
+    return i[keep], j[keep], exact[keep]
+
 
+def _stops(length: int, steps: int) -> list[int]:
+    """Steps of dimensions after which rows are dropped: the indexed ones by doubling, then those that the index leaves out."""
+    stops, at = [], 1
+    while at < length:
+        stops.append(at)
+        at *= 2
+    return [*stops, *([length] if length < steps else []), steps]
 
-def _rests(m: np.ndarray) -> np.ndarray:
-    """Norms of the parts from each dimension on; one column more than dimensions."""
-    squares = np.concatenate([m * m, np.zeros((len(m), 1))], axis=1)
+
+def _rests(m: np.ndarray, chunk: int) -> np.ndarray:
+    """Norms of the parts from each step of ``chunk`` dimensions on; one column more than steps."""
+    steps = [(m[:, c:c + chunk] ** 2).sum(axis=1) for c in range(0, m.shape[1], chunk)]
+    squares = np.stack([*steps, np.zeros(len(m))], axis=1)
     return np.sqrt(np.cumsum(squares[:, ::-1], axis=1)[:, ::-1])
 
 
@@ -137,45 +163,81 @@ def _rests(m: np.ndarray) -> np.ndarray:
 FOUND = "uid long, place int, id long, score long"
 
 
-def _search(anchors: DataFrame, blocks: DataFrame, shape: tuple[int, int], order: np.ndarray, same: bool, take: int, settings: Settings) -> DataFrame:
+def _sets(anchors: DataFrame, shape: Shape, shares: int, settings: Settings) -> DataFrame:
+    """Anchors packed into sets, which take turns in the ``shares``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        number = TaskContext.get().partitionId()
+        for batch in batches:
+            for start in range(0, batch.num_rows, settings.anchor_rows):
+                some = batch.slice(start, settings.anchor_rows)
+                listed = some.column("windows")
+                owner = np.repeat(np.arange(some.num_rows), listed.value_lengths().to_numpy())
+                windows = np.stack([owner, *(c.to_numpy() for c in listed.flatten().flatten())]).astype(np.int64)
+                out = [some.column("uid").to_numpy(), some.column("id").to_numpy(), some.column("label").to_numpy(), _matrix(some.column("q"), shape), windows]
+                yield pa.RecordBatch.from_arrays([pa.array([number % shares], pa.int32()), pa.array([1], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in out)],
+                                                 names=["share", "asks", "uids", "ids", "labels", "matrix", "windows"])
+                number += 1
+    return anchors.select("uid", "id", "label", "q", "windows").mapInArrow(run, MEETING)
+
+
+def _best(asked: dict, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], shape: Shape, order: np.ndarray, same: bool, take: int, chunk: int) -> pa.RecordBatch:
+    """The first ``take`` rows of each window of a set of anchors among the rows of the blocks held."""
+    ids, labels, q = _rows_of(asked, shape)
+    owner, place, least, most = np.frombuffer(asked["windows"], np.int64).reshape(4, -1)
+    starts = np.searchsorted(owner, np.arange(len(ids) + 1))
+    least, top = least.copy(), np.maximum.reduceat(most, starts[:-1])
+    of, names, scores = (np.zeros(0, np.int64) for _ in range(3))
+    for own, alike, rows in held:
+        i, j, score = above(q, np.minimum.reduceat(least, starts[:-1]), rows, order, chunk)
+        keep = ((labels[i] == alike[j]) == same) & (ids[i] != own[j]) & (score <= top[i])
+        i, name, score = i[keep], own[j[keep]], score[keep]
+        o = np.lexsort((name, -score, i))
+        i, name, score = i[o], name[o], score[o]
+        ends = np.searchsorted(i, np.arange(len(ids) + 1))
+        first, last = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
+        for k in np.flatnonzero(ends[1:] > ends[:-1]):
+            falling, own_windows = -score[ends[k]:ends[k + 1]], slice(starts[k], starts[k + 1])
+            first[own_windows] = ends[k] + np.searchsorted(falling, -most[own_windows], "left")
+            last[own_windows] = ends[k] + np.searchsorted(falling, -least[own_windows], "right")
+        size = np.clip(last - first, 0, take)
+        at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        of, names, scores = (np.concatenate(p) for p in ((of, np.repeat(np.arange(len(owner)), size)), (names, name[at]), (scores, score[at])))
+        o = np.lexsort((names, -scores, of))
+        of, names, scores = of[o], names[o], scores[o]
+        keep = np.arange(len(of)) - np.searchsorted(of, of) < take
+        of, names, scores = of[keep], names[keep], scores[keep]
+        full = np.searchsorted(of, np.arange(len(owner)), "right")
+        full = full[np.bincount(of, minlength=len(owner)) == take] - 1
+        least[of[full]] = scores[full]  # rows that score less come after the last one
+    out = np.frombuffer(asked["uids"], np.int64)[owner[of]], place[of], names, scores
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["uid", "place", "id", "score"])
+
+
+def _search(anchors: DataFrame, blocks: DataFrame, shape: Shape, order: np.ndarray, same: bool, take: int, settings: Settings) -> DataFrame:
     """``anchors``: uid, id, label, q and ``windows``, an array of (place, least, most). The best rows of each window, at most ``take``."""
-    count, dims = shape
-    sets = anchors.select(F.struct("uid", "id", "label", "q", "windows").alias("anchor")) \
-        .groupBy(F.pmod(F.xxhash64("anchor.uid"), F.lit(max(1, -(-anchors.count() // settings.anchor_rows)))).alias("set")).agg(F.collect_list("anchor").alias("anchors"))
-    units = sets.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))).join(blocks, "block")
-    units = units.select("anchors", "ids", "labels", "matrix").repartition(max(count, int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-
-    def of_unit(unit: dict) -> Iterator[tuple]:
-        ids, labels, rows = _rows_of(unit, dims)
-        some = unit["anchors"]
-        q = np.zeros((len(some), dims), np.int64)
-        for k, s in enumerate(some):
-            q[k, :len(s["q"])] = s["q"]
-        least = np.array([min(w["least"] for w in s["windows"]) for s in some], np.int64)
-        i, j, score = above(q, least, rows, order, settings.chunk)
-        alike = np.array([s["label"] for s in some], np.int64)[i] == labels[j]
-        keep = (alike == same) & (np.array([s["id"] for s in some], np.int64)[i] != ids[j])
-        i, j, score = i[keep], j[keep], score[keep]
-        o = np.lexsort((ids[j], -score, i))
-        i, j, score = i[o], j[o], score[o]
-        ends = np.searchsorted(i, np.arange(len(some) + 1))
-        for k, s in enumerate(some):
-            falling = -score[ends[k]:ends[k + 1]]
-            for w in s["windows"]:
-                first = ends[k] + np.searchsorted(falling, -w["most"], "left")
-                last = min(first + take, ends[k] + np.searchsorted(falling, -w["least"], "right"))
-                for at in range(first, last):
-                    yield s["uid"], w["place"], int(ids[j[at]]), int(score[at])
+    tasks = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fit = settings.held_bytes // max(1, settings.block_rows * shape.dims * np.dtype(shape.kind).itemsize)
+    held = max(1, min(fit, shape.blocks // tasks))  # blocks of a unit
+    units = -(-shape.blocks // held)
+    shares = max(1, min(-(-tasks // units), -(-anchors.count() // settings.anchor_rows)))
+    here = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(0).alias("asks"), F.expr(f"cast(block div {held} as int)").alias("unit"))
+    asked = _sets(anchors, shape, shares, settings).select("*", F.explode(F.sequence(F.lit(0), F.lit(units - 1))).alias("unit"))
+    met = here.drop("block").unionByName(asked, allowMissingColumns=True).withColumn("task", F.col("unit") * shares + F.col("share"))
+    met = met.repartitionById(units * shares, "task").sortWithinPartitions("asks").drop("task", "unit", "share")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks_here = []
         for batch in batches:
             for r in range(batch.num_rows):
-                found = list(of_unit(batch.slice(r, 1).to_pylist()[0]))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*found), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))],
-                                                     names=["uid", "place", "id", "score"])
+                row = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
+                if not row["asks"]:
+                    blocks_here.append(_rows_of(row, shape))
+                elif blocks_here:
+                    yield _best(row, blocks_here, shape, order, same, take, settings.chunk)
     best = Window.partitionBy("uid", "place").orderBy(F.desc("score"), "id")
-    return stored(units.mapInArrow(run, FOUND).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= take), "negatives-found")
+    found = met.mapInArrow(run, FOUND).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= take)
+    return stored(found, "negatives-found", free_shuffles=True)
 
 
 def _lowered(anchors: DataFrame, windows: list[Callable[[], Column]], search: Callable[[DataFrame], DataFrame], take: int) -> DataFrame:
@@ -206,16 +268,16 @@ def mine(df: DataFrame, anchor: Column, id: str = "vec_id", vector: str = "embed
         df[id].cast("long").alias("id"), label.cast("long").alias("label"), F.coalesce(anchor, F.lit(False)).alias("anchor"),
         F.transform(df[vector].cast("array<double>"), lambda x: F.floor(x * float(settings.scale))).alias("q")).where("id IS NOT NULL AND label IS NOT NULL")
     rows = stored(rows.distinct().withColumn("uid", F.monotonically_increasing_id()), "negatives-rows")
-    blocks, count, dims = _packed(rows, settings)
+    blocks, shape = _packed(rows, settings)
     energy = rows.select(F.posexplode("q").alias("k", "v")).groupBy("k").agg(F.sum(F.col("v").cast("double") * F.col("v")).alias("e")).collect()
     n = rows.count()
-    power = np.zeros(dims)
+    power = np.zeros(shape.dims)
     for r in energy:
         power[r.k] = r.e
     order, typical = np.argsort(-power, kind="stable"), float(np.sqrt(power.sum() / max(n, 1)))
 
     def searching(same: bool, take: int) -> Callable[[DataFrame], DataFrame]:
-        return lambda anchors: _search(anchors, blocks, (count, dims), order, same, take, settings)
+        return lambda anchors: _search(anchors, blocks, shape, order, same, take, settings)
 
     whole = F.lit(NEVER).cast("long")
     norm = F.sqrt(F.aggregate("q", F.lit(0.0), lambda s, v: s + v.cast("double") * v))

@@ -61,6 +61,51 @@ def test_negatives_of_few_rows(spark):
         assert hardneg.mine(vectors(spark, some), F.col("vec_id") % 100 == 0).collect() == []
 
 
+def test_searches_join_neither_blocks_nor_anchors(spark, monkeypatch):
+    # A join may be a broadcast of every pair of block and set of anchors, through the driver.
+    plans, kept = [], hardneg.stored
+
+    def noted(df, purpose, **more):
+        if purpose == "negatives-found":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return kept(df, purpose, **more)
+    monkeypatch.setattr(hardneg, "stored", noted)
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([-1.0, -0.5, 0.0, 0.25, 0.5, 1.0]) for _ in range(6)], rng.randrange(3)) for i in range(900)]
+    found = hardneg.mine(vectors(spark, rows), F.col("vec_id") % 10 == 0, settings=hardneg.Settings(block_rows=30, anchor_rows=16)).collect()
+    assert sorted(tuple(r) for r in found) == brute_negatives(rows, 10)  # 30 blocks, several in a unit
+    assert len(plans) >= 2 and not [p for p in plans if "Join" in p]
+
+
+def test_negatives_of_empty_and_of_large_vectors(spark):
+    empty = [(i, [], i % 2) for i in range(4)]
+    large = [(i, [x * 2.0 ** k for x in (1.0, -0.5)], i % 2) for i, k in enumerate((0, 1, 0, 2, 9, 8, 12, 24))]  # 32 bits, then 64
+    for some in (empty, large[:6], large):
+        found = hardneg.mine(vectors(spark, some), F.col("vec_id") % 2 == 0)
+        assert sorted(tuple(r) for r in found.collect()) == brute_negatives(some, 2) != []
+
+
+def test_best_rows_of_windows_over_several_blocks():
+    rng = np.random.default_rng(3)
+    for trial in range(20):
+        shape = hardneg.Shape(3, 5, "int16")
+        q, rows = rng.integers(-9, 9, (4, 5)), rng.integers(-9, 9, (90, 5))
+        ids, labels, own, alike = np.arange(4), rng.integers(0, 2, 4), rng.integers(0, 60, 90), rng.integers(0, 2, 90)
+        most = rng.integers(-20, 200, (4, 3)) if trial % 2 else np.full((4, 3), (1 << 63) - 1)
+        least, owner, place = most - 60 if trial % 2 else np.full((4, 3), hardneg.NEVER), np.repeat(np.arange(4), 3), np.tile(np.arange(3), 4)
+        asked = {"uids": (ids + 7).tobytes(), "ids": ids.tobytes(), "labels": labels.tobytes(), "matrix": q.astype(np.int16).tobytes(),
+                 "windows": np.stack([owner, place, least.ravel(), most.ravel()]).tobytes()}
+        held = [(own[b:b + 30], alike[b:b + 30], rows[b:b + 30].astype(np.int16)) for b in (0, 30, 60)]
+        found = hardneg._best(asked, held, shape, np.arange(5), trial % 4 < 2, 6, 2).to_pylist()
+        full = q @ rows.T
+        wanted = []
+        for k, p in zip(owner.tolist(), place.tolist()):
+            fit = sorted((-int(full[k, j]), int(own[j])) for j in range(90) if (labels[k] == alike[j]) == (trial % 4 < 2) and own[j] != k
+                         and least[k, p] <= full[k, j] <= most[k, p])
+            wanted += [(k + 7, p, i, -s) for s, i in fit[:6]]
+        assert [tuple(r.values()) for r in found] == wanted
+
+
 def test_all_pairs_above_a_threshold():
     rng = np.random.default_rng(2)
     for trial in range(60):

@@ -38,7 +38,7 @@ from ebbmark.session import stored
 class Settings:
     """``low`` to ``high`` hundredths of the positive's score: the window. ``levels``: thresholds for positives, as shares of the product of the
     anchor's norm and the rows' root mean square norm; ``depths``: thresholds for negatives, as shares of the window's width; below the
-    last ones the search is without a threshold, or reaches the window's end. ``held_bytes``: most bytes of blocks in a unit."""
+    last ones the search is without a threshold, or reaches the window's end. ``held_bytes``: most bytes of blocks in a unit, one block at least."""
 
     scale: int = 256
     positives: int = 5
